@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shutterlake.llm import packing, token_store
+from shutterlake.llm import media, packing, simhash, token_store
 from shutterlake.llm.common import table
 
 
@@ -15,13 +16,26 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
+def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), errors=3, words_each=3)
+    return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_store.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_store.crc_of_ids(token_store.read_tokens(files))
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.audio_features(media.store_audio(table(spark, sf_dir, "documents")))
+    feature = F.concat_ws(":", F.hex(F.crc32("tensors")), F.length("tensors"), F.size("spans"), F.format_number(F.aggregate("spans", F.lit(0.0), lambda a, x: a + x["end_s"] - x["start_s"]), 3))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_simhash_components": op4_simhash_components,
     "op6_token_store": op6_token_store,
+    "op8_media_columns": op8_media_columns,
 }
 ORACLE_SQL: dict[str, str] = {}
