@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.llm import media, packing, simhash, token_store
+from shutterlake.llm import decontaminate, language, media, packing, simhash, token_store, toxicity
 from shutterlake.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_store.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_store.crc_of_ids(token_store.read_tokens(files))
@@ -32,10 +36,22 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.language_id(table(spark, sf_dir, "documents"), folds=4, held_out=2)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, held_out=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_simhash_components": op4_simhash_components,
+    "op5_decontamination": op5_decontamination,
     "op6_token_store": op6_token_store,
     "op8_media_columns": op8_media_columns,
+    "op9_language_id": op9_language_id,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
