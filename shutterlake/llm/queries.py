@@ -8,14 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.llm import decontaminate, language, media, packing, simhash, token_store, toxicity
+from shutterlake.llm import decontaminate, html, language, media, packing, pii, simhash, suffix_dedup, token_store, toxicity
 from shutterlake.llm.common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
+def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_spans(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), errors=3, words_each=3)
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
@@ -30,6 +39,10 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.crc_of_ids(token_store.read_tokens(files))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.audio_features(media.store_audio(table(spark, sf_dir, "documents")))
     feature = F.concat_ws(":", F.hex(F.crc32("tensors")), F.length("tensors"), F.size("spans"), F.format_number(F.aggregate("spans", F.lit(0.0), lambda a, x: a + x["end_s"] - x["start_s"]), 3))
@@ -46,10 +59,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_pii_spans": op3_pii_spans,
     "op4_simhash_components": op4_simhash_components,
     "op5_decontamination": op5_decontamination,
     "op6_token_store": op6_token_store,
+    "op7_html_text": op7_html_text,
     "op8_media_columns": op8_media_columns,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
