@@ -84,6 +84,14 @@ class CharModels:
         got[sorted_keys[at] != keys] = default
         return got
 
+    def chances(self, grams: list[np.ndarray], where: np.ndarray) -> np.ndarray:
+        """Interpolated probability of the character at each place, per language."""
+        p = np.full((len(where), len(self.languages)), 1 / self.alphabet, np.float32)
+        for n in range(ORDER):
+            context = grams[n - 1][where - 1] if n else np.zeros(len(where), np.uint64)
+            p = self.lookup(self.keys[n], self.alpha[n], grams[n][where], 0.0) + self.lookup(self.contexts[n], self.weight[n], context, 1.0) * p
+        return p
+
     def cross_entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(texts, languages) in nats a character; the number of characters scored."""
         codes, sizes = codes_of(texts)
@@ -93,12 +101,7 @@ class CharModels:
         top = grams[-1][scored]
         unique, first, inverse = np.unique(top, return_index=True, return_inverse=True)
         where = np.flatnonzero(scored)[first]
-        p = np.full((len(unique), len(self.languages)), 1 / self.alphabet, np.float32)
-        for n in range(ORDER):
-            own = grams[n][where]
-            context = grams[n - 1][where - 1] if n else np.zeros(len(where), np.uint64)
-            p = self.lookup(self.keys[n], self.alpha[n], own, 0.0) + self.lookup(self.contexts[n], self.weight[n], context, 1.0) * p
-        cost = -np.log(p).astype(np.float64)[inverse]
+        cost = -np.log(self.chances(grams, where)).astype(np.float64)[inverse]
         n = sizes - 1
         return np.add.reduceat(cost, group_starts(n), axis=0) / n[:, None] if len(n) else np.zeros((0, len(self.languages))), n
 
