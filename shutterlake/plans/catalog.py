@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake import dims
-from shutterlake.functions import binary, labels
+from shutterlake.functions import binary, captions, labels
 from shutterlake.operators import segments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,32 @@ def strip_property(spark, sf_dir):
 @query("SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in _AS_CATEGORY) + " FROM events GROUP BY 1")
 def pivot_tags(spark, sf_dir):
     return _t(spark, sf_dir, "events").groupBy("user_id").agg(*(F.count(F.when(F.col("event_type") == k, 1)).alias(k) for k in _AS_CATEGORY))
+
+
+_CAPTION_SQL = "p_name || CASE p_partkey % 4 WHEN 0 THEN ' --ar 16:9 --v 6.1 --seed ' || p_size WHEN 1 THEN ' --seed ' || p_size WHEN 2 THEN ' by Midjourney' ELSE ' --niji 5' END"
+
+
+def _captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    tail = F.when(kind == 0, F.concat(F.lit(" --ar 16:9 --v 6.1 --seed "), size)).when(kind == 1, F.concat(F.lit(" --seed "), size)).when(kind == 2, " by Midjourney").otherwise(" --niji 5")
+    return _t(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", tail).alias("text"))
+
+
+@query(f"SELECT p_partkey, trim(string_split_regex(t, '\\s--')[1]) AS prompt, nullif(regexp_extract(t, '(?i)--(?:v|version)\\s+([^\\s-][^\\s]*)', 1), '') AS version, nullif(regexp_extract(t, '(?i)--(?:ar|aspect)\\s+([^\\s-][^\\s]*)', 1), '') AS aspect, nullif(regexp_extract(t, '(?i)--(?:seed)\\s+([^\\s-][^\\s]*)', 1), '') AS seed, CASE WHEN regexp_matches(t, '(?i)midjourney') THEN 'confirmed' ELSE 'likely' END AS confidence FROM (SELECT p_partkey, {_CAPTION_SQL} AS t FROM part) WHERE regexp_matches(t, '(?i)midjourney') OR regexp_matches(t, '(?i)--(?:v|version|ar|aspect|niji|stylize)\\b')")
+def caption_flags(spark, sf_dir):
+    found = _captions(spark, sf_dir).select("p_partkey", captions.caption(F.col("text")).alias("m"))
+    return found.where("m is not null").select("p_partkey", "m.*")
+
+
+@query("SELECT p_partkey, list_aggregate(list_distinct(l), 'count') AS n, l[1] AS first FROM (SELECT p_partkey, regexp_extract_all(p_name || ' <lora:' || p_brand || ':0.8> <lora:' || p_brand || ':0.4> <lora:s' || p_size || '>', '<lora:([^:>]+)', 1) AS l FROM part)")
+def lora_names(spark, sf_dir):
+    brand = F.col("p_brand")
+    text = F.concat("p_name", F.lit(" <lora:"), brand, F.lit(":0.8> <lora:"), brand, F.lit(":0.4> <lora:s"), F.col("p_size").cast("string"), F.lit(">"))
+    return _t(spark, sf_dir, "part").select("p_partkey", captions.lora_names(text).alias("l")).select("p_partkey", F.size("l").cast("long").alias("n"), F.element_at("l", 1).alias("first"))
+
+
+@query("SELECT f.mime, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents JOIN (VALUES " + ", ".join(f"({i}, '{m}')" for i, (_, _, m) in enumerate(dims.FORMATS)) + ") AS f(k, mime) ON doc_id % 9 = f.k GROUP BY 1")
+def mime_lookup(spark, sf_dir):
+    names = F.array(*(F.lit(f) for f, _, _ in dims.FORMATS))
+    docs = _t(spark, sf_dir, "documents").select("n_chars", F.element_at(names, (F.col("doc_id") % 9 + 1).cast("int")).alias("format"))
+    return docs.join(F.broadcast(dims.formats(spark)), "format").groupBy("mime").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
