@@ -28,3 +28,8 @@ def formats(spark: SparkSession) -> DataFrame:
 def policy(spark: SparkSession, **overrides: bool) -> DataFrame:
     """(category, remove): the default policy with some switches set otherwise."""
     return spark.createDataFrame([(c, overrides.get(c, on)) for c, on in CATEGORIES], "category string, remove boolean")
+
+
+def removed(**overrides: bool) -> frozenset[str]:
+    """Names of the categories that go, for operators that need the whole policy at once."""
+    return frozenset(c for c, on in CATEGORIES if overrides.get(c, on))
