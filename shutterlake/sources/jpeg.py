@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterlake.functions import signals, text
-from shutterlake.sources import walk
+from shutterlake.sources import tiff, walk
 
 #: Markers without a length, start of scan, end of image, comment.
 STANDALONE = frozenset([0x01, *range(0xD0, 0xDA)])
@@ -155,6 +155,32 @@ def assemble(rows: DataFrame) -> DataFrame:
     return rows.groupBy("file_id").agg(whole.alias("content"))
 
 
+def exif_payloads(rows: DataFrame) -> DataFrame:
+    """(file_id, content) of the first EXIF segment of each file, from its byte order mark on."""
+    body = F.substring("payload", F.lit(7), F.length("payload"))
+    return rows.where("label = 'EXIF'").groupBy("file_id").agg(F.min_by(body, "ord").alias("content"))
+
+
+def _filtered_exif(decided: DataFrame, removed: frozenset[str]) -> DataFrame:
+    """EXIF segments that stay lose the entries of the removed categories, if that makes them smaller."""
+    key = F.concat_ws(":", F.col("ord").cast("string"), "file_id")
+    mine = decided.where("label = 'EXIF'").select(key.alias("file_id"), F.substring("payload", F.lit(7), F.length("payload")).alias("content"))
+    readable = tiff.entries(mine)
+    after = tiff.assemble(tiff.keep(readable, removed, embedded=True))
+    known = readable.select("file_id").distinct().join(after, "file_id", "left").select(F.col("file_id").alias("_key"), F.col("content").alias("_left"), F.lit(True).alias("_read"))
+    joined = decided.withColumn("_key", F.when(F.col("label") == "EXIF", key)).join(known, "_key", "left")
+    fresh = segment(F.col("marker"), F.concat(F.lit(b"Exif\0\0"), F.col("_left")))
+    smaller = F.length(fresh) < F.length("raw")
+    kept = F.when(F.col("_read") & F.col("_left").isNull(), None).when(F.col("_read") & smaller, fresh).otherwise(F.col("kept"))
+    return joined.withColumn("kept", kept).drop("_key", "_left", "_read")
+
+
 def clean(files: DataFrame, removed: frozenset[str]) -> DataFrame:
-    """Files without the segments of the removed categories; the scan stays byte for byte."""
-    return assemble(decide(parts(files), removed))
+    """Files without the segments of the removed categories; the scan stays byte for byte.
+
+    Where EXIF stays, its entries of other categories go one by one.
+    """
+    decided = decide(parts(files), removed)
+    if "exif" not in removed and removed:
+        decided = _filtered_exif(decided, removed)
+    return assemble(decided)
