@@ -26,13 +26,13 @@ def query(sql: str):
     return register
 
 
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _event_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     category = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in _AS_CATEGORY.items()))
-    return _t(spark, sf_dir, "events").select("event_id", category.alias("category"), F.floor(F.col("value") * 100).cast("long").alias("bytes"))
+    return read(spark, sf_dir, "events").select("event_id", category.alias("category"), F.floor(F.col("value") * 100).cast("long").alias("bytes"))
 
 
 @query(f"SELECT {_SQL_CATEGORY} AS category, CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS bytes, count(*) AS n FROM events WHERE {_SQL_CATEGORY} <> 'icc' GROUP BY 1")
@@ -53,32 +53,32 @@ _NAMES = ["jpeg", "png", "webp", "avif", "heic", "tiff", "tiff", "gif", "bmp", "
 def sniff_formats(spark, sf_dir):
     heads = F.array(*map(F.lit, _HEADS))
     content = F.unhex(F.element_at(heads, (F.col("event_id") % 10 + 1).cast("int")))
-    found = _t(spark, sf_dir, "events").select(binary.detect_format(content).alias("format"))
+    found = read(spark, sf_dir, "events").select(binary.detect_format(content).alias("format"))
     return found.join(F.broadcast(dims.formats(spark)), "format").groupBy("format", "extension").agg(F.count("*").alias("n"))
 
 
 @query("SELECT name, size, arrival FROM (SELECT p_name AS name, p_size AS size, p_partkey AS arrival FROM part ORDER BY p_partkey LIMIT 500) QUALIFY row_number() OVER (PARTITION BY name, size ORDER BY arrival) = 1")
 def queue_dedup_cap(spark, sf_dir):
-    files = _t(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.col("p_partkey").alias("arrival"))
+    files = read(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.col("p_partkey").alias("arrival"))
     return segments.queue(files, 500, F.col("arrival"))
 
 
 @query("SELECT l_returnflag, l_linestatus, l_extendedprice, l_orderkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) = 1")
 def keep_largest_label(spark, sf_dir):
     ties = map(F.col, ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
-    return segments.largest_of(_t(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], F.col("l_extendedprice"), *ties).select("l_returnflag", "l_linestatus", "l_extendedprice", "l_orderkey")
+    return segments.largest_of(read(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], F.col("l_extendedprice"), *ties).select("l_returnflag", "l_linestatus", "l_extendedprice", "l_orderkey")
 
 
 @query("SELECT o_custkey, o_orderpriority, n FROM (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, o_orderpriority) = 1")
 def dominant_category(spark, sf_dir):
-    counts = _t(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"))
+    counts = read(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"))
     return segments.largest_of(counts, ["o_custkey"], F.col("n"), F.col("o_orderpriority"))
 
 
 @query("SELECT s AS o_orderstatus, count(o_orderkey) AS n FROM (VALUES ('F'), ('O'), ('P'), ('cancelled')) AS d(s) LEFT JOIN orders ON o_orderstatus = s GROUP BY 1")
 def dense_status_counts(spark, sf_dir):
     statuses = spark.createDataFrame([("F",), ("O",), ("P",), ("cancelled",)], "o_orderstatus string")
-    return segments.dense_counts(_t(spark, sf_dir, "orders"), "o_orderstatus", statuses)
+    return segments.dense_counts(read(spark, sf_dir, "orders"), "o_orderstatus", statuses)
 
 
 _RELOCATE = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate"
@@ -86,20 +86,20 @@ _RELOCATE = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_
 
 @query(f"SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS size, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY {_RELOCATE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM lineitem")
 def offset_relocation(spark, sf_dir):
-    parts = _t(spark, sf_dir, "lineitem").withColumn("size", F.col("l_quantity").cast("long"))
+    parts = read(spark, sf_dir, "lineitem").withColumn("size", F.col("l_quantity").cast("long"))
     return segments.relocate(parts, "l_orderkey", F.col("size"), *map(F.col, _RELOCATE.split(", "))).select("l_orderkey", "l_linenumber", "size", "offset")
 
 
 @query("SELECT user_id, event_type FROM events WHERE event_type <> 'error' EXCEPT SELECT user_id, event_type FROM events WHERE value > 50")
 def before_after_diff(spark, sf_dir):
-    e = _t(spark, sf_dir, "events")
+    e = read(spark, sf_dir, "events")
     return e.where("event_type <> 'error'").select("user_id", "event_type").subtract(e.where("value > 50").select("user_id", "event_type"))
 
 
 @query("SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM events GROUP BY 1")
 def json_fields(spark, sf_dir):
     k = F.try_variant_get(F.try_parse_json("props"), "$.k", "long")
-    return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(k).alias("total"), F.count("*").alias("n"))
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(k).alias("total"), F.count("*").alias("n"))
 
 
 def _sql_decimal(x: str) -> str:
@@ -108,49 +108,49 @@ def _sql_decimal(x: str) -> str:
 
 @query(f"SELECT doc_id, CASE WHEN n < 1024 THEN CAST(n AS VARCHAR) || ' B' WHEN n < 1048576 THEN {_sql_decimal('(n / 1024.0::DOUBLE)')} || ' KB' WHEN n < 1073741824 THEN {_sql_decimal('(n / 1048576.0::DOUBLE)')} || ' MB' ELSE {_sql_decimal('(n / 1073741824.0::DOUBLE)')} || ' GB' END AS label FROM (SELECT doc_id, n_chars * n_chars AS n FROM documents)")
 def format_bytes_labels(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", labels.format_bytes(F.col("n_chars") * F.col("n_chars")).alias("label"))
+    return read(spark, sf_dir, "documents").select("doc_id", labels.format_bytes(F.col("n_chars") * F.col("n_chars")).alias("label"))
 
 
 @query(r"""SELECT page_id, CASE WHEN length(trim(s)) = 0 THEN 'image' ELSE s END || '_clean.png' AS name FROM (SELECT page_id, regexp_replace(regexp_replace(url, '\.[^.]*$', ''), '[\\/:*?"<>|]', '_', 'g') AS s FROM pages)""")
 def clean_file_names(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", labels.cleaned_file_name(F.col("url"), F.lit("png")).alias("name"))
+    return read(spark, sf_dir, "pages").select("page_id", labels.cleaned_file_name(F.col("url"), F.lit("png")).alias("name"))
 
 
 @query("SELECT conv_id, turn, role, CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '…' ELSE text END AS preview FROM conversations")
 def comment_preview(spark, sf_dir):
-    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role", labels.preview(F.col("text")).alias("preview"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", labels.preview(F.col("text")).alias("preview"))
 
 
 @query(r"SELECT doc_id, CASE WHEN length(c) > 200 THEN substr(c, 1, 200) || '…' ELSE c END AS clean FROM (SELECT doc_id, trim(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\x00-\x08\x0B-\x1F\x7F-\x{9F}]', '', 'g'), ' ') AS c FROM documents)")
 def sanitize_text(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", labels.sanitize(F.col("text"), 200).alias("clean"))
+    return read(spark, sf_dir, "documents").select("doc_id", labels.sanitize(F.col("text"), 200).alias("clean"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN -m ELSE m END / 1000000.0::DOUBLE AS degrees FROM (SELECT o_orderkey, CAST(floor(((o_orderkey % 90) * 3600 + (o_custkey % 60) * 60 + (o_orderkey + o_custkey) % 60) * 1000000 / 3600.0::DOUBLE + 0.5) AS BIGINT) AS m FROM orders)")
 def gps_decimal(spark, sf_dir):
     o, c = F.col("o_orderkey"), F.col("o_custkey")
-    return _t(spark, sf_dir, "orders").select(o, labels.decimal_degrees(o % 90, c % 60, (o + c) % 60, F.when(o % 2 == 0, "S").otherwise("N")).alias("degrees"))
+    return read(spark, sf_dir, "orders").select(o, labels.decimal_degrees(o % 90, c % 60, (o + c) % 60, F.when(o % 2 == 0, "S").otherwise("N")).alias("degrees"))
 
 
 @query("SELECT label, count(*) AS n FROM (SELECT CASE WHEN b = 0 OR a = 0 THEN '0 s' WHEN a < b THEN '1/' || CAST(CAST(floor(b / a::DOUBLE + 0.5) AS BIGINT) AS VARCHAR) || ' s' ELSE CAST(CAST(floor(a / b::DOUBLE) AS BIGINT) AS VARCHAR) || ' s' END AS label FROM (SELECT l_linenumber AS a, l_orderkey % 400 AS b FROM lineitem)) GROUP BY 1")
 def exposure_labels(spark, sf_dir):
     label = labels.exposure_label(F.col("l_linenumber"), F.col("l_orderkey") % 400).alias("label")
-    return _t(spark, sf_dir, "lineitem").select(label).groupBy("label").agg(F.count("*").alias("n"))
+    return read(spark, sf_dir, "lineitem").select(label).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT page_id, regexp_extract(html, '(?is)<html[^>]*\\slang="([^"]*)"', 1) AS lang, length(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title_chars FROM pages""")
 def xmp_like_property(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r'(?is)<html[^>]*\slang="([^"]*)"', 1).alias("lang"), F.length(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)).cast("long").alias("title_chars"))
+    return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r'(?is)<html[^>]*\slang="([^"]*)"', 1).alias("lang"), F.length(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)).cast("long").alias("title_chars"))
 
 
 @query("SELECT page_id, length(regexp_replace(html, '(?is)<(style|script)[^>]*>.*?</(style|script)>', '', 'g')) AS n FROM pages")
 def strip_property(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", F.length(F.regexp_replace("html", r"(?is)<(style|script)[^>]*>.*?</(style|script)>", "")).cast("long").alias("n"))
+    return read(spark, sf_dir, "pages").select("page_id", F.length(F.regexp_replace("html", r"(?is)<(style|script)[^>]*>.*?</(style|script)>", "")).cast("long").alias("n"))
 
 
 @query("SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in _AS_CATEGORY) + " FROM events GROUP BY 1")
 def pivot_tags(spark, sf_dir):
-    return _t(spark, sf_dir, "events").groupBy("user_id").agg(*(F.count(F.when(F.col("event_type") == k, 1)).alias(k) for k in _AS_CATEGORY))
+    return read(spark, sf_dir, "events").groupBy("user_id").agg(*(F.count(F.when(F.col("event_type") == k, 1)).alias(k) for k in _AS_CATEGORY))
 
 
 _CAPTION_SQL = "p_name || CASE p_partkey % 4 WHEN 0 THEN ' --ar 16:9 --v 6.1 --seed ' || p_size WHEN 1 THEN ' --seed ' || p_size WHEN 2 THEN ' by Midjourney' ELSE ' --niji 5' END"
@@ -159,7 +159,7 @@ _CAPTION_SQL = "p_name || CASE p_partkey % 4 WHEN 0 THEN ' --ar 16:9 --v 6.1 --s
 def _captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
     tail = F.when(kind == 0, F.concat(F.lit(" --ar 16:9 --v 6.1 --seed "), size)).when(kind == 1, F.concat(F.lit(" --seed "), size)).when(kind == 2, " by Midjourney").otherwise(" --niji 5")
-    return _t(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", tail).alias("text"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", tail).alias("text"))
 
 
 @query(f"SELECT p_partkey, trim(string_split_regex(t, '\\s--')[1]) AS prompt, nullif(regexp_extract(t, '(?i)--(?:v|version)\\s+([^\\s-][^\\s]*)', 1), '') AS version, nullif(regexp_extract(t, '(?i)--(?:ar|aspect)\\s+([^\\s-][^\\s]*)', 1), '') AS aspect, nullif(regexp_extract(t, '(?i)--(?:seed)\\s+([^\\s-][^\\s]*)', 1), '') AS seed, CASE WHEN regexp_matches(t, '(?i)midjourney') THEN 'confirmed' ELSE 'likely' END AS confidence FROM (SELECT p_partkey, {_CAPTION_SQL} AS t FROM part) WHERE regexp_matches(t, '(?i)midjourney') OR regexp_matches(t, '(?i)--(?:v|version|ar|aspect|niji|stylize)\\b')")
@@ -172,11 +172,11 @@ def caption_flags(spark, sf_dir):
 def lora_names(spark, sf_dir):
     brand = F.col("p_brand")
     text = F.concat("p_name", F.lit(" <lora:"), brand, F.lit(":0.8> <lora:"), brand, F.lit(":0.4> <lora:s"), F.col("p_size").cast("string"), F.lit(">"))
-    return _t(spark, sf_dir, "part").select("p_partkey", captions.lora_names(text).alias("l")).select("p_partkey", F.size("l").cast("long").alias("n"), F.element_at("l", 1).alias("first"))
+    return read(spark, sf_dir, "part").select("p_partkey", captions.lora_names(text).alias("l")).select("p_partkey", F.size("l").cast("long").alias("n"), F.element_at("l", 1).alias("first"))
 
 
 @query("SELECT f.mime, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents JOIN (VALUES " + ", ".join(f"({i}, '{m}')" for i, (_, _, m) in enumerate(dims.FORMATS)) + ") AS f(k, mime) ON doc_id % 9 = f.k GROUP BY 1")
 def mime_lookup(spark, sf_dir):
     names = F.array(*(F.lit(f) for f, _, _ in dims.FORMATS))
-    docs = _t(spark, sf_dir, "documents").select("n_chars", F.element_at(names, (F.col("doc_id") % 9 + 1).cast("int")).alias("format"))
+    docs = read(spark, sf_dir, "documents").select("n_chars", F.element_at(names, (F.col("doc_id") % 9 + 1).cast("int")).alias("format"))
     return docs.join(F.broadcast(dims.formats(spark)), "format").groupBy("mime").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
