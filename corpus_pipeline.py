@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.llm import decontaminate, language, packing, pii, simhash
+from shutterlake.llm import decontaminate, language, near_copies, packing, pii
 from shutterlake.llm.common import crc_mod, materialize, table
 
 
@@ -24,8 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays (a group without ids goes)."""
-    found = simhash.near_duplicates(docs)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = near_copies.first_of_classes(docs).select("doc_id")
     return docs.join(kept, "doc_id", "left_semi")
 
 
