@@ -1,7 +1,8 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
 A word is the bag of its character n-grams (with word borders) in hashed
-buckets; a text is the mean of its words' mean vectors; a linear softmax on top
+buckets; one of over LONG characters, as in scripts without spaces, counts as
+several, its pieces, which overlap so that each of its n-grams is in one; a text is the mean of its words' mean vectors; a linear softmax on top
 gives the class. Embeddings and softmax are trained jointly in numpy, so an
 unseen misspelling shares the vectors of the n-grams it kept. A linear softmax of
 a mean is a mean of word scores, which is how whole texts are scored: in one pass,
@@ -29,15 +30,34 @@ from pyspark.sql import functions as F
 
 from shutterlake.llm.common import crc_mod, group_starts, text_batches, texts_of
 
+LONG, PIECE, OVERLAP = 60, 64, 4
 _SIGNS = " \t\r\n!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”…"
 _TRAIN = pa.schema([("label", pa.int32()), ("bucket", pa.list_(pa.int32())), ("weight", pa.list_(pa.float32()))])
 
 
-def buckets_of(word: str, buckets: int) -> list[int]:
-    word = word.strip(_SIGNS)
-    if not word:
-        return []
-    w = f"<{word[:60]}>".encode("utf-8", "replace")
+def words_of(text: str) -> list[str | bytes]:
+    """Words in lower case; a long one as pieces in bytes, with borders at its own ends only."""
+    words = text.lower().split()
+    if not words or len(max(words, key=len)) <= LONG:
+        return words
+    out: list[str | bytes] = []
+    for word in words:
+        if len(word) > LONG and len(bare := word.strip(_SIGNS)) > LONG:
+            w = f"<{bare}>".encode("utf-8", "replace")
+            out += [w[k : k + PIECE] for k in range(0, len(w) - OVERLAP, PIECE - OVERLAP)]
+        else:
+            out.append(word)
+    return out
+
+
+def buckets_of(word: str | bytes, buckets: int) -> list[int]:
+    if isinstance(word, bytes):
+        w = word
+    else:
+        word = word.strip(_SIGNS)
+        if not word:
+            return []
+        w = f"<{word}>".encode("utf-8", "replace")
     grams = {w[i : i + n] for n in (3, 4, 5) for i in range(max(1, len(w) - n + 1))}
     grams.add(w)
     return [zlib.crc32(g) % buckets for g in grams]
@@ -45,8 +65,8 @@ def buckets_of(word: str, buckets: int) -> list[int]:
 
 def bag_of(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and weights of a text's mean vector."""
-    words: dict[str, int] = {}
-    for w in text.lower().split():
+    words: dict[str | bytes, int] = {}
+    for w in words_of(text):
         words[w] = words.get(w, 0) + 1
     total = sum(words.values())
     bag: dict[int, float] = {}
@@ -105,7 +125,7 @@ class WordScores(dict):
         super().__init__()
         self.scores, self.buckets = scores.tolist(), len(scores)
 
-    def __missing__(self, word: str) -> float:
+    def __missing__(self, word: str | bytes) -> float:
         own = buckets_of(word, self.buckets)
         s = sum(map(self.scores.__getitem__, own)) / len(own) if own else 0.0
         if len(self) < 300_000:
@@ -148,7 +168,7 @@ def score(docs: DataFrame, scores: np.ndarray, bias: float) -> DataFrame:
         for ids, texts in text_batches(batches):
             out = []
             for t in texts:
-                words = t.lower().split()
+                words = words_of(t)
                 x = bias + (sum(map(cache.__getitem__, words)) / len(words) if words else 0.0)
                 out.append(1 / (1 + np.exp(-min(50.0, max(-50.0, x)))))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.float64())], names=["doc_id", "score"])

@@ -3,9 +3,9 @@ from pyspark.sql import functions as F
 
 from shutterlake.llm.common import crc_mod, table
 from shutterlake.llm.language import ORDER, codes_of, fit, gram_hashes, keep_identified, language_id, train
-from shutterlake.llm.toxicity import bag_of, buckets_of, toxicity
+from shutterlake.llm.toxicity import bag_of, buckets_of, score, toxicity, words_of
 
-from .fixtures import awkward, empty
+from .fixtures import awkward, documents, empty
 
 SF = "/root/testdata/sf0.01"
 
@@ -49,6 +49,20 @@ def test_misspelling_shares_buckets():
     assert len(idx) == len(set(idx.tolist())) and abs(float(np.sum(w)) - 1) < 1e-5
 
 
+def test_long_tokens_are_read_to_their_end(spark):
+    word = "".join(chr(0x4E00 + k * 37 % 5000) for k in range(700)) + "_disgusting."
+    w = f"<{word.rstrip('.')}>".encode()
+    for n in (3, 4, 5):
+        assert {w[i : i + n] for i in range(len(w) - n + 1)} <= {p[i : i + n] for p in words_of(word) for i in range(len(p))}
+    assert set(bag_of("x" * 200 + "_disgusting", 1 << 16)[0].tolist()) & set(buckets_of("disgusting", 1 << 16))
+    assert words_of("A" * 60 + " b...") == ["a" * 60, "b..."] and words_of("." * 99) == ["." * 99]
+    scores = np.zeros(1 << 16, np.float32)
+    scores[buckets_of("disgusting", 1 << 16)] = 50
+    texts = ["文" * 300, "文" * 300 + "disgusting", "one-" * 40 + "disgusting"]
+    found = {r["doc_id"]: r["score"] for r in score(documents(spark, texts), scores, -1.0).collect()}
+    assert found[0] < found[1] and found[0] < found[2]
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     labels = table(spark, sf, "labels")
