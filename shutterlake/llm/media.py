@@ -2,7 +2,8 @@
 
 A payload is stored as a WAV file (8-bit mono) in a binary column written by
 Spark, so that any store works. Read back, its samples are resampled by a
-polyphase filter, cut into overlapped frames, and turned into log-mel energies;
+polyphase filter, cut into overlapped frames (the last one filled up with zeros,
+so that every sample is in one), and turned into log-mel energies;
 segments come from an energy threshold with hysteresis. A clip is a fixed number
 of frames (the last one is padded with the floor value); the clips of a file are
 one Arrow IPC stream with a fixed-shape tensor column and its time spans.
@@ -90,9 +91,9 @@ def _mel_bank(rate: int, frame: int, mels: int) -> np.ndarray:
 
 
 def log_mel(x: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
-    """(frames, mels) in dB, and the frames' energy in dB; at least one frame."""
-    if len(x) < FRAME:
-        x = np.concatenate([x, np.zeros(FRAME - len(x), np.float32)])
+    """(frames, mels) in dB, and the frames' energy in dB; at least one frame, the last one filled up with zeros."""
+    full = FRAME + max(0, -(-(len(x) - FRAME) // HOP)) * HOP
+    x = np.concatenate([x, np.zeros(full - len(x), np.float32)])
     windows = sliding_window_view(x, FRAME)[::HOP]
     hann, bank = np.hanning(FRAME).astype(np.float32), _mel_bank(rate, FRAME, MELS)
     mel, energy = [], []

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from shutterlake.llm.media import CLIP, MELS, audio_features, log_mel, payload_of, resample, segments, store_audio, tensor_stream, wav_of
+from shutterlake.llm.media import CLIP, MELS, audio_features, features_of, log_mel, payload_of, resample, segments, store_audio, tensor_stream, wav_of
 
 from .fixtures import awkward, documents, empty
 
@@ -45,6 +45,15 @@ def test_tensor_shape_and_spans():
     assert len(energy) == len(mel) and t["end_s"].to_pylist()[-1] == len(mel) * 128 / 8000
 
 
+def test_features_are_of_the_whole_payload():
+    rng = np.random.default_rng(5)
+    for n in [*range(1, 12), *range(500, 1200, 13), 1024, 1088, 1152, 4096, 70_001]:
+        text = rng.integers(97, 123, n).astype(np.uint8).tobytes()
+        other = text[:-1] + bytes([text[-1] ^ 1])
+        pad = bytes(-n % 64)
+        assert features_of(text + pad)[0] != features_of(other + pad)[0], n
+
+
 def test_awkward_and_empty(spark):
     rows = audio_features(store_audio(awkward(spark))).collect()
     texts = {r["doc_id"]: r["text"] or "" for r in awkward(spark).collect()}
