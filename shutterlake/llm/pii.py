@@ -117,7 +117,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     found = [(s, k, e, True) for s, k, e in base]
     taken = [(s, e) for s, _, e in base]
     for kind, pattern in _LOOSE:
-        for m in pattern.finditer(text) if kind or "at" in text else ():
+        for m in pattern.finditer(text) if kind or "(" in text or "[" in text else ():
             if not any(s < m.end() and m.start() < e for s, e in taken):
                 found.append((m.start(), kind, m.end(), False))
     out = []

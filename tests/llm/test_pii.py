@@ -2,7 +2,7 @@ import hashlib
 import re
 
 from shutterlake.llm.common import table
-from shutterlake.llm.pii import KINDS, base_spans, digest, find_spans, luhn, redact, redacted, train
+from shutterlake.llm.pii import KINDS, base_spans, candidates, digest, find_spans, luhn, redact, redacted, train
 
 from .fixtures import awkward, documents, empty
 
@@ -57,3 +57,10 @@ def test_awkward_and_empty(spark):
     assert find_spans(empty(spark)).collect() == [] and redacted(empty(spark)).collect() == []
     kept = redacted(awkward(spark))
     assert kept.columns == awkward(spark).columns and kept.where("text is null").count() == 1
+
+
+def test_upper_case_addresses(spark):
+    for t in ("JOHN (AT) EXAMPLE (DOT) COM", "JOHN [At] EXAMPLE.COM", "JOHN(aT)EXAMPLE(dot)ORG"):
+        assert [c[:3] for c in candidates(t, [])] == [(0, 0, len(t))], t
+    df = documents(spark, [f"MAIL JOE{i} [AT] SITE.COM OR JOE{i} (AT) SITE (DOT) COM" for i in range(40)] + [f"MAIL ANN{i}@SITE.COM" for i in range(100)])
+    assert redacted(df).where("doc_id = 0").first()["text"] == "MAIL <email> OR <email>"
