@@ -69,3 +69,28 @@ def test_awkward_and_empty(spark):
     assert kept.columns == awkward(spark).columns and kept.count() == 6
     assert contamination(empty(spark), bench).collect() == []
     assert contamination(awkward(spark), bench.where("false")).where("contaminated").count() == 0
+
+
+def test_short_items_are_found_with_every_allowed_substitution(spark):
+    items = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in range(1, 13)]
+    items += [(20, "这是一个没有空格的问题请回答它"), (21, "これはテスト")]
+    texts, want = [], []
+    for i, t in items:
+        own = _WORD.findall(t)
+        for k in range(len(own) + 1):
+            if min(WINDOW, len(own)) - k < 0.8 * min(WINDOW, len(own)):
+                break
+            for wrong in combinations(range(len(own)), k):
+                words = [f"c{j}" if j in wrong else w for j, w in enumerate(own)]
+                texts.append("before, " + " ".join(words) + " after")
+                want.append([i])
+    texts += ["前" + items[12][1] + "后", "w5x0 w5x1 c w5x3 c", "w4x0 w4x1 w4x2 c"]
+    want += [[20], [], []]
+    docs = documents(spark, texts)
+    for bench in (items, items[::-1]):
+        found = contamination(docs, spark.createDataFrame(bench, "item_id long, text string"), min_words=1)
+        got = {r["doc_id"]: r["item_ids"] for r in found.collect()}
+        assert [got[k] for k in range(len(texts))] == want
+    for item in (items[7], items[8], items[9]):  # with no other item in the block
+        found = contamination(docs, spark.createDataFrame([item], "item_id long, text string"))
+        assert {r["doc_id"] for r in found.where("contaminated").collect()} == {k for k, w in enumerate(want) if w == [item[0]]}
