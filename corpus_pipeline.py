@@ -23,9 +23,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays (a group without ids goes)."""
-    kept = near_copies.first_of_classes(docs).select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """Of each group of near copies one row stays: the smallest id, null last, then the smallest hash of the row."""
+    kept = near_copies.first_of_classes(docs).select(F.col("row").alias("_row_key"))
+    keyed = docs.withColumn("_row_key", near_copies.row_key(docs))
+    # rows that share a key are equal in every column
+    return keyed.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,3 +64,12 @@ def test_awkward_and_empty(spark):
     found = corpus_pipeline.drop_near_copies(spark, awkward(spark), "")
     assert found.columns == awkward(spark).columns
     assert corpus_pipeline.drop_near_copies(spark, empty(spark), "").collect() == []
+
+
+def test_one_row_of_each_class(spark):
+    rows = [(None, "unique words without any id at all here"), (None, "shared text of two rows one with id"), (7, "shared text of two rows one with id"), (3, "an exact row that comes twice in it"), (3, "an exact row that comes twice in it"), (5, "first of two texts under one id only"), (5, "something else altogether in the second of the texts"), (2, "something else altogether in the second of the texts"), (None, "copies without ids come to one row"), (None, "copies without ids come to one row")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.drop_near_copies(spark, docs, "")
+    got = sorted(((r["doc_id"], r["text"][:6]) for r in found.collect()), key=str)
+    assert got == sorted([(None, "unique"), (7, "shared"), (3, "an exa"), (5, "first "), (2, "someth"), (None, "copies")], key=str)
+    assert corpus_pipeline.drop_near_copies(spark, awkward(spark), "").count() == 6  # 8 rows, one repeated, two empty texts
