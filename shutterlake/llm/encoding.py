@@ -60,6 +60,7 @@ class TextEncoder:
         )._core_bpe.encode_single_piece
         self.pattern = regex.compile(WORD_PATTERN if self.words else BYTE_PATTERN)
         self.cache: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}  # signs after a word; as a part of its own a tail has other ids
         self.entries = cache_entries
 
     def _whole(self, text: str) -> bytes:
@@ -93,12 +94,11 @@ class TextEncoder:
         if len(core) == len(part):
             return ids
         tail = part[len(core) :]
-        key = "\0" + tail
-        end = self.cache.get(key)
+        end = self.tails.get(tail)
         if end is None:
             end = self._pieces(tail)
-            if len(tail) < 12 and len(self.cache) < self.entries:
-                self.cache[key] = end
+            if len(tail) < 12 and len(self.tails) < self.entries:
+                self.tails[tail] = end
         ids += end
         if len(self.cache) < self.entries:
             self.cache[part] = ids

@@ -59,3 +59,14 @@ def test_encoder_equals_tokenizers(name):
     texts = ["", "  ", " a", "a ", "a\n\nb", "a\n\n\nb c", "a \n b", "\n", "x<|endoftext|>y z", "日本語 text", "ΑΣ ΣΑΣ", "İstanbul ß", "\x1cx y", "t\t\tx", "a\r\nb", "don't I'll", "x" * 5000, "ñandú é " * 99, "a\t b \n\tc", "1234 12.5%***", "é é"]
     for t in texts * 2:
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == enc.whole.encode(t, add_special_tokens=False).ids, t
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_warm_cache_equals_tokenizers(name):
+    """Ids don't depend on what the encoder saw before: short texts of words, signs, controls and NUL."""
+    rng = random.Random(8)
+    enc = TextEncoder(public_tokenizers.path(name))
+    parts = ["a", "foo", "Bar", "été", "x1", "12", "'s", "日", "\0", "\1", "\x1f", "\x7f", "​", " ", "  ", "\n", "\t", *"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "!!", "...", "\0!!"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 8))) for _ in range(20_000)]
+    for t, whole in zip(texts, enc.whole.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == whole.ids, repr(t)
