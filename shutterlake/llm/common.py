@@ -17,28 +17,46 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (a local session, tests) a temporary folder of this process stands in.
+    The cluster names it in ``spark.checkpoint.dir``. Only in a local session
+    may it be unset; a temporary folder of this process then stands in.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="shutterlake-")
     return _own_dirs[app]
 
 
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it.
 
     It cuts lineage the way ``checkpoint()`` does (a lost executor costs a
-    re-read, not a recomputation), but as compressed columns.
+    re-read, not a recomputation), but as compressed columns. The files go when
+    the application ends, or before by ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    at, files = _files(spark, path)
+    files.deleteOnExit(at)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written_to = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files behind a result of ``materialize`` that nothing reads any more."""
+    at, files = _files(df.sparkSession, df._written_to)
+    files.delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

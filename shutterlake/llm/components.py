@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import materialize
+from shutterlake.llm.common import discard, materialize
 
 
 def _star(links: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         large = large.where("u != v").distinct()
         small = large.join(_star(large), "u")
         small = small.select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("x")).select("x.u", "x.v")
-        e = materialize(small.where("u != v").distinct(), "edges")
+        last, e = e, materialize(small.where("u != v").distinct(), "edges")
+        discard(last)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break
