@@ -10,10 +10,10 @@ bits has many node pairs within the budget near its root, so the bits are
 reordered first: of six blocks of bits at least three agree between two
 fingerprints within three errors. Each of the 20 choices of three blocks is a
 trie of its own with these bits on top; its upper levels, which allow no error,
-are one shuffle key, and the walk below goes on inside the task. A pair of
-nodes whose members are already linked is pruned too, so a large group of near
-copies costs about as much as its size, not its square, and what leaves the
-task is a forest of links.
+are one shuffle key, and the walk below goes on inside the task, over sorted
+rows. A fingerprint meets those within the budget only, whatever the size of its
+group, and what leaves the task is a forest of links. Keys with very many
+fingerprints are dealt by pairs of nodes further down their trie.
 
 Nulls and edge cases: a null or empty text, or one of white space only, has
 fingerprint zero and is linked as any other; null doc_ids belong to the class of
@@ -96,109 +96,173 @@ def _reorder(fps: np.ndarray, order: list[int]) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits[:, order[::-1]], axis=1, bitorder="little")).view(np.uint64)[:, 0]
 
 
-def walk(groups: np.ndarray, rest: np.ndarray, bits: int, errors: int, chunk: int = 20_000) -> np.ndarray:
-    """Smallest linked index of each member; (group, rest) is sorted and distinct.
+class Forest:
+    """Union-find over row numbers; a root is the smallest number of its class."""
 
-    Links join members of a group whose ``rest`` (the low ``bits`` bits) differ in
-    at most ``errors`` bits.
-    """
-    n = len(rest)
-    shift = np.uint64(bits)
-    path = groups.astype(np.uint64) << shift | rest
-    root = np.arange(n)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return int(i)
-
-    def labels() -> np.ndarray:
-        nonlocal root
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def find(self, rows: np.ndarray) -> np.ndarray:
+        at = self.up[rows]
         while True:
-            up = root[root]
-            if (up == root).all():
-                return root
-            root = up
-
-    starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if n else np.zeros(0, np.int64)
-    ends = np.r_[starts[1:], n]
-    many = ends - starts > 1
-    a, b = starts[many], ends[many]
-    stack = [(0, a, b, a, b, np.zeros(len(a), np.int64))]
+            higher = self.up[at]
+            if (higher == at).all():
+                self.up[rows] = at
+                return at
+            at = higher
+
+    def union(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            a, b = self.find(a), self.find(b)
+            apart = a != b
+            a, b = np.minimum(a[apart], b[apart]), np.maximum(a[apart], b[apart])
+            np.minimum.at(self.up, b, a)
+
+
+def walk(path: np.ndarray, bits: int, errors: int, first: np.ndarray, second: np.ndarray, chunk: int = 50_000) -> np.ndarray:
+    """Smallest linked row of each row; ``path`` is sorted and distinct.
+
+    A node pair is two row ranges; ``first`` and ``second`` (starts and ends) are
+    the pairs to begin with, whose rows agree above the low ``bits`` bits. Rows
+    link where these bits differ in at most ``errors`` places. What a step costs
+    depends on the node pairs in it only, and a row meets no more partners than
+    lie within ``errors`` bits of it.
+    """
+    forest = Forest(len(path))
+    stack = [(bits, *first, *second, np.zeros(len(first[0]), np.int64))]
     while stack:
-        depth, lo1, hi1, lo2, hi2, err = stack.pop()
+        left, lo1, hi1, lo2, hi2, err = stack.pop()
         if len(lo1) > chunk:
             h = len(lo1) // 2
-            stack += [(depth, *(x[h:] for x in (lo1, hi1, lo2, hi2, err))), (depth, *(x[:h] for x in (lo1, hi1, lo2, hi2, err)))]
+            stack += [(left, *(x[h:] for x in (lo1, hi1, lo2, hi2, err))), (left, *(x[:h] for x in (lo1, hi1, lo2, hi2, err)))]
             continue
-        lab = labels()
-        runs = np.cumsum(np.r_[0, lab[1:] != lab[:-1]])
-        on = (lab[lo1] != lab[lo2]) | (runs[hi1 - 1] != runs[lo1]) | (runs[hi2 - 1] != runs[lo2])
-        lo1, hi1, lo2, hi2, err = (x[on] for x in (lo1, hi1, lo2, hi2, err))
-        one = (hi1 - lo1 == 1) & (hi2 - lo2 == 1)
-        if one.any():
-            i, j = lo1[one], lo2[one]
+        few = (hi1 - lo1 == 1) & (hi2 - lo2 == 1)
+        if few.any():
+            i, j = lo1[few], lo2[few]
             near = np.bitwise_count(path[i] ^ path[j]) <= errors
-            for x, y in set(zip(lab[i[near]].tolist(), lab[j[near]].tolist(), strict=True)):
-                x, y = find(x), find(y)
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-            lo1, hi1, lo2, hi2, err = (x[~one] for x in (lo1, hi1, lo2, hi2, err))
-        if not len(lo1) or depth == bits:
+            forest.union(i[near], j[near])
+            lo1, hi1, lo2, hi2, err = (x[~few] for x in (lo1, hi1, lo2, hi2, err))
+        if not len(lo1):
             continue
-        low = np.uint64(bits - depth - 1)
-
-        def split(lo: np.ndarray, low: np.uint64 = low) -> np.ndarray:
-            return np.searchsorted(path, (path[lo] >> low | np.uint64(1)) << low)
-
-        mid1, mid2 = split(lo1), split(lo2)
+        low = np.uint64(left - 1)
+        mids = [np.searchsorted(path, (path[lo] >> low | np.uint64(1)) << low) for lo in (lo1, lo2)]
         same = (lo1 == lo2) & (hi1 == hi2)
-        sides1, sides2 = ((lo1, mid1), (mid1, hi1)), ((lo2, mid2), (mid2, hi2))
         children = []
         for p in (0, 1):
             for q in (0, 1):
-                (l1, h1), (l2, h2) = sides1[p], sides2[q]
+                l1, h1 = (mids[0], hi1) if p else (lo1, mids[0])
+                l2, h2 = (mids[1], hi2) if q else (lo2, mids[1])
                 more = err + (p != q)
-                keep = (h1 > l1) & (h2 > l2) & (more <= errors) & ~(same & (p > q)) & ~((l1 == l2) & (h1 == h2) & (h1 - l1 == 1))
-                if keep.any():
-                    children.append((p != q, (depth + 1, l1[keep], h1[keep], l2[keep], h2[keep], more[keep])))
-        stack += [x for _, x in sorted(children, key=lambda x: not x[0])]  # near pairs are walked first
-    return labels()
+                keep = (h1 > l1) & (h2 > l2) & (more <= errors) & ~(same & ((p > q) | (p == q) & (h1 - l1 == 1)))
+                children.append([x[keep] for x in (l1, h1, l2, h2, more)])
+        lo1, hi1, lo2, hi2, err = (np.concatenate(x) for x in zip(*children, strict=True))
+        if len(lo1):
+            stack.append((left - 1, lo1, hi1, lo2, hi2, err))
+    return forest.find(np.arange(len(path)))
+
+
+#: A key with more fingerprints is dealt by this many further levels of its trie.
+HOT_ROWS, HOT_LEVELS = 200_000, 6
+
 
+def _sub_pairs(errors: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, pair): for each node of the HOT_LEVELS the pairs of nodes it is part of."""
+    n = 1 << HOT_LEVELS
+    p, q = np.nonzero(np.bitwise_count(np.arange(n)[:, None] ^ np.arange(n)) <= errors)
+    return p, np.minimum(p, q) * n + np.maximum(p, q)
 
-def near_links(fps: DataFrame, errors: int = 3, parts: int | None = None) -> DataFrame:
-    """(a, b): a forest of links between distinct fingerprints within ``errors`` bits."""
+
+def near_links(fps: DataFrame, errors: int = 3, parts: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(a, b): a forest of links between distinct fingerprints within ``errors`` bits.
+
+    Rows are sorted by key in the shuffle and a task holds about one key (or
+    200,000 rows) at a time. A key of over ``hot_rows`` fingerprints, as counted
+    on one in 64 of them, is dealt by pairs of its nodes some levels further down.
+    """
     shapes = tries(errors)
+    node_of, pair_of = _sub_pairs(errors)
+    pairs_each = len(pair_of) >> HOT_LEVELS
+    pair_of = pair_of.reshape(-1, pairs_each)
+
+    def moved(fp: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, int]:
+        order, key_bits = shapes[t]
+        new, rest = _reorder(fp.view(np.uint64), order), BITS - key_bits
+        return (new >> np.uint64(rest)).astype(np.int64), new & np.uint64((1 << rest) - 1), rest
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in range(len(shapes)):
+                top = moved(batch.column(0).to_numpy(), t)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), t, np.int32)), pa.array(top)], names=["trie", "top"])
+
+    distinct = fps.select("fp").distinct()
+    some = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(64)) == 0).mapInArrow(keys, "trie int, top long")
+    # at most 20 * rows / hot_rows keys
+    hot = {(r["trie"], r["top"]) for r in some.groupBy("trie", "top").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, hot_rows // 64)).collect()}
+    hot_tops = {t: np.array(sorted(k for u, k in hot if u == t), np.int64) for t in {t for t, _ in hot}}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy().view(np.uint64)
-            for t, (order, key_bits) in enumerate(shapes):
-                moved = _reorder(fps, order)
-                rest = np.uint64(BITS - key_bits)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), t, np.int32)), pa.array((moved >> rest).astype(np.int64)), batch.column(0)], names=["trie", "top", "fp"])
+            fp = batch.column(0).to_numpy()
+            for t in range(len(shapes)):
+                top, rest, bits = moved(fp, t)
+                pair, of = np.full(len(top), -1, np.int64), fp
+                if t in hot_tops and (split := np.isin(top, hot_tops[t])).any():
+                    at = np.r_[np.flatnonzero(~split), np.repeat(np.flatnonzero(split), pairs_each)]
+                    pair = np.r_[pair[~split], pair_of[(rest[split] >> np.uint64(bits - HOT_LEVELS)).astype(np.int64)].ravel()]
+                    top, rest, of = top[at], rest[at], fp[at]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), t, np.int32)), pa.array(top), pa.array(pair), pa.array(rest.view(np.int64)), pa.array(of)], names=["trie", "top", "pair", "rest", "fp"])
+
+    def linked(t: int, top: np.ndarray, pair: np.ndarray, rest: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        """Links in whole groups of one trie, sorted by top, pair and rest."""
+        bits = BITS - shapes[t][1]
+        new = np.r_[True, (top[1:] != top[:-1]) | (pair[1:] != pair[:-1])]
+        group = np.cumsum(new) - 1
+        lo = np.flatnonzero(new)
+        hi = np.r_[lo[1:], len(top)]
+        path = group.astype(np.uint64) << np.uint64(bits) | rest.view(np.uint64)
+        lo1, hi1, lo2, hi2 = lo, hi, lo, hi
+        cut = np.flatnonzero(pair[lo] >= 0)
+        if len(cut):  # a pair of nodes: its two ranges, or twice the same one
+            low, level = np.uint64(bits - HOT_LEVELS), 1 << HOT_LEVELS
+            base = cut.astype(np.uint64) << np.uint64(bits)
+            p, q = (pair[lo[cut]] // level).astype(np.uint64), (pair[lo[cut]] % level).astype(np.uint64)
+            lo1, hi1, lo2, hi2 = (x.copy() for x in (lo1, hi1, lo2, hi2))
+            lo1[cut], hi1[cut] = np.searchsorted(path, base + (p << low)), np.searchsorted(path, base + (p + np.uint64(1) << low))
+            lo2[cut], hi2[cut] = np.searchsorted(path, base + (q << low)), np.searchsorted(path, base + (q + np.uint64(1) << low))
+        some = (hi1 > lo1) & (hi2 > lo2) & ((lo1 != lo2) | (hi1 - lo1 > 1))
+        lo1, hi1, lo2, hi2 = (x[some] for x in (lo1, hi1, lo2, hi2))
+        label = walk(path, bits, errors, (lo1, hi1), (lo2, hi2))
+        on = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([pa.array(fp[on]), pa.array(fp[label[on]])], names=["a", "b"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [pa.Table.from_batches([b]) for b in batches]
-        if not tables:
-            return
-        rows = pa.concat_tables(tables)
-        trie, top, signed = (rows[c].to_numpy() for c in ("trie", "top", "fp"))
-        for t in np.unique(trie):
-            order, key_bits = shapes[t]
-            mine = trie == t
-            own, key = signed[mine], top[mine]
-            rest = _reorder(own.view(np.uint64), order) & np.uint64((1 << BITS - key_bits) - 1)
-            at = np.lexsort((rest, key))
-            own, key, rest = own[at], key[at], rest[at]
-            label = walk(np.cumsum(np.r_[0, key[1:] != key[:-1]]), rest, BITS - key_bits, errors)
-            linked = np.flatnonzero(label != np.arange(len(label)))
-            yield pa.RecordBatch.from_arrays([pa.array(own[linked]), pa.array(own[label[linked]])], names=["a", "b"])
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def ready(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            trie, top, pair, rest, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            new = np.flatnonzero(np.r_[True, (trie[1:] != trie[:-1]) | (top[1:] != top[:-1]) | (pair[1:] != pair[:-1])])
+            end = len(trie) if last else int(new[-1])  # the last group may go on
+            cuts = np.flatnonzero(np.r_[True, trie[1:end] != trie[: max(end - 1, 0)]]).tolist() if end else []
+            for lo, hi in zip(cuts, [*cuts[1:], end], strict=True):
+                yield linked(int(trie[lo]), top[lo:hi], pair[lo:hi], rest[lo:hi], fp[lo:hi])
+            held = [[x[end:] for x in (trie, top, pair, rest, fp)]] if end < len(trie) else []
+            size = 0
+
+        for b in batches:
+            if b.num_rows:
+                held.append([b[c].to_numpy() for c in ("trie", "top", "pair", "rest", "fp")])
+                size += b.num_rows
+            if size >= 200_000:
+                yield from ready(False)
+        if held:
+            yield from ready(True)
 
     parts = parts or shuffle_parts(fps.sparkSession)
-    dealt = fps.select("fp").distinct().mapInArrow(deal, "trie int, top long, fp long")
-    return dealt.repartition(parts, "trie", "top").mapInArrow(join, "a long, b long")
+    dealt = distinct.mapInArrow(deal, "trie int, top long, pair long, rest long, fp long")
+    return dealt.repartition(parts, "trie", "top", "pair").sortWithinPartitions("trie", "top", "pair", "rest").mapInArrow(join, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, errors: int = 3, words_each: int = 3) -> DataFrame:

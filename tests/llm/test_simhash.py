@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ import xxhash
 
 from shutterlake.llm.common import table
 from shutterlake.llm.components import components
-from shutterlake.llm.simhash import as_hex, fingerprints_of, near_duplicates, near_links
+from shutterlake.llm.simhash import as_hex, fingerprints_of, near_duplicates, near_links, walk
 
 from .fixtures import awkward, empty
 
@@ -82,3 +83,33 @@ def test_awkward_and_empty(spark):
     assert by[1]["fp"] == by[2]["fp"] == 0 and by[2]["component_id"] == 1
     assert by[None]["component_id"] is None
     assert near_duplicates(empty(spark)).collect() == []
+
+
+def test_hot_keys_are_split(spark):
+    rng = random.Random(11)
+    fps = {rng.getrandbits(32) for _ in range(1500)}  # one key of every trie whose top blocks are the high ones
+    center = rng.getrandbits(64)
+    for _ in range(1500):
+        x = center
+        for b in rng.sample(range(64), rng.randint(1, 5)):
+            x ^= 1 << b
+        fps.add(x)
+    fps = sorted(fps)
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    want = brute_classes(fps)
+    for hot_rows in (64, 10**9):
+        roots = {r["node"]: r["root"] for r in components(near_links(df, hot_rows=hot_rows)).collect()}
+        got = [roots.get(x, x) for x in signed]
+        assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+
+
+def test_many_fingerprints_under_one_key():
+    rng = np.random.default_rng(2)
+    path = np.unique(rng.integers(0, 1 << 32, 16_000, np.uint64))
+    whole = (np.array([0]), np.array([len(path)]))
+    began = time.time()
+    label = walk(path, 32, 3, whole, whole)
+    assert time.time() - began < 30
+    some = np.flatnonzero(label != np.arange(len(path)))[:50]
+    assert len(some) and all((np.bitwise_count(path ^ path[i]) <= 3).sum() > 1 for i in some)
