@@ -1,15 +1,19 @@
-"""Near copies by Jaccard similarity of word shingles, found by min-hash bands and verified exactly.
+"""SimHash near-dedup by Jaccard similarity: the links of the trie self-join, and those past its budget, verified exactly.
 
 A text is the set of its five-word shingles (the whole text, if it is shorter).
-Texts with one set are one node. A node has 100 min-hashes in 25 bands of four;
-two nodes with similarity 0.8 share a band with a chance of 1 - (1 - 0.8**4)**25,
-all but two in a million. A binary trie over 64-bit fingerprints can't serve here:
-0.8 lies around ten differing bits, whose shortest lossless keys have ten bits.
-
-Nodes that share a band are candidates. In each band group all are first compared
-with its smallest and its largest node; what these links leave in more than one
-component is compared pair by pair, so a large group of near copies costs about
-its size. A link always stands for an exactly counted similarity.
+Texts with one set are one node. The binary tries of ``simhash`` link nodes whose
+fingerprints differ in at most three bits; each link is kept if the sets' exact
+similarity is 0.8 or more. That similarity lies around ten differing bits, for
+which no trie over 64 bits has a selective key, so nodes that the tries leave
+apart get candidates from min-hash bands: 25 bands of four values; two nodes with
+similarity 0.8 share one with a chance of 1 - (1 - 0.8**4)**25, all but two in a
+million.
+
+In each band group nodes of other classes are first compared with its smallest
+and its largest node. What is then still in more than one class is compared
+inside tasks, in blocks of BLOCK nodes, every block with every other, by counting
+common shingles; a task returns a forest of verified links, never its pairs. A
+group of n nodes that are alike but under 0.8 costs n * n / BLOCK rows.
 
 Nulls and edge cases: null or empty texts, and those of white space only, are one
 class; null doc_ids and repeated rows belong to the class of their text and come
@@ -26,12 +30,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import materialize, text_batches
+from shutterlake.llm.common import group_starts, materialize, shuffle_parts, text_batches
 from shutterlake.llm.components import components
-from shutterlake.llm.simhash import shingle_hashes
+from shutterlake.llm.simhash import Forest, majority, near_links, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 4
+BLOCK = 400
 _RNG = np.random.default_rng(41)
 _FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -56,7 +61,7 @@ def row_key(docs: DataFrame) -> Column:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """id (doc_id and row), node, n, keys: one row per row of ``docs``."""
+    """id (doc_id and row), node, n, fp, keys: one row per row of ``docs``."""
     id_type = pa.struct([("doc_id", pa.int64()), ("row", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,13 +73,14 @@ def _sketches(docs: DataFrame) -> DataFrame:
                         pa.array(ids, id_type),
                         pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)),
                         pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array(majority(sets).view(np.int64)),
                         pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())),
                     ],
-                    names=["id", "node", "n", "keys"],
+                    names=["id", "node", "n", "fp", "keys"],
                 )
 
     rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "id struct<doc_id: long, row: long>, node long, n long, keys array<long>")
+    return rows.mapInArrow(run, "id struct<doc_id: long, row: long>, node long, n long, fp long, keys array<long>")
 
 
 def _sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -104,23 +110,101 @@ def _alike(similarity: float) -> Column:
     return F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
 
 
-def first_of_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def _compare(nodes: np.ndarray, roots: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Verified links between other classes: of one block within itself, of two blocks across."""
+    order = np.lexsort((nodes, blocks))
+    nodes, blocks, sets = nodes[order], blocks[order], [sets[i] for i in order]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    starts = group_starts(sizes)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    first = np.unique(roots[order], return_inverse=True)[1]
+    classes, links = Forest(len(nodes)), []
+    heads = np.full(first.max() + 1, len(nodes))
+    np.minimum.at(heads, first, np.arange(len(nodes)))
+    classes.union(heads[first], np.arange(len(nodes)))
+    across = int(np.searchsorted(blocks, blocks[-1])) if blocks[0] != blocks[-1] else 0
+    mark = np.zeros(codes.max() + 1, bool)
+    for i in range(across or len(nodes) - 1):
+        lo = across or i + 1
+        others = np.arange(lo, len(nodes))
+        apart = classes.find(others) != classes.find(np.array([i]))
+        fits = np.minimum(sizes[lo:], sizes[i]) >= similarity * np.maximum(sizes[lo:], sizes[i])
+        if not (apart & fits).any():
+            continue
+        mark[codes[starts[i] : starts[i] + sizes[i]]] = True
+        both = np.add.reduceat(mark[codes[starts[lo] :]], starts[lo:] - starts[lo], dtype=np.int64)
+        mark[codes[starts[i] : starts[i] + sizes[i]]] = False
+        near = others[apart & fits & (both >= similarity * (sizes[lo:] + sizes[i] - both))]
+        for j in near.tolist():
+            if classes.find(np.array([i]))[0] != classes.find(np.array([j]))[0]:
+                classes.union(np.array([i]), np.array([j]))
+                links.append((int(nodes[i]), int(nodes[j])))
+    return links
+
+
+def _links_in_groups(left: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Links within the groups of ``left`` (key, node, root, size), compared block by block."""
+    own = left.withColumn("blocks", F.ceil(F.col("size") / F.lit(block)).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = own.select("key", "node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", "node", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+
+        def ready() -> pa.RecordBatch:
+            nodes, roots, blocks = (np.array(x, np.int64) for x in list(zip(*held, strict=True))[:3])
+            many = len(held) > 1 and (group[1] == group[2] or len(set(blocks.tolist())) == 2)
+            links = _compare(nodes, roots, blocks, [h[3] for h in held], similarity) if many else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            shingles = b["shingles"]
+            for i, (key, lo, hi, node, root, of) in enumerate(zip(*(b[c].to_pylist() for c in ("key", "lo", "hi", "node", "root", "block")), strict=True)):
+                if held and group != (key, lo, hi):
+                    yield ready()
+                    held = []
+                group = (key, lo, hi)
+                held.append((node, root, of, shingles[i].values.to_numpy()))
+        if held:
+            yield ready()
+
+    rows = dealt.join(sets, "node").select("key", "lo", "hi", "node", "root", "block", "shingles")
+    parts = shuffle_parts(left.sparkSession)
+    return rows.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long")
+
+
+def first_of_classes(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """doc_id, row: of each class the row with the smallest doc_id (null last), then the smallest row_key."""
     first = F.struct(F.col("id.doc_id").isNull().alias("without"), "id.doc_id", "id.row")
-    nodes = materialize(_sketches(docs).groupBy("node").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    nodes = materialize(_sketches(docs).groupBy("node").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
+
+    # links of the tries: nodes with one fingerprint, and the first nodes of two linked fingerprints
+    heads = nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("same"))
+    same = nodes.join(heads.where("same > 1"), "fp").where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    a, b = (heads.select(F.col("fp").alias(f"fp_{c}"), F.col("head").alias(c)) for c in "ab")
+    near = near_links(nodes.select("fp")).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    tried = materialize(near.join(a, "fp_a").join(b, "fp_b").select("a", "b").unionByName(same), "tried")
+
     places = nodes.select("node", "n", F.explode("keys").alias("key"))
-    groups = places.groupBy("key").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high")).where("low.node < high.node")
+    groups = places.groupBy("key").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high"), F.count("*").alias("size")).where("size > 1")
     shared = materialize(places.join(groups, "key"), "shared")
-    sets = materialize(_sets(docs, nodes.join(shared.select("node").distinct(), "node", "left_semi").select("first.row")), "sets")
+    needed = shared.select("node").union(tried.select(F.explode(F.array("a", "b")))).distinct()
+    sets = materialize(_sets(docs, nodes.join(needed, "node", "left_semi").select("first.row")), "sets")
+    links = materialize(_verified(tried, sets, similarity), "links")
+    roots = materialize(components(links), "roots")
+
+    def rooted(rows: DataFrame, node: str, root: str) -> DataFrame:
+        return rows.join(roots.select(F.col("node").alias(node), F.col("root").alias(root)), node, "left").withColumn(root, F.coalesce(root, node))
+
     ends = shared.select("node", "n", F.explode(F.array("low", "high")).alias("end")).where("node != end.node")
     ends = ends.select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b"), F.col("n").alias("n_a"), F.col("end.n").alias("n_b"))
-    links = materialize(_verified(ends.where(_alike(similarity)).select("a", "b").distinct(), sets, similarity), "links")
+    ends = rooted(rooted(ends.where(_alike(similarity)).select("a", "b").distinct(), "a", "root_a"), "b", "root_b").where("root_a != root_b").select("a", "b")
+    links = materialize(links.unionByName(_verified(ends, sets, similarity)), "links")
     roots = materialize(components(links), "roots")
-    left = shared.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"), (F.col("node") == F.col("low.node")).alias("end_low"), (F.col("node") == F.col("high.node")).alias("end_high"))
-    open_groups = left.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 < r1 and size > 3").select("key")
-    left = materialize(left.where("not end_low and not end_high").join(open_groups, "key"), "left")
-    a, b = (left.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root"))) for s in "ab")
-    rest = a.join(b, "key").where("node_a < node_b and root_a != root_b").where(_alike(similarity)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    roots = components(links.unionByName(_verified(rest, sets, similarity)))
+
+    left = rooted(shared, "node", "root").select("key", "node", "root", "size", ((F.col("node") == F.col("low.node")) | (F.col("node") == F.col("high.node"))).alias("end"))
+    still = left.where("size > 3 and not end").groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
+    left = materialize(left.where("not end").join(still, "key", "left_semi"), "left")
+    roots = components(links.unionByName(_links_in_groups(left, sets, similarity, block)))
     named = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     return named.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.row")

@@ -52,15 +52,19 @@ def shingle_hashes(text: str, words_each: int = 3) -> list[int]:
 
 
 def fingerprints_of(texts: list[str], words_each: int = 3) -> np.ndarray:
-    hashes = [shingle_hashes(t, words_each) for t in texts]
+    return majority([shingle_hashes(t, words_each) for t in texts])
+
+
+def majority(hashes: list) -> np.ndarray:
+    """The fingerprint of each list of hashes."""
     sizes = np.array([len(h) for h in hashes], np.int64)
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros(len(hashes), np.uint64)
     full = np.flatnonzero(sizes)
     lo = 0
     while lo < len(full):  # a bounded number of hashes at a time
         hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[full[lo:]]), 200_000, side="right")))
         some = full[lo:hi]
-        flat = np.array([x for i in some for x in hashes[i]], np.uint64)
+        flat = np.concatenate([np.array(hashes[i], np.uint64) for i in some])
         bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones = np.add.reduceat(bits, group_starts(sizes[some]), axis=0, dtype=np.int64)
         packed = np.ascontiguousarray(np.packbits(2 * ones > sizes[some][:, None], axis=1, bitorder="little"))

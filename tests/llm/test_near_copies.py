@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from shutterlake.llm import near_copies
 from shutterlake.llm.common import table
 
 from .fixtures import awkward, documents, empty
@@ -73,3 +74,20 @@ def test_one_row_of_each_class(spark):
     got = sorted(((r["doc_id"], r["text"][:6]) for r in found.collect()), key=str)
     assert got == sorted([(None, "unique"), (7, "shared"), (3, "an exa"), (5, "first "), (2, "someth"), (None, "copies")], key=str)
     assert corpus_pipeline.drop_near_copies(spark, awkward(spark), "").count() == 6  # 8 rows, one repeated, two empty texts
+
+
+def test_blocks_equal_brute_force(spark):
+    """A group whose nodes are alike, some under and some over the limit, cut into many blocks."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(120)]
+    texts = []
+    for _ in range(200):
+        words = list(base)
+        for at in rng.sample(range(120), rng.randint(1, 9)):
+            words[at] = f"x{rng.randrange(10_000)}"
+        texts.append(" ".join(words))
+    want = sorted(brute(list(enumerate(texts))))
+    docs = documents(spark, texts)
+    for block in (7, 400):
+        assert sorted(r["doc_id"] for r in near_copies.first_of_classes(docs, block=block).collect()) == want
+    assert 1 < len(want) < 200
