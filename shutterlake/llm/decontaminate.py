@@ -12,9 +12,14 @@ may have substitutions, of which one part must be untouched.
 A word is a run of letters and digits; in scripts without spaces each character
 is one.
 
-The benchmark side is held in blocks of at most ``block_words`` words, which
-bounds what a task gets however large the benchmark is; documents are scanned
-once per block and are never shuffled.
+Seeds are met by a join. The documents' side of it is kept small by a bitmap of
+the benchmark's seed hashes (a fixed size, at most 2**28 bits, whatever the
+benchmark has): a place whose seed isn't in it is not emitted. What passes goes
+out as segments, the words around hits, once for each text however often it is
+repeated; per segment and seed there is one row with all its places, joined with
+one row per seed and item, so repetitive texts never multiply their places as
+rows. Nothing of the benchmark but the bitmap and the lengths of short seeds
+passes through the driver.
 
 Nulls and edge cases: a null or empty text is clean; null items and items of
 under ``min_words`` words are left out (the query and the pipeline leave out none); letters' case and signs
@@ -33,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import text_batches, texts_of
+from shutterlake.llm.common import materialize, texts_of
 
 WINDOW, MIN_WORDS = 13, 5
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
@@ -41,7 +46,7 @@ MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 _DENSE = "\u3005-\u3007\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ecd\u1000-\u103f\u1050-\u109d\u1780-\u17d3"
 _WORD = re.compile(rf"[{_DENSE}]|[^\W_{_DENSE}]+")
 _SPACED, _HAS_DENSE = re.compile(r"[^\W_]+"), re.compile(f"[{_DENSE}]")
-_FILTER_BITS = 22
+_LEAST_BITS, _MOST_BITS = 22, 28
 
 
 def words_of(text: str) -> list[str]:
@@ -72,147 +77,178 @@ def seed_hashes(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return out
 
 
-class SeedIndex:
-    """Seeds of one block of benchmark items."""
+def parts_of(size: int, window: int, similarity: float) -> list[tuple[int, int]]:
+    """(start, length) of the parts of a short item's windows, one of which is untouched in each copy."""
+    need = min(window, size)
+    parts = 1 + max((k for k in range(need) if need - k >= similarity * need), default=0)
+    cuts = [need * k // parts for k in range(parts + 1)]
+    return sorted({(s + a, b - a) for s in range(size - need + 1) for a, b in zip(cuts, cuts[1:], strict=False)})
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float, window: int, min_words: int = MIN_WORDS):
-        self.similarity, self.window = similarity, window
+
+def _hashed(text: str, hashes: _Hashes) -> np.ndarray:
+    words = words_of(text)
+    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+
+
+def _places(seeds: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each distinct seed with its places."""
+    if not len(seeds):
+        return
+    order = np.argsort(seeds, kind="stable")
+    seeds, at = seeds[order], at[order]
+    cuts = np.flatnonzero(np.r_[True, seeds[1:] != seeds[:-1]])
+    for lo, hi in zip(cuts, [*cuts[1:], len(seeds)], strict=True):
+        yield int(seeds[lo].view(np.int64)), at[lo:hi]
+
+
+_LONGS = pa.list_(pa.int64())
+_HITS = pa.list_(pa.struct([("seed", pa.int64()), ("at", _LONGS)]))
+
+
+def _items(benchmark: DataFrame, similarity: float, window: int, min_words: int) -> DataFrame:
+    """item, item_id, words, seeds (mask number, seed, places): the benchmark's side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        found = [(i, [hashes[w] for w in words_of(t)]) for i, t in items]
-        found = [(i, w) for i, w in found if len(w) >= max(1, min_words)]
-        self.ids = [i for i, _ in found]
-        self.sizes = np.array([len(w) for _, w in found], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
-        self.words = np.array([h for _, w in found for h in w], np.uint64)
-        plain = {n: self._parts(n) for n in {len(w) for _, w in found if len(w) < WINDOW}}
-        self.masks = [*MASKS, *(tuple(range(n)) for n in sorted({n for parts in plain.values() for _, n in parts}))]
-        seeds, places, owners = [], [], []
-        for k in range(len(self.ids)):
-            own = self.words[self.starts[k] : self.starts[k + 1]]
-            wanted = [(at, tuple(range(n))) for at, n in plain[len(own)]] if len(own) in plain else [(0, m) for m in MASKS]
-            for at, m in wanted:
-                h = seed_hashes(own[at : at + len(m)] if len(own) in plain else own, m)
-                seeds.append(h)
-                places.append(at + np.arange(len(h)))
-                owners.append(np.full(len(h), k))
-        self.seeds = np.concatenate([np.zeros(0, np.uint64), *seeds])
-        order = np.argsort(self.seeds, kind="stable")
-        self.seeds = self.seeds[order]
-        self.places = np.concatenate([np.zeros(0, np.int64), *places])[order].astype(np.int64)
-        self.owners = np.concatenate([np.zeros(0, np.int64), *owners])[order].astype(np.int64)
-        self.maybe = np.zeros(1 << _FILTER_BITS, bool)
-        self.maybe[self.seeds >> np.uint64(64 - _FILTER_BITS)] = True
-
-    def _parts(self, size: int) -> list[tuple[int, int]]:
-        """(start, length) of the parts of an item's windows, one of which is untouched in each copy."""
-        need = min(self.window, size)
-        parts = 1 + max((k for k in range(need) if need - k >= self.similarity * need), default=0)
-        cuts = [need * k // parts for k in range(parts + 1)]
-        return sorted({(s + a, b - a) for s in range(size - need + 1) for a, b in zip(cuts, cuts[1:], strict=False)})
-
-    def _short_enough(self, owners: np.ndarray, shifts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Of items that are one window of under WINDOW words, whether enough words agree; true for the others."""
-        sizes = self.sizes[owners]
-        short = np.flatnonzero((sizes < WINDOW) & (sizes <= self.window))
-        out = np.ones(len(owners), bool)
-        sizes, base, shift = sizes[short], self.starts[owners[short]], shifts[short]
-        inside = (shift >= 0) & (shift + sizes <= len(words))
-        same = np.zeros(len(short), np.int64)
-        for k in range(int(sizes.max(initial=0))):
-            at = np.flatnonzero(inside & (sizes > k))
-            same[at] += self.words[base[at] + k] == words[shift[at] + k]
-        out[short] = inside & (same >= self.similarity * sizes)
-        return out
-
-    def hits(self, words: np.ndarray) -> list[dict]:
-        """Verified overlaps of one document: the best window of each item."""
-        pairs = []
-        for m in self.masks:
-            h = seed_hashes(words, m)
-            at = np.flatnonzero(self.maybe[h >> np.uint64(64 - _FILTER_BITS)])
-            lo = np.searchsorted(self.seeds, h[at])
-            hi = np.searchsorted(self.seeds, h[at], side="right")
-            n = hi - lo
-            if n.any():
-                each = np.repeat(np.arange(len(at)), n)
-                k = lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-                owners, shifts = self.owners[k], at[each] - self.places[k]
-                enough = self._short_enough(owners, shifts, words)
-                pairs.append(np.stack([owners[enough], shifts[enough]]))
-        best: dict[int, dict] = {}
-        for owner, shift in np.unique(np.concatenate(pairs, axis=1), axis=1).T.tolist() if pairs else ():
-            lo, hi = max(0, -shift), min(int(self.sizes[owner]), len(words) - shift)
-            need = min(self.window, int(self.sizes[owner]))
-            if hi - lo < need:
-                continue
-            base = int(self.starts[owner])
-            same = self.words[base + lo : base + hi] == words[lo + shift : hi + shift]
-            sums = np.concatenate([[0], np.cumsum(same)])
-            ok = sums[need:] - sums[:-need] >= self.similarity * need
-            if ok.any():
-                first, last = int(np.argmax(ok)), int(len(ok) - 1 - np.argmax(ok[::-1])) + need
-                row = {"item_id": self.ids[owner], "start_word": lo + shift + first, "end_word": lo + shift + last, "matched": int(sums[last] - sums[first])}
-                if owner not in best or row["matched"] > best[owner]["matched"]:
-                    best[owner] = row
-        return [best[k] for k in sorted(best)]
-
-
-_HITS = "array<struct<item_id: long, start_word: long, end_word: long, matched: long>>"
-_HIT_TYPE = pa.list_(pa.struct([(c, pa.int64()) for c in ("item_id", "start_word", "end_word", "matched")]))
-
-
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, str]]]:
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    count = max(1, -(-size // (5 * block_words)))
-    for k in range(count):
-        part = rows if count == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
-        yield [(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()]
-
-
-def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, window: int = WINDOW, block_words: int = 200_000, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text, hits: every row of ``docs`` with its verified overlaps."""
-    out = texts_of(docs).withColumn("hits", F.array().cast(_HITS))
-    for items in _blocks(benchmark, block_words):
-        index = SeedIndex(items, similarity, window, min_words)
-
-        def run(batches: Iterator[pa.RecordBatch], index: SeedIndex = index) -> Iterator[pa.RecordBatch]:
-            hashes = _Hashes()
-            for b in batches:
-                found = []
-                for text, had in zip(b["text"].to_pylist(), b["hits"].to_pylist(), strict=True):
-                    words = words_of(text)
-                    found.append(had + index.hits(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))) if words else had)
-                yield pa.RecordBatch.from_arrays([b["doc_id"], b["text"], pa.array(found, _HIT_TYPE)], names=["doc_id", "text", "hits"])
-
-        out = out.mapInArrow(run, f"doc_id long, text string, hits {_HITS}")
-    return out
+        for b in batches:
+            words, seeds, lengths = [], [], []
+            for text in b["text"].to_pylist():
+                own = _hashed(text, hashes)
+                short = len(own) < WINDOW
+                wanted = [(at, tuple(range(n))) for at, n in parts_of(len(own), window, similarity)] if short and len(own) else [(0, m) for m in MASKS]
+                found, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for at, m in wanted if len(own) >= max(1, min_words) else ():
+                    h = seed_hashes(own[at : at + len(m)] if short else own, m)
+                    found.append(h)
+                    places.append(at + np.arange(len(h)))
+                words.append(own.view(np.int64))
+                lengths.append(sorted({len(m) for _, m in wanted}) if short and len(own) >= max(1, min_words) else [])
+                seeds.append([{"seed": s, "at": at.tolist()} for s, at in _places(np.concatenate(found), np.concatenate(places))])
+            yield pa.RecordBatch.from_arrays([b["item"], b["item_id"], pa.array(words, _LONGS), pa.array(lengths, _LONGS), pa.array(seeds, _HITS)], names=["item", "item_id", "words", "lengths", "seeds"])
+
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).distinct()
+    rows = rows.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text")
+    return materialize(rows.mapInArrow(run, "item long, item_id long, words array<long>, lengths array<long>, seeds array<struct<seed: long, at: array<long>>>"), "items")
+
+
+def _bitmap(seeds: DataFrame) -> tuple[np.ndarray, int]:
+    """One bit for each value of the seeds' top bits; at most 2**28 bits (32 MB) reach the driver."""
+    n = seeds.agg(F.approx_count_distinct("seed")).first()[0]
+    bits = min(_MOST_BITS, max(_LEAST_BITS, (16 * n).bit_length()))
+    top = F.shiftrightunsigned("seed", 64 - bits) + 1
+    chunks = seeds.select(F.bitmap_bucket_number(top).alias("chunk"), F.bitmap_bit_position(top).alias("bit"))
+    out = np.zeros(1 << bits >> 3, np.uint8)
+    for r in chunks.groupBy("chunk").agg(F.bitmap_construct_agg("bit").alias("bitmap")).collect():
+        raw = np.frombuffer(r["bitmap"], np.uint8)
+        lo = (r["chunk"] - 1) * len(raw)
+        out[lo : lo + len(raw)] = raw[: len(out) - lo]
+    return out, bits
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a 128-bit hash of the text as _h1, _h2."""
+    return docs.withColumn("_h1", F.xxhash64("text")).withColumn("_h2", F.xxhash64(F.lit(1), "text"))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+    """_h1, _h2, hits: the texts of ``docs`` that have verified overlaps, by their hashes.
+
+    A hit is the best span of one item: item_id, start_word, end_word, matched.
+    """
+    items = _items(benchmark, similarity, window, min_words)
+    bench = materialize(items.select("item", F.explode("seeds").alias("s")).select("s.seed", "item", F.col("s.at").alias("places")), "seeds")
+    maybe, bits = _bitmap(bench)
+    lengths = sorted(r[0] for r in items.select(F.explode("lengths")).distinct().collect())  # 1 to 12
+    masks = [*MASKS, *(tuple(range(n)) for n in lengths)]
+    shift, around = np.uint64(64 - bits), max(window, WINDOW)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for b in batches:
+            rows: list[tuple] = []
+            seen = set()
+            for h1, h2, text in zip(*(b[c].to_pylist() for c in ("_h1", "_h2", "text")), strict=True):
+                if (h1, h2) in seen or not text:
+                    continue
+                seen.add((h1, h2))
+                words = _hashed(text, hashes)
+                seeds, at = [], []
+                for m in masks:
+                    h = seed_hashes(words, m)
+                    top = h >> shift
+                    on = np.flatnonzero(maybe[top >> np.uint64(3)] >> (top & np.uint64(7)).astype(np.uint8) & 1)
+                    seeds.append(h[on])
+                    at.append(on)
+                seeds, at = np.concatenate(seeds), np.concatenate(at)
+                if not len(at):
+                    continue
+                order = np.argsort(at, kind="stable")
+                seeds, at = seeds[order], at[order]
+                cuts = np.flatnonzero(np.r_[True, at[1:] - at[:-1] > 2 * around + WINDOW])
+                for lo, hi in zip(cuts, [*cuts[1:], len(at)], strict=True):
+                    first, last = max(0, int(at[lo]) - around), min(len(words), int(at[hi - 1]) + around + WINDOW)
+                    rows.append((h1, h2, first, words[first:last].view(np.int64), [{"seed": s, "at": a.tolist()} for s, a in _places(seeds[lo:hi], at[lo:hi] - first)]))
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], _LONGS), pa.array(cols[4], _HITS)], names=["_h1", "_h2", "start", "words", "hits"])
+
+    def shifts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct shifts of each row; a product of places only here, in slices."""
+        for b in batches:
+            keys = list(zip(*(b[c].to_pylist() for c in ("_h1", "_h2", "start", "item")), strict=True))
+            for k, at, places in zip(keys, b["at"], b["places"], strict=True):
+                at, places = at.values.to_numpy(), places.values.to_numpy()
+                step = max(1, 1_000_000 // len(places))
+                got = np.unique(np.concatenate([np.unique(at[lo : lo + step, None] - places) for lo in range(0, len(at), step)]))
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(got), x, np.int64)) for x in k), pa.array(got)], names=["_h1", "_h2", "start", "item", "shift"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for h1, h2, start, item, words, own, moved in zip(*(b[c].to_pylist() for c in ("_h1", "_h2", "start", "item_id")), b["words"], b["own"], b["shifts"], strict=True):
+                words, own, best = words.values.to_numpy(), own.values.to_numpy(), None
+                need = min(window, len(own))
+                for shift in moved.values.to_pylist():
+                    lo, hi = max(0, -shift), min(len(own), len(words) - shift)
+                    if hi - lo < need:
+                        continue
+                    sums = np.concatenate([[0], np.cumsum(own[lo:hi] == words[lo + shift : hi + shift])])
+                    ok = sums[need:] - sums[:-need] >= similarity * need
+                    if ok.any():
+                        first, last = int(np.argmax(ok)), int(len(ok) - 1 - np.argmax(ok[::-1])) + need
+                        row = (int(sums[last] - sums[first]), start + lo + shift + first, start + lo + shift + last)
+                        best = row if best is None or row > best else best
+                if best:
+                    out.append((h1, h2, item, best[1], best[2], best[0]))
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["_h1", "_h2", "item_id", "start_word", "end_word", "matched"])
+
+    texts = _keyed(docs.select("text").where(F.col("text").isNotNull()))
+    found = texts.mapInArrow(scan, "_h1 long, _h2 long, start long, words array<long>, hits array<struct<seed: long, at: array<long>>>")
+    parts = materialize(found.dropDuplicates(["_h1", "_h2", "start"]), "segments")
+    hits = parts.select("_h1", "_h2", "start", F.explode("hits").alias("s")).select("_h1", "_h2", "start", "s.seed", "s.at")
+    met = hits.join(bench, "seed").select("_h1", "_h2", "start", "item", "at", "places").mapInArrow(shifts, "_h1 long, _h2 long, start long, item long, shift long")
+    met = met.groupBy("_h1", "_h2", "start", "item").agg(F.collect_set("shift").alias("shifts"))
+    both = met.join(parts.select("_h1", "_h2", "start", "words"), ["_h1", "_h2", "start"]).join(items.select("item", "item_id", F.col("words").alias("own")), "item")
+    spans = both.select("_h1", "_h2", "start", "item_id", "words", "own", "shifts").mapInArrow(verify, "_h1 long, _h2 long, item_id long, start_word long, end_word long, matched long")
+    hit = F.struct("item_id", "start_word", "end_word", "matched")
+    return materialize(spans.groupBy("_h1", "_h2").agg(F.array_sort(F.collect_list(hit)).alias("hits")), "overlaps")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, contaminated, item_ids, matched_words."""
-    return overlaps(docs, benchmark, **options).select(
+    keys = _keyed(texts_of(docs)).select("doc_id", "_h1", "_h2")
+    return keys.join(overlaps(docs, benchmark, **options), ["_h1", "_h2"], "left").select(
         "doc_id",
-        (F.size("hits") > 0).alias("contaminated"),
-        F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"]))).alias("item_ids"),
+        F.col("hits").isNotNull().alias("contaminated"),
+        F.coalesce(F.array_distinct(F.transform("hits", lambda h: h["item_id"])), F.array().cast("array<long>")).alias("item_ids"),
         F.coalesce(F.array_max(F.transform("hits", lambda h: h["matched"])), F.lit(0)).cast("long").alias("matched_words"),
     )
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, window: int = WINDOW, block_words: int = 200_000, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of ``docs`` without an overlap, all columns as they were."""
-    out = docs
-    for items in _blocks(benchmark, block_words):
-        index = SeedIndex(items, similarity, window, min_words)
-
-        def run(batches: Iterator[pa.RecordBatch], index: SeedIndex = index) -> Iterator[pa.RecordBatch]:
-            hashes = _Hashes()
-            for b in batches:
-                keep = []
-                for text in b["text"].to_pylist():
-                    words = words_of(text or "")
-                    keep.append(not words or not index.hits(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))))
-                yield b.filter(pa.array(keep, pa.bool_()))
+def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` without an overlap, all columns as they were.
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    The anti-join's side is one pair of numbers per contaminated text; Spark
+    broadcasts it only where it has measured it as small.
+    """
+    return _keyed(docs).join(overlaps(docs, benchmark, **options).select("_h1", "_h2"), ["_h1", "_h2"], "left_anti").select(docs.columns)
