@@ -1,17 +1,25 @@
 """Main text of web pages by text-to-tag ratios.
 
 A streaming pass over the standard library's parser events cuts a page into
-lines (one per block element). Each line's ratio of text to tags is smoothed
-with a Gaussian, and lines over the threshold form the content clusters. Their
-mass, added up the element tree, selects the content region: the ``article`` or
-``main`` element with the most of it, or else the deepest container that still
-holds most of it. All blocks of the region are the text, without those in
-menus, footers, asides, forms, adverts, notices or reader comments, so short
-paragraphs beside long ones stay.
-
-Nulls and edge cases: a null or empty page has empty text; unclosed and crossed
-elements are closed by their container; null ids and repeated rows stay; other
-columns are ignored; an empty table gives an empty result.
+lines (one per block element). Each line's ratio of text (outside links) to tags
+is smoothed with a Gaussian along the page, and two-means clustering sets the
+threshold over which lines are content. The content lines' mass, added up the
+element tree, selects the region: the ``article`` or ``main`` element with the
+most of it, or else the deepest container that still holds most of it. In a
+region found without these two elements, containers that are mostly links and
+have no content line go as well: menus that no name marks. All other blocks of
+the region are the text, so short paragraphs beside long ones stay.
+
+Blocks in elements for navigation, footers, asides, dialogs, scripts and the like
+never count, nor do those with a class, id or role token that says so (a token
+counts as a whole: of ``sidebar-left`` all parts are known, of ``social-theory``
+not). A form is left out unless it holds half of the page's content, as where it
+wraps the page.
+
+Nulls and edge cases: a null or empty page has empty text; malformed and unclosed
+declarations, comments and elements are skipped or closed by their container;
+time is linear in a page's length however deep it is; null ids and repeated rows
+stay; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,30 +38,58 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt pre blockquote figcaption tr td th ul ol dl table".split())
 CLOSES_P = BLOCKS - {"body", "html"}
-NEVER = frozenset("script style head title noscript template iframe object svg math canvas select button textarea nav footer aside form dialog menu".split())
-UNWANTED = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|comments?|respond|disqus|sidebar|side|menu|nav\w*|breadcrumbs?|footer|share|sharing|social|related|newsletter|subscribe|popup|modal|login|signup|widget)(?:$|[\s_-])")
-_SPACE = re.compile(r"\s+")
+NEVER = frozenset("script style head title noscript template iframe canvas select button textarea nav footer aside dialog menu".split())
+INLINE = frozenset("p b i em strong span a u font".split())
+UNWANTED = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices comment comments respond disqus sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer share sharing related newsletter subscribe popup modal login signup widget widgets social contentinfo complementary search toolbar masthead".split())
+#: Parts that may stand beside an unwanted word in one token.
+NEUTRAL = frozenset("left right top bottom main site page list box area bar block container wrapper wrap section inner outer item items links link global primary secondary header head body content the post entry article form thread reply unit slot zone col column row btn buttons icons media".split())
+_PARTS, _SPACE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+"), re.compile(r"\s+")
+
+
+def is_unwanted(names: str) -> bool:
+    """Whether a token of class, id or role names a part that isn't the article."""
+    for token in names.split():
+        parts = [x.lower() for x in _PARTS.findall(token)]
+        if any(x in UNWANTED for x in parts) and all(x in UNWANTED or x in NEUTRAL or x.isdigit() for x in parts):
+            return True
+    return False
 
 
 class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.bad = ["#"], [0], [False]
-        self.stack = [0]
-        self.open: dict[str, int] = {}
-        self.lines: list[tuple[int, str, int]] = []  # element, text, tags
+        self.stack, self.blocks = [0], [0]  # elements open, and the blocks but p among them, by depth
+        self.depths: dict[str, list[int]] = {}
+        self.lines: list[tuple[int, str, int, int]] = []  # element, text, characters in links, tags
         self.text: list[str] = []
-        self.count = 0
+        self.count = self.linked = 0
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        end = self.rawdata.find(">", i)
+        return -1 if end < 0 else end + 1
+
+    def parse_html_declaration(self, i: int) -> int:
+        if self.rawdata[i : i + 9].lower() == "<!doctype":  # an internal subset ends with ]>
+            end, subset = self.rawdata.find(">", i), self.rawdata.find("[", i)
+            if 0 <= subset < end and (close := re.compile(r"\]\s*>").search(self.rawdata, subset)):
+                return close.end()
+        return super().parse_html_declaration(i)
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
-        self.lines.append((self.stack[-1], text, self.count)) if text else None
-        self.text, self.count = [], 0 if text else self.count
+        if text:
+            self.lines.append((self.stack[-1], text, min(self.linked, len(text)), self.count))
+            self.count = 0
+        self.text, self.linked = [], 0
 
     def pop_to(self, depth: int) -> None:
         for e in self.stack[depth:]:
-            self.open[self.tags[e]] -= 1
-        del self.stack[depth:]
+            self.depths[self.tags[e]].pop()
+        del self.stack[depth:], self.blocks[depth:]
+
+    def deepest(self, *tags: str) -> int:
+        return max((at[-1] for t in tags if (at := self.depths.get(t))), default=0)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.count += 1
@@ -63,43 +99,45 @@ class _Lines(HTMLParser):
             self.flush()
         if tag in VOID:
             return
-        if tag in CLOSES_P and self.open.get("p"):
+        if tag in CLOSES_P:
             self.close("p", ("article", "section", "div", "main", "td", "body"))
-        if tag == "li" and self.open.get("li"):
+        if tag == "li":
             self.close("li", ("ul", "ol", "menu"))
-        names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
-        own = tag in NEVER or bool(names) and UNWANTED.search(names) is not None and tag not in ("body", "html", "article", "main")
-        if tag == "header" and not self.open.get("article"):
+        own = tag in NEVER
+        if not own and tag not in ("body", "html", "article", "main"):
+            own = any(v and k in ("class", "id", "role") and is_unwanted(v) for k, v in attrs)
+        if tag == "header" and not self.deepest("article"):
             own = True
         self.tags.append(tag)
         self.parents.append(self.stack[-1])
         self.bad.append(own or self.bad[self.stack[-1]])
+        self.depths.setdefault(tag, []).append(len(self.stack))
         self.stack.append(len(self.tags) - 1)
-        self.open[tag] = self.open.get(tag, 0) + 1
+        self.blocks.append(self.blocks[-1] + (tag in BLOCKS and tag != "p"))
 
     def close(self, tag: str, within: tuple[str, ...]) -> None:
-        for depth in range(len(self.stack) - 1, 0, -1):
-            name = self.tags[self.stack[depth]]
-            if name == tag:
-                self.pop_to(depth)
-                return
-            if name in within:
-                return
+        depth = self.deepest(tag)
+        if depth and depth > self.deepest(*within):
+            self.pop_to(depth)
 
     def handle_endtag(self, tag: str) -> None:
         self.count += 1
         if tag in BLOCKS:
             self.flush()
-        if self.open.get(tag):
-            depth = next(d for d in range(len(self.stack) - 1, 0, -1) if self.tags[self.stack[d]] == tag)
-            self.flush() if any(self.tags[e] in BLOCKS for e in self.stack[depth:]) else None
-            if tag in ("p", "b", "i", "em", "strong", "span", "a", "u", "font") and any(self.tags[e] in BLOCKS - {"p"} for e in self.stack[depth + 1 :]):
+        depth = self.deepest(tag)
+        if depth:
+            inside = self.blocks[-1] - self.blocks[depth]  # blocks that opened after it
+            if inside or tag in BLOCKS or self.deepest("p") > depth:
+                self.flush()
+            if inside and tag in INLINE:
                 return  # an inline end tag doesn't close the blocks that opened inside
             self.pop_to(depth)
 
     def handle_data(self, data: str) -> None:
         if not self.bad[self.stack[-1]]:
             self.text.append(data)
+            if self.depths.get("a"):
+                self.linked += len(data)
 
 
 def smooth(ratio: np.ndarray, sigma: float = 1.0, radius: int = 2) -> np.ndarray:
@@ -107,37 +145,75 @@ def smooth(ratio: np.ndarray, sigma: float = 1.0, radius: int = 2) -> np.ndarray
     return np.convolve(np.pad(ratio, radius), k / k.sum(), "valid")
 
 
+def threshold(even: np.ndarray, rounds: int = 20) -> float:
+    """Two-means clustering of the smoothed ratios: the middle between the clusters."""
+    low, high = float(even.min()), float(even.max())
+    for _ in range(rounds):
+        middle = (low + high) / 2
+        over = even >= middle
+        if over.all():
+            return float(even.min())
+        low, high = float(even[~over].mean()), float(even[over].mean())
+    return (low + high) / 2
+
+
+def content_lines(lines: list[tuple[int, str, int, int]]) -> np.ndarray:
+    ratio = np.array([(len(t) - a) / max(1, c) for _, t, a, c in lines])
+    even = smooth(ratio)
+    return even >= threshold(even)
+
+
+def _summed(own: np.ndarray, parents: list[int]) -> np.ndarray:
+    """Each element's number with those of all elements in it."""
+    out = own.copy()
+    for e in range(len(out) - 1, 0, -1):
+        out[parents[e]] += out[e]
+    return out
+
+
+def _within(p: _Lines, roots: list[int]) -> np.ndarray:
+    """Whether an element is one of ``roots`` or in one."""
+    inside = np.zeros(len(p.tags), bool)
+    inside[roots] = True
+    for e in range(1, len(p.tags)):
+        inside[e] |= inside[p.parents[e]]
+    return inside
+
+
 def main_text(html: str) -> str:
     p = _Lines()
     p.feed(html)
+    if p.rawdata.startswith("<!"):  # a comment or declaration that never ends
+        p.rawdata = ""
     HTMLParser.close(p)
     p.flush()
     if not p.lines:
         return ""
-    ratio = np.array([len(t) / max(1, c) for _, t, c in p.lines])
-    even = smooth(ratio)
-    content = even >= min(even.mean(), ratio.mean())
-    mass = np.zeros(len(p.tags))
-    for (e, t, _), on in zip(p.lines, content, strict=True):
-        mass[e] += len(t) if on else 0
-    for e in range(len(p.tags) - 1, 0, -1):
-        mass[p.parents[e]] += mass[e]
+    n = len(p.tags)
+    on = content_lines(p.lines)
+    owner = np.array([x[0] for x in p.lines])
+    size = np.array([len(x[1]) for x in p.lines], float)
+    linked = np.array([x[2] for x in p.lines], float)
+    mass = _summed(np.bincount(owner, size * on, n), p.parents)
+    forms = [e for e, t in enumerate(p.tags) if t == "form" and 2 * mass[e] < mass[0]]
+    out = _within(p, forms) if forms else np.zeros(n, bool)
+    mass = _summed(np.bincount(owner, size * on * ~out[owner], n), p.parents)
     named = [e for e, t in enumerate(p.tags) if t in ("article", "main") and not p.bad[e] and mass[e] > 0]
     if named:
         most = max(mass[e] for e in named)
-        region = max((e for e in named if mass[e] >= most), key=lambda e: e)
+        region = max(e for e in named if mass[e] >= most)
     else:
         region, best = 0, {}
-        for e in range(1, len(p.tags)):
-            if mass[e] > mass[best.get(p.parents[e], e)] or p.parents[e] not in best:
+        for e in range(1, n):
+            if p.parents[e] not in best or mass[e] > mass[best[p.parents[e]]]:
                 best[p.parents[e]] = e
-        while region in best and mass[best[region]] >= 0.8 * mass[region] and p.tags[best[region]] in BLOCKS - LEAVES:
+        while region in best and mass[best[region]] >= 0.8 * mass[region] > 0 and p.tags[best[region]] in BLOCKS - LEAVES:
             region = best[region]
-    inside = np.zeros(len(p.tags), bool)
-    inside[region] = True
-    for e in range(region + 1, len(p.tags)):
-        inside[e] = inside[p.parents[e]]
-    return "\n".join(t for e, t, _ in p.lines if inside[e])
+        text, links = (_summed(np.bincount(owner, x, n), p.parents) for x in (size, linked))
+        menus = [e for e, t in enumerate(p.tags) if e != region and t in BLOCKS and mass[e] == 0 and 2 * links[e] > text[e] > 0]
+        out |= _within(p, menus) if menus else False
+    keep = _within(p, [region]) & ~out
+    return "\n".join(x[1] for x in p.lines if keep[x[0]])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -1,7 +1,12 @@
+import random
 import re
+import time
 
+import pytest
+
+from shutterlake.llm import html as module
 from shutterlake.llm.common import table
-from shutterlake.llm.html import extract, main_text
+from shutterlake.llm.html import extract, is_unwanted, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href=x>Home</a></li></ul></nav><div class="ad">Buy &amp; win</div>
@@ -36,3 +41,54 @@ def test_table_and_nulls(spark):
     odd = spark.createDataFrame([(None, None, None, 1), (1, "u", "<p>a</p>", 2), (1, "u", "<p>a</p>", 2)], "page_id long, url string, html string, text int")
     assert sorted(r["text"] for r in extract(odd).collect()) == ["", "a", "a"]
     assert extract(odd.where("false")).collect() == []
+
+
+PROSE = "A long sentence of plain words that a reader would want to keep, with commas and all. " * 3
+SHAPES = {
+    "divs": ("<body><div><a href=/1>One</a> <a href=/2>Two</a> <a href=/3>Three</a></div><div><h2>Title</h2><p>{0}</p><p>Short.</p><p>{0}</p></div><div><a href=/x>Imprint</a></div></body>", "Title\n{0}\nShort.\n{0}"),
+    "table": ("<table><tr><td><a href=a>A</a><br><a href=b>B</a></td><td><p>{0}</p><p>{0}</p></td></tr></table>", "{0}\n{0}"),
+    "form": ("<form id=aspnetForm><div id=top><a href=x>x</a><a href=y>y</a></div><div><p>{0}</p><p>{0}</p><form><p>Your name</p></form></div></form>", "{0}\n{0}"),
+    "main": ("<main><section><h1>T</h1><p>{0}</p></section><section class='comments'><p>Nice</p></section></main><aside>{0}</aside>", "T\n{0}"),
+    "sections": ("<section><ul><li><a href=1>first link</a><li><a href=2>second link</a><li><a href=3>third link</a></ul></section><section><p>{0}<p>{0}<p>End.</section>", "{0}\n{0}\nEnd."),
+}
+
+
+@pytest.mark.parametrize("name", SHAPES)
+def test_shapes(name):
+    page, want = (x.format(PROSE.strip()) for x in SHAPES[name])
+    assert main_text(page) == want
+
+
+def test_the_ratio_decides_without_article(monkeypatch):
+    """A list of links with more text than the article: only the smoothed ratios tell them apart."""
+    links = "".join(f"<li><a href=/{k}><b>Another</b> <i>story</i> number {k} of the whole archive</a></li>" for k in range(60))
+    page = f"<body><div><ul>{links}</ul></div><div><p>{PROSE}</p><p>{PROSE}</p></div></body>"
+    assert main_text(page) == f"{PROSE.strip()}\n{PROSE.strip()}"
+    monkeypatch.setattr(module, "content_lines", lambda lines: module.np.ones(len(lines), bool))
+    assert "Another story" in main_text(page)
+
+
+def test_names_are_matched_as_whole_tokens():
+    assert [x for x in ("sidebar-left", "ad", "siteFooter", "cookie_notice box", "comments-area", "social-theory", "notice-board", "address", "shadow", "menuetto", "main-content") if is_unwanted(x)] == ["sidebar-left", "ad", "siteFooter", "cookie_notice box", "comments-area"]
+    page = "<article><div class=social-theory><p>One</p></div><p class='notice-board'>Two</p><math><mi>x</mi></math><p class=notice>gone</p></article>"
+    assert main_text(page) == "One\nTwo\nx"
+
+
+def test_malformed_markup():
+    assert main_text("<![foo[x]]>a") == "a" and main_text("<![if !IE]>a<![endif]>") == "a" and main_text("<![CDATA[x") == ""
+    assert main_text("<p>a</p><!-- never ends <p>b</p>") == "a"
+    assert main_text('<!DOCTYPE html [<!ENTITY x "y>">]><p>a') == "a"
+    rng = random.Random(1)
+    bits = ["<", ">", "<!", "<![", "]]>", "<!--", "-->", "<?", "<p>", "</p>", "<b", "</", "<div class=", "'", '"', "=", "&#", "&amp", ";", "<form>", "<li>", "<ul>", "</ul>", "<script>", "</script>", "<!DOCTYPE", "[", "]", "x", " ", "\0", "<article>", "</article>", "<a href=x>", "</a>", "<br/>", "<title>"]
+    for _ in range(20_000):
+        main_text("".join(rng.choice(bits) for _ in range(rng.randint(1, 14))))
+
+
+def test_deep_and_crossed_elements_take_linear_time():
+    took = []
+    for n in (4_000, 16_000):
+        began = time.time()
+        main_text("<b>" + "<div><span></b>" * n)
+        main_text("<div><p>x" * n)
+        took.append(time.time() - began)
+    assert took[1] < 10 * took[0] + 1
