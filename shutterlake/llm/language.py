@@ -2,19 +2,27 @@
 
 One model of order ORDER per language, over lower-cased letters with single
 spaces between words. All n-grams of all languages share sorted hash arrays per
-order: keys, and a column of discounted probabilities and of back-off weights
-per language. A text goes to the language of the lowest cross-entropy per
-character; it is rejected where that lies over a limit calibrated on training
-texts that the counts never saw.
-
-Models are fitted on about ``per_language`` texts of each language (those with
-the smallest hashes of their ids, of at most ``max_chars`` characters each), so
-that the model's size is bounded; whole texts of any length are scored.
-
-Nulls and edge cases: a null text, or one without a letter, is ``und`` with
-score 0 and is rejected; rows with a null language are never learned from;
-languages beyond the ``max_languages`` most frequent are not learned; null
-doc_ids and repeated rows stay; without any training text all is ``und``.
+order: keys, and for each key the (language, value) entries that it has, so that
+size grows with what the languages have and not with their product. A text goes
+to the language of the lowest cross-entropy per character.
+
+It is rejected where that lies over the language's limit for its length. The limit
+is calibrated to a false-rejection rate of ``alpha``: training texts that the
+counts never saw are cut into pieces of many lengths n; the excess of a piece over
+its language's median, times the square root of n over the spread, has the limit at
+its quantile 1 - alpha, over all languages together. Whole texts are as often over it as pieces of their length. The
+score is the share of the winner among all languages and a "none of these" whose
+cross-entropy is the limit, so it is under one half where a text is rejected.
+
+Models are fitted on the ``per_language`` distinct texts of each language with the
+smallest hashes (fewer, if the languages are so many that they would be over
+``max_texts``), and of longer ones on ``max_chars`` characters from a place that
+their hash gives, so that the model's size is bounded; whole texts of any length
+are scored and every language that has a text is learned.
+
+Nulls and edge cases: a null text, or one without a letter, is ``und`` with score 0
+and is rejected; rows with a null language are never learned from; null doc_ids and
+repeated rows stay; without any training text all is ``und``.
 """
 
 from __future__ import annotations
@@ -25,7 +33,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterlake.llm.common import crc_mod, group_starts, text_batches, texts_of
@@ -63,135 +71,182 @@ def gram_hashes(codes: np.ndarray, sizes: np.ndarray, order: int) -> list[np.nda
     return out
 
 
+@dataclass
+class Entries:
+    """Sorted keys; the entries of key i are ``first[i]`` to ``first[i + 1]``."""
+
+    keys: np.ndarray
+    first: np.ndarray
+    language: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[tuple[np.ndarray, np.ndarray]]) -> Entries:
+        """From the keys and values of each language."""
+        key = np.concatenate([k for k, _ in parts])
+        language = np.repeat(np.arange(len(parts)), [len(k) for k, _ in parts]).astype(np.int32)
+        order = np.lexsort((language, key))
+        keys, first = np.unique(key[order], return_index=True)
+        return cls(keys, np.append(first, len(key)), language[order], np.concatenate([v for _, v in parts])[order].astype(np.float32))
+
+    def rows(self, keys: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """``out`` (keys, languages) with the values that there are."""
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            hit = np.flatnonzero(self.keys[at] == keys)
+            lo, n = self.first[at[hit]], self.first[at[hit] + 1] - self.first[at[hit]]
+            entry = np.repeat(lo - group_starts(n), n) + np.arange(int(n.sum()))
+            out[np.repeat(hit, n), self.language[entry]] = self.value[entry]
+        return out
+
+
 @dataclass
 class CharModels:
-    """Sorted hash arrays: per order the grams' keys and their values per language."""
+    """Per order the grams' discounted probabilities and the contexts' back-off weights."""
 
     languages: list[str]
     alphabet: int = 1
-    keys: list[np.ndarray] = field(default_factory=list)
-    alpha: list[np.ndarray] = field(default_factory=list)
-    contexts: list[np.ndarray] = field(default_factory=list)
-    weight: list[np.ndarray] = field(default_factory=list)
-    limit: np.ndarray | None = None
+    alpha: list[Entries] = field(default_factory=list)
+    weight: list[Entries] = field(default_factory=list)
+    middle: np.ndarray | None = None  # each language's median cross-entropy and spread per character
+    spread: np.ndarray | None = None
+    limit: float = np.inf  # in spreads
     sharpness: float = 20.0
 
-    def lookup(self, sorted_keys: np.ndarray, values: np.ndarray, keys: np.ndarray, default: float) -> np.ndarray:
-        if not len(sorted_keys):
-            return np.full((len(keys), len(self.languages)), default, np.float32)
-        at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-        got = values[at]
-        got[sorted_keys[at] != keys] = default
-        return got
-
     def chances(self, grams: list[np.ndarray], where: np.ndarray) -> np.ndarray:
         """Interpolated probability of the character at each place, per language."""
-        p = np.full((len(where), len(self.languages)), 1 / self.alphabet, np.float32)
+        shape = len(where), len(self.languages)
+        p = np.full(shape, 1 / self.alphabet, np.float32)
         for n in range(ORDER):
             context = grams[n - 1][where - 1] if n else np.zeros(len(where), np.uint64)
-            p = self.lookup(self.keys[n], self.alpha[n], grams[n][where], 0.0) + self.lookup(self.contexts[n], self.weight[n], context, 1.0) * p
+            p *= self.weight[n].rows(context, np.ones(shape, np.float32))
+            p += self.alpha[n].rows(grams[n][where], np.zeros(shape, np.float32))
         return p
 
-    def cross_entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(texts, languages) in nats a character; the number of characters scored."""
+    def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(characters, languages) in nats, without each text's opening space; the number of characters scored."""
         codes, sizes = codes_of(texts)
         grams = gram_hashes(codes, sizes, ORDER)
         scored = np.ones(len(codes), bool)
         scored[group_starts(sizes)] = False
-        top = grams[-1][scored]
-        unique, first, inverse = np.unique(top, return_index=True, return_inverse=True)
+        first, inverse = np.unique(grams[-1][scored], return_index=True, return_inverse=True)[1:]
         where = np.flatnonzero(scored)[first]
-        cost = -np.log(self.chances(grams, where)).astype(np.float64)[inverse]
-        n = sizes - 1
+        step = max(1, 4_000_000 // max(1, len(self.languages)))
+        cost = [-np.log(self.chances(grams, where[lo : lo + step])) for lo in range(0, len(where), step)]
+        return np.concatenate(cost).astype(np.float64)[inverse] if cost else np.zeros((0, len(self.languages))), sizes - 1
+
+    def cross_entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(texts, languages) in nats a character; the number of characters scored."""
+        cost, n = self.costs(texts)
         return np.add.reduceat(cost, group_starts(n), axis=0) / n[:, None] if len(n) else np.zeros((0, len(self.languages))), n
 
+    def limits(self, language: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The highest cross-entropy that a text of n characters may have."""
+        return self.middle[language] + self.limit * self.spread[language] / np.sqrt(n)
+
     def predict(self, texts: list[str]) -> list[tuple[str, float, bool]]:
         """(language, score, rejected) of each text."""
         out: list[tuple[str, float, bool]] = [(UNKNOWN, 0.0, True)] * len(texts)
         some = [i for i, t in enumerate(texts) if any(map(str.isalpha, t))] if self.languages else []
-        for i, x in zip(some, self.cross_entropy([texts[i] for i in some])[0] if some else (), strict=True):
-            best = int(np.argmin(x))
-            odds = np.exp(-self.sharpness * (x - x[best]))
-            out[i] = (self.languages[best], float(1 / odds.sum()), bool(x[best] > self.limit[best]))
+        if some:
+            x, n = self.cross_entropy([texts[i] for i in some])
+            best = x.argmin(axis=1)
+            low = x[np.arange(len(some)), best]
+            most = self.limits(best, n)
+            odds = np.exp(-self.sharpness * np.clip(x - low[:, None], 0, 30)).sum(axis=1) + np.exp(-self.sharpness * np.clip(most - low, -30, 30))
+            for k, i in enumerate(some):
+                out[i] = (self.languages[best[k]], float(1 / odds[k]), bool(low[k] > most[k]))
         return out
 
 
-def fit(texts_by_language: dict[str, list[str]]) -> CharModels:
+def _calibrate(models: CharModels, held: list[list[str]], alpha: float, pieces: tuple[int, ...] = (8, 16, 32, 64, 128, 256, 512, 1024)) -> None:
+    """Middle and spread of each language from its held texts' pieces; the limit from those of all languages."""
+    models.middle, models.spread, models.limit = np.zeros(len(held)), np.ones(len(held)), np.inf
+    pooled: list[list[np.ndarray]] = [[] for _ in range(len(pieces) + 1)]
+    for k, texts in enumerate(held):
+        own = [t for t in texts if any(map(str.isalpha, t))]
+        if not own:
+            models.middle[k] = np.inf
+            continue
+        cost, n = models.costs(own)
+        cost, starts = cost[:, k], group_starts(n)
+        sums = np.concatenate([[0.0], np.cumsum(cost)])
+        means = (sums[starts + n] - sums[starts]) / n
+        models.middle[k] = middle = float(np.median(means))
+        excess = []
+        for size in pieces:
+            at = np.concatenate([s + np.arange(0, c - size + 1, size) for s, c in zip(starts, n, strict=True)])
+            excess.append(((sums[at + size] - sums[at]) / size - middle) * np.sqrt(size))
+        excess.append((means - middle) * np.sqrt(n))
+        lower, upper = np.quantile(excess[0] if len(excess[0]) else excess[-1], [0.25, 0.75])
+        models.spread[k] = max(1e-3, (upper - lower) / 1.349)
+        for x, e in zip(pooled, excess, strict=True):
+            x.append(e / models.spread[k])
+    # the size that needs most counts; a size must have enough pieces for this quantile
+    tails = [float(np.quantile(e, 1 - alpha)) for x in pooled if x and len(e := np.concatenate(x)) * alpha >= 1]
+    if any(pooled):
+        models.limit = max([4.0, *tails])
+
+
+def fit(texts_by_language: dict[str, list[str]], alpha: float = 0.001) -> CharModels:
     """Every eighth text calibrates the rejection limit, the others are counted."""
     names = sorted(texts_by_language)
     models = CharModels(names)
-    counted, held = {}, {}
+    counted, held = [], []
     for name in names:
         texts = sorted(texts_by_language[name])
-        held[name] = texts[::8] if len(texts) >= 16 else texts
-        counted[name] = [t for i, t in enumerate(texts) if i % 8] if len(texts) >= 16 else texts
+        held.append(texts[::8] if len(texts) >= 16 else texts)
+        counted.append([t for i, t in enumerate(texts) if i % 8] if len(texts) >= 16 else texts)
     tables: list[list[tuple]] = [[] for _ in range(ORDER)]
     letters = set()
-    for name in names:
-        codes, sizes = codes_of(counted[name])
+    for texts in counted:
+        codes, sizes = codes_of(texts)
         letters.update(np.unique(codes).tolist())
         grams = gram_hashes(codes, sizes, ORDER)
-        first = group_starts(sizes)
         use = np.ones(len(codes), bool)
-        use[first] = False
-        left = None  # distinct characters in front of each shorter gram
+        use[group_starts(sizes)] = False
+        at, left = np.flatnonzero(use), None  # left: distinct characters in front of each shorter gram
         for n in range(ORDER - 1, -1, -1):
-            at = np.flatnonzero(use)
-            gram = grams[n][at]
             context = grams[n - 1][at - 1] if n else np.zeros(len(at), np.uint64)
-            key, index, count = np.unique(gram, return_index=True, return_counts=True)
+            key, index, count = np.unique(grams[n][at], return_index=True, return_counts=True)
             if left is not None:  # lower orders count the distinct grams they continue
                 count = np.bincount(np.searchsorted(key, left), minlength=len(key))
             left = grams[n - 1][at[index]] if n else None
-            owner = context[index]
-            tables[n].append((key, count.astype(np.float64), owner))
+            tables[n].append((key[count > 0], count[count > 0].astype(np.float64), context[index][count > 0]))
     models.alphabet = len(letters) + 1
     for n in range(ORDER):
-        keys = np.unique(np.concatenate([t[0] for t in tables[n]]))
-        contexts = np.unique(np.concatenate([t[2] for t in tables[n]]))
-        alpha = np.zeros((len(keys), len(names)), np.float32)
-        weight = np.ones((len(contexts), len(names)), np.float32)
-        for k, (key, count, owner) in enumerate(tables[n]):
-            seen = count > 0
-            key, count, owner = key[seen], count[seen], owner[seen]
-            if not len(key):
-                continue
+        alphas, weights = [], []
+        for key, count, context in tables[n]:
             one, two = (count == 1).sum(), (count == 2).sum()
             discount = one / (one + 2 * two) if one and two else 0.5
-            at = np.searchsorted(contexts, owner)
-            total = np.bincount(at, weights=count, minlength=len(contexts))
-            kinds = np.bincount(at, minlength=len(contexts))
-            alpha[np.searchsorted(keys, key), k] = (count - discount) / total[at]
-            has = total > 0
-            weight[has, k] = discount * kinds[has] / total[has]
-        models.keys.append(keys)
-        models.alpha.append(alpha)
-        models.contexts.append(contexts)
-        models.weight.append(weight)
-    models.limit = np.zeros(len(names))
-    for k, name in enumerate(names):
-        own = [t for t in held[name] if any(map(str.isalpha, t))]
-        x = models.cross_entropy(own)[0][:, k] if own else np.zeros(0)
-        # half as much again as nearly all held texts need, and never under a uniform guess
-        models.limit[k] = max(1.5 * float(np.quantile(x, 0.99)) if len(x) else 0.0, float(np.log(models.alphabet)))
+            owner, at = np.unique(context, return_inverse=True)
+            total, kinds = np.bincount(at, weights=count), np.bincount(at)
+            alphas.append((key, (count - discount) / total[at]))
+            weights.append((owner, discount * kinds / total))
+        models.alpha.append(Entries.of(alphas))
+        models.weight.append(Entries.of(weights))
+    _calibrate(models, held, alpha)
     return models
 
 
-def train(docs: DataFrame, usable: Column, lang_col: str = "lang", per_language: int = 300, max_chars: int = 8_000, max_languages: int = 200) -> CharModels:
-    fits = docs.select(F.col("doc_id"), F.col(lang_col).alias("lang"), "text").where(usable & F.col(lang_col).isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    counts = fits.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    if not counts:
+def train(docs: DataFrame, usable: Column, lang_col: str = "lang", per_language: int = 300, max_chars: int = 8_000, max_texts: int = 60_000, alpha: float = 0.001) -> CharModels:
+    known = docs.where(usable & F.col(lang_col).isNotNull() & F.col("text").isNotNull())
+    known = known.select(F.col(lang_col).alias("_lang"), F.xxhash64("text").alias("_h"), F.col("text").alias("_text"))
+    counts = known.groupBy("_lang").agg(F.approx_count_distinct("_h").alias("_n"))
+    languages = counts.count()
+    if not languages:
         return CharModels([])
-    share = None
-    for r in counts:  # a hash threshold takes about per_language texts, without a shuffle
-        mark = min(1.0, 1.2 * per_language / r["n"])
-        part = (F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(mark * (1 << 40)))
-        share = part if share is None else share | part
-    got = fits.where(share).select("lang", "text").limit(2 * per_language * len(counts)).toArrow()
+    each = max(1, min(per_language, max_texts // languages))
+    # a threshold on the hash takes about twice as many texts, the rank cuts them to `each`
+    share = counts.select("_lang", (F.lit(float(1 << 40)) * F.least(F.lit(1.0), F.lit(2.0 * each + 20) / F.greatest("_n", F.lit(1)))).alias("_most"))
+    place = 1 + F.pmod(F.xxhash64(F.lit(3), "_text"), F.greatest(F.lit(1), F.length("_text") - max_chars + 1)).cast("int")
+    some = known.join(share, "_lang").where(F.pmod("_h", F.lit(1 << 40)) < F.col("_most")).select("_lang", "_h", F.substring("_text", place, F.lit(max_chars)).alias("_text"))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.pmod("_h", F.lit(1 << 40)), "_h"))
+    got = some.dropDuplicates(["_lang", "_h"]).withColumn("_rank", rank).where(F.col("_rank") <= each).select("_lang", "_text").toArrow()
     by: dict[str, list[str]] = {}
-    for lang, text in zip(got["lang"].to_pylist(), got["text"].to_pylist(), strict=True):
+    for lang, text in zip(got["_lang"].to_pylist(), got["_text"].to_pylist(), strict=True):
         by.setdefault(lang, []).append(text)
-    return fit(by)
+    return fit(by, alpha)
 
 
 _FOUND = "doc_id long, lang_pred string, score double, rejected boolean"
