@@ -97,14 +97,5 @@ def group_starts(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(sizes) else np.zeros(0, np.int64)
 
 
-def plain_range(df: DataFrame, col: str, parts: int) -> list:
-    """Cut points that deal ``col`` into about ``parts`` equal ranges (at most ``parts - 1``)."""
-    if parts < 2:
-        return []
-    probs = [i / parts for i in range(1, parts)]
-    got = df.agg(F.percentile_approx(col, probs, 10_000).alias("p")).first()["p"]
-    return sorted(set(got or []))
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -9,11 +9,13 @@ kept beside them, so that any block decodes alone and all blocks at once.
 A file row (a segment) holds whole documents in ascending doc_id order:
 ``shard, segment, first_id, doc_ids, counts, block_words, words``. Segments are
 stored as binary columns by Spark's own writer, so that the files work in any
-store that Spark can write to.
+store that Spark can write to. Texts are range-dealt by doc_id and a hash of the
+text into shards of about ``shard_bytes``, so one id (or the null id) may go over
+many shards; they are encoded after that, as each shard is written.
 
 Nulls and edge cases: a null text is empty and has only the end id; null
 doc_ids come first; rows with equal doc_ids stay separate, in the order of
-their content; an empty table gives an empty store; other columns are ignored.
+their texts' hashes; an empty table gives an empty store; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import group_starts, materialize, plain_range, shuffle_parts, text_batches, texts_of
+from shutterlake.llm.common import group_starts, materialize, shuffle_parts, text_batches, texts_of
 from shutterlake.llm.encoding import encoder
 
 #: Selector -> (ids in a word, bits of each); fixed values of the format.
@@ -89,20 +92,31 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]
     return words, np.concatenate([[0], np.cumsum(per_block)])
 
 
+def _raw_words(sel: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which words are the raw halves of escapes.
+
+    In a run of words that look like escapes every other one is, and the word after
+    an escape is raw whatever it looks like. No escape crosses a block, so a run
+    begins anew at each block's offset.
+    """
+    like = sel == ESCAPE
+    n = len(sel)
+    starts = np.zeros(n + 1, bool)
+    starts[offsets[:-1]] = True
+    begins = like & (starts[:n] | ~np.r_[False, like[:-1]])
+    begin = np.maximum.accumulate(np.where(begins, np.arange(n), -1))
+    escape = like & ((np.arange(n) - begin) % 2 == 0)
+    return np.r_[False, escape[:-1]]
+
+
 def decode(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
-    """The ``n`` ids of all blocks."""
+    """The ``n`` ids of all blocks at once."""
     words = np.asarray(words, np.uint64)
     out = np.zeros(n, np.uint64)
     if not n:
         return out
     sel = (words >> np.uint64(60)).astype(np.int64)
-    if (sel == ESCAPE).any():  # the word after an escape is raw: found block by block
-        raw = np.zeros(len(words), bool)
-        for i in np.flatnonzero(sel == ESCAPE):
-            if not raw[i]:
-                raw[i + 1] = True
-    else:
-        raw = np.zeros(len(words), bool)
+    raw = _raw_words(sel, np.asarray(offsets)) if (sel == ESCAPE).any() else np.zeros(len(words), bool)
     counts = np.array([c for c, _ in SHAPES] + [0, 1])[sel]
     counts[raw] = 0
     start = group_starts(counts)
@@ -116,50 +130,52 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -
     return out
 
 
-_TOKENS = "part int, doc_id long, ids binary"
+def decode_range(words: np.ndarray, offsets: np.ndarray, n: int, lo: int, hi: int, block: int = BLOCK) -> np.ndarray:
+    """Ids ``lo`` to ``hi`` of ``n``, from the words of their blocks only."""
+    first, last = lo // block, -(-hi // block)
+    if hi <= lo:
+        return np.zeros(0, np.uint64)
+    part = decode(words[offsets[first] : offsets[last]], np.asarray(offsets[first : last + 1]) - offsets[first], min(n, last * block) - first * block, block)
+    return part[lo - first * block : hi - first * block]
+
+
 _SEGMENTS = "shard int, segment int, first_id long, n_ids long, doc_ids array<long>, counts array<long>, block_words array<long>, words binary"
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, segment_ids: int = 1 << 18) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, segment_ids: int = 1 << 18, shard_bytes: int = 16 << 20) -> DataFrame:
     """Encode whole texts, append ``end_id``, write segments; returns the files' rows."""
     spark = docs.sparkSession
     rows = texts_of(docs)
-    cuts = np.array(plain_range(rows, "doc_id", shuffle_parts(spark)), np.int64)
+    shards = max(shuffle_parts(spark), -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
     tail = np.array([end_id], "<u4").tobytes()
-    lowest = np.iinfo(np.int64).min
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path)
-        for ids, texts in text_batches(batches):
-            part = np.searchsorted(cuts, [lowest if i is None else i for i in ids], side="right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(ids, pa.int64()), pa.array([enc.encode(t) + tail for t in texts], pa.binary())], names=["part", "doc_id", "ids"])
+    arrow = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("block_words", pa.list_(pa.int64())), ("words", pa.binary())])
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        state = {"shard": None, "segment": 0, "first": 0, "n": 0}
+        enc, shard = encoder(tokenizer_path), TaskContext.get().partitionId()
+        held: list[tuple[int | None, bytes]] = []
+        segment = first = size = 0
 
         def flush() -> pa.RecordBatch:
+            nonlocal segment, first, size
             counts = [len(raw) // 4 for _, raw in held]
             words, offsets = encode(np.frombuffer(b"".join(raw for _, raw in held), "<u4"))
-            row = {"shard": state["shard"], "segment": state["segment"], "first_id": state["first"], "n_ids": sum(counts), "doc_ids": [d for d, _ in held], "counts": counts, "block_words": offsets.tolist(), "words": words.astype("<u8").tobytes()}
-            state["segment"], state["first"], state["n"] = state["segment"] + 1, state["first"] + sum(counts), 0
+            row = {"shard": shard, "segment": segment, "first_id": first, "n_ids": size, "doc_ids": [d for d, _ in held], "counts": counts, "block_words": offsets.tolist(), "words": words.astype("<u8").tobytes()}
+            segment, first, size = segment + 1, first + size, 0
             held.clear()
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
-        for b in batches:
-            for part, doc, raw in zip(b["part"].to_pylist(), b["doc_id"].to_pylist(), b["ids"].to_pylist(), strict=True):
-                if held and (part != state["shard"] or state["n"] >= segment_ids):
+        for ids, texts in text_batches(batches):
+            for doc, text in zip(ids, texts, strict=True):
+                held.append((doc, enc.encode(text) + tail))
+                size += len(held[-1][1]) // 4
+                if size >= segment_ids:
                     yield flush()
-                if part != state["shard"]:
-                    state.update(shard=part, segment=0, first=0, n=0)
-                held.append((doc, raw))
-                state["n"] += len(raw) // 4
         if held:
             yield flush()
 
-    arrow = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("block_words", pa.list_(pa.int64())), ("words", pa.binary())])
-    dealt = rows.mapInArrow(tokens, _TOKENS).repartition(len(cuts) + 1, "part").sortWithinPartitions("part", "doc_id", "ids")
-    return materialize(dealt.mapInArrow(segments, _SEGMENTS), "tokens")
+    keyed = rows.withColumn("hash", F.xxhash64("text"))
+    dealt = keyed.repartitionByRange(shards, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
+    return materialize(dealt.select("doc_id", "text").mapInArrow(segments, _SEGMENTS), "tokens")
 
 
 def read_tokens(files: DataFrame) -> DataFrame:

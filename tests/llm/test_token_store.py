@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 from shutterlake.llm.common import table
 from shutterlake.llm.encoding import TextEncoder
-from shutterlake.llm.token_store import crc_of_ids, decode, encode, ids_crc, read_tokens, write_tokens
+from shutterlake.llm.token_store import crc_of_ids, decode, decode_range, encode, ids_crc, read_tokens, write_tokens
 
 from .fixtures import awkward, empty
 
@@ -27,7 +27,26 @@ def test_round_trip(top, n):
     if n:
         lo = min(k, len(offsets) - 2)
         part = ids[lo * 1024 : (lo + 1) * 1024]
-        assert decode(words[offsets[lo] : offsets[lo + 1]], offsets, len(part)).tolist() == part.tolist()
+        assert decode(words[offsets[lo] : offsets[lo + 1]], np.array([0, offsets[lo + 1] - offsets[lo]]), len(part)).tolist() == part.tolist()
+        for a, b in ((0, 1), (n // 2, n), (n // 3, n // 3 + 1), (n, n)):
+            assert decode_range(words, offsets, n, a, b).tolist() == ids[a:b].tolist()
+
+
+def test_raw_words_that_look_like_escapes():
+    rng = random.Random(6)
+    for _ in range(200):
+        ids = np.array([rng.choice([0, 7, 2**64 - 1, 15 << 60, (15 << 60) + 3, 2**60]) for _ in range(rng.randint(1, 60))], np.uint64)
+        words, offsets = encode(ids, 8)
+        assert decode(words, offsets, len(ids), 8).tolist() == ids.tolist()
+
+
+def test_one_id_over_many_shards(spark):
+    docs = spark.createDataFrame([(None, f"text number {i} " * 20) for i in range(400)] + [(5, "end")], "doc_id long, text string")
+    files = write_tokens(docs, PATH, 2, shard_bytes=2000)
+    assert files.where("doc_ids[0] is null").select("shard").distinct().count() > 8
+    got = read_tokens(files).orderBy("start").collect()
+    assert len(got) == 401 and [r["doc_id"] for r in got] == [None] * 400 + [5]
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:], strict=False))
 
 
 def test_small_ids_share_words():
