@@ -66,7 +66,8 @@ def test_plan_is_best_fit_decreasing():
         plan, opened = best_fit_plan(counts, capacity)
         assert opened == len(gaps)
         used = defaultdict(list)
-        for length, rank, n, per, first, offset in plan:
+        for length, rank, n, per, size, first, offset in plan:
+            assert size == 0
             for k in range(n):
                 used[first + k // per].append((offset + k % per * length, length))
         assert sum(map(len, used.values())) == len(items)
@@ -78,6 +79,30 @@ def test_plan_is_best_fit_decreasing():
             assert at <= capacity
 
 
+def best_fit(items, capacity):
+    gaps = []
+    for x in sorted(items, reverse=True):
+        fit = min((g for g in gaps if g >= x), default=None)
+        if fit is None:
+            gaps.append(capacity - x)
+        else:
+            gaps[gaps.index(fit)] = fit - x
+    return sorted(gaps)
+
+
+def test_rounds_equal_best_fit_decreasing(spark):
+    """Over several ranges of lengths the rows' gaps are those of the sequential best fit."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    for capacity in (2048, 100):
+        rows = pack(docs, PATH, capacity=capacity).collect()
+        check_layout(rows, capacity)
+        assert len({(r["doc_id"], r["piece"]) for r in rows}) == len(rows)
+        used = defaultdict(int)
+        for r in rows:
+            used[r["sequence_id"]] += r["length"]
+        assert sorted(capacity - n for n in used.values()) == best_fit([r["length"] for r in rows], capacity)
+
+
 def test_awkward_and_empty(spark):
     rows = pack(awkward(spark), PATH, capacity=64).collect()
     check_layout(rows, 64)
