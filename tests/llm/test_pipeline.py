@@ -1,27 +1,66 @@
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from shutterlake.llm.common import table
-from shutterlake.llm.simhash import fingerprints_of
+from shutterlake.llm import language, pii
+from shutterlake.llm.common import crc_mod, table
+from shutterlake.llm.decontaminate import _WORD, WINDOW
 
-from .test_decontaminate import brute
-from .test_packing import check_layout
-from .test_simhash import brute_classes
+from .test_near_copies import brute as first_of_classes
+from .test_packing import best_fit, check_layout
 
 SF = "/root/testdata/sf0.001"
 
 
+def contaminated(text, items):
+    """Whether some window of an item agrees in enough words, on every alignment of the whole text."""
+    words = np.array([zlib.crc32(w.encode()) for w in _WORD.findall(text.lower())], np.int64)
+    for own in items:
+        need = min(WINDOW, len(own))
+        for shift in range(need - len(own), len(words) - need + 1):
+            lo, hi = max(0, -shift), min(len(own), len(words) - shift)
+            same = np.concatenate([[0], np.cumsum(own[lo:hi] == words[lo + shift : hi + shift])])
+            if len(same) > need and (same[need:] - same[:-need] >= 0.8 * need).any():
+                return True
+    return False
+
+
 def test_run_against_brute_force(spark):
-    docs = sorted((r["doc_id"], r["text"]) for r in table(spark, SF, "documents").collect())
-    docs = [(i, t) for i, t in docs if any(map(str.isalpha, t))]
-    roots = brute_classes(fingerprints_of([t for _, t in docs]).tolist())
-    docs = [d for k, d in enumerate(docs) if roots[k] == k]
-    items = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").collect()]
-    heads = {tuple(w[k : k + 3]) for _, t in items for w in [t.lower().split()] for k in range(len(w) - 2)}
-    maybe = lambda t: any(x in heads for w in [t.lower().split()] for x in zip(w, w[1:], w[2:], strict=False))
-    keep = {i for i, t in docs if not (maybe(t) and len(t) < 4000 and brute(t, items))}
+    """Each stage on all rows that the one before kept, long ones too, down to the tokens of every piece."""
+    source = table(spark, SF, "documents")
+    models = language.train(source, crc_mod(F.col("doc_id"), 4) != 2)
+    docs = sorted((r["doc_id"], r["text"]) for r in source.collect())
+    docs = [(i, t) for i, t in docs if not models.predict([t])[0][2]]
+    stay = first_of_classes(docs)
+    docs = [(i, t) for i, t in docs if i in stay]
+    items = [np.array([zlib.crc32(w.encode()) for w in _WORD.findall(r["text"].lower())], np.int64) for r in table(spark, SF, "benchmark").collect()]
+    near = set(np.concatenate(items).tolist())
+    maybe = lambda t: sum(zlib.crc32(w.encode()) in near for w in set(_WORD.findall(t.lower()))) >= 3
+    docs = [(i, t) for i, t in docs if not (maybe(t) and contaminated(t, items))]
+    assert len(docs) > 100
+    spans = pii.SpanModel({k: sum(1 for _, t in docs for c in pii.candidates(t, pii.base_spans(t)) if c[3] == k) for k in {c[3] for _, t in docs for c in pii.candidates(t, pii.base_spans(t))}})
+    clean = {i: pii.redact(t, spans.spans(t)[1]) for i, t in docs}
+    assert any("<email>" in t for t in clean.values()) and not any(re.search(r"[a-z]@[a-z]+\.", t) for t in clean.values())
+
     rows = corpus_pipeline.run(spark, SF).collect()
-    check_layout(rows, 2048)
-    got = {r["doc_id"] for r in rows}
-    assert got <= keep and all(len(t) >= 4000 for i, t in docs if i in keep - got)
+    got = defaultdict(list)
+    for r in rows:
+        got[r["doc_id"]].append(r)
+    assert set(got) == set(clean)
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for i, t in clean.items():
+        ids, at = [*tok.encode(t, add_special_tokens=False).ids, 0], 0
+        for r in sorted(got[i], key=lambda r: r["piece"]):
+            assert (r["start"], r["ids_crc32"]) == (at, zlib.crc32(np.array(ids[at : at + r["length"]], "<u4").tobytes()))
+            at += r["length"]
+        assert at == len(ids)
+    assert check_layout(rows, 2048) == len(best_fit([r["length"] for r in rows], 2048))
 
 
 def test_stages_keep_the_columns(spark):
