@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from shutterlake.llm.common import crc_mod, group_starts, text_batches, texts_of
 
 ORDER, UNKNOWN = 5, "und"
+BROADCAST_LANGUAGES = 10_000
 _OTHER = re.compile(r"[\W\d_]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -231,11 +232,14 @@ def fit(texts_by_language: dict[str, list[str]], alpha: float = 0.001) -> CharMo
 
 def train(docs: DataFrame, usable: Column, lang_col: str = "lang", per_language: int = 300, max_chars: int = 8_000, max_texts: int = 60_000, alpha: float = 0.001) -> CharModels:
     known = docs.where(usable & F.col(lang_col).isNotNull() & F.col("text").isNotNull())
-    known = known.select(F.col(lang_col).alias("_lang"), F.xxhash64("text").alias("_h"), F.col("text").alias("_text"))
+    known = known.select(F.col(lang_col).cast("string").alias("_lang"), F.xxhash64("text").alias("_h"), F.col("text").alias("_text"))
     counts = known.groupBy("_lang").agg(F.approx_count_distinct("_h").alias("_n"))
-    languages = counts.count()
-    if not languages:
+    few = counts.limit(BROADCAST_LANGUAGES + 1).collect()
+    if not few:
         return CharModels([])
+    if len(few) <= BROADCAST_LANGUAGES:  # checked: one small row for each language
+        counts = F.broadcast(docs.sparkSession.createDataFrame(few, "_lang string, _n long"))
+    languages = len(few) if len(few) <= BROADCAST_LANGUAGES else counts.count()
     each = max(1, min(per_language, max_texts // languages))
     # a threshold on the hash takes about twice as many texts, the rank cuts them to `each`
     share = counts.select("_lang", (F.lit(float(1 << 40)) * F.least(F.lit(1.0), F.lit(2.0 * each + 20) / F.greatest("_n", F.lit(1)))).alias("_most"))
