@@ -4,8 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
+
+
+@F.pandas_udf(BinaryType())
+def joined(parts: pd.Series) -> pd.Series:
+    """Byte strings as one, copied once however many they are; nulls are left out."""
+    return parts.map(lambda listed: None if listed is None else b"".join(p for p in listed if p is not None))
 
 
 def _at(content: Column, start: int, hex_bytes: str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shutterlake.functions import text
+
 
 def _one_decimal(x: Column) -> Column:
     """One decimal, halves up; none from 100."""
@@ -23,21 +25,47 @@ def format_bytes(n: Column) -> Column:
 
 
 def cleaned_file_name(name: Column, extension: Column, suffix: str = "_clean") -> Column:
-    """Stem before the last dot, characters that file systems refuse as ``_``, then suffix and extension."""
-    stem = F.regexp_replace(name, r"\.[^.]*$", "")
-    safe = F.regexp_replace(stem, r'[\\/:*?"<>|]', "_")
-    return F.concat(F.when(F.length(F.trim(safe)) == 0, "image").otherwise(safe), F.lit(suffix + "."), extension)
+    """Stem before the last dot (one at the very start is part of it), each run of characters that file systems refuse as ``_``, then suffix and extension."""
+    stem = F.regexp_replace(name, r"(?s)^(.+)\.[^.]*$", "$1")
+    safe = text.trim(F.regexp_replace(stem, r'[\\/:*?"<>|]+', "_"))
+    return F.concat(F.when(F.length(safe) == 0, "image").otherwise(safe), F.lit(suffix + "."), extension)
 
 
-def sanitize(text: Column, most: int) -> Column:
+def sanitize(words: Column, most: int = 4000) -> Column:
     """Line ends as LF, no control characters but tab and LF, trimmed, cut with an ellipsis."""
-    lines = F.regexp_replace(F.regexp_replace(text, r"\r\n", "\n"), r"\r", "\n")
-    clean = F.trim(F.regexp_replace(lines, r"[\x00-\x08\x0B-\x1F\x7F-\x9F]", ""))
+    clean = sanitized(words)
     return F.when(F.length(clean) > most, F.concat(F.substring(clean, 1, most), F.lit("…"))).otherwise(clean)
 
 
-def preview(text: Column, most: int = 60) -> Column:
-    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
+def sanitized(words: Column) -> Column:
+    """``sanitize`` before its cut."""
+    lines = F.regexp_replace(F.regexp_replace(words, r"\r\n", "\n"), r"\r", "\n")
+    return text.trim(F.regexp_replace(lines, r"[\x00-\x08\x0B-\x1F\x7F-\x9F]", ""))
+
+
+def preview(words: Column, most: int = 60) -> Column:
+    """The first characters of the trimmed text; the ellipsis tells that the whole text is longer."""
+    return F.concat(F.substring(text.trim(words), 1, most), F.when(F.length(words) > most, "…").otherwise(""))
+
+
+def format_percent(value: Column, digits: int = 1) -> Column:
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+    return F.when(finite, F.concat(F.format_string(f"%.{digits}f", F.round(value, digits)), F.lit("%"))).otherwise("0%")
+
+
+def megapixels(width: Column, height: Column) -> Column:
+    """Null where a side is missing or zero."""
+    return F.when((width > 0) & (height > 0), width.cast("double") * height / 1_000_000)
+
+
+def format_megapixels(width: Column, height: Column) -> Column:
+    """Two decimals under a tenth, else one."""
+    m = megapixels(width, height)
+    return F.when(m.isNull(), "—").when(m < 0.1, F.format_string("%.2f MP", F.round(m, 2))).otherwise(F.format_string("%.1f MP", F.round(m, 1)))
+
+
+def archive_name(day: Column) -> Column:
+    return F.concat(F.lit("cleaned-images-"), F.date_format(day, "yyyy-MM-dd"), F.lit(".zip"))
 
 
 def decimal_degrees(d: Column, m: Column, s: Column, ref: Column) -> Column:
@@ -46,6 +74,13 @@ def decimal_degrees(d: Column, m: Column, s: Column, ref: Column) -> Column:
     return F.when(F.upper(ref).isin("S", "W"), -micro).otherwise(micro) / 1_000_000
 
 
+def short(x: Column, digits: int = 1) -> Column:
+    """A number with at most so many decimals, without trailing zeros."""
+    fixed = F.format_string(f"%.{digits}f", F.round(x, digits))
+    return F.regexp_replace(fixed, r"\.?0+$", "") if digits else fixed
+
+
 def exposure_label(num: Column, den: Column) -> Column:
-    """``1/n s`` under a second, else seconds; a zero denominator reads 0."""
-    return F.when((den == 0) | (num == 0), "0 s").when(num < den, F.concat(F.lit("1/"), F.floor(den / num + 0.5).cast("string"), F.lit(" s"))).otherwise(F.concat(F.floor(num / den).cast("string"), F.lit(" s")))
+    """Seconds with at most two decimals from one on, else ``1/n s``; null for a zero denominator."""
+    seconds = num / F.nullif(den, F.lit(0))
+    return F.when(seconds >= 1, F.concat(short(seconds, 2), F.lit(" s"))).when(seconds.isNotNull(), F.concat(F.lit("1/"), F.floor(den / F.greatest(num, F.lit(1)) + 0.5).cast("string"), F.lit(" s")))

@@ -99,12 +99,17 @@ def _forms(name: str) -> str:
     return rf"(?is)\s*<{n}(?:\s[^>]*)?/>|\s*<{n}(?:\s[^>]*)?>.*?</{n}>|\s+{n}\s*=\s*(?:\"[^\"]*\"|'[^']*')"
 
 
-def without_provenance(xmp: Column) -> Column:
-    for name in PROVENANCE:
+def without(xmp: Column, *names: str) -> Column:
+    """No property of these names, as element or attribute."""
+    for name in names:
         xmp = F.regexp_replace(xmp, _forms(name), "")
     return xmp
 
 
+def without_provenance(xmp: Column) -> Column:
+    return without(xmp, *PROVENANCE)
+
+
 @F.pandas_udf(StringType())
 def _without_marked(texts: pd.Series) -> pd.Series:
     """Shared properties go only where their own text has a signature; Spark's replace takes no condition."""
@@ -125,3 +130,9 @@ def without_generator(xmp: Column) -> Column:
     for space in GENERATORS:
         xmp = F.regexp_replace(xmp, rf"(?is)\s*<{space}:[\w.-]+(?:\s[^>]*)?(?:/>|>.*?</{space}:[\w.-]+>)", "")
     return xmp
+
+
+def stripped(xmp: Column, removed: frozenset[str]) -> Column:
+    """A packet that stays, without what the removed categories ``ai`` and ``c2pa`` cover in it."""
+    xmp = without_generator(xmp) if "ai" in removed else xmp
+    return without_provenance(xmp) if "c2pa" in removed else xmp

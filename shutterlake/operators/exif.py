@@ -33,11 +33,6 @@ def _text(data: Column) -> Column:
     return F.nullif(text.strip(text.latin1(data)), F.lit(""))
 
 
-def _short(x: Column, digits: int = 1) -> Column:
-    """A number with at most so many decimals, without trailing zeros."""
-    return F.regexp_replace(F.format_string(f"%.{digits}f", F.round(x, digits)), r"\.?0+$", "")
-
-
 def _with_numbers(rows: DataFrame, tags: Sequence[int]) -> DataFrame:
     wanted = F.col("tag").isin(*tags)
     return rows.withColumn("n", _numbers(F.when(wanted, F.col("value")), "type", "little"))
@@ -64,7 +59,7 @@ def summary(rows: DataFrame) -> DataFrame:
     t = {name: _text(F.col(name)) for name in TEXTS}
     s, o = F.col("_exposure"), F.col("_orientation").cast("int")
     description = F.coalesce(_text(F.col("_description")), text.strip(text.utf16(F.col("_xp"), True)))
-    exposure = F.when(s >= 1, F.concat(_short(s, 2), F.lit(" s"))).when(s > 0, F.concat(F.lit("1/"), F.floor(1 / s + 0.5).cast("string"), F.lit(" s")))
+    exposure = F.when(s >= 1, F.concat(labels.short(s, 2), F.lit(" s"))).when(s > 0, F.concat(F.lit("1/"), F.floor(1 / s + 0.5).cast("string"), F.lit(" s")))
     return raw.select(
         "file_id",
         "tag_count",
@@ -77,9 +72,9 @@ def summary(rows: DataFrame) -> DataFrame:
         o.alias("orientation"),
         F.coalesce(F.get(F.array(*map(F.lit, ORIENTATIONS)), o - 1), F.concat(F.lit("Orientation "), o.cast("string"))).alias("orientation_label"),
         exposure.alias("exposure"),
-        F.when(F.col("_f") > 0, F.concat(F.lit("f/"), _short(F.col("_f")))).alias("aperture"),
+        F.when(F.col("_f") > 0, F.concat(F.lit("f/"), labels.short(F.col("_f")))).alias("aperture"),
         F.floor(F.col("_iso") + 0.5).cast("string").alias("iso"),
-        F.when(F.col("_focal") > 0, F.concat(_short(F.col("_focal")), F.lit(" mm"))).alias("focal_length"),
+        F.when(F.col("_focal") > 0, F.concat(labels.short(F.col("_focal")), F.lit(" mm"))).alias("focal_length"),
         F.coalesce("_maker", F.lit(0)).cast("long").alias("maker_note_bytes"),
         F.coalesce("_thumb", F.lit(0)).cast("long").alias("thumbnail_bytes"),
     )
@@ -103,7 +98,7 @@ def position(rows: DataFrame) -> DataFrame:
     signed = F.when(F.get(F.col("_n5"), F.lit(0)) == 1, -up).otherwise(up)
     clock = F.when(F.size("_n7") >= 3, F.concat(two(0), F.lit(":"), two(1), F.lit(":"), two(2), F.lit(" UTC")))
     stamp = F.when(F.col("_n7").isNull(), _text(F.col("_v29"))).when(clock.isNotNull(), F.concat_ws(" ", _text(F.col("_v29")), clock))
-    out = gps.select("file_id", "tag_count", degrees(2, 1).alias("latitude"), degrees(4, 3).alias("longitude"), F.round(signed, 1).alias("altitude"), stamp.alias("timestamp_utc"), F.concat(_short(F.get(F.col("_n17"), F.lit(0))), F.lit("°")).alias("direction"))
+    out = gps.select("file_id", "tag_count", degrees(2, 1).alias("latitude"), degrees(4, 3).alias("longitude"), F.round(signed, 1).alias("altitude"), stamp.alias("timestamp_utc"), F.concat(labels.short(F.get(F.col("_n17"), F.lit(0))), F.lit("°")).alias("direction"))
     side = lambda x, plus, minus: F.concat(F.format_string("%.6f ", F.abs(x)), F.when(x >= 0, plus).otherwise(minus))
     return out.withColumn("coordinates", F.concat(side(F.col("latitude"), "N", "S"), F.lit(", "), side(F.col("longitude"), "E", "W")))
 

@@ -23,7 +23,7 @@ def _any(v: Column, path: str) -> Column:
     return F.try_variant_get(v, "$." + path, "variant")
 
 
-def _said(v: Column, *paths: str) -> Column:
+def said(v: Column, *paths: str) -> Column:
     """The first scalar at these paths as text; objects, arrays and blanks do not count."""
     one = lambda p: F.when(~F.schema_of_variant(_any(v, p)).rlike("^(OBJECT|ARRAY|VOID)"), F.nullif(F.trim(F.try_variant_get(v, "$." + p, "string")), F.lit("")))
     return F.coalesce(*map(one, paths))
@@ -59,24 +59,24 @@ def _graph(text: Column) -> Column:
 
 def _novelai(v: Column) -> Column:
     shape = _has(v, "uc") & (_has(v, "sampler") | (_has(v, "steps") & _has(v, "scale")))
-    return F.when(shape, _finding("novelai", "confirmed", prompt=_long(_said(v, "prompt", "v4_prompt")), negative=_long(_said(v, "uc")), seed=_said(v, "seed"), steps=_said(v, "steps"), cfg=_said(v, "scale"), sampler=_said(v, "sampler"), scheduler=_said(v, "noise_schedule"), model=_said(v, "request_type", "source"), size=_size(v)))
+    return F.when(shape, _finding("novelai", "confirmed", prompt=_long(said(v, "prompt", "v4_prompt")), negative=_long(said(v, "uc")), seed=said(v, "seed"), steps=said(v, "steps"), cfg=said(v, "scale"), sampler=said(v, "sampler"), scheduler=said(v, "noise_schedule"), model=said(v, "request_type", "source"), size=_size(v)))
 
 
 def _fooocus(v: Column, key: Column) -> Column:
-    shape = _has(v, "base_model") | _has(v, "full_prompt") | F.coalesce(F.lower(_said(v, "version")).contains("fooocus"), F.lit(False)) | F.coalesce(key == "fooocus_scheme", F.lit(False))
-    found = _finding("fooocus", "confirmed", _names(v, "loras", "name", "model", "lora"), prompt=_long(_said(v, "prompt", "full_prompt")), negative=_long(_said(v, "negative_prompt", "full_negative_prompt")), seed=_said(v, "seed"), steps=_said(v, "steps"), cfg=_said(v, "guidance_scale", "cfg_scale"), sampler=_said(v, "sampler"), scheduler=_said(v, "scheduler"), model=_said(v, "base_model"), checkpoint=_said(v, "refiner_model"), vae=_said(v, "vae_name", "vae"), size=F.coalesce(_said(v, "resolution"), _size(v)), version=_said(v, "version"))
+    shape = _has(v, "base_model") | _has(v, "full_prompt") | F.coalesce(F.lower(said(v, "version")).contains("fooocus"), F.lit(False)) | F.coalesce(key == "fooocus_scheme", F.lit(False))
+    found = _finding("fooocus", "confirmed", _names(v, "loras", "name", "model", "lora"), prompt=_long(said(v, "prompt", "full_prompt")), negative=_long(said(v, "negative_prompt", "full_negative_prompt")), seed=said(v, "seed"), steps=said(v, "steps"), cfg=said(v, "guidance_scale", "cfg_scale"), sampler=said(v, "sampler"), scheduler=said(v, "scheduler"), model=said(v, "base_model"), checkpoint=said(v, "refiner_model"), vae=said(v, "vae_name", "vae"), size=F.coalesce(said(v, "resolution"), _size(v)), version=said(v, "version"))
     return F.when(v.isNotNull() & shape, found)
 
 
 def _invoke(v: Column, key: Column) -> Column:
     modern = (_has(v, "positive_prompt") | _has(v, "negative_prompt")) & (_has(v, "scheduler") | _has(v, "model") | F.coalesce(key == "invokeai_metadata", F.lit(False)))
     old = ~_has(v, "positive_prompt") & ~_has(v, "negative_prompt") & F.coalesce(F.schema_of_variant(_any(v, "image")).startswith("OBJECT"), F.lit(False))
-    name = lambda k: _said(v, k, *(f"{k}.{n}" for n in ("model_name", "name", "key", "hash")))
+    name = lambda k: said(v, k, *(f"{k}.{n}" for n in ("model_name", "name", "key", "hash")))
     loras = F.array_distinct(F.concat(*(F.coalesce(_names(v, "loras", *k), F.array().cast("array<string>")) for k in (("model", "lora", "name"), ("lora_name",)))))
     nets = F.coalesce(_names(v, "controlnets", "control_model", "model", "name"), _names(v, "control_layers", "control_model", "model", "name"))
     prompts = F.transform(F.try_variant_get(v, "$.image.prompt", "array<variant>"), lambda x: F.coalesce(F.try_variant_get(x, "$.prompt", "string"), F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))))
-    first = _finding("invokeai", "confirmed", loras, nets, prompt=_long(_said(v, "positive_prompt")), negative=_long(_said(v, "negative_prompt")), seed=_said(v, "seed"), steps=_said(v, "steps"), cfg=_said(v, "cfg_scale"), scheduler=_said(v, "scheduler"), model=name("model"), vae=name("vae"), size=_size(v), clip_skip=_said(v, "clip_skip"))
-    second = _finding("invokeai", "confirmed", prompt=_long(F.coalesce(F.array_join(prompts, ", "), _said(v, "image.prompt"))), seed=_said(v, "image.seed"), steps=_said(v, "image.steps"), cfg=_said(v, "image.cfg_scale"), sampler=_said(v, "image.sampler"), model=_said(v, "model_weights"), size=_size(v, "image."))
+    first = _finding("invokeai", "confirmed", loras, nets, prompt=_long(said(v, "positive_prompt")), negative=_long(said(v, "negative_prompt")), seed=said(v, "seed"), steps=said(v, "steps"), cfg=said(v, "cfg_scale"), scheduler=said(v, "scheduler"), model=name("model"), vae=name("vae"), size=_size(v), clip_skip=said(v, "clip_skip"))
+    second = _finding("invokeai", "confirmed", prompt=_long(F.coalesce(F.array_join(prompts, ", "), said(v, "image.prompt"))), seed=said(v, "image.seed"), steps=said(v, "image.steps"), cfg=said(v, "image.cfg_scale"), sampler=said(v, "image.sampler"), model=said(v, "model_weights"), size=_size(v, "image."))
     return F.when(modern, first).when(old, second)
 
 
@@ -93,7 +93,7 @@ def _caption(text: Column) -> Column:
 
 
 def _swarm(v: Column) -> Column:
-    at = lambda *keys: _said(v, *(f"sui_image_params.{k}" for k in keys))
+    at = lambda *keys: said(v, *(f"sui_image_params.{k}" for k in keys))
     shape = F.coalesce(F.schema_of_variant(_any(v, "sui_image_params")).startswith("OBJECT"), F.lit(False))
     return F.when(shape, _finding("stable-diffusion", "confirmed", _names(v, "sui_image_params.loras"), prompt=at("prompt"), negative=at("negativeprompt", "negative_prompt"), seed=at("seed"), steps=at("steps"), cfg=at("cfgscale"), sampler=at("sampler"), scheduler=at("scheduler"), model=at("model"), vae=at("vae"), size=_size(v, "sui_image_params.")))
 

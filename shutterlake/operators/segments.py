@@ -38,4 +38,46 @@ def queue(files: DataFrame, cap: int, *order: Column) -> DataFrame:
 def dense_counts(rows: DataFrame, by: str, dimension: DataFrame) -> DataFrame:
     """A count for every value of a small dimension, zeros included."""
     counts = rows.groupBy(by).agg(F.count("*").alias("n"))
-    return F.broadcast(dimension).join(counts, by, "left").select(by, F.coalesce("n", F.lit(0)).alias("n"))
+    return dimension.join(counts, by, "left").select(by, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def gone(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
+    """Distinct keys that were there before and are not any more."""
+    return before.select(*keys).subtract(after.select(*keys))
+
+
+def breakdown(rows: DataFrame, by: str, category: Column, names: list[str], size: Column | None = None) -> DataFrame:
+    """One column per category: its rows, or the sum of ``size``, zeros included."""
+    one = lambda c: F.count(F.when(category == c, 1)) if size is None else F.coalesce(F.sum(F.when(category == c, size)), F.lit(0))
+    return rows.groupBy(by).agg(*(one(c).alias(c) for c in names))
+
+
+def removal_stats(before: DataFrame, after: DataFrame, size: str = "bytes") -> DataFrame:
+    """(file_id, category, bytes, n): what each file lost, largest first within a file; categories that lost nothing are left out."""
+    signed = before.select("file_id", "category", F.col(size).alias("bytes"), F.lit(1).alias("n")).unionByName(after.select("file_id", "category", (-F.col(size)).alias("bytes"), F.lit(-1).alias("n")))
+    return signed.groupBy("file_id", "category").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).where("bytes > 0 or n > 0")
+
+
+def remaining(kept: DataFrame) -> DataFrame:
+    """Of each file's (label, bytes, reason) the largest per label."""
+    return largest_of(kept, ["file_id", "label"], F.col("bytes"), F.col("reason"))
+
+
+def progress(files: DataFrame) -> DataFrame:
+    """Share done and bytes removed over a queue of (status, progress, bytes_removed); 0 for an empty one."""
+    ended = F.col("status").isin("done", "failed", "cancelled")
+    share = F.when(ended, 1.0).when(F.col("status").isin("processing", "analyzing"), F.col("progress")).otherwise(0.0)
+    return files.agg(F.coalesce(F.avg(share), F.lit(0.0)).alias("progress"), F.coalesce(F.sum("bytes_removed"), F.lit(0)).alias("bytes_removed"))
+
+
+def retry(files: DataFrame) -> DataFrame:
+    """The queue with its failed files ready again: no error, no progress."""
+    failed = F.col("status") == "failed"
+    return files.withColumn("status", F.when(failed, "ready").otherwise(F.col("status"))).withColumn("progress", F.when(failed, 0.0).otherwise(F.col("progress")))
+
+
+def chips(found: DataFrame, limit: int, *order: Column) -> DataFrame:
+    """The first ``limit`` labels of each file, and how many more there are."""
+    file = Window.partitionBy("file_id")
+    ranked = found.withColumn("_rank", F.row_number().over(file.orderBy(*order))).withColumn("more", F.greatest(F.count("*").over(file) - limit, F.lit(0)))
+    return ranked.where(F.col("_rank") <= limit).withColumnRenamed("_rank", "place")

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake import dims
-from shutterlake.functions import binary, captions, labels
-from shutterlake.operators import segments
+from shutterlake.functions import binary, captions, labels, xmp
+from shutterlake.operators import generators, segments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -93,12 +93,12 @@ def offset_relocation(spark, sf_dir):
 @query("SELECT user_id, event_type FROM events WHERE event_type <> 'error' EXCEPT SELECT user_id, event_type FROM events WHERE value > 50")
 def before_after_diff(spark, sf_dir):
     e = read(spark, sf_dir, "events")
-    return e.where("event_type <> 'error'").select("user_id", "event_type").subtract(e.where("value > 50").select("user_id", "event_type"))
+    return segments.gone(e.where("event_type <> 'error'"), e.where("value > 50"), "user_id", "event_type")
 
 
 @query("SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM events GROUP BY 1")
 def json_fields(spark, sf_dir):
-    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "long")
+    k = generators.said(F.try_parse_json("props"), "k").cast("long")
     return read(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(k).alias("total"), F.count("*").alias("n"))
 
 
@@ -111,19 +111,25 @@ def format_bytes_labels(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", labels.format_bytes(F.col("n_chars") * F.col("n_chars")).alias("label"))
 
 
-@query(r"""SELECT page_id, CASE WHEN length(trim(s)) = 0 THEN 'image' ELSE s END || '_clean.png' AS name FROM (SELECT page_id, regexp_replace(regexp_replace(url, '\.[^.]*$', ''), '[\\/:*?"<>|]', '_', 'g') AS s FROM pages)""")
+#: Edges that are white space, for RE2.
+_EDGES = r"^[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+|[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+$"
+_TRIMMED = lambda x: f"regexp_replace({x}, '{_EDGES}', '', 'g')"
+
+
+@query(r"""SELECT page_id, CASE WHEN length(s) = 0 THEN 'image' ELSE s END || '_clean.png' AS name FROM (SELECT page_id, """ + _TRIMMED(r"""regexp_replace(regexp_replace(url, '(?s)^(.+)\.[^.]*$', '\1'), '[\\/:*?"<>|]+', '_', 'g')""") + " AS s FROM pages)")
 def clean_file_names(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", labels.cleaned_file_name(F.col("url"), F.lit("png")).alias("name"))
 
 
-@query("SELECT conv_id, turn, role, CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '…' ELSE text END AS preview FROM conversations")
+@query("SELECT conv_id, turn, role, substr(" + _TRIMMED("text") + ", 1, 60) || CASE WHEN length(text) > 60 THEN '…' ELSE '' END AS preview FROM conversations")
 def comment_preview(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", labels.preview(F.col("text")).alias("preview"))
 
 
-@query(r"SELECT doc_id, CASE WHEN length(c) > 200 THEN substr(c, 1, 200) || '…' ELSE c END AS clean FROM (SELECT doc_id, trim(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\x00-\x08\x0B-\x1F\x7F-\x{9F}]', '', 'g'), ' ') AS c FROM documents)")
+@query(r"SELECT doc_id, CASE WHEN length(c) > 4000 THEN substr(c, 1, 4000) || '…' ELSE c END AS clean, length(c) AS n, md5(c) AS whole_md5 FROM (SELECT doc_id, " + _TRIMMED(r"regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\x00-\x08\x0B-\x1F\x7F-\x{9F}]', '', 'g')") + " AS c FROM documents)")
 def sanitize_text(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", labels.sanitize(F.col("text"), 200).alias("clean"))
+    whole = labels.sanitized(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", labels.sanitize(F.col("text")).alias("clean"), F.length(whole).cast("long").alias("n"), F.md5(whole.cast("binary")).alias("whole_md5"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN -m ELSE m END / 1000000.0::DOUBLE AS degrees FROM (SELECT o_orderkey, CAST(floor(((o_orderkey % 90) * 3600 + (o_custkey % 60) * 60 + (o_orderkey + o_custkey) % 60) * 1000000 / 3600.0::DOUBLE + 0.5) AS BIGINT) AS m FROM orders)")
@@ -132,25 +138,34 @@ def gps_decimal(spark, sf_dir):
     return read(spark, sf_dir, "orders").select(o, labels.decimal_degrees(o % 90, c % 60, (o + c) % 60, F.when(o % 2 == 0, "S").otherwise("N")).alias("degrees"))
 
 
-@query("SELECT label, count(*) AS n FROM (SELECT CASE WHEN b = 0 OR a = 0 THEN '0 s' WHEN a < b THEN '1/' || CAST(CAST(floor(b / a::DOUBLE + 0.5) AS BIGINT) AS VARCHAR) || ' s' ELSE CAST(CAST(floor(a / b::DOUBLE) AS BIGINT) AS VARCHAR) || ' s' END AS label FROM (SELECT l_linenumber AS a, l_orderkey % 400 AS b FROM lineitem)) GROUP BY 1")
+_SECONDS = "regexp_replace(printf('%.2f', round(a / b::DOUBLE, 2)), '\\.?0+$', '')"
+
+
+@query(f"SELECT label, count(*) AS n FROM (SELECT CASE WHEN b = 0 THEN NULL WHEN a >= b THEN {_SECONDS} || ' s' ELSE '1/' || CAST(CAST(floor(b / greatest(a, 1)::DOUBLE + 0.5) AS BIGINT) AS VARCHAR) || ' s' END AS label FROM (SELECT l_linenumber AS a, l_orderkey % 400 AS b FROM lineitem)) GROUP BY 1")
 def exposure_labels(spark, sf_dir):
     label = labels.exposure_label(F.col("l_linenumber"), F.col("l_orderkey") % 400).alias("label")
     return read(spark, sf_dir, "lineitem").select(label).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT page_id, regexp_extract(html, '(?is)<html[^>]*\\slang="([^"]*)"', 1) AS lang, length(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title_chars FROM pages""")
+@query("SELECT l_orderkey, l_linenumber, printf('%.1f', round(l_discount * 1000, 1)) || '%' AS share, CASE WHEN l_quantity * l_suppkey = 0 THEN '—' WHEN l_quantity * l_suppkey / 1000.0::DOUBLE < 0.1 THEN printf('%.2f MP', round(l_quantity * l_suppkey / 1000.0::DOUBLE, 2)) ELSE printf('%.1f MP', round(l_quantity * l_suppkey / 1000.0::DOUBLE, 1)) END AS pixels FROM lineitem")
+def percent_and_pixel_labels(spark, sf_dir):
+    pixels = labels.format_megapixels(F.col("l_quantity").cast("long"), F.col("l_suppkey") * 1000)
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", labels.format_percent(F.col("l_discount") * 1000).alias("share"), pixels.alias("pixels"))
+
+
+@query("SELECT page_id, nullif(regexp_extract(html, '(?i)lang\\s*=\\s*\"([^\"]*)\"', 1), '') AS lang, nullif(trim(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<title(?:\\s[^>]*)?>(.*?)</title>', 1), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&apos;', chr(39)), '&amp;', '&')), '') AS title FROM pages")
 def xmp_like_property(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r'(?is)<html[^>]*\slang="([^"]*)"', 1).alias("lang"), F.length(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)).cast("long").alias("title_chars"))
+    return read(spark, sf_dir, "pages").select("page_id", xmp.read(F.col("html"), "lang").alias("lang"), xmp.read(F.col("html"), "title").alias("title"))
 
 
-@query("SELECT page_id, length(regexp_replace(html, '(?is)<(style|script)[^>]*>.*?</(style|script)>', '', 'g')) AS n FROM pages")
-def strip_property(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", F.length(F.regexp_replace("html", r"(?is)<(style|script)[^>]*>.*?</(style|script)>", "")).cast("long").alias("n"))
+def _sql_without(html: str, name: str) -> str:
+    forms = rf"(?is)\s*<{name}(?:\s[^>]*)?/>|\s*<{name}(?:\s[^>]*)?>.*?</{name}>|\s+{name}\s*=\s*(?:\"[^\"]*\"|''[^'']*'')".replace('\\"', '"')
+    return f"regexp_replace({html}, '{forms}', '', 'g')"
 
 
-@query("SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in _AS_CATEGORY) + " FROM events GROUP BY 1")
-def pivot_tags(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("user_id").agg(*(F.count(F.when(F.col("event_type") == k, 1)).alias(k) for k in _AS_CATEGORY))
+@query(f"SELECT page_id, strlen({_sql_without(_sql_without(_sql_without('html', 'title'), 'style'), 'script')}) AS n FROM pages")
+def strip_property(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.octet_length(xmp.without(F.col("html"), "title", "style", "script")).cast("long").alias("n"))
 
 
 _CAPTION_SQL = "p_name || CASE p_partkey % 4 WHEN 0 THEN ' --ar 16:9 --v 6.1 --seed ' || p_size WHEN 1 THEN ' --seed ' || p_size WHEN 2 THEN ' by Midjourney' ELSE ' --niji 5' END"

@@ -9,8 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shutterlake.functions import signals, text
-from shutterlake.sources import tiff, walk
+from shutterlake.functions import binary, signals, text, xmp
+from shutterlake.sources import resources, tiff, walk
 
 #: Markers without a length, start of scan, end of image, comment.
 STANDALONE = frozenset([0x01, *range(0xD0, 0xDA)])
@@ -145,14 +145,33 @@ def decide(rows: DataFrame, removed: frozenset[str]) -> DataFrame:
     trimmed = segment(m, F.concat(F.substring(p, 1, 12), F.lit(b"\0\0")))
     reason = F.when(goes & needed, F.when(F.col("components") == 4, "Removing it would break CMYK/YCCK colour decoding").otherwise("It declares a non-default colour transform the decoder needs"))
     kept = F.when(~goes | needed, F.col("raw")).when((F.col("category") == "thumbnail") & (F.col("label") == "JFIF header"), trimmed)
+    # a packet that stays loses what else is removed in it
+    if "xmp" not in removed and removed & {"ai", "c2pa"}:
+        head = next(lead for _, lead, _, name in APPLICATION if name == "XMP")
+        found = text.utf8(xmp.packet(F.when(F.col("label") == "XMP", F.substring(p, F.lit(len(head) + 1), F.length(p)))))
+        fresh = xmp.stripped(found, removed)
+        kept = F.when(fresh != found, segment(m, F.concat(F.lit(head), fresh.cast("binary")))).otherwise(kept)
     return rows.withColumn("components", components).withColumn("switch", switch).withColumn("kept", kept).withColumn("reason", reason)
 
 
+def _filtered_resources(decided: DataFrame, removed: frozenset[str]) -> DataFrame:
+    """Resource segments lose the resources of the removed categories; without readable ones they go or stay whole."""
+    key = F.concat_ws(":", F.col("ord").cast("string"), "file_id")
+    mine = decided.where("label = 'Photoshop / IPTC resources'").select(key.alias("file_id"), F.col("payload").alias("content"))
+    listed = resources.resources(mine)
+    stay = listed.where(~F.col("category").isin(*removed))
+    counts = listed.groupBy("file_id").agg(F.max(F.col("category").isin(*removed)).alias("_cut"))
+    known = counts.join(resources.assemble(stay), "file_id", "left").select(F.col("file_id").alias("_key"), F.col("content").alias("_left"), "_cut")
+    joined = decided.withColumn("_key", F.when(F.col("label") == "Photoshop / IPTC resources", key)).join(known, "_key", "left")
+    fresh = F.when(F.col("_left").isNotNull(), segment(F.col("marker"), F.col("_left")))
+    kept = F.when(F.col("_cut"), fresh).when(F.col("_cut").isNotNull(), F.col("raw")).otherwise(F.col("kept"))
+    return joined.withColumn("kept", kept).drop("_key", "_left", "_cut")
+
+
 def assemble(rows: DataFrame) -> DataFrame:
     """(file_id, content) from ``kept`` in order."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "kept"))), lambda x: x["kept"])
-    whole = F.aggregate(F.filter(ordered, lambda x: x.isNotNull()), F.lit(b""), lambda a, x: F.concat(a, x))
-    return rows.groupBy("file_id").agg(whole.alias("content"))
+    return rows.groupBy("file_id").agg(binary.joined(ordered).alias("content"))
 
 
 def exif_payloads(rows: DataFrame) -> DataFrame:
@@ -183,4 +202,6 @@ def clean(files: DataFrame, removed: frozenset[str]) -> DataFrame:
     decided = decide(parts(files), removed)
     if "exif" not in removed and removed:
         decided = _filtered_exif(decided, removed)
+    if removed:
+        decided = _filtered_resources(decided, removed)
     return assemble(decided)

@@ -6,9 +6,13 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
+
+from shutterlake.functions import binary, signals, xmp
+from shutterlake.sources import walk
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Chunk types with a switch of their own.
@@ -17,7 +21,13 @@ SWITCHES = {"eXIf": "exif", "iCCP": "icc", "caBX": "c2pa", "tEXt": "comment", "z
 FUNCTIONAL = frozenset("tRNS cHRM gAMA sBIT sRGB cICP mDCV cLLI bKGD hIST pHYs sPLT acTL fcTL fdAT".split())
 XMP_KEY = b"XML:com.adobe.xmp"
 
-_CHUNKS = pa.schema([("file_id", pa.string()), ("ord", pa.int32()), ("type", pa.string()), ("category", pa.string()), ("offset", pa.int64()), ("bytes", pa.int64()), ("crc_ok", pa.bool_()), ("data", pa.binary())])
+#: Names of chunk types and colour types (with their channels).
+LABELS = {"IHDR": "Image header", "PLTE": "Palette", "IDAT": "Image data", "IEND": "End of image", "iCCP": "ICC colour profile", "eXIf": "EXIF", "caBX": "C2PA manifest (JUMBF)", "tEXt": "Text (uncompressed)", "zTXt": "Text (compressed)", "iTXt": "Text (international)", "tIME": "Last modification time", "acTL": "Animation control", "fcTL": "Frame control", "fdAT": "Frame data"}
+COLORS = {0: ("Grayscale", 1), 2: ("RGB", 3), 3: ("Indexed", 1), 4: ("Grayscale + alpha", 2), 6: ("RGB + alpha", 4)}
+TEXTS = frozenset(["tEXt", "zTXt", "iTXt"])
+#: What an inflated text or profile may have at most, against chunks that blow up.
+INFLATED = 64 << 20
+_FIELDS = "type string, base string, offset long, bytes long, crc_ok boolean, data binary, keyword string, language string, text string, error string"
 
 
 def category_of(kind: str, data: bytes) -> str:
@@ -44,15 +54,101 @@ def chunks_of(content: bytes) -> list[tuple[str, int, int, bool, bytes]]:
     return out
 
 
+def inflated(data: bytes) -> tuple[bytes, str | None]:
+    """(plain bytes, error) of a zlib stream."""
+    if not data:
+        return b"", None
+    try:
+        d = zlib.decompressobj()
+        out = d.decompress(data, INFLATED)
+        return (out, None) if d.eof else (b"", "over the limit" if d.unconsumed_tail else "cut stream")
+    except zlib.error as e:
+        return b"", str(e)
+
+
+def _utf8(data: bytes) -> str:
+    return data.removeprefix(b"\xef\xbb\xbf").decode("utf-8", "replace")
+
+
+def _latin1(data: bytes) -> str:
+    """Windows-1252, with the bytes that it leaves out as they are."""
+    return "".join(bytes([c]).decode("cp1252", "replace") if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(c) for c in data) if any(0x80 <= c < 0xA0 for c in data) else data.decode("latin-1")
+
+
+def text_of(kind: str, data: bytes) -> tuple[str | None, str | None, str | None, str | None]:
+    """(keyword, language, text, error) of a text or profile chunk; a bad one has an error, not an exception."""
+    end = data.find(b"\0", 0, 80)
+    if end < 0:
+        return None, None, None, None
+    keyword, rest = _latin1(data[:end]).strip("\0"), data[end + 1 :]
+    if kind == "tEXt":
+        return keyword, None, _latin1(rest), None
+    if kind in ("zTXt", "iCCP"):
+        if rest[:1] != b"\0":
+            return keyword, None, "", f"unknown compression method {rest[0] if rest else None}"
+        plain, error = inflated(rest[1:])
+        return keyword, None, _utf8(plain) if kind == "zTXt" else None, error
+    language_end = rest.find(b"\0", 2)
+    if len(rest) < 2 or language_end < 0:
+        return keyword, None, "", "missing language tag"
+    name_end = rest.find(b"\0", language_end + 1)
+    if name_end < 0:
+        return keyword, None, "", "missing translated keyword"
+    body, error = (rest[name_end + 1 :], None) if rest[0] != 1 else inflated(rest[name_end + 1 :])
+    return keyword, _latin1(rest[2:language_end]) or None, _utf8(body), error
+
+
+def rows_of_file(content: bytes) -> Iterator[tuple]:
+    for kind, at, size, ok, data in chunks_of(content):
+        named = text_of(kind, data) if kind in TEXTS or kind == "iCCP" else (None,) * 4
+        yield (kind, category_of(kind, data), at, size, ok, data, *named)
+
+
+def category(base: Column, keyword: Column, words: Column) -> Column:
+    """A text chunk with a packet is ``xmp``, one with a generator's key or signature ``ai``."""
+    marked = signals.is_generator_key(keyword) | signals.has_signature(words)
+    return F.when((base == "comment") & (keyword == XMP_KEY.decode()), "xmp").when((base == "comment") & marked, "ai").otherwise(base)
+
+
+def label(kind: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair)), kind), F.concat(kind, F.lit(" chunk")))
+
+
 def chunks(files: DataFrame) -> DataFrame:
-    """One row per chunk of each (file_id, content)."""
+    """One row per chunk of each (file_id, content), text chunks with their keyword, language and text."""
+    rows = walk.rows_of(files, rows_of_file, _FIELDS)
+    return rows.withColumn("category", category(F.col("base"), F.col("keyword"), F.col("text"))).withColumn("label", label(F.col("type"))).drop("base")
+
+
+@F.pandas_udf(BinaryType())
+def profile(data: pd.Series) -> pd.Series:
+    """The colour profile in the data of an iCCP chunk; null where it cannot be inflated."""
+
+    def one(d: bytes | None) -> bytes | None:
+        end = d.find(b"\0", 0, 80) if d else -1
+        return inflated(d[end + 2 :])[0] or None if end >= 0 and d[end + 1 : end + 2] == b"\0" else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(f, i, k, category_of(k, d), o, n, ok, d) for f, c in zip(b["file_id"].to_pylist(), b["content"].to_pylist(), strict=True) for i, (k, o, n, ok, d) in enumerate(chunks_of(c or b""))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, _CHUNKS.types, strict=True)], schema=_CHUNKS)
+    return data.map(one)
 
-    return files.select("file_id", "content").mapInArrow(run, "file_id string, ord int, type string, category string, offset long, bytes long, crc_ok boolean, data binary")
+
+def _number(data: Column, at: int, size: int) -> Column:
+    return F.conv(F.hex(F.substring(data, at + 1, size)), 16, 10).cast("long")
+
+
+def headers(rows: DataFrame) -> DataFrame:
+    """Geometry per file from its first header and animation chunks."""
+    first = lambda kind: F.min_by("data", F.when(F.col("type") == kind, F.col("ord")))
+    held = rows.where("type in ('IHDR', 'acTL')").groupBy("file_id").agg(first("IHDR").alias("_h"), first("acTL").alias("_a"))
+    h, kind = F.col("_h"), _number(F.col("_h"), 9, 1).cast("int")
+    pick = lambda i, other: F.coalesce(F.element_at(F.create_map(*(x for k, v in COLORS.items() for x in (F.lit(k), F.lit(v[i])))), kind), other)
+    animated = F.col("_a").isNotNull()
+    encoding = F.when(animated, F.concat(F.lit("APNG, "), F.coalesce(_number(F.col("_a"), 0, 4).cast("string"), F.lit("?")), F.lit(" frames"))).when(_number(h, 12, 1) == 1, "Adam7 interlaced").otherwise("Deflate")
+    return held.where(F.length(h) >= 13).select("file_id", _number(h, 0, 4).alias("width"), _number(h, 4, 4).alias("height"), _number(h, 8, 1).cast("int").alias("bit_depth"), pick(0, F.concat(F.lit("Colour type "), kind.cast("string"))).alias("color_space"), pick(1, F.lit(1)).alias("channels"), kind.isin(4, 6).alias("has_alpha"), animated.alias("animated"), (_number(h, 12, 1) == 1).alias("progressive"), encoding.alias("encoding"))
+
+
+def itxt(keyword: Column, language: Column, words: Column) -> Column:
+    """The data of an uncompressed international text chunk."""
+    return F.concat(keyword.cast("binary"), F.lit(b"\0\0\0"), F.coalesce(language, F.lit("")).cast("binary"), F.lit(b"\0\0"), words.cast("binary"))
 
 
 def assemble(rows: DataFrame) -> DataFrame:
@@ -61,10 +157,21 @@ def assemble(rows: DataFrame) -> DataFrame:
     kind = F.col("type").cast("binary")
     framed = F.concat(word(F.length("data")), kind, F.col("data"), word(F.crc32(F.concat(kind, F.col("data")))))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", framed.alias("raw")))), lambda x: x["raw"])
-    return rows.groupBy("file_id").agg(F.aggregate(ordered, F.lit(SIGNATURE), lambda a, x: F.concat(a, x)).alias("content"))
+    return rows.groupBy("file_id").agg(F.concat(F.lit(SIGNATURE), binary.joined(ordered)).alias("content"))
 
 
 def clean(files: DataFrame, policy: DataFrame) -> DataFrame:
-    """Files without the chunks whose category the policy removes; pixels stay as they are."""
+    """Files without the chunks whose category the policy removes; pixels stay as they are.
+
+    A packet that stays in an uncompressed text chunk loses the properties of
+    generators and provenance that the policy removes, if that makes it smaller.
+    """
     # the policy has nine rows whatever the input
-    return assemble(chunks(files).join(F.broadcast(policy.where("remove")), "category", "left_anti"))
+    removed = frozenset(r["category"] for r in policy.where("remove").collect())
+    rows = chunks(files)
+    rows = rows.where(~F.col("category").isin(*removed)) if removed else rows
+    if removed & {"ai", "c2pa"}:
+        plain = (F.col("type") == "iTXt") & (F.col("category") == "xmp") & F.col("error").isNull() & (F.substring("data", len(XMP_KEY) + 2, 1) == F.lit(b"\0"))
+        fresh = itxt(F.col("keyword"), F.col("language"), xmp.stripped(F.col("text"), removed))
+        rows = rows.withColumn("data", F.when(plain & (F.length(fresh) < F.length("data")), fresh).otherwise(F.col("data")))
+    return assemble(rows)

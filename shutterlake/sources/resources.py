@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.functions import text
+from shutterlake.functions import binary, text
 from shutterlake.sources import walk
 
 #: Leading bytes of a resource payload.
@@ -71,4 +71,4 @@ def assemble(rows: DataFrame) -> DataFrame:
     size = F.length("data")
     block = F.concat(F.lit(b"8BIM"), F.unhex(F.lpad(F.hex("id"), 4, "0")), F.lit(b"\0\0"), F.unhex(F.lpad(F.hex(size), 8, "0")), F.col("data"), F.when(size % 2 == 1, F.lit(b"\0")).otherwise(F.lit(b"")))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", block.alias("raw")))), lambda x: x["raw"])
-    return rows.groupBy("file_id").agg(F.aggregate(ordered, F.lit(LEADS[0]), lambda a, x: F.concat(a, x)).alias("content"))
+    return rows.groupBy("file_id").agg(F.concat(F.lit(LEADS[0]), binary.joined(ordered)).alias("content"))

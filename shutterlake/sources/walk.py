@@ -10,22 +10,36 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 10_000
+
+
 def rows_of(files: DataFrame, walk: Callable[[bytes], Iterable[tuple]], columns: str, keys: str = "file_id string") -> DataFrame:
     """``keys``, ``ord`` and ``columns`` for every tuple that ``walk`` yields for a row's ``content``.
 
-    A null or unreadable content gives no rows. One batch leaves per file, so a
-    task holds one file's rows at a time.
+    A null or unreadable content gives no rows. Rows of many files leave in one
+    batch, which ends after the file that fills it.
     """
     names = [part.split()[0] for part in keys.split(",")]
     ddl = f"{keys}, ord int, {columns}"
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+
+        def gathered() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                key = [batch[n][i].as_py() for n in names]
-                rows = [(*key, at, *found) for at, found in enumerate(walk(batch["content"][i].as_py() or b""))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+            for *key, content in zip(*(batch[n].to_pylist() for n in names), batch["content"], strict=True):
+                found = content.as_py() or b""
+                rows += [(*key, at, *one) for at, one in enumerate(walk(found))]
+                size += len(found)
+                if size >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                    if rows:
+                        yield gathered()
+                    rows, size = [], 0
+        if rows:
+            yield gathered()
 
     return files.select(*names, "content").mapInArrow(run, ddl)

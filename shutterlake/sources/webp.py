@@ -5,17 +5,20 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shutterlake.functions import binary, text, xmp
+from shutterlake.sources import walk
+
 #: Chunks with a switch, and those that make up the picture.
 SWITCHES = {"EXIF": "exif", "XMP ": "xmp", "ICCP": "icc", "C2PA": "c2pa"}
 PICTURE = ("VP8 ", "VP8L", "VP8X", "ALPH", "ANIM", "ANMF")
 #: Flag bits of the extended header.
 FLAGS = {"ICCP": 0x20, "EXIF": 0x08, "XMP ": 0x04}
 
-_CHUNKS = pa.schema([("file_id", pa.string()), ("ord", pa.int32()), ("type", pa.string()), ("category", pa.string()), ("offset", pa.int64()), ("bytes", pa.int64()), ("data", pa.binary())])
+#: Names of chunks.
+LABELS = {"VP8 ": "VP8 image data", "VP8L": "VP8L image data", "VP8X": "Extended format header", "ALPH": "Alpha channel", "ANIM": "Animation parameters", "ANMF": "Animation frame", "EXIF": "EXIF", "XMP ": "XMP", "ICCP": "ICC colour profile", "C2PA": "C2PA manifest (JUMBF)"}
 
 
 def chunks_of(content: bytes) -> list[tuple[str, int, int, bytes]]:
@@ -30,15 +33,39 @@ def chunks_of(content: bytes) -> list[tuple[str, int, int, bytes]]:
     return out
 
 
+def rows_of_file(content: bytes) -> Iterator[tuple]:
+    for kind, at, size, data in chunks_of(content):
+        yield kind, "structural" if kind in PICTURE else SWITCHES.get(kind, "other"), at, size, data
+
+
+def label(kind: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair)), kind), F.concat(F.trim(kind), F.lit(" chunk")))
+
+
 def chunks(files: DataFrame) -> DataFrame:
     """One row per chunk of each (file_id, content)."""
+    return walk.rows_of(files, rows_of_file, "type string, category string, offset long, bytes long, data binary").withColumn("label", label(F.col("type")))
+
+
+def _number(data: Column, at: int, size: int) -> Column:
+    """Little-endian."""
+    return sum((F.conv(F.hex(F.substring(data, at + k + 1, 1)), 16, 10).cast("long") * (1 << 8 * k) for k in range(size)), F.lit(0).cast("long"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(f, i, k, "structural" if k in PICTURE else SWITCHES.get(k, "other"), o, n, d) for f, c in zip(b["file_id"].to_pylist(), b["content"].to_pylist(), strict=True) for i, (k, o, n, d) in enumerate(chunks_of(c or b""))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, _CHUNKS.types, strict=True)], schema=_CHUNKS)
 
-    return files.select("file_id", "content").mapInArrow(run, "file_id string, ord int, type string, category string, offset long, bytes long, data binary")
+def geometry(rows: DataFrame) -> DataFrame:
+    """Canvas, alpha, animation and coding per file: from the extended header, else from the picture's own."""
+    first = lambda kind: F.min_by(F.substring("data", 1, 10), F.when(F.col("type") == kind, F.col("ord")))
+    seen = rows.groupBy("file_id").agg(first("VP8X").alias("x"), first("VP8L").alias("l"), first("VP8 ").alias("v"), F.count(F.when(F.col("type") == "ANMF", 1)).alias("frames"), F.max(F.col("type") == "ALPH").alias("alph"))
+    x, packed = F.col("x"), _number(F.col("l"), 1, 4)
+    wide = F.length(x) >= 10
+    own_l = F.coalesce(~wide, F.lit(True)) & (F.length("l") >= 5) & (_number(F.col("l"), 0, 1) == 0x2F)
+    own_v = F.coalesce(~wide, F.lit(True)) & F.col("l").isNull() & (F.length("v") >= 10) & (F.substring("v", 4, 3) == F.unhex(F.lit("9D012A")))
+    side = lambda at, shift, low: F.when(wide, _number(x, at, 3) + 1).when(own_l, F.shiftright(packed, shift).bitwiseAND(0x3FFF) + 1).when(own_v, _number(F.col("v"), low, 2).bitwiseAND(0x3FFF))
+    flag = lambda bit: F.coalesce(wide & (_number(x, 0, 1).bitwiseAND(bit) != 0), F.lit(False))
+    animated = flag(0x02)
+    alpha = flag(0x10) | F.coalesce(own_l & (F.shiftright(packed, 28).bitwiseAND(1) == 1), F.lit(False)) | (F.col("l").isNull() & F.col("v").isNotNull() & F.col("alph"))
+    encoding = F.when(F.col("l").isNotNull(), "VP8L (lossless)").when(F.col("v").isNotNull(), "VP8 (lossy)").when(animated, F.concat(F.lit("Animated, "), F.col("frames").cast("string"), F.lit(" frame(s)"))).otherwise("Unknown")
+    return seen.select("file_id", side(4, 0, 6).alias("width"), side(7, 14, 8).alias("height"), alpha.alias("has_alpha"), animated.alias("animated"), F.col("frames").cast("int").alias("frames"), encoding.alias("encoding"))
 
 
 def _byte(n: Column) -> Column:
@@ -60,11 +87,18 @@ def assemble(rows: DataFrame) -> DataFrame:
     clear = sum((F.when(F.array_contains("types", k), 0).otherwise(bit) for k, bit in FLAGS.items()), F.lit(0))
     flags = lambda x: F.conv(F.hex(F.substring(x["data"], 1, 1)), 16, 10).cast("int")
     fixed = lambda x: F.when((x["type"] == "VP8X") & (F.length(x["data"]) > 0), F.concat(F.substring(x["raw"], 1, 8), _byte(flags(x).bitwiseAND(F.bitwise_not(F.col("clear")))), F.substring(x["raw"], F.lit(10), F.length(x["raw"])))).otherwise(x["raw"])
-    joined = held.withColumn("clear", clear).select("file_id", F.aggregate(F.transform("parts", fixed), F.lit(b"WEBP"), lambda a, x: F.concat(a, x)).alias("body"))
+    joined = held.withColumn("clear", clear).select("file_id", F.concat(F.lit(b"WEBP"), binary.joined(F.transform("parts", fixed))).alias("body"))
     return joined.select("file_id", F.concat(F.lit(b"RIFF"), _little(F.length("body")), F.col("body")).alias("content"))
 
 
 def clean(files: DataFrame, policy: DataFrame) -> DataFrame:
-    """Files without the chunks whose category the policy removes."""
+    """Files without the chunks whose category the policy removes; a packet that stays loses what else is removed in it."""
     # the policy has nine rows whatever the input
-    return assemble(chunks(files).join(F.broadcast(policy.where("remove")), "category", "left_anti"))
+    removed = frozenset(r["category"] for r in policy.where("remove").collect())
+    rows = chunks(files)
+    rows = rows.where(~F.col("category").isin(*removed)) if removed else rows
+    if removed & {"ai", "c2pa"}:
+        found = text.utf8(xmp.packet(F.when(F.col("category") == "xmp", F.col("data"))))
+        fresh = xmp.stripped(found, removed)
+        rows = rows.withColumn("data", F.when(fresh != found, fresh.cast("binary")).otherwise(F.col("data")))
+    return assemble(rows)
