@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions import captions, labels, settings, signals
 from shutterlake.functions.graphs import graph_settings
+from shutterlake.sources import walk
 
 FIELDS = ["prompt", "negative", "seed", "steps", "cfg", "sampler", "scheduler", "model", "checkpoint", "vae", "clip_skip", "size", "version"]
 
@@ -107,7 +108,7 @@ def detect(sources: DataFrame) -> DataFrame:
     text, key, v = F.col("text"), F.col("key"), F.col("_v")
     parsed = sources.withColumn("_v", F.when(F.trim(text).startswith("{"), F.try_parse_json(text)))
     found = F.coalesce(_graph(text), _novelai(v), _fooocus(v, key), _invoke(v, key), _block(text), _caption(text), _swarm(v), _unnamed(text, key))
-    return parsed.select("file_id", "ord", "bytes", found.alias("finding")).where("finding is not null")
+    return walk.settled(parsed.select("file_id", "ord", "bytes", found.alias("finding"))).where("finding is not null")
 
 
 def findings(sources: DataFrame) -> DataFrame:

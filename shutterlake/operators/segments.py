@@ -70,12 +70,6 @@ def progress(files: DataFrame) -> DataFrame:
     return files.agg(F.coalesce(F.avg(share), F.lit(0.0)).alias("progress"), F.coalesce(F.sum("bytes_removed"), F.lit(0)).alias("bytes_removed"))
 
 
-def retry(files: DataFrame) -> DataFrame:
-    """The queue with its failed files ready again: no error, no progress."""
-    failed = F.col("status") == "failed"
-    return files.withColumn("status", F.when(failed, "ready").otherwise(F.col("status"))).withColumn("progress", F.when(failed, 0.0).otherwise(F.col("progress")))
-
-
 def chips(found: DataFrame, limit: int, *order: Column) -> DataFrame:
     """The first ``limit`` labels of each file, and how many more there are."""
     file = Window.partitionBy("file_id")

@@ -43,3 +43,12 @@ def rows_of(files: DataFrame, walk: Callable[[bytes], Iterable[tuple]], columns:
             yield gathered()
 
     return files.select(*names, "content").mapInArrow(run, ddl)
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """The same rows, with their columns computed once.
+
+    The optimiser copies a long expression into every filter and field that uses it;
+    behind this step it plans with plain columns.
+    """
+    return rows.mapInArrow(lambda batches: batches, rows.schema)

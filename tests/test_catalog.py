@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from shutterlake.plans import catalog, media  # noqa: F401
+from shutterlake.plans import catalog, media, report  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
