@@ -12,13 +12,13 @@ may have substitutions, of which one part must be untouched.
 A word is a run of letters and digits; in scripts without spaces each character
 is one.
 
-Seeds are met by a join. The documents' side of it is kept small by a bitmap of
-the benchmark's seed hashes (a fixed size, at most 2**28 bits, whatever the
-benchmark has): a place whose seed isn't in it is not emitted. What passes goes
+Seeds are met by a join. The documents' side of it is kept small by two bitmaps of
+the benchmark's seed hashes (at most 2**28 bits each, whatever the benchmark
+has): a place whose seed isn't in both is not emitted. What passes goes
 out as segments, the words around hits, once for each text however often it is
 repeated; per segment and seed there is one row with all its places, joined with
 one row per seed and item, so repetitive texts never multiply their places as
-rows. Nothing of the benchmark but the bitmap and the lengths of short seeds
+rows. Nothing of the benchmark but the bitmaps and the lengths of short seeds
 passes through the driver.
 
 Nulls and edge cases: a null or empty text is clean; null items and items of
@@ -46,7 +46,7 @@ MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 _DENSE = "\u3005-\u3007\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ecd\u1000-\u103f\u1050-\u109d\u1780-\u17d3"
 _WORD = re.compile(rf"[{_DENSE}]|[^\W_{_DENSE}]+")
 _SPACED, _HAS_DENSE = re.compile(r"[^\W_]+"), re.compile(f"[{_DENSE}]")
-_LEAST_BITS, _MOST_BITS = 22, 28
+_LEAST_BITS, _MOST_BITS = 24, 28
 
 
 def words_of(text: str) -> list[str]:
@@ -131,18 +131,24 @@ def _items(benchmark: DataFrame, similarity: float, window: int, min_words: int)
     return materialize(rows.mapInArrow(run, "item long, item_id long, words array<long>, lengths array<long>, seeds array<struct<seed: long, at: array<long>>>"), "items")
 
 
-def _bitmap(seeds: DataFrame) -> tuple[np.ndarray, int]:
-    """One bit for each value of the seeds' top bits; at most 2**28 bits (32 MB) reach the driver."""
+def _bitmaps(seeds: DataFrame) -> tuple[list[np.ndarray], int]:
+    """One bit for each value of the seeds' top bits, and of their low bits; at most twice 2**28 bits (32 MB) reach the driver."""
     n = seeds.agg(F.approx_count_distinct("seed")).first()[0]
-    bits = min(_MOST_BITS, max(_LEAST_BITS, (16 * n).bit_length()))
-    top = F.shiftrightunsigned("seed", 64 - bits) + 1
-    chunks = seeds.select(F.bitmap_bucket_number(top).alias("chunk"), F.bitmap_bit_position(top).alias("bit"))
-    out = np.zeros(1 << bits >> 3, np.uint8)
-    for r in chunks.groupBy("chunk").agg(F.bitmap_construct_agg("bit").alias("bitmap")).collect():
-        raw = np.frombuffer(r["bitmap"], np.uint8)
-        lo = (r["chunk"] - 1) * len(raw)
-        out[lo : lo + len(raw)] = raw[: len(out) - lo]
-    return out, bits
+    bits = min(_MOST_BITS, max(_LEAST_BITS, (64 * n).bit_length()))
+    found = []
+    for value in (F.shiftrightunsigned("seed", 64 - bits), F.col("seed").bitwiseAND((1 << bits) - 1)):
+        chunks = seeds.select(F.bitmap_bucket_number(value + 1).alias("chunk"), F.bitmap_bit_position(value + 1).alias("bit"))
+        out = np.zeros(1 << bits >> 3, np.uint8)
+        for r in chunks.groupBy("chunk").agg(F.bitmap_construct_agg("bit").alias("bitmap")).collect():
+            raw = np.frombuffer(r["bitmap"], np.uint8)
+            lo = (r["chunk"] - 1) * len(raw)
+            out[lo : lo + len(raw)] = raw[: len(out) - lo]
+        found.append(out)
+    return found, bits
+
+
+def _set_in(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(bitmap[values >> np.uint64(3)] >> (values & np.uint64(7)).astype(np.uint8) & 1)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -157,10 +163,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, win
     """
     items = _items(benchmark, similarity, window, min_words)
     bench = materialize(items.select("item", F.explode("seeds").alias("s")).select("s.seed", "item", F.col("s.at").alias("places")), "seeds")
-    maybe, bits = _bitmap(bench)
+    (high, low), bits = _bitmaps(bench)
     lengths = sorted(r[0] for r in items.select(F.explode("lengths")).distinct().collect())  # 1 to 12
     masks = [*MASKS, *(tuple(range(n)) for n in lengths)]
-    shift, around = np.uint64(64 - bits), max(window, WINDOW)
+    shift, below, around = np.uint64(64 - bits), np.uint64((1 << bits) - 1), max(window, WINDOW)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -175,8 +181,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, win
                 seeds, at = [], []
                 for m in masks:
                     h = seed_hashes(words, m)
-                    top = h >> shift
-                    on = np.flatnonzero(maybe[top >> np.uint64(3)] >> (top & np.uint64(7)).astype(np.uint8) & 1)
+                    on = _set_in(high, h >> shift)
+                    on = on[_set_in(low, h[on] & below)]
                     seeds.append(h[on])
                     at.append(on)
                 seeds, at = np.concatenate(seeds), np.concatenate(at)
