@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import materialize, texts_of
+from shutterlake.llm.common import group_starts, materialize, texts_of
 
 WINDOW, MIN_WORDS = 13, 5
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
@@ -200,12 +200,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, win
     def shifts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Distinct shifts of each row; a product of places only here, in slices."""
         for b in batches:
-            keys = list(zip(*(b[c].to_pylist() for c in ("_h1", "_h2", "start", "item")), strict=True))
-            for k, at, places in zip(keys, b["at"], b["places"], strict=True):
-                at, places = at.values.to_numpy(), places.values.to_numpy()
-                step = max(1, 1_000_000 // len(places))
-                got = np.unique(np.concatenate([np.unique(at[lo : lo + step, None] - places) for lo in range(0, len(at), step)]))
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(got), x, np.int64)) for x in k), pa.array(got)], names=["_h1", "_h2", "start", "item", "shift"])
+            keys = [b[c].to_numpy() for c in ("_h1", "_h2", "start", "item")]
+            at, places = b["at"].flatten().to_numpy(), b["places"].flatten().to_numpy()
+            n, m = (b[c].value_lengths().to_numpy().astype(np.int64) for c in ("at", "places"))
+            lo, plo = group_starts(n), group_starts(m)
+            one = np.flatnonzero((n == 1) & (m == 1))
+            rows, got = [one], [at[lo[one]] - places[plo[one]]]
+            for k in np.flatnonzero((n > 1) | (m > 1)).tolist():
+                own, of = at[lo[k] : lo[k] + n[k]], places[plo[k] : plo[k] + m[k]]
+                step = max(1, 1_000_000 // len(of))
+                found = np.unique(np.concatenate([np.unique(own[x : x + step, None] - of) for x in range(0, len(own), step)]))
+                rows.append(np.full(len(found), k))
+                got.append(found)
+            of = np.concatenate(rows)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[of]) for x in keys), pa.array(np.concatenate(got).astype(np.int64))], names=["_h1", "_h2", "start", "item", "shift"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
