@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shutterlake.operators import report, segments
 from shutterlake.plans.catalog import query, read
 from shutterlake.plans.media import _big, _bytes, _files, _hex, _key
-from shutterlake.sources import container, jpeg, png
+from shutterlake.sources import container, jpeg, png, walk
 
 
 def _chunk(kind: bytes, data: Column) -> Column:
@@ -33,7 +33,7 @@ def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     web = _bytes(b"RIFF", _little(F.octet_length(body)), body)
     pick = F.col("p_partkey") % 4
     content = F.when(pick == 0, jpg).when(pick == 1, pic).when(pick == 2, web).otherwise(_bytes(b"GIF89a", name, bytes(12)))
-    return _files(read(spark, sf_dir, "part"), "p_partkey", content)
+    return walk.settled(_files(read(spark, sf_dir, "part"), "p_partkey", content))
 
 
 _TEXT = "strlen(p_name) + 11 + 12"
