@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.operators import report, segments
+from shutterlake import dims
+from shutterlake.operators import cleaning, report, segments
 from shutterlake.plans.catalog import query, read
 from shutterlake.plans.media import _big, _bytes, _files, _hex, _key
-from shutterlake.sources import container, jpeg, png, walk
+from shutterlake.sources import container, heif, heif_write, jpeg, png, walk
 
 
 def _chunk(kind: bytes, data: Column) -> Column:
@@ -51,6 +52,52 @@ def category_breakdown(spark, sf_dir):
     return _key(report.breakdown(container.parts(_mixed(spark, sf_dir))).select("file_id", "category", "bytes"), "p_partkey")
 
 
+# bytes before and after: what stands around the texts, then the texts
+_JPEG = "20 + 25 + strlen(p_name) + 4"
+_PNG = f"8 + 25 + ({_TEXT}) + (strlen(p_type) + 6 + 12) + 12"
+_WEBP = f"12 + 18 + (8 + strlen(p_name) + strlen(p_name) % 2) + ({_EXIF})"
+
+
+@query(f"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' WHEN 2 THEN 'webp' ELSE 'gif' END AS format, CASE p_partkey % 4 WHEN 0 THEN {_JPEG} WHEN 1 THEN {_PNG} WHEN 2 THEN {_WEBP} ELSE 18 + strlen(p_name) END AS original_size, CASE p_partkey % 4 WHEN 0 THEN {_COMMENT} WHEN 1 THEN {_TEXT} + strlen(p_type) + 6 + 12 WHEN 2 THEN {_EXIF} END AS bytes_removed, CASE WHEN p_partkey % 4 = 3 THEN 'unsupported-format' END AS error FROM part")
+def cleaned_files(spark, sf_dir):
+    return _key(cleaning.clean(_mixed(spark, sf_dir), dims.removed()).select("file_id", "format", "original_size", "bytes_removed", "error"), "p_partkey")
+
+
+@query(f"SELECT p_partkey, unnest(CASE p_partkey % 4 WHEN 0 THEN ['comment'] WHEN 1 THEN ['ai', 'comment'] ELSE ['exif'] END) AS category, unnest(CASE p_partkey % 4 WHEN 0 THEN [{_COMMENT}] WHEN 1 THEN [{_TEXT}, strlen(p_type) + 6 + 12] ELSE [{_EXIF}] END) AS bytes_before, unnest(CASE p_partkey % 4 WHEN 0 THEN [{_COMMENT}] WHEN 1 THEN [0, strlen(p_type) + 6 + 12] ELSE [0] END) AS bytes_after FROM part WHERE p_partkey % 4 < 3")
+def verified_files(spark, sf_dir):
+    files = _mixed(spark, sf_dir)
+    return _key(cleaning.verified(files, cleaning.clean(files, frozenset(["exif", "ai"]))).select("file_id", "category", "bytes_before", "bytes_after"), "p_partkey")
+
+
+def _box(kind: bytes, *parts: Column | bytes) -> Column:
+    body = _bytes(*parts)
+    return _bytes(_big(F.octet_length(body) + 8), kind, body)
+
+
+def _avif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per part: a picture item of its name behind an EXIF item of its type."""
+    name, tags = F.col("p_name"), _bytes(bytes(4), F.col("p_type"))
+    start = 24 + 130 + 8
+    place = lambda item, at, data: _bytes(_big(item, 2), bytes(4), _big(1, 2), _big(at), _big(F.octet_length(data)))
+    iloc = _box(b"iloc", b"\1\0\0\0\x44\0", _big(2, 2), place(1, F.lit(start) + F.octet_length(tags), name), place(2, start, tags))
+    entry = lambda item, kind: _box(b"infe", b"\2\0\0\0", _big(item, 2), bytes(2), kind, bytes(1))
+    meta = _box(b"meta", bytes(4), _box(b"pitm", bytes(4), _big(1, 2)), iloc, _box(b"iinf", bytes(4), _big(2, 2), entry(1, b"av01"), entry(2, b"Exif")))
+    content = _bytes(_box(b"ftyp", b"avif", bytes(4), b"avifmif1"), meta, _box(b"mdat", tags, name))
+    return walk.settled(_files(read(spark, sf_dir, "part"), "p_partkey", content))
+
+
+@query("SELECT p_partkey, 162 + strlen(p_name) + 4 + strlen(p_type) AS original_size, 125 + strlen(p_name) AS cleaned_size, 'exif' AS lost, 4 + strlen(p_type) AS lost_bytes, p_name AS picture, 1 AS items FROM part")
+def avif_cleaned(spark, sf_dir):
+    files = _avif(spark, sf_dir)
+    # written files are read again: the picture by its new place
+    fresh = heif_write.clean(files, dims.removed())
+    place = heif.items(fresh.select("file_id", "content")).groupBy("file_id").agg(F.count("*").alias("items"), F.min_by(F.col("extents")[0], F.when(F.col("is_primary"), F.col("ord"))).alias("at"))
+    sizes = files.select("file_id", F.length("content").alias("original_size"))
+    seen = F.substring("content", F.col("at.offset").cast("int") + 1, F.col("at.length").cast("int")).cast("string")
+    rows = fresh.join(place, "file_id").join(sizes, "file_id")
+    return _key(rows.select("file_id", "original_size", F.length("content").alias("cleaned_size"), F.col("lost")[0]["category"].alias("lost"), F.col("lost")[0]["bytes"].alias("lost_bytes"), seen.alias("picture"), "items"), "p_partkey")
+
+
 _LOST = "SELECT user_id AS file_id, event_type AS category, CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS bytes, count(*) AS n FROM events WHERE value > 50 GROUP BY 1, 2 HAVING n > 0"
 
 
