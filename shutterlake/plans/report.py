@@ -9,7 +9,7 @@ from shutterlake import dims
 from shutterlake.operators import cleaning, report, segments
 from shutterlake.plans.catalog import query, read
 from shutterlake.plans.media import _big, _bytes, _files, _hex, _key
-from shutterlake.sources import container, heif, heif_write, jpeg, png, walk
+from shutterlake.sources import container, heif, heif_write, jpeg, png, png_encode, walk
 
 
 def _chunk(kind: bytes, data: Column) -> Column:
@@ -128,3 +128,18 @@ def queue_progress(spark, sf_dir):
 def first_chips(spark, sf_dir):
     found = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file_id"), F.col("o_orderpriority").alias("label"), "o_orderkey")
     return segments.chips(found, 4, F.col("o_orderkey")).select("file_id", "label", "place", "more")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 20 THEN 20 ELSE p_size END AS width, CASE WHEN p_size > 20 THEN CAST(greatest(1, floor(5 * (20.0 / p_size) + 0.5)) AS BIGINT) ELSE 5 END AS height, CASE WHEN p_partkey % 9 < 3 THEN ['jpeg', 'png', 'webp'][1 + p_partkey % 9] ELSE 'png' END AS format, p_partkey % 9 >= 3 AS substituted FROM part")
+def rebuild_targets(spark, sf_dir):
+    source = F.element_at(F.array(*(F.lit(f) for f, _, _ in dims.FORMATS)), (F.col("p_partkey") % 9 + 1).cast("int"))
+    size = png_encode.target_size(F.col("p_size"), F.lit(5), 20)
+    return read(spark, sf_dir, "part").select("p_partkey", size.alias("size"), png_encode.target_format(F.lit("original"), source).alias("to")).select("p_partkey", "size.*", "to.*")
+
+
+@query("SELECT p_partkey, CAST(p_size AS BIGINT) AS width, CAST(2 AS BIGINT) AS height, p_partkey % 2 = 0 AS has_alpha FROM part")
+def png_encoded(spark, sf_dir):
+    # pixels repeat the part's name; the written file is walked again
+    pixels = F.substring(F.repeat(F.concat("p_name", F.lit("    ")), F.col("p_size") * 2), F.lit(1), F.col("p_size") * 8).cast("binary")
+    pictures = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("file_id"), pixels.alias("pixels"), F.col("p_size").alias("width"), F.lit(2).alias("height"), (F.col("p_partkey") % 2 == 0).alias("alpha"))
+    return _key(png.headers(png.chunks(png_encode.encode(pictures))).select("file_id", "width", "height", "has_alpha"), "p_partkey")
