@@ -58,9 +58,11 @@ _PNG = f"8 + 25 + ({_TEXT}) + (strlen(p_type) + 6 + 12) + 12"
 _WEBP = f"12 + 18 + (8 + strlen(p_name) + strlen(p_name) % 2) + ({_EXIF})"
 
 
-@query(f"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' WHEN 2 THEN 'webp' ELSE 'gif' END AS format, CASE p_partkey % 4 WHEN 0 THEN {_JPEG} WHEN 1 THEN {_PNG} WHEN 2 THEN {_WEBP} ELSE 18 + strlen(p_name) END AS original_size, CASE p_partkey % 4 WHEN 0 THEN {_COMMENT} WHEN 1 THEN {_TEXT} + strlen(p_type) + 6 + 12 WHEN 2 THEN {_EXIF} END AS bytes_removed, CASE WHEN p_partkey % 4 = 3 THEN 'unsupported-format' END AS error FROM part")
+@query(f"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' WHEN 2 THEN 'webp' ELSE 'gif' END AS format, CASE p_partkey % 4 WHEN 0 THEN {_JPEG} WHEN 1 THEN {_PNG} WHEN 2 THEN {_WEBP} ELSE 18 + strlen(p_name) END AS original_size, CASE p_partkey % 4 WHEN 0 THEN {_COMMENT} WHEN 1 THEN {_TEXT} + strlen(p_type) + 6 + 12 WHEN 2 THEN {_EXIF} ELSE 0 END AS bytes_removed, CASE WHEN p_partkey % 4 = 3 THEN 'unsupported-format' END AS error FROM part")
 def cleaned_files(spark, sf_dir):
-    return _key(cleaning.clean(_mixed(spark, sf_dir), dims.removed()).select("file_id", "format", "original_size", "bytes_removed", "error"), "p_partkey")
+    done = cleaning.clean(_mixed(spark, sf_dir), dims.removed())
+    # files that were not written removed nothing; `error` tells them apart
+    return _key(done.select("file_id", "format", "original_size", F.coalesce("bytes_removed", F.lit(0)).alias("bytes_removed"), "error"), "p_partkey")
 
 
 @query(f"SELECT p_partkey, unnest(CASE p_partkey % 4 WHEN 0 THEN ['comment'] WHEN 1 THEN ['ai', 'comment'] ELSE ['exif'] END) AS category, unnest(CASE p_partkey % 4 WHEN 0 THEN [{_COMMENT}] WHEN 1 THEN [{_TEXT}, strlen(p_type) + 6 + 12] ELSE [{_EXIF}] END) AS bytes_before, unnest(CASE p_partkey % 4 WHEN 0 THEN [{_COMMENT}] WHEN 1 THEN [0, strlen(p_type) + 6 + 12] ELSE [0] END) AS bytes_after FROM part WHERE p_partkey % 4 < 3")
