@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.llm import decontaminate, html, language, media, packing, pii, simhash, suffix_dedup, token_store, toxicity
+from shutterlake.llm import decontaminate, html, language, media, packing, pii, prefix_trie, simhash, suffix_dedup, token_store, toxicity
 from shutterlake.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, held_out=0)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations")).select(*prefix_trie.NODE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -69,5 +73,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_columns": op8_media_columns,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+#: crc32 bit by bit, since DuckDB has none; then prefixes as strings of fixed-width turn names.
+_TRIE_SQL = """
+WITH named AS (
+    SELECT conv_id AS c, md5(md5(coalesce(role, '')) || coalesce(text, '')) AS m, strlen(coalesce(text, '')) AS size,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(md5(coalesce(role, '')) || coalesce(text, ''))) - 1 AS i
+    FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+    SELECT c, c - c % 5 AS base, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(c::VARCHAR) + 1), lambda k: ord(substr(c::VARCHAR, k, 1))::BIGINT)),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))) % 9 AS h
+    FROM (SELECT DISTINCT c FROM named)
+), rebuilt AS (
+    SELECT convs.c, named.i, m, size FROM convs JOIN named ON named.c = convs.base AND named.i < h
+    UNION ALL SELECT convs.c, named.i + 1000000, m, size FROM convs JOIN named ON named.c = convs.c AND named.i >= h
+), steps AS (
+    SELECT c, row_number() OVER w AS d, string_agg(m, '') OVER w AS key, size FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY i)
+), every AS (
+    SELECT c, d, key, size FROM steps UNION ALL SELECT c, 0, '', 0 FROM convs
+), lengths AS (
+    SELECT c, max(d) AS depth FROM every GROUP BY c
+), nodes AS (
+    SELECT key, d AS depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS own, sha256(coalesce(string_agg(c, ',' ORDER BY c) FILTER (every.d = lengths.depth), '')) AS ends_sha256
+    FROM every JOIN lengths USING (c) GROUP BY key, d
+), kids AS (
+    SELECT substr(key, 1, length(key) - 32) AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), under AS (
+    SELECT substr(n.key, 1, 32 * up) AS key, sum(own) AS saved, count(*) FILTER (kids.n IS NULL) AS leaves
+    FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM nodes) AS n LEFT JOIN kids USING (key) GROUP BY 1
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, under.leaves AS n_leaves, under.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes AS n LEFT JOIN nodes AS p ON n.depth > 0 AND p.key = substr(n.key, 1, length(n.key) - 32) LEFT JOIN kids ON kids.key = n.key JOIN under ON under.key = n.key
+"""
+ORACLE_SQL: dict[str, str] = {"op13_prefix_trie": _TRIE_SQL}
