@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.llm import decontaminate, html, language, media, packing, pii, prefix_trie, simhash, suffix_dedup, token_store, toxicity
+from shutterlake.llm import decontaminate, html, language, license_scan, media, packing, pii, prefix_trie, simhash, source_divergence, suffix_dedup, token_store, toxicity
 from shutterlake.llm.common import table
 
 
@@ -58,6 +58,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, held_out=0)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, sf_dir, "documents"), least_docs=3, most_terms=200)
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.nodes(table(spark, sf_dir, "conversations")).select(*prefix_trie.NODE)
 
@@ -73,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_columns": op8_media_columns,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_license_scan": op12_license_scan,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -107,4 +117,44 @@ WITH named AS (
 SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, under.leaves AS n_leaves, under.saved::BIGINT AS saved_tokens, n.ends_sha256
 FROM nodes AS n LEFT JOIN nodes AS p ON n.depth > 0 AND p.key = substr(n.key, 1, length(n.key) - 32) LEFT JOIN kids ON kids.key = n.key JOIN under ON under.key = n.key
 """
-ORACLE_SQL: dict[str, str] = {"op13_prefix_trie": _TRIE_SQL}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _license_sql() -> str:
+    """Every block of every text against every template, without filters."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    words = [(t, label, sorted({w.decode() for w in license_scan.words_of(text)})) for t, (label, text) in enumerate(license_scan.TEMPLATES)]
+    templates = ", ".join(f"({t}, {quoted(label)}, {len(ws)}, {license_scan.least_overlap(len(ws), license_scan.THRESHOLD)}, {quoted(w)})" for t, label, ws in words for w in ws)
+    phrases = " ".join(f"WHEN {' AND '.join(f'w{i} = {quoted(w)}' for i, w in enumerate(p.split()))} THEN {quoted(label)}" for p, label in license_scan.PHRASES.items())
+    step, names = license_scan.STRIDE, lambda x: f"coalesce(array_to_string(list_sort(list_distinct({x})), ','), '')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+p AS (SELECT r, unnest(ws) AS w0, generate_subscripts(ws, 1) - 1 AS i, greatest(len(ws) - {step + 1}, 0) // {step} AS last FROM d),
+q AS (SELECT r, i, w0, {', '.join(f'lead(w0, {k}) OVER o AS w{k}' for k in (1, 2, 3))} FROM p WINDOW o AS (PARTITION BY r ORDER BY i)),
+b AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(label) AS ls FROM (SELECT r, i, CASE {phrases} END AS label FROM q) WHERE label IS NOT NULL GROUP BY r),
+t(t, label, n, least, w0) AS (VALUES {templates}),
+k AS (SELECT r, w0, least(i // {step}, last) AS k FROM p UNION SELECT r, w0, least(greatest(i // {step} - 1, 0), last) FROM p),
+m AS (SELECT r, list(label) AS ls, max(c / n::DOUBLE) AS best FROM (SELECT r, k, t, any_value(label) AS label, any_value(n) AS n, any_value(least) AS o, count(*) AS c FROM k JOIN t USING (w0) GROUP BY r, k, t) WHERE c >= o GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, {names('b.ls')} AS base_labels, {names("list_concat(coalesce(b.ls, []), coalesce(m.ls, []))")} AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN b USING (r) LEFT JOIN m USING (r)
+"""
+
+
+_DIVERGENCE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+o AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::BIGINT AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS kept FROM k GROUP BY ALL),
+t AS (SELECT lang, sum(n)::BIGINT AS total FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + 1000000000 * (coalesce(n, 0) + 1) // (total + kept) AS p FROM g JOIN k USING (lang) JOIN s USING (lang, source) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + 1000000000 * (sum(n)::BIGINT + 1) // (any_value(total) + any_value(kept)) AS q FROM c JOIN t USING (lang) JOIN v USING (lang) GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0)::BIGINT AS value FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN p AS x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p AS y ON y.lang = a.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+terms AS (SELECT p.lang, p.source, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pairs
+UNION ALL (SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM terms QUALIFY rank <= 200)
+"""
+ORACLE_SQL: dict[str, str] = {"op11_source_divergence": _DIVERGENCE_SQL, "op12_license_scan": _license_sql(), "op13_prefix_trie": _TRIE_SQL}

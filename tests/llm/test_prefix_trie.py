@@ -2,11 +2,11 @@ import hashlib
 import random
 import zlib
 
-import duckdb
 import numpy as np
 import pytest
 
 from shutterlake.llm import prefix_trie, queries
+from tests.llm.oracle import same_as_sql
 
 SCHEMA = "conv_id long, turn long, role string, text string, key string"
 
@@ -103,12 +103,4 @@ def test_double_array_walks():
 
 
 def test_query_equals_sql(spark):
-    folder = "/root/testdata/sf0.001"
-    got = queries.op13_prefix_trie(spark, folder)
-    with duckdb.connect() as db:
-        db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet'")
-        want = db.execute(queries.ORACLE_SQL["op13_prefix_trie"])
-        names = [c[0] for c in want.description]
-        rows = want.fetchall()
-    assert sorted(names) == sorted(prefix_trie.NODE)
-    assert sorted(map(str, rows)) == sorted(str(tuple(r[n] for n in names)) for r in got.collect())
+    same_as_sql(spark, "op13", queries.op13_prefix_trie, queries.ORACLE_SQL["op13_prefix_trie"], "/root/testdata/sf0.001", ["conversations"])
