@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.llm.common import materialize
 
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 #: Sources compared at once, and blocks of sums that a task holds before it hands them on.
 _SOURCES, _BLOCKS = 512, 32
 _FEW = 64
@@ -112,8 +112,8 @@ def counted(data: np.ndarray, cuts: np.ndarray, group: np.ndarray) -> tuple[np.n
     key, at, inverse = np.unique(run_of * groups + group[doc_of], return_index=True, return_inverse=True)
     occurrences = np.bincount(inverse, times, len(key)).astype(np.int64)
     where = first[at]
-    raw = data.tobytes()
-    return key % groups, occurrences, np.bincount(inverse, minlength=len(key)), [raw[s : s + z] for s, z in zip(starts[where].tolist(), sizes[where].tolist(), strict=True)]
+    raw = memoryview(data)
+    return key % groups, occurrences, np.bincount(inverse, minlength=len(key)), [raw[s : s + z].tobytes() for s, z in zip(starts[where].tolist(), sizes[where].tolist(), strict=True)]
 
 
 _TERMS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
@@ -122,8 +122,9 @@ _TERMS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.
 def _sorted_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     groups: set[tuple[str, str]] = set()
     for batch in batches:
-        text = batch["text"].cast(pa.large_string())
-        offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        text = batch["text"]
+        wide = np.int64 if pa.types.is_large_string(text.type) else np.int32
+        offsets = np.frombuffer(text.buffers()[1], wide)[text.offset : text.offset + len(text) + 1].astype(np.int64)
         raw = np.frombuffer(text.buffers()[2] or b"", np.uint8)
         labels = pa.StructArray.from_arrays([batch["lang"], batch["source"]], ["lang", "source"]).to_pylist()
         lo = 0
