@@ -4,19 +4,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, MapType, StringType, StructField, StructType
-
-from shutterlake.functions import captions, labels
-
 #: A line with two of these keys is a settings line.
 KNOWN = frozenset(["steps", "sampler", "cfg scale", "seed", "size", "model", "model hash", "scheduler", "denoising strength", "clip skip", "version", "guidance", "distilled cfg scale"])
 _NEGATIVE = "Negative prompt:"
 # a quoted run (to the end if it is not closed), an opening, a closing, a comma, or other text
 _PIECE = re.compile(r"""("(?:[^"]|(?<=\\)")*(?:"|\Z)|'(?:[^']|(?<=\\)')*(?:'|\Z))|([\[({])|([\])}])|(,)|[^"'\[({\])},]+""")
-_FOUND = StructType([StructField("at", IntegerType()), StructField("pairs", MapType(StringType(), StringType()))])
 
 
 def split(line: str) -> list[str]:
@@ -44,41 +36,32 @@ def pairs(line: str) -> dict[str, str]:
     return found
 
 
-@F.pandas_udf(_FOUND)
-def _last_line(texts: pd.Series) -> pd.DataFrame:
-    def one(text: str | None) -> tuple[int | None, dict | None]:
-        lines = (text or "").split("\n")
-        for at in range(len(lines) - 1, -1, -1):
-            found = pairs(lines[at]) if ":" in lines[at] else {}
-            if len(KNOWN & found.keys()) >= 2:
-                return at, found
-        return None, None
+def _settings_line(text: str | None) -> tuple[int | None, dict | None]:
+    lines = (text or "").replace("\r\n", "\n").strip(" \t\n\x0b\f\r").split("\n")
+    for at in range(len(lines) - 1, -1, -1):
+        found = pairs(lines[at]) if ":" in lines[at] else {}
+        if len(KNOWN & found.keys()) >= 2:
+            return at, found
+    return None, None
+
 
-    return pd.DataFrame([one(t) for t in texts], columns=["at", "pairs"], index=texts.index).astype({"at": "Int32"})
+_NETS = re.compile(r"(?i)model:\s*([^,]+)")
+_TAGS = re.compile(r"<lora:([^:>]+)")
 
 
-def block(text: Column) -> Column:
-    """(prompt, negative, pairs, loras, control_nets) of a settings block; null without a settings line or a negative prompt."""
-    text = F.regexp_replace(F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"^\s+", ""), r"\s+\z", "")
-    lines, last = F.split(text, "\n"), _last_line(text)
-    p = last["pairs"]
-    numbered = F.transform(lines, lambda x, i: F.when(F.ltrim(x).startswith(_NEGATIVE), i))
-    negative = F.array_min(numbered)
-    upto = lambda n: F.array_join(F.slice(lines, F.lit(1), n), "\n")
-    prompt = F.trim(upto(F.coalesce(negative, last["at"], F.size(lines))))
-    until = F.when(last["at"] > negative, last["at"]).otherwise(F.size(lines))
-    behind = F.trim(F.array_join(F.slice(lines, negative + 1, until - negative), "\n"))
-    minus = F.trim(F.substring(behind, F.lit(len(_NEGATIVE) + 1), F.length(behind)))
-    hashes = F.coalesce(p["lora hashes"], p["loras"])
-    listed = F.filter(F.transform(F.split(hashes, ","), lambda x: F.trim(F.split_part(x, F.lit(":"), F.lit(1)))), lambda x: x != "")
-    empty = F.array().cast("array<string>")
-    nets = F.transform(F.map_entries(F.map_filter(p, lambda k, v: k.startswith("controlnet"))), lambda e: F.trim(F.coalesce(F.nullif(F.regexp_extract(e["value"], r"(?i)model:\s*([^,]+)", 1), F.lit("")), e["value"])))
-    found = F.struct(
-        labels.sanitize(F.nullif(prompt, F.lit("")), 8000).alias("prompt"),
-        labels.sanitize(F.nullif(minus, F.lit("")), 8000).alias("negative"),
-        F.coalesce(p, F.create_map().cast("map<string,string>")).alias("pairs"),
-        F.array_union(F.coalesce(listed, empty), F.transform(captions.lora_names(prompt), F.trim)).alias("loras"),
-        F.array_distinct(F.coalesce(nets, empty)).alias("control_nets"),
-        F.lower(F.concat_ws(" ", p["model"], p["module 1"], F.substring(text, 1, 400))).contains("flux").alias("flux"),
-    )
-    return F.when((text != "") & (last["at"].isNotNull() | negative.isNotNull()), found)
+def read(text: str) -> dict | None:
+    """prompt, negative, pairs, loras, control_nets and flux of a settings block; null without a settings line or a negative prompt."""
+    text = text.replace("\r\n", "\n").strip(" \t\n\x0b\f\r")
+    lines = text.split("\n")
+    at, found = _settings_line(text)
+    minus = next((i for i, line in enumerate(lines) if line.lstrip(" ").startswith(_NEGATIVE)), None)
+    if not text or (at is None and minus is None):
+        return None
+    p = found or {}
+    prompt = "\n".join(lines[: minus if minus is not None else at]).strip(" ")
+    behind = "" if minus is None else "\n".join(lines[minus : at if at is not None and at > minus else len(lines)]).strip(" ")
+    hashes = p.get("lora hashes", p.get("loras")) or ""
+    listed = [n for n in (x.split(":", 1)[0].strip() for x in hashes.split(",")) if n]
+    nets = [(m[1] if (m := _NETS.search(v)) else v).strip() for k, v in p.items() if k.startswith("controlnet")]
+    named = " ".join(filter(None, (p.get("model"), p.get("module 1"), text[:400]))).lower()
+    return {"prompt": prompt, "negative": behind[len(_NEGATIVE) :].strip(" "), "pairs": p, "loras": list(dict.fromkeys([*listed, *(t.strip() for t in _TAGS.findall(prompt))])), "control_nets": list(dict.fromkeys(nets)), "flux": "flux" in named}

@@ -94,7 +94,7 @@ def summary(xmp: Column) -> Column:
     )
 
 
-def _forms(name: str) -> str:
+def forms(name: str) -> str:
     n = re.escape(name)
     return rf"(?is)\s*<{n}(?:\s[^>]*)?/>|\s*<{n}(?:\s[^>]*)?>.*?</{n}>|\s+{n}\s*=\s*(?:\"[^\"]*\"|'[^']*')"
 
@@ -102,7 +102,7 @@ def _forms(name: str) -> str:
 def without(xmp: Column, *names: str) -> Column:
     """No property of these names, as element or attribute."""
     for name in names:
-        xmp = F.regexp_replace(xmp, _forms(name), "")
+        xmp = F.regexp_replace(xmp, forms(name), "")
     return xmp
 
 
@@ -110,25 +110,37 @@ def without_provenance(xmp: Column) -> Column:
     return without(xmp, *PROVENANCE)
 
 
-@F.pandas_udf(StringType())
-def _without_marked(texts: pd.Series) -> pd.Series:
-    """Shared properties go only where their own text has a signature; Spark's replace takes no condition."""
-    strong, weak = ([re.compile(p) for p in found] for found in (signals.STRONG, signals.WEAK))
-    shared = re.compile("|".join(f"(?:{_forms(n).removeprefix('(?is)')})" for n in SHARED), re.I | re.S)
-    source = re.compile(_forms("Iptc4xmpExt:DigitalSourceType"))
+_STRONG, _WEAK = ([re.compile(p) for p in found] for found in (signals.STRONG, signals.WEAK))
+_SHARED = re.compile("|".join(f"(?:{forms(n).removeprefix('(?is)')})" for n in SHARED), re.I | re.S)
+_SOURCE = re.compile(forms("Iptc4xmpExt:DigitalSourceType"))
+
+
+def without_marked(words: str) -> str:
+    """Shared properties go only where their own text has a signature."""
 
     def marked(m: re.Match) -> str:
         head = m[0][:20000]
-        return "" if any(p.search(head) for p in strong) or sum(bool(p.search(head)) for p in weak) > 1 else m[0]
+        return "" if any(p.search(head) for p in _STRONG) or sum(bool(p.search(head)) for p in _WEAK) > 1 else m[0]
+
+    return _SOURCE.sub(lambda m: "" if "algorithmicmedia" in m[0].lower() else m[0], _SHARED.sub(marked, words))
+
+
+@F.pandas_udf(StringType())
+def _without_marked(texts: pd.Series) -> pd.Series:
+    """Spark's replace takes no condition."""
+    return texts.map(lambda t: t if t is None else without_marked(t))
+
 
-    return texts.map(lambda t: t if t is None else source.sub(lambda m: "" if "algorithmicmedia" in m[0].lower() else m[0], shared.sub(marked, t)))
+def space(name: str) -> str:
+    """Every element of a name space."""
+    return rf"(?is)\s*<{name}:[\w.-]+(?:\s[^>]*)?(?:/>|>.*?</{name}:[\w.-]+>)"
 
 
 def without_generator(xmp: Column) -> Column:
     """No settings of a generator: marked shared properties, its source type, and its name spaces."""
     xmp = _without_marked(xmp)
-    for space in GENERATORS:
-        xmp = F.regexp_replace(xmp, rf"(?is)\s*<{space}:[\w.-]+(?:\s[^>]*)?(?:/>|>.*?</{space}:[\w.-]+>)", "")
+    for name in GENERATORS:
+        xmp = F.regexp_replace(xmp, space(name), "")
     return xmp
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,8 +14,7 @@ from shutterlake.sources import tiff
 
 #: Names of the eight orientations.
 ORIENTATIONS = ["Normal", "Mirrored horizontally", "Rotated 180°", "Mirrored vertically", "Mirrored horizontally, rotated 270°", "Rotated 90° clockwise", "Mirrored horizontally, rotated 90°", "Rotated 270° clockwise"]
-#: Text fields by directory kind and tag.
-TEXTS = {"make": ("ifd0", 271), "model": ("ifd0", 272), "software": ("ifd0", 305), "modified": ("ifd0", 306), "artist": ("ifd0", 315), "copyright": ("ifd0", 33432), "serial": ("ifd0", 50735), "taken": ("exif", 36867), "digitized": ("exif", 36868), "owner": ("exif", 42032), "body_serial": ("exif", 42033), "lens_make": ("exif", 42035), "lens_model": ("exif", 42036), "lens_serial": ("exif", 42037)}
+TEXTS = tiff.CAMERA_TEXTS
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
@@ -23,10 +22,9 @@ def _numbers(value: pd.Series, form: pd.Series, little: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else [float(x) for x in tiff.numbers_of(v, int(f), bool(e))] for v, f, e in zip(value, form, little, strict=True)])
 
 
-def _first(kind: str, tag: int, value: Column | str) -> Column:
-    """The value of the first such entry, by order in the file."""
-    hit = (F.col("kind") == kind) & (F.col("tag") == tag)
-    return F.min_by(value, F.when(hit, F.col("ord")))
+def _of_rows(kind: str, tag: int, field: str) -> Column:
+    """A field of the first such entry of a group of rows, by order in the file."""
+    return F.min_by(F.col(field), F.when((F.col("kind") == kind) & (F.col("tag") == tag), F.col("ord")))
 
 
 def _text(data: Column) -> Column:
@@ -38,69 +36,86 @@ def _with_numbers(rows: DataFrame, tags: Sequence[int]) -> DataFrame:
     return rows.withColumn("n", _numbers(F.when(wanted, F.col("value")), "type", "little"))
 
 
-def summary(rows: DataFrame) -> DataFrame:
-    """Camera, lens, dates, exposure and sizes per file."""
-    number = lambda kind, tag: F.get(_first(kind, tag, "n"), F.lit(0))
-    raw = _with_numbers(rows, (274, 33434, 33437, 34855, 37386, 514)).groupBy("file_id").agg(
-        F.count("*").alias("tag_count"),
-        F.first("little").alias("_little"),
-        *(_first(*at, "value").alias(name) for name, at in TEXTS.items()),
-        _first("ifd0", 270, "value").alias("_description"),
-        _first("ifd0", 40092, "value").alias("_xp"),
-        _first("exif", 37510, "value").alias("_comment"),
-        _first("exif", 37500, F.length("value")).alias("_maker"),
-        number("ifd0", 274).alias("_orientation"),
-        number("exif", 33434).alias("_exposure"),
-        number("exif", 33437).alias("_f"),
-        number("exif", 34855).alias("_iso"),
-        number("exif", 37386).alias("_focal"),
-        F.get(F.min_by("n", F.when((F.col("path") == "1") & (F.col("tag") == 514), F.col("ord"))), F.lit(0)).alias("_thumb"),
-    )
-    t = {name: _text(F.col(name)) for name in TEXTS}
-    s, o = F.col("_exposure"), F.col("_orientation").cast("int")
-    description = F.coalesce(_text(F.col("_description")), text.strip(text.utf16(F.col("_xp"), True)))
+def _camera_values() -> dict[str, Column]:
+    """What the summary needs of a group of entry rows."""
+    number = lambda kind, tag: F.get(_of_rows(kind, tag, "n"), F.lit(0))
+    own = {name: _of_rows(*at, "value") for name, at in (TEXTS | tiff.CAMERA_BYTES).items()} | {name: number(*at) for name, at in tiff.CAMERA_NUMBERS.items()}
+    thumb = F.min_by("n", F.when((F.col("path") == "1") & (F.col("tag") == 514), F.col("ord")))
+    return own | {"_maker": F.length(_of_rows("exif", 37500, "value")), "_thumb": F.get(thumb, F.lit(0)), "_little": F.first("little"), "tag_count": F.count("*")}
+
+
+def _camera(c: Callable[[str], Column]) -> list[Column]:
+    """Camera, lens, dates, exposure and sizes from the values by name."""
+    t = {name: _text(c(name)) for name in TEXTS}
+    s, o = c("_exposure"), c("_orientation").cast("int")
+    description = F.coalesce(_text(c("_description")), text.strip(text.utf16(c("_xp"), True)))
     exposure = F.when(s >= 1, F.concat(labels.short(s, 2), F.lit(" s"))).when(s > 0, F.concat(F.lit("1/"), F.floor(1 / s + 0.5).cast("string"), F.lit(" s")))
-    return raw.select(
-        "file_id",
-        "tag_count",
-        F.when(F.col("_little"), "little").otherwise("big").alias("byte_order"),
+    return [
+        c("tag_count").alias("tag_count"),
+        F.when(c("_little"), "little").otherwise("big").alias("byte_order"),
         *(t[n].alias(n) for n in ("make", "model", "software", "digitized", "artist", "copyright", "serial", "owner", "body_serial", "lens_serial")),
         F.coalesce(t["taken"], t["modified"]).alias("taken"),
         F.nullif(F.concat_ws(" ", t["lens_make"], t["lens_model"]), F.lit("")).alias("lens"),
         labels.sanitize(description, 600).alias("description"),
-        F.nullif(labels.sanitize(text.user_comment(F.col("_comment")), 1200), F.lit("")).alias("comment"),
+        F.nullif(labels.sanitize(text.user_comment(c("_comment")), 1200), F.lit("")).alias("comment"),
         o.alias("orientation"),
         F.coalesce(F.get(F.array(*map(F.lit, ORIENTATIONS)), o - 1), F.concat(F.lit("Orientation "), o.cast("string"))).alias("orientation_label"),
         exposure.alias("exposure"),
-        F.when(F.col("_f") > 0, F.concat(F.lit("f/"), labels.short(F.col("_f")))).alias("aperture"),
-        F.floor(F.col("_iso") + 0.5).cast("string").alias("iso"),
-        F.when(F.col("_focal") > 0, F.concat(labels.short(F.col("_focal")), F.lit(" mm"))).alias("focal_length"),
-        F.coalesce("_maker", F.lit(0)).cast("long").alias("maker_note_bytes"),
-        F.coalesce("_thumb", F.lit(0)).cast("long").alias("thumbnail_bytes"),
-    )
+        F.when(c("_f") > 0, F.concat(F.lit("f/"), labels.short(c("_f")))).alias("aperture"),
+        F.floor(c("_iso") + 0.5).cast("string").alias("iso"),
+        F.when(c("_focal") > 0, F.concat(labels.short(c("_focal")), F.lit(" mm"))).alias("focal_length"),
+        F.coalesce(c("_maker"), F.lit(0)).cast("long").alias("maker_note_bytes"),
+        F.coalesce(c("_thumb"), F.lit(0)).cast("long").alias("thumbnail_bytes"),
+    ]
 
 
-def position(rows: DataFrame) -> DataFrame:
-    """Coordinates, altitude, time and direction of files with a GPS directory."""
-    gps = _with_numbers(rows.where("kind = 'gps'"), (2, 4, 5, 6, 7, 17)).groupBy("file_id").agg(
-        F.count("*").alias("tag_count"),
-        *(_first("gps", tag, "value").alias(f"_v{tag}") for tag in (1, 3, 29)),
-        *(_first("gps", tag, "n").alias(f"_n{tag}") for tag in (2, 4, 5, 6, 7, 17)),
-    )
+def summary(rows: DataFrame) -> DataFrame:
+    """Camera, lens, dates, exposure and sizes per file, from entry rows."""
+    raw = _with_numbers(rows, (274, 33434, 33437, 34855, 37386, 514)).groupBy("file_id").agg(*(value.alias(name) for name, value in _camera_values().items()))
+    return raw.select("file_id", *_camera(F.col))
+
+
+def summary_of(camera: Column) -> Column:
+    """The same of a file's own values (``tiff.CAMERA``), without a shuffle."""
+    return F.when(camera.isNotNull(), F.struct(*_camera(lambda n: camera[n])))
+
+
+def _place(c: Callable[[str], Column]) -> list[Column]:
+    """Coordinates, altitude, time and direction from the values by name."""
 
     def degrees(tag: int, ref: int) -> Column:
-        part = lambda i: F.coalesce(F.get(F.col(f"_n{tag}"), F.lit(i)), F.lit(0.0))
-        found = labels.decimal_degrees(part(0), part(1), part(2), F.coalesce(_text(F.col(f"_v{ref}")), F.lit("")))
-        return F.when(F.size(f"_n{tag}") > 0, found)
-
-    two = lambda i: F.lpad(F.floor(F.get(F.col("_n7"), F.lit(i))).cast("string"), 2, "0")
-    up = F.get(F.col("_n6"), F.lit(0))
-    signed = F.when(F.get(F.col("_n5"), F.lit(0)) == 1, -up).otherwise(up)
-    clock = F.when(F.size("_n7") >= 3, F.concat(two(0), F.lit(":"), two(1), F.lit(":"), two(2), F.lit(" UTC")))
-    stamp = F.when(F.col("_n7").isNull(), _text(F.col("_v29"))).when(clock.isNotNull(), F.concat_ws(" ", _text(F.col("_v29")), clock))
-    out = gps.select("file_id", "tag_count", degrees(2, 1).alias("latitude"), degrees(4, 3).alias("longitude"), F.round(signed, 1).alias("altitude"), stamp.alias("timestamp_utc"), F.concat(labels.short(F.get(F.col("_n17"), F.lit(0))), F.lit("°")).alias("direction"))
+        part = lambda i: F.coalesce(F.get(c(f"_n{tag}"), F.lit(i)), F.lit(0.0))
+        found = labels.decimal_degrees(part(0), part(1), part(2), F.coalesce(_text(c(f"_v{ref}")), F.lit("")))
+        return F.when(F.size(c(f"_n{tag}")) > 0, found)
+
+    two = lambda i: F.lpad(F.floor(F.get(c("_n7"), F.lit(i))).cast("string"), 2, "0")
+    up = F.get(c("_n6"), F.lit(0))
+    signed = F.when(F.get(c("_n5"), F.lit(0)) == 1, -up).otherwise(up)
+    clock = F.when(F.size(c("_n7")) >= 3, F.concat(two(0), F.lit(":"), two(1), F.lit(":"), two(2), F.lit(" UTC")))
+    stamp = F.when(c("_n7").isNull(), _text(c("_v29"))).when(clock.isNotNull(), F.concat_ws(" ", _text(c("_v29")), clock))
+    latitude, longitude = degrees(2, 1), degrees(4, 3)
     side = lambda x, plus, minus: F.concat(F.format_string("%.6f ", F.abs(x)), F.when(x >= 0, plus).otherwise(minus))
-    return out.withColumn("coordinates", F.concat(side(F.col("latitude"), "N", "S"), F.lit(", "), side(F.col("longitude"), "E", "W")))
+    return [
+        c("tag_count").alias("tag_count"),
+        latitude.alias("latitude"),
+        longitude.alias("longitude"),
+        F.round(signed, 1).alias("altitude"),
+        stamp.alias("timestamp_utc"),
+        F.concat(labels.short(F.get(c("_n17"), F.lit(0))), F.lit("°")).alias("direction"),
+        F.when(latitude.isNotNull() & longitude.isNotNull(), F.concat(side(latitude, "N", "S"), F.lit(", "), side(longitude, "E", "W"))).alias("coordinates"),
+    ]
+
+
+def position(rows: DataFrame) -> DataFrame:
+    """Coordinates, altitude, time and direction of files with a GPS directory, from entry rows."""
+    values = {f"_v{tag}": _of_rows("gps", tag, "value") for tag in tiff.PLACE_BYTES} | {f"_n{tag}": _of_rows("gps", tag, "n") for tag in tiff.PLACE_NUMBERS}
+    gps = _with_numbers(rows.where("kind = 'gps'"), tiff.PLACE_NUMBERS).groupBy("file_id").agg(F.count("*").alias("tag_count"), *(value.alias(name) for name, value in values.items()))
+    return gps.select("file_id", *_place(F.col))
+
+
+def position_of(place: Column) -> Column:
+    """The same of a file's own values (``tiff.PLACE``), without a shuffle."""
+    return F.when(place.isNotNull(), F.struct(*_place(lambda n: place[n])))
 
 
 def text_sources(rows: DataFrame) -> DataFrame:

@@ -1,119 +1,80 @@
-"""Image generators behind metadata texts: an ordered list of detectors, the first that knows a text counts."""
+"""Image generators behind metadata texts, and findings merged with what provenance says."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from shutterlake.functions import captions, labels, settings, signals
-from shutterlake.functions.graphs import graph_settings
-from shutterlake.sources import walk
+from shutterlake.functions import detect as detector
+from shutterlake.functions import signals
 
-FIELDS = ["prompt", "negative", "seed", "steps", "cfg", "sampler", "scheduler", "model", "checkpoint", "vae", "clip_skip", "size", "version"]
+SHAPE, FIELDS = detector.SHAPE, detector.FIELDS
+FINDING = StructType([StructField(n, StringType()) for n in SHAPE[:-2]] + [StructField(n, ArrayType(StringType())) for n in SHAPE[-2:]])
 
 
-def _finding(generator: Column | str, confidence: Column | str, loras: Column | None = None, nets: Column | None = None, **fields: Column) -> Column:
-    """A struct of one shape for every detector."""
-    lit = lambda x: F.lit(x) if isinstance(x, str) else x
-    empty = F.array().cast("array<string>")
-    said = [(F.nullif(fields[n].cast("string"), F.lit("")) if n in fields else F.lit(None).cast("string")).alias(n) for n in FIELDS]
-    return F.struct(lit(generator).alias("generator"), lit(confidence).alias("confidence"), *said, F.coalesce(loras, empty).alias("loras") if loras is not None else empty.alias("loras"), F.coalesce(nets, empty).alias("control_nets") if nets is not None else empty.alias("control_nets"))
-
-
-def _any(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, "$." + path, "variant")
+@F.pandas_udf(FINDING)
+def _finding(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
+    found = [detector.detect(t, k) or {} for t, k in zip(texts, keys, strict=True)]
+    return pd.DataFrame({n: [f.get(n) for f in found] for n in SHAPE}, index=texts.index, dtype=object)
 
 
 def said(v: Column, *paths: str) -> Column:
-    """The first scalar at these paths as text; objects, arrays and blanks do not count."""
-    one = lambda p: F.when(~F.schema_of_variant(_any(v, p)).rlike("^(OBJECT|ARRAY|VOID)"), F.nullif(F.trim(F.try_variant_get(v, "$." + p, "string")), F.lit("")))
+    """The first scalar at these paths of a variant as text; objects, arrays and blanks do not count."""
+    value = lambda p: F.try_variant_get(v, "$." + p, "variant")
+    one = lambda p: F.when(~F.schema_of_variant(value(p)).rlike("^(OBJECT|ARRAY|VOID)"), F.nullif(F.trim(F.try_variant_get(v, "$." + p, "string")), F.lit("")))
     return F.coalesce(*map(one, paths))
 
 
-def _long(text: Column) -> Column:
-    return labels.sanitize(text, 8000)
-
-
-def _has(v: Column, path: str) -> Column:
-    return _any(v, path).isNotNull()
-
-
-def _size(v: Column, at: str = "") -> Column:
-    number = lambda k: F.when(F.schema_of_variant(_any(v, at + k)).rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get(v, f"$.{at}{k}", "string"))
-    return F.concat(number("width"), F.lit("x"), number("height"))
-
-
-def _names(v: Column, path: str, *keys: str) -> Column:
-    """Names in a list of strings, of [name, weight] pairs, or of objects by their first key that is there."""
-    scalar = lambda x, p: F.when(F.schema_of_variant(F.try_variant_get(x, p, "variant")) == "STRING", F.try_variant_get(x, p, "string"))
-    name = lambda x: F.coalesce(F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")), scalar(x, "$[0]"), *(scalar(x, "$." + k) for k in keys))
-    listed = F.transform(F.try_variant_get(v, "$." + path, "array<variant>"), lambda x: F.trim(name(x)))
-    return F.filter(listed, lambda x: x.isNotNull() & ~x.isin("", "None"))
-
-
-def _graph(text: Column) -> Column:
-    g = graph_settings(text)
-    flux = F.when(F.lower(g["model"]).contains("flux"), "flux").otherwise("comfyui")
-    found = {n: g[n] for n in ("seed", "steps", "cfg", "sampler", "scheduler", "model", "vae", "size")}
-    return F.when(g["loras"].isNotNull(), _finding(flux, "confirmed", g["loras"], g["control_nets"], prompt=_long(g["prompt"]), negative=_long(g["negative"]), **found))
-
-
-def _novelai(v: Column) -> Column:
-    shape = _has(v, "uc") & (_has(v, "sampler") | (_has(v, "steps") & _has(v, "scale")))
-    return F.when(shape, _finding("novelai", "confirmed", prompt=_long(said(v, "prompt", "v4_prompt")), negative=_long(said(v, "uc")), seed=said(v, "seed"), steps=said(v, "steps"), cfg=said(v, "scale"), sampler=said(v, "sampler"), scheduler=said(v, "noise_schedule"), model=said(v, "request_type", "source"), size=_size(v)))
-
-
-def _fooocus(v: Column, key: Column) -> Column:
-    shape = _has(v, "base_model") | _has(v, "full_prompt") | F.coalesce(F.lower(said(v, "version")).contains("fooocus"), F.lit(False)) | F.coalesce(key == "fooocus_scheme", F.lit(False))
-    found = _finding("fooocus", "confirmed", _names(v, "loras", "name", "model", "lora"), prompt=_long(said(v, "prompt", "full_prompt")), negative=_long(said(v, "negative_prompt", "full_negative_prompt")), seed=said(v, "seed"), steps=said(v, "steps"), cfg=said(v, "guidance_scale", "cfg_scale"), sampler=said(v, "sampler"), scheduler=said(v, "scheduler"), model=said(v, "base_model"), checkpoint=said(v, "refiner_model"), vae=said(v, "vae_name", "vae"), size=F.coalesce(said(v, "resolution"), _size(v)), version=said(v, "version"))
-    return F.when(v.isNotNull() & shape, found)
-
+def detect(sources: DataFrame) -> DataFrame:
+    """(file_id, ord, bytes, finding) for the (file_id, ord, key, text, bytes) that some reader knows."""
+    return sources.select("file_id", "ord", "bytes", _finding("text", "key").alias("finding")).where("finding.generator is not null")
 
-def _invoke(v: Column, key: Column) -> Column:
-    modern = (_has(v, "positive_prompt") | _has(v, "negative_prompt")) & (_has(v, "scheduler") | _has(v, "model") | F.coalesce(key == "invokeai_metadata", F.lit(False)))
-    old = ~_has(v, "positive_prompt") & ~_has(v, "negative_prompt") & F.coalesce(F.schema_of_variant(_any(v, "image")).startswith("OBJECT"), F.lit(False))
-    name = lambda k: said(v, k, *(f"{k}.{n}" for n in ("model_name", "name", "key", "hash")))
-    loras = F.array_distinct(F.concat(*(F.coalesce(_names(v, "loras", *k), F.array().cast("array<string>")) for k in (("model", "lora", "name"), ("lora_name",)))))
-    nets = F.coalesce(_names(v, "controlnets", "control_model", "model", "name"), _names(v, "control_layers", "control_model", "model", "name"))
-    prompts = F.transform(F.try_variant_get(v, "$.image.prompt", "array<variant>"), lambda x: F.coalesce(F.try_variant_get(x, "$.prompt", "string"), F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))))
-    first = _finding("invokeai", "confirmed", loras, nets, prompt=_long(said(v, "positive_prompt")), negative=_long(said(v, "negative_prompt")), seed=said(v, "seed"), steps=said(v, "steps"), cfg=said(v, "cfg_scale"), scheduler=said(v, "scheduler"), model=name("model"), vae=name("vae"), size=_size(v), clip_skip=said(v, "clip_skip"))
-    second = _finding("invokeai", "confirmed", prompt=_long(F.coalesce(F.array_join(prompts, ", "), said(v, "image.prompt"))), seed=said(v, "image.seed"), steps=said(v, "image.steps"), cfg=said(v, "image.cfg_scale"), sampler=said(v, "image.sampler"), model=said(v, "model_weights"), size=_size(v, "image."))
-    return F.when(modern, first).when(old, second)
 
+def findings(sources: DataFrame) -> DataFrame:
+    """One row per (file, generator, prompt, seed) with its bytes; named generators suppress the unnamed one."""
+    rows = detect(sources).select("file_id", "ord", "bytes", "finding", "finding.generator", "finding.prompt", "finding.seed")
+    once = rows.groupBy("file_id", "generator", "prompt", "seed").agg(F.min_by("finding", "ord").alias("finding"), F.sum("bytes").alias("bytes"), F.min("ord").alias("ord"))
+    named = F.max(F.col("generator") != "generic").over(Window.partitionBy("file_id"))
+    return once.withColumn("_named", named).where("generator <> 'generic' or not _named").select("file_id", "ord", "bytes", "finding.*")
 
-def _block(text: Column) -> Column:
-    b = settings.block(text)
-    p = lambda *keys: F.coalesce(*(b["pairs"][k] for k in keys))
-    found = _finding(F.when(b["flux"], "flux").otherwise("automatic1111"), "confirmed", b["loras"], b["control_nets"], prompt=b["prompt"], negative=b["negative"], seed=p("seed"), steps=p("steps"), cfg=p("cfg scale", "distilled cfg scale"), sampler=p("sampler"), scheduler=p("schedule type", "scheduler"), model=p("model", "checkpoint"), checkpoint=p("model hash", "checkpoint hash"), vae=p("vae", "vae hash"), clip_skip=p("clip skip"), size=p("size"), version=p("version"))
-    return F.when(b.isNotNull(), found)
 
+#: What the fields of a finding are called in its list of values.
+CALLED = {"seed": "Seed", "steps": "Steps", "cfg": "CFG scale", "sampler": "Sampler", "scheduler": "Scheduler", "model": "Model", "checkpoint": "Checkpoint", "vae": "VAE", "clip_skip": "Clip skip", "size": "Size", "version": "Version"}
+#: Names of the generators for display.
+LABELS = {"automatic1111": "Automatic1111 / WebUI", "stable-diffusion": "Stable Diffusion", "comfyui": "ComfyUI", "fooocus": "Fooocus", "invokeai": "InvokeAI", "novelai": "NovelAI", "flux": "Flux", "midjourney": "Midjourney", "adobe-firefly": "Adobe Firefly", "openai": "OpenAI Images", "google-imagen": "Google Imagen", "generic": "Unidentified generator"}
 
-def _caption(text: Column) -> Column:
-    c = captions.caption(text)
-    return F.when(c.isNotNull(), _finding("midjourney", c["confidence"], prompt=c["prompt"], negative=F.trim(F.regexp_extract(text, r"(?i)--no\s+((?:(?!\s--).)+)", 1)), seed=c["seed"], size=c["aspect"], version=c["version"]))
 
+def _values(pairs: list[tuple[str, Column]]) -> Column:
+    """A map of the values that are there."""
+    listed = F.map_from_arrays(F.array(*(F.lit(n) for n, _ in pairs)), F.array(*(F.nullif(F.trim(v), F.lit("")) for _, v in pairs)))
+    return F.map_filter(listed, lambda k, v: v.isNotNull())
 
-def _swarm(v: Column) -> Column:
-    at = lambda *keys: said(v, *(f"sui_image_params.{k}" for k in keys))
-    shape = F.coalesce(F.schema_of_variant(_any(v, "sui_image_params")).startswith("OBJECT"), F.lit(False))
-    return F.when(shape, _finding("stable-diffusion", "confirmed", _names(v, "sui_image_params.loras"), prompt=at("prompt"), negative=at("negativeprompt", "negative_prompt"), seed=at("seed"), steps=at("steps"), cfg=at("cfgscale"), sampler=at("sampler"), scheduler=at("scheduler"), model=at("model"), vae=at("vae"), size=_size(v, "sui_image_params.")))
 
+def by_provenance(source: Column, size: Column, claim: Column, tool: Column, software: Column, source_type: Column, names: Column) -> Column:
+    """A finding from what signed or wrote a file; null where nothing names or declares a generator."""
+    p = signals.by_provenance(source_type, claim, tool, software, F.array_join(names, " "))
+    values = _values([("Claim generator", claim), ("Creator tool", tool), ("Software", software), ("Digital source type", source_type), ("Assertions", F.array_join(names, ", "))])
+    none = F.array().cast("array<string>")
+    own = {n: F.lit(None).cast("string") for n in FIELDS} | {"generator": p["generator"], "confidence": p["confidence"], "model": F.nullif(F.trim(claim), F.lit("")), "loras": none, "control_nets": none}
+    return F.when(p.isNotNull(), F.struct(source.alias("source"), size.cast("long").alias("bytes"), *(own[n].alias(n) for n in SHAPE), values.alias("fields")))
 
-def _unnamed(text: Column, key: Column) -> Column:
-    return F.when(signals.has_signature(text) | signals.is_generator_key(key), _finding("generic", "likely", prompt=F.trim(F.substring(text, 1, 2000))))
 
+def with_values(found: Column) -> Column:
+    """Findings, each with a map of its values by name."""
+    return F.transform(found, lambda f: F.struct(*(f[n].alias(n) for n in ("source", "bytes", *SHAPE)), _values([(name, f[n]) for n, name in CALLED.items()]).alias("fields")))
 
-def detect(sources: DataFrame) -> DataFrame:
-    """(file_id, ord, bytes, finding) for the (file_id, ord, key, text, bytes) that some detector knows."""
-    text, key, v = F.col("text"), F.col("key"), F.col("_v")
-    parsed = sources.withColumn("_v", F.when(F.trim(text).startswith("{"), F.try_parse_json(text)))
-    found = F.coalesce(_graph(text), _novelai(v), _fooocus(v, key), _invoke(v, key), _block(text), _caption(text), _swarm(v), _unnamed(text, key))
-    return walk.settled(parsed.select("file_id", "ord", "bytes", found.alias("finding"))).where("finding is not null")
 
+def merged(found: Column, provenance: Column) -> Column:
+    """Findings (with values) and the one from provenance: one of its generator takes the values that it lacks and at most its confidence, else it is added.
 
-def findings(sources: DataFrame) -> DataFrame:
-    """One row per (file, generator, prompt, seed) with its bytes; named generators suppress the unnamed one."""
-    rows = detect(sources).select("file_id", "ord", "bytes", "finding", "finding.generator", "finding.prompt", "finding.seed")
-    once = rows.groupBy("file_id", "generator", "prompt", "seed").agg(F.min_by("finding", "ord").alias("finding"), F.sum("bytes").alias("bytes"), F.min("ord").alias("ord"))
-    named = F.max(F.col("generator") != "generic").over(Window.partitionBy("file_id"))
-    return once.withColumn("_named", named).where("generator <> 'generic' or not _named").select("file_id", "ord", "bytes", "finding.*")
+    Values that are there already stay. Both should be columns of their own, since they
+    are used more than once.
+    """
+    first = F.array_position(F.transform(found, lambda f: f["generator"]), provenance["generator"])
+    lacking = lambda f: F.map_filter(provenance["fields"], lambda k, v: ~F.map_contains_key(f["fields"], k))
+    sure = lambda f: F.when(provenance["confidence"] == "confirmed", F.lit("confirmed")).otherwise(f["confidence"])
+    richer = lambda f: f.withField("fields", F.map_concat(lacking(f), f["fields"])).withField("confidence", sure(f))
+    joined = F.transform(found, lambda f, i: F.when(i + 1 == first, richer(f)).otherwise(f))
+    return F.when(provenance.isNull(), found).when(first > 0, joined).otherwise(F.concat(found, F.array(provenance)))

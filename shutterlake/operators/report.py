@@ -1,4 +1,9 @@
-"""What each removal switch would take out of mixed image files."""
+"""What files say about themselves: one nested row per file, and what each removal switch would take out.
+
+The walk of ``bundle`` sends every payload to its own reader in one task; the
+summaries are column expressions over that row, so a report needs one scan and no
+shuffle.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake import dims
+from shutterlake.functions import icc, labels, xmp
+from shutterlake.operators import exif, generators
+from shutterlake.sources import bundle, manifest, resources
 
 SWITCHES = [c for c, _ in dims.CATEGORIES]
 
@@ -16,5 +24,109 @@ def switch(category: Column) -> Column:
 
 
 def breakdown(parts: DataFrame) -> DataFrame:
-    """(file_id, category, bytes, n): what each switch would take out of each file."""
+    """(file_id, category, bytes, n): what each switch would take out of each file, from part rows."""
     return parts.withColumn("category", switch(F.col("category"))).where("category is not null").groupBy("file_id", "category").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
+
+
+def breakdown_of(segments: Column) -> Column:
+    """{category: (bytes, n)} of a file's own array of segments; switches that find nothing are left out."""
+
+    def tally(name: Column) -> Column:
+        mine = F.filter(segments, lambda s: switch(s["category"]) == name)
+        return F.struct(F.aggregate(mine, F.lit(0).cast("long"), lambda a, s: a + s["bytes"]).alias("bytes"), F.size(mine).cast("long").alias("n"))
+
+    names = F.array(*map(F.lit, SWITCHES))
+    return F.map_filter(F.map_from_arrays(names, F.transform(names, tally)), lambda k, v: v["n"] > 0)
+
+
+def _c2pa(b: Column) -> Column:
+    payloads, names = b["c2pa"], b["c2pa_labels"]
+    claims = F.filter(F.transform(payloads, manifest.claim_generator), lambda g: g.isNotNull())
+    size = F.aggregate(payloads, F.lit(0).cast("long"), lambda a, p: a + F.length(p))
+    signed = F.exists(names, lambda n: F.lower(n).contains("signature"))
+    return F.when(F.size(payloads) > 0, F.struct(F.coalesce(b["c2pa_location"], F.lit("Embedded manifest")).alias("location"), size.alias("bytes"), F.get(claims, F.lit(0)).alias("claim_generator"), names.alias("assertions"), signed.alias("has_signature")))
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """The same rows, their columns computed once.
+
+    The optimiser copies an expression into every field that is read of it, until plans
+    no longer fit the driver; behind this step it has plain columns. These rows hold
+    summaries and small payloads, not the files.
+    """
+    return rows.mapInArrow(lambda batches: batches, rows.schema)
+
+
+def inspect(files: DataFrame) -> DataFrame:
+    """One row per row of (file_id, content): the report.
+
+    file_id, format, file_size, container (geometry), megapixels, segments,
+    metadata_bytes (of all parts with a switch), categories, exif and gps (of the first
+    EXIF), icc (the first), iptc and xmp (all), c2pa, ai (findings of texts and of
+    provenance, merged), warnings, lossless_supported and why not, error, message.
+    A null, empty or unreadable file has an error and no report; ``file_id`` may repeat.
+    """
+    rows, b = bundle.bundles(files).withColumnRenamed("original_size", "file_size"), F.col("bundle")
+    words = F.when(F.size(b["packets"]) > 0, F.array_join(b["packets"], "\n"))
+    rows = rows.withColumn("_words", words)
+    rows = _once(rows.select(
+        "*",
+        exif.summary_of(b["camera"]).alias("exif"),
+        exif.position_of(b["place"]).alias("gps"),
+        resources.caption_of(b["records"]).alias("iptc"),
+        F.when(b["icc"].isNotNull(), icc.summary(b["icc"])).alias("icc"),
+        _c2pa(b).alias("c2pa"),
+        xmp.summary(F.col("_words")).alias("_xmp"),
+        xmp.read(F.col("_words"), "xmp:CreatorTool").alias("_tool"),
+        xmp.read(F.col("_words"), "Iptc4xmpExt:DigitalSourceType").alias("_kind"),
+        generators.with_values(b["ai"]).alias("_found"),
+        breakdown_of(b["segments"]).alias("categories"),
+    ))
+    c2pa = F.col("c2pa")
+    origin = F.when(c2pa.isNotNull(), c2pa["location"]).otherwise("XMP / software fields")
+    signer = generators.by_provenance(origin, F.coalesce(c2pa["bytes"], F.lit(0)), c2pa["claim_generator"], F.col("_tool"), F.coalesce(F.col("exif")["software"], b["hint"]), F.col("_kind"), F.coalesce(c2pa["assertions"], F.array().cast("array<string>")))
+    told = rows.withColumn("_signer", signer)
+    total = F.aggregate(F.map_values("categories"), F.lit(0).cast("long"), lambda a, v: a + v["bytes"])
+    summary = F.struct(F.size(b["packets"]).cast("long").alias("packets"), b["xmp_bytes"].alias("bytes"), *(F.col("_xmp")[n].alias(n) for n in ("toolkit", "creator", "rights", "title", "description", "created", "document_id", "has_provenance")), F.length(b["extended_xmp"]).cast("long").alias("extended_bytes"))
+    return _once(told.select(
+        "file_id",
+        "format",
+        "file_size",
+        b["container"].alias("container"),
+        labels.megapixels(b["container"]["width"], b["container"]["height"]).alias("megapixels"),
+        b["segments"].alias("segments"),
+        total.alias("metadata_bytes"),
+        # a position is part of EXIF, so its switch is listed without bytes of its own
+        F.when((F.col("gps")["tag_count"] > 0) & ~F.map_contains_key("categories", "gps"), F.map_concat("categories", F.create_map(F.lit("gps"), F.struct(F.lit(0).cast("long").alias("bytes"), F.lit(0).cast("long").alias("n"))))).otherwise(F.col("categories")).alias("categories"),
+        "exif",
+        "gps",
+        "icc",
+        "iptc",
+        F.when(F.col("_words").isNotNull(), summary).alias("xmp"),
+        "c2pa",
+        generators.merged(F.col("_found"), F.col("_signer")).alias("ai"),
+        b["warnings"].alias("warnings"),
+        F.when(b.isNotNull(), b["blocked"].isNull()).alias("lossless_supported"),
+        b["blocked"].alias("lossless_blocked"),
+        F.coalesce("error", F.when(F.col("why").isNotNull(), "corrupt-container")).alias("error"),
+        F.coalesce("message", F.concat(F.lit("The image structure could not be read: "), F.col("why"))).alias("message"),
+    ))
+
+
+def detections(reports: DataFrame) -> DataFrame:
+    """file_id, detections: what was found as an ordered list of (key, label, detail)."""
+    one = lambda there, key, label, detail: F.when(there, F.struct(F.lit(key).alias("key"), label.alias("label"), detail.cast("string").alias("detail")))
+    c, none = F.col, F.lit(None)
+    first = F.get(c("ai"), F.lit(0))
+    name = F.coalesce(*(F.when(first["generator"] == g, F.lit(said)) for g, said in generators.LABELS.items()))
+    camera = F.concat_ws(" ", c("exif")["make"], c("exif")["model"])
+    listed = F.array(
+        one(c("gps").isNotNull(), "gps", F.lit("GPS"), c("gps")["coordinates"]),
+        one(F.size("ai") > 0, "ai", name, F.substring(first["prompt"], 1, 90)),
+        one(c("c2pa").isNotNull(), "c2pa", F.lit("C2PA"), c("c2pa")["claim_generator"]),
+        one(c("exif").isNotNull(), "exif", F.lit("EXIF"), F.when(camera != "", camera).otherwise(F.concat(c("exif")["tag_count"].cast("string"), F.lit(" tags")))),
+        one(c("xmp").isNotNull(), "xmp", F.lit("XMP"), none),
+        one(c("iptc").isNotNull(), "iptc", F.lit("IPTC"), none),
+        one(c("icc").isNotNull(), "icc", F.lit("ICC"), c("icc")["description"]),
+    )
+    return reports.select("file_id", F.filter(listed, lambda d: d.isNotNull()).alias("detections"))

@@ -168,6 +168,11 @@ def strip_property(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.octet_length(xmp.without(F.col("html"), "title", "style", "script")).cast("long").alias("n"))
 
 
+@query("SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in _AS_CATEGORY) + " FROM events GROUP BY 1")
+def pivot_tags(spark, sf_dir):
+    return segments.breakdown(read(spark, sf_dir, "events"), "user_id", F.col("event_type"), list(_AS_CATEGORY))
+
+
 _CAPTION_SQL = "p_name || CASE p_partkey % 4 WHEN 0 THEN ' --ar 16:9 --v 6.1 --seed ' || p_size WHEN 1 THEN ' --seed ' || p_size WHEN 2 THEN ' by Midjourney' ELSE ' --niji 5' END"
 
 

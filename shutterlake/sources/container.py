@@ -1,76 +1,44 @@
-"""Mixed image files as one table of segments: one pass over the bytes, each file by its own walk."""
+"""Mixed image files: what can be read, and the segments of each by its own format's walk."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.functions import binary, signals, text
-from shutterlake.sources import heif, jpeg, manifest, png, walk, webp
+from shutterlake import dims
+from shutterlake.functions import binary
+from shutterlake.sources import bundle, walk
 
-#: Formats with a byte-level cleaner, and what is said of the others.
-READABLE = ["jpeg", "png", "webp", "avif", "heic", "tiff"]
-LEAST_BYTES, MOST_BYTES = 12, 256 << 20
-#: Bytes of a structural part that go along, enough for its header fields.
-_HEAD = 64
-_FIELDS = "kind string, marker int, base string, offset long, bytes long, data binary, keyword string, words string, error string"
+READABLE = bundle.READABLE
 
 
-def _walked(content: bytes) -> Iterator[tuple]:
-    """(kind, marker, base, offset, size, data, keyword, text, error) of each part; pixels stay behind."""
-    if content[:3] == b"\xff\xd8\xff":
-        for marker, at, size, head, raw in jpeg.parts_of(content):
-            light = marker is None or marker in jpeg.STANDALONE or 0xC0 <= marker < 0xE0
-            yield None, marker, None, at, size, None if marker is None else raw[head : head + _HEAD] if light else raw[head:], None, None, None
-    elif content.startswith(png.SIGNATURE):
-        for kind, base, at, size, _, data, keyword, _, words, error in png.rows_of_file(content):
-            yield kind, None, base, at, size, data[:_HEAD] if base == "structural" else data, keyword, words, error
-    elif content[:4] == b"RIFF" and content[8:12] == b"WEBP":
-        for kind, base, at, size, data in webp.rows_of_file(content):
-            yield kind, None, base, at, size, data[:_HEAD] if base == "structural" else data, None, None, None
-    elif content[4:8] == b"ftyp":
-        for _, form, name, mime, _, size, extents, primary, data in heif.items_of(content):
-            at = extents[0]["offset"] if extents and isinstance(extents[0], dict) else extents[0][0] if extents else 0
-            yield form, None, "primary" if primary else "item", at, size, data, name, mime, None
-        for depth, kind, at, _, size, uuid in heif.boxes_of(content):
-            if depth == 0 and uuid == manifest.UUID:
-                yield "uuid", None, "c2pa", at, size, content[at : at + size], "uuid", None, None
-            if kind == "ispe":
-                yield "ispe", None, "property", at, size, content[at : at + size], None, None, None
-    elif content[:4] in (b"II*\0", b"MM\0*"):
-        yield "tiff", None, "tiff", 0, len(content), content, None, None, None
+def gate(length: Column) -> Column:
+    """Error code of a file by its size; null if it may be read."""
+    size = F.coalesce(length, F.lit(0))
+    return F.when(size == 0, "empty-file").when(size < dims.LEAST_BYTES, "corrupt-container").when(size > dims.MOST_BYTES, "too-large")
 
 
 def checked(files: DataFrame) -> DataFrame:
-    """file_id, content, format, error: what can't be read says why; the first reason counts."""
-    size, kind = F.length("content"), binary.detect_format(F.col("content"))
+    """file_id, content, format, error, message: what can't be read says why; the first reason counts."""
+    kind = binary.detect_format(F.col("content"))
     named = F.concat(F.upper(kind), F.lit(" is not supported. Convert it to PNG or JPEG first."))
-    error = (
-        F.when(F.coalesce(size, F.lit(0)) == 0, "empty-file")
-        .when(size < LEAST_BYTES, "corrupt-container")
-        .when(size > MOST_BYTES, "file-too-large")
-        .when(~kind.isin(*READABLE), "unsupported-format")
-    )
-    message = F.when(error == "unsupported-format", F.when(kind.isin("gif", "bmp"), named).otherwise("This file is not a recognised image container."))
+    error = F.coalesce(gate(F.length("content")), F.when(~kind.isin(*READABLE), "unsupported-format"))
+    said = F.coalesce(*(F.when(error == code, F.lit(words)) for code, words in dims.ERRORS.items()))
+    message = F.when((error == "unsupported-format") & kind.isin("gif", "bmp"), named).otherwise(said)
     return files.select("file_id", "content", F.coalesce(kind, F.lit("unknown")).alias("format"), error.alias("error"), message.alias("message"))
 
 
 def parts(files: DataFrame) -> DataFrame:
-    """One row per part of every readable file, with format, category and label.
+    """One row per segment of every readable file: file_id, format, ord, category, container, label, detail, offset, bytes, reason."""
 
-    Of structural parts only the first bytes are carried. Callers that derive several
-    tables from it write or persist it first, since files are read once per use.
-    """
-    rows = walk.rows_of(checked(files).where("error is null"), _walked, _FIELDS, keys="file_id string, format string")
-    rows = walk.settled(rows.withColumn("_own", jpeg.classify(F.col("marker"), F.col("data"))))
-    fmt, kind, data, base = (F.col(c) for c in ("format", "kind", "data", "base"))
-    own = F.col("_own")
-    picked = own["category"]
-    as_jpeg = F.when((picked == "comment") & signals.has_signature(text.latin1(data)), "ai").otherwise(picked)
-    packet = (kind == "mime") & F.lower("words").rlike("rdf|xmp|xml")
-    as_item = F.when(base.isin("c2pa"), "c2pa").when(base == "property", "structural").when(kind == "Exif", "exif").when(packet, "xmp").when(text.looks_like_manifest(data), "c2pa").otherwise("structural")
-    category = F.when(fmt == "jpeg", F.coalesce(as_jpeg, F.lit("structural"))).when(fmt == "png", png.category(base, F.col("keyword"), F.col("words"))).when(fmt.isin("avif", "heic"), as_item).when(fmt == "tiff", "structural").otherwise(base)
-    label = F.when(fmt == "jpeg", F.coalesce(own["label"], F.lit("image data"))).when(fmt == "png", png.label(kind)).when(fmt == "webp", webp.label(kind)).when(fmt == "tiff", "TIFF").otherwise(F.coalesce(F.nullif("keyword", F.lit("")), kind))
-    return walk.settled(rows.withColumn("category", category).withColumn("label", label).drop("_own"))
+    def run(content: bytes) -> Iterator[tuple]:
+        form, _, error, _ = bundle.gated(content)
+        try:
+            for s in () if error else bundle.bundle_of(content, form).segments:
+                yield form, *s.values()
+        except bundle.BROKEN:
+            return
+
+    return walk.rows_of(files, run, "format string, category string, container string, label string, detail string, offset long, bytes long, reason string")

@@ -57,8 +57,11 @@ class _Cursor:
         return found
 
 
-def _locations(body: bytes) -> dict[int, tuple[int, list[tuple[int, int]]]]:
-    """Item id to (construction method, extents with the base added); of an id the last counts."""
+def _locations(body: bytes, external: set[int] | None = None) -> dict[int, tuple[int, list[tuple[int, int]]]]:
+    """Item id to (construction method, extents with the base added); of an id the last counts.
+
+    Items whose bytes lie in another file are added to ``external``.
+    """
     c = _Cursor(body, 4)
     version, widths = body[0], c.number(2)
     wide = [widths >> 12, widths >> 8 & 15, widths >> 4 & 15, widths & 15 if version else 0]
@@ -66,7 +69,8 @@ def _locations(body: bytes) -> dict[int, tuple[int, list[tuple[int, int]]]]:
     for _ in range(c.number(4 if version == 2 else 2)):
         item = c.number(4 if version == 2 else 2)
         method = c.number(2) & 15 if version else 0
-        c.number(2)
+        if c.number(2) and external is not None:
+            external.add(item)
         base, extents = c.number(wide[2]), []
         for _ in range(c.number(2)):
             c.number(wide[3])
@@ -145,7 +149,11 @@ def segments(files: DataFrame) -> DataFrame:
 
 def refusals(files: DataFrame) -> DataFrame:
     """(file_id, reason) of files whose pixels cannot be moved without decoding."""
-    films = boxes(files).where("depth = 0 and type = 'moov'").select("file_id", F.lit("image sequence").alias("reason"))
-    odd = items(files).where("method > 1").select("file_id", F.lit("items built from other items").alias("reason"))
-    far = items(files).where(F.exists("extents", lambda e: e["offset"] + e["length"] > 0xFFFFFFFF)).select("file_id", F.lit("offsets over 32 bits").alias("reason"))
-    return films.unionByName(odd).unionByName(far).groupBy("file_id").agg(F.min("reason").alias("reason"))
+    from shutterlake.sources import heif_write
+
+    def run(content: bytes) -> Iterator[tuple]:
+        reason = heif_write.refusal(content) if content[4:8] == b"ftyp" else None
+        if reason:
+            yield (reason,)
+
+    return walk.rows_of(files, run, "reason string").drop("ord")

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shutterlake.functions import plain
 from shutterlake.sources import heif, manifest, walk
 
 _TOP = 0xFFFFFFFF
@@ -26,7 +27,7 @@ class Refused(ValueError):
 def box(kind: bytes, *parts: bytes) -> bytes:
     body = b"".join(parts)
     if len(body) + 8 > _TOP:
-        raise Refused("offsets over 32 bits")
+        raise Refused("An item extent is larger than the 32-bit item location table allows")
     return struct.pack(">I", len(body) + 8) + kind + body
 
 
@@ -99,15 +100,92 @@ def written_places(places: list[tuple[int, int, list[tuple[int, int]]]]) -> byte
     return full_box(b"iloc", version, 0, b"\x44\x00", struct.pack(f">{form}", len(places)), *rows)
 
 
-def _category(form: str, mime: str, data: bytes | None) -> str:
-    head = (data or b"")[:128]
+#: What a content type of a packet contains, and item types of manifests.
+_PACKETS, _SIGNED = ("rdf+xml", "xmp", "xml"), ("uuid", "jumb", "c2pa")
+
+
+def class_of(form: str, mime: str, data: bytes | None) -> tuple[str | None, str]:
+    """(category, label) of an item; what is not known belongs to the picture and has no category."""
     if form == "Exif":
-        return "exif"
-    if form == "mime" and any(w in mime.lower() for w in ("rdf", "xmp", "xml")):
-        return "xmp"
-    if len(data or b"") >= 16 and (head[4:8] == b"jumb" or -1 < head.find(b"jumb") < head.find(b"jumd")):
-        return "c2pa"
-    return "structural"
+        return "exif", "EXIF item"
+    if form == "mime":
+        if any(w in mime.lower() for w in _PACKETS):
+            return "xmp", "XMP item"
+        return ("c2pa", "C2PA manifest item") if plain.manifest_like(data) else ("other", f"MIME item ({mime or 'unknown'})")
+    if form in _SIGNED:
+        return ("c2pa", "C2PA manifest item") if data is None or plain.manifest_like(data) else ("other", "UUID item")
+    return None, f"{form or 'unnamed'} item"
+
+
+def _top(content: bytes) -> list[tuple[bytes, int, int, int, bytes | None]]:
+    return [(kind.encode("latin-1"), at, head, size, uuid) for depth, kind, at, head, size, uuid in heif.boxes_of(content) if not depth]
+
+
+def refusal(content: bytes) -> str | None:
+    """Why a file can't be written without decoding it; None if it can."""
+    top = _top(content)
+    if not top:
+        return "The file contains no readable ISOBMFF boxes"
+    if any(kind == b"moov" for kind, *_ in top):
+        return "Image sequences carry a movie box whose sample tables cannot be relocated safely"
+    meta = next(((at + head, at + size) for kind, at, head, size, _ in top if kind == b"meta"), None)
+    iloc = next((content[a:b] for kind, a, b in _children(content, meta[0] + 4, meta[1]) if kind == b"iloc"), None) if meta else None
+    if iloc is None:
+        return None
+    external: set[int] = set()
+    try:
+        places = heif._locations(iloc, external)
+    except (ValueError, IndexError) as e:
+        return f"The item location table could not be read ({e})"
+    if any(method == 2 for method, _ in places.values()):
+        return "Items stored inside other items (construction method 2) cannot be relocated"
+    if external:
+        return "Items stored in an external file cannot be rewritten"
+    if any(length > _TOP for _, extents in places.values() for _, length in extents):
+        return "An item extent is larger than the 32-bit item location table allows"
+    return None
+
+
+def entry_sizes(content: bytes) -> dict[int, int]:
+    """Bytes of each item's entry in the item list, which goes with the item."""
+    out = {}
+    for body in _meta_bodies(content, b"iinf"):
+        for kind, low, high in _children(body, 6 if body[:1] == b"\0" else 8, len(body)):
+            if kind == b"infe":
+                try:
+                    out[heif._entry(body[low:high])[0]] = high - low + 8
+                except (ValueError, IndexError):
+                    continue
+        break
+    return out
+
+
+def brands_of(content: bytes) -> list[str]:
+    body = next((content[at + head : at + size] for kind, at, head, size, _ in _top(content) if kind == b"ftyp"), b"")
+    return [body[i : i + 4].decode("latin-1") for i in (0, *range(8, len(body) - 3, 4)) if len(body) >= 4]
+
+
+def shape_of(content: bytes, boxes: list[tuple]) -> tuple[dict, tuple[int, int, bytes] | None]:
+    """(size, depth and channels by the first property of a kind, the last colour profile's place, size and bytes)."""
+    out: dict = {"has_alpha": False}
+    profile = None
+    inside = next(((at + head, at + size) for _, kind, at, head, size, _ in boxes if kind == "ipco"), None)
+    for kind, low, high in _children(content, *inside) if inside else ():
+        data = content[low:high]
+        if kind == b"ispe" and len(data) >= 12 and "width" not in out:
+            out["width"], out["height"] = struct.unpack(">II", data[4:12])
+        elif kind == b"pixi" and len(data) >= 5 and "bit_depth" not in out:
+            out["channels"] = data[4]
+            if data[4] and len(data) >= 5 + data[4]:
+                out["bit_depth"] = data[5]
+        elif kind == b"av1C" and len(data) >= 3 and "bit_depth" not in out:
+            out["bit_depth"] = 12 if data[2] & 0x20 else 10 if data[2] & 0x40 else 8
+            out.setdefault("channels", 1 if data[2] & 0x10 else 3)
+        elif kind == b"auxC":
+            out["has_alpha"] = True
+        elif kind == b"colr" and data[:4] in (b"prof", b"rICC") and len(data) > 4:
+            profile = low - 8, high - low + 8, data[4:]
+    return out, profile
 
 
 class _Area:
@@ -133,33 +211,31 @@ class _Area:
 def without(content: bytes, removed: frozenset[str]) -> tuple[bytes, list[tuple[str, str, int]]]:
     """The file without items and manifest boxes of these categories, and (category, label, bytes) of what went.
 
-    The picture's item never goes. A file that loses nothing stays byte for byte.
+    An item's bytes count with its entry in the item list. The picture's item never
+    goes. A file that loses nothing stays byte for byte; what lies behind the last
+    box goes with the first loss. Without an item table only manifest boxes can go.
     """
-    top = [(kind.encode("latin-1"), at, head, size, uuid) for depth, kind, at, head, size, uuid in heif.boxes_of(content) if not depth]
-    if sum(t[3] for t in top) != len(content):
-        raise ValueError("bytes outside boxes")
-    if any(t[0] == b"moov" for t in top):
-        raise Refused("image sequence")
+    reason = refusal(content)
+    if reason:
+        raise Refused(reason)
+    top = _top(content)
     lost = [("c2pa", "uuid", size) for _, _, _, size, uuid in top if uuid == manifest.UUID and "c2pa" in removed]
     meta = next(((at + head, at + size) for kind, at, head, size, _ in top if kind == b"meta"), None)
-    if meta is None:
-        raise ValueError("no item table")
-    inner = _children(content, meta[0] + 4, meta[1])
+    inner = _children(content, meta[0] + 4, meta[1]) if meta else []
     part = {kind: content[low:high] for kind, low, high in reversed(inner)}
-    if b"iinf" not in part or b"iloc" not in part:
-        raise ValueError("no item table")
-    items = heif.items_of(content)
-    gone = set()
-    for item, form, name, mime, _, size, _, primary, data in items:
-        category = _category(form, mime, data)
+    gone, sizes = set(), entry_sizes(content)
+    for item, form, name, mime, _, size, _, primary, data in heif.items_of(content):
+        category, _ = class_of(form, mime, data)
         if category in removed and not primary:
             gone.add(item)
-            lost.append((category, name or form, size))
+            lost.append((category, name or form, size + sizes.get(item, 0)))
     if not lost:
         return content, []
+    if meta is None:
+        return b"".join(content[at : at + size] for _, at, _, size, uuid in top if uuid != manifest.UUID), lost
+    if b"iinf" not in part or b"iloc" not in part:
+        raise Refused("The rebuilt file lost its item location table")
     places = heif._locations(part[b"iloc"])
-    if any(method > 1 for method, _ in places.values()):
-        raise Refused("items built from other items")
     idat = next(((low, high) for kind, low, high in inner if kind == b"idat"), (0, 0))
     areas = {0: _Area(content, 0, len(content)), 1: _Area(content, *idat)}
     moved = [(i, method, [areas[method].move(e) for e in ext]) for i, (method, ext) in places.items() if i not in gone]

@@ -9,8 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shutterlake.functions import binary, signals, text, xmp
-from shutterlake.sources import resources, tiff, walk
+from shutterlake.functions import binary, plain, signals, text, xmp
+from shutterlake.sources import walk
 
 #: Markers without a length, start of scan, end of image, comment.
 STANDALONE = frozenset([0x01, *range(0xD0, 0xDA)])
@@ -105,6 +105,30 @@ def classify(marker: Column, payload: Column) -> Column:
     return rules.when(marker.between(0xE0, 0xEF), named("other", unknown)).when(marker.isNotNull(), named("structural", marker_name(marker)))
 
 
+def class_of(marker: int, payload: bytes) -> tuple[str, str]:
+    """(category, label) of a segment on plain values, as ``classify`` has it."""
+    if marker == COM:
+        return "comment", "JPEG comment"
+    if marker == 0xE0 and payload.startswith(b"JFIF\0") and len(payload) >= 16 and payload[12] and payload[13]:
+        return "thumbnail", "JFIF header"
+    if marker == 0xEB and payload.startswith(b"JP") and (plain.manifest_like(payload[8:]) or plain.manifest_like(payload[2:])):
+        return "c2pa", "C2PA manifest (JUMBF)"
+    known = next(((category, label) for m, lead, category, label in APPLICATION if m == marker and payload.startswith(lead)), None)
+    name = f"APP{marker - 0xE0}" if 0xE0 <= marker <= 0xEF else "COM" if marker == COM else f"0xFF{marker:02X}"
+    return known or (("other", f"{name} (unrecognised)") if 0xE0 <= marker <= 0xEF else ("structural", name))
+
+
+def colour_of(parts: list[tuple]) -> tuple[int | None, int | None]:
+    """(components, transform) from the last frame header and the last Adobe marker."""
+    components = transform = None
+    for marker, _, _, head, raw in parts:
+        if marker is not None and 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC) and len(raw) - head >= 6:
+            components = raw[head + 5]
+        elif marker == 0xEE and raw[head : head + 5] == b"Adobe" and len(raw) - head >= 12:
+            transform = raw[head + 11]
+    return components, transform
+
+
 def frames(rows: DataFrame) -> DataFrame:
     """Geometry and colour space per file, from its last frame header and Adobe marker."""
     p, m = F.col("payload"), F.col("marker")
@@ -154,20 +178,6 @@ def decide(rows: DataFrame, removed: frozenset[str]) -> DataFrame:
     return rows.withColumn("components", components).withColumn("switch", switch).withColumn("kept", kept).withColumn("reason", reason)
 
 
-def _filtered_resources(decided: DataFrame, removed: frozenset[str]) -> DataFrame:
-    """Resource segments lose the resources of the removed categories; without readable ones they go or stay whole."""
-    key = F.concat_ws(":", F.col("ord").cast("string"), "file_id")
-    mine = decided.where("label = 'Photoshop / IPTC resources'").select(key.alias("file_id"), F.col("payload").alias("content"))
-    listed = resources.resources(mine)
-    stay = listed.where(~F.col("category").isin(*removed))
-    counts = listed.groupBy("file_id").agg(F.max(F.col("category").isin(*removed)).alias("_cut"))
-    known = counts.join(resources.assemble(stay), "file_id", "left").select(F.col("file_id").alias("_key"), F.col("content").alias("_left"), "_cut")
-    joined = decided.withColumn("_key", F.when(F.col("label") == "Photoshop / IPTC resources", key)).join(known, "_key", "left")
-    fresh = F.when(F.col("_left").isNotNull(), segment(F.col("marker"), F.col("_left")))
-    kept = F.when(F.col("_cut"), fresh).when(F.col("_cut").isNotNull(), F.col("raw")).otherwise(F.col("kept"))
-    return joined.withColumn("kept", kept).drop("_key", "_left", "_cut")
-
-
 def assemble(rows: DataFrame) -> DataFrame:
     """(file_id, content) from ``kept`` in order."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "kept"))), lambda x: x["kept"])
@@ -180,28 +190,8 @@ def exif_payloads(rows: DataFrame) -> DataFrame:
     return rows.where("label = 'EXIF'").groupBy("file_id").agg(F.min_by(body, "ord").alias("content"))
 
 
-def _filtered_exif(decided: DataFrame, removed: frozenset[str]) -> DataFrame:
-    """EXIF segments that stay lose the entries of the removed categories, if that makes them smaller."""
-    key = F.concat_ws(":", F.col("ord").cast("string"), "file_id")
-    mine = decided.where("label = 'EXIF'").select(key.alias("file_id"), F.substring("payload", F.lit(7), F.length("payload")).alias("content"))
-    readable = tiff.entries(mine)
-    after = tiff.assemble(tiff.keep(readable, removed, embedded=True))
-    known = readable.select("file_id").distinct().join(after, "file_id", "left").select(F.col("file_id").alias("_key"), F.col("content").alias("_left"), F.lit(True).alias("_read"))
-    joined = decided.withColumn("_key", F.when(F.col("label") == "EXIF", key)).join(known, "_key", "left")
-    fresh = segment(F.col("marker"), F.concat(F.lit(b"Exif\0\0"), F.col("_left")))
-    smaller = F.length(fresh) < F.length("raw")
-    kept = F.when(F.col("_read") & F.col("_left").isNull(), None).when(F.col("_read") & smaller, fresh).otherwise(F.col("kept"))
-    return joined.withColumn("kept", kept).drop("_key", "_left", "_read")
-
-
 def clean(files: DataFrame, removed: frozenset[str]) -> DataFrame:
-    """Files without the segments of the removed categories; the scan stays byte for byte.
+    """Files without the segments of the removed categories, each by the task that read it; the scan stays byte for byte."""
+    from shutterlake.sources import rewrite
 
-    Where EXIF stays, its entries of other categories go one by one.
-    """
-    decided = decide(parts(files), removed)
-    if "exif" not in removed and removed:
-        decided = _filtered_exif(decided, removed)
-    if removed:
-        decided = _filtered_resources(decided, removed)
-    return assemble(decided)
+    return rewrite.contents(files, "jpeg", removed)

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from shutterlake.functions import binary, signals, xmp
+from shutterlake import dims
+from shutterlake.functions import binary, plain, signals
 from shutterlake.sources import walk
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -66,28 +67,19 @@ def inflated(data: bytes) -> tuple[bytes, str | None]:
         return b"", str(e)
 
 
-def _utf8(data: bytes) -> str:
-    return data.removeprefix(b"\xef\xbb\xbf").decode("utf-8", "replace")
-
-
-def _latin1(data: bytes) -> str:
-    """Windows-1252, with the bytes that it leaves out as they are."""
-    return "".join(bytes([c]).decode("cp1252", "replace") if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(c) for c in data) if any(0x80 <= c < 0xA0 for c in data) else data.decode("latin-1")
-
-
 def text_of(kind: str, data: bytes) -> tuple[str | None, str | None, str | None, str | None]:
     """(keyword, language, text, error) of a text or profile chunk; a bad one has an error, not an exception."""
     end = data.find(b"\0", 0, 80)
     if end < 0:
         return None, None, None, None
-    keyword, rest = _latin1(data[:end]).strip("\0"), data[end + 1 :]
+    keyword, rest = plain.latin1(data[:end]).strip("\0"), data[end + 1 :]
     if kind == "tEXt":
-        return keyword, None, _latin1(rest), None
+        return keyword, None, plain.latin1(rest), None
     if kind in ("zTXt", "iCCP"):
         if rest[:1] != b"\0":
             return keyword, None, "", f"unknown compression method {rest[0] if rest else None}"
-        plain, error = inflated(rest[1:])
-        return keyword, None, _utf8(plain) if kind == "zTXt" else None, error
+        body, error = inflated(rest[1:])
+        return keyword, None, plain.utf8(body) if kind == "zTXt" else None, error
     language_end = rest.find(b"\0", 2)
     if len(rest) < 2 or language_end < 0:
         return keyword, None, "", "missing language tag"
@@ -95,7 +87,7 @@ def text_of(kind: str, data: bytes) -> tuple[str | None, str | None, str | None,
     if name_end < 0:
         return keyword, None, "", "missing translated keyword"
     body, error = (rest[name_end + 1 :], None) if rest[0] != 1 else inflated(rest[name_end + 1 :])
-    return keyword, _latin1(rest[2:language_end]) or None, _utf8(body), error
+    return keyword, plain.latin1(rest[2:language_end]) or None, plain.utf8(body), error
 
 
 def rows_of_file(content: bytes) -> Iterator[tuple]:
@@ -161,17 +153,7 @@ def assemble(rows: DataFrame) -> DataFrame:
 
 
 def clean(files: DataFrame, policy: DataFrame) -> DataFrame:
-    """Files without the chunks whose category the policy removes; pixels stay as they are.
-
-    A packet that stays in an uncompressed text chunk loses the properties of
-    generators and provenance that the policy removes, if that makes it smaller.
-    """
-    # the policy has nine rows whatever the input
-    removed = frozenset(r["category"] for r in policy.where("remove").collect())
-    rows = chunks(files)
-    rows = rows.where(~F.col("category").isin(*removed)) if removed else rows
-    if removed & {"ai", "c2pa"}:
-        plain = (F.col("type") == "iTXt") & (F.col("category") == "xmp") & F.col("error").isNull() & (F.substring("data", len(XMP_KEY) + 2, 1) == F.lit(b"\0"))
-        fresh = itxt(F.col("keyword"), F.col("language"), xmp.stripped(F.col("text"), removed))
-        rows = rows.withColumn("data", F.when(plain & (F.length(fresh) < F.length("data")), fresh).otherwise(F.col("data")))
-    return assemble(rows)
+    """Files without the chunks whose category the policy removes, each by the task that read it; pixels stay as they are."""
+    from shutterlake.sources import rewrite
+
+    return rewrite.contents(files, "png", dims.switched_off(policy))

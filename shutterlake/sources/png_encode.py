@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.sources.png import SIGNATURE
+from shutterlake.sources import walk
+from shutterlake.sources.png import SIGNATURE, chunks_of
 
 #: Fixed value: the longest edge that a rebuilt picture may have.
 MOST_EDGE = 16384
@@ -79,6 +80,54 @@ def encode(pictures: DataFrame, level: int = 6) -> DataFrame:
     return cols.mapInArrow(run, "file_id string, content binary")
 
 
+def decoded(content: bytes) -> bytes:
+    """The pixels of a picture with eight bits a channel, row by row, without its filters; others raise ValueError."""
+    chunks = chunks_of(content)
+    head = next((d for k, _, _, _, d in chunks if k == "IHDR"), b"")
+    if len(head) < 13 or head[8] != 8 or head[9] not in (0, 2, 4, 6) or head[12]:
+        raise ValueError("not a plain picture")
+    width, height = struct.unpack(">II", head[:8])
+    step = {0: 1, 2: 3, 4: 2, 6: 4}[head[9]]
+    flat = zlib.decompress(b"".join(d for k, _, _, _, d in chunks if k == "IDAT"))
+    line = width * step
+    if len(flat) != height * (line + 1):
+        raise ValueError("pixels don't fit the size")
+    above, out = np.zeros(line, np.int64), []
+    for y in range(height):
+        kind, raw = flat[y * (line + 1)], np.frombuffer(flat, np.uint8, line, y * (line + 1) + 1).astype(np.int64)
+        if kind == 1:
+            row = np.cumsum(raw.reshape(-1, step), axis=0).ravel()
+        elif kind in (0, 2):
+            row = raw + above * (kind == 2)
+        else:
+            # one pixel needs the one before it
+            row = raw.copy()
+            for x in range(0, line, step):
+                left = row[x - step : x] if x else np.zeros(step, np.int64)
+                up, corner = above[x : x + step], above[x - step : x] if x else np.zeros(step, np.int64)
+                if kind == 3:
+                    row[x : x + step] += (left + up) >> 1
+                else:
+                    a, b, c = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+                    row[x : x + step] += np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+                row[x : x + step] &= 255
+        above = row & 255
+        out.append(above.astype(np.uint8).tobytes())
+    return b"".join(out)
+
+
+def decode(files: DataFrame) -> DataFrame:
+    """(file_id, pixels) of the pictures that ``decoded`` reads; others have null."""
+
+    def run(content: bytes) -> Iterator[tuple]:
+        try:
+            yield (decoded(content),)
+        except (ValueError, struct.error, zlib.error):
+            yield (None,)
+
+    return walk.rows_of(files, run, "pixels binary").drop("ord")
+
+
 def target_format(requested: Column, source: Column) -> Column:
     """(format, substituted) of a rebuilt file: what has no encoder becomes PNG."""
     own = source.isin("jpeg", "png", "webp")

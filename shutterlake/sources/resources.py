@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.functions import binary, text
@@ -66,6 +66,15 @@ def caption_summary(rows: DataFrame) -> DataFrame:
     return mine.groupBy("file_id").agg(*(first(n).alias(name) for name, n in DATASETS.items()), words.alias("keywords"), F.count(F.when(F.col("dataset") != 0, 1)).alias("field_count"))
 
 
+def caption_of(records: Column) -> Column:
+    """The caption summary of a file's own array of (dataset, value); null without records."""
+    value = lambda r: text.utf8_or_latin1(r["value"])
+    first = lambda n: F.nullif(value(F.get(F.filter(records, lambda r: r["dataset"] == n), F.lit(0))), F.lit(""))
+    words = F.filter(F.transform(F.filter(records, lambda r: r["dataset"] == 25), value), lambda v: v != "")
+    count = F.size(F.filter(records, lambda r: r["dataset"] != 0)).cast("long")
+    return F.when(F.size(records) > 0, F.struct(*(first(n).alias(name) for name, n in DATASETS.items()), words.alias("keywords"), count.alias("field_count")))
+
+
 def assemble(rows: DataFrame) -> DataFrame:
     """(file_id, content) from resource rows, with empty names and even sizes."""
     size = F.length("data")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.functions import signals, text
+from shutterlake.functions import plain, signals, text
 from shutterlake.sources import walk
 
 #: Bytes of one value by field type.
@@ -27,8 +28,15 @@ COMMENTS = [270, 37510, 40091, 40092, 40093, 40094, 40095]
 OWN = {700: "xmp", 33723: "iptc", 34377: "iptc", 34675: "icc", 52545: "c2pa", 37500: "exif", 50341: "exif", 59932: "exif"}
 #: Tables of the old JPEG-in-TIFF form, which cannot be moved.
 OLD_JPEG = [519, 520, 521]
+#: Fields of a camera's summary by directory kind and tag: texts, other bytes, and first numbers.
+CAMERA_TEXTS = {"make": ("ifd0", 271), "model": ("ifd0", 272), "software": ("ifd0", 305), "modified": ("ifd0", 306), "artist": ("ifd0", 315), "copyright": ("ifd0", 33432), "serial": ("ifd0", 50735), "taken": ("exif", 36867), "digitized": ("exif", 36868), "owner": ("exif", 42032), "body_serial": ("exif", 42033), "lens_make": ("exif", 42035), "lens_model": ("exif", 42036), "lens_serial": ("exif", 42037)}
+CAMERA_BYTES = {"_description": ("ifd0", 270), "_xp": ("ifd0", 40092), "_comment": ("exif", 37510)}
+CAMERA_NUMBERS = {"_orientation": ("ifd0", 274), "_exposure": ("exif", 33434), "_f": ("exif", 33437), "_iso": ("exif", 34855), "_focal": ("exif", 37386)}
+PLACE_BYTES, PLACE_NUMBERS = (1, 3, 29), (2, 4, 5, 6, 7, 17)
+_STRUCTURAL = frozenset(STRUCTURAL)
 _DEPTH, _ENTRIES, _CHAIN = 8, 4096, 64
 _FIELDS = "path string, above array<struct<tag:int,kind:string>>, kind string, tag int, type int, count long, value binary, value_offset long, inline boolean, little boolean, children int, blocks array<binary>"
+_NAMES = [part.split()[0] for part in re.sub(r"<[^>]*>+", "", _FIELDS).split(",")]
 
 
 def entries_of(payload: bytes) -> list[tuple]:
@@ -141,6 +149,100 @@ def keep(rows: DataFrame, removed: frozenset[str], embedded: bool) -> DataFrame:
     return left.where("children = 0").unionByName(left.where("children > 0").join(live, ["file_id", "path", "tag"], "left_semi"))
 
 
+def entry_text_of(tag: int, value: bytes) -> str:
+    """``entry_text`` on plain values."""
+    if tag == 37510:
+        return plain.user_comment(value)
+    return plain.strip(plain.utf16(value, True)) if 40091 <= tag <= 40095 else plain.strip(plain.latin1(value))
+
+
+def class_of(kind: str, tag: int, form: int, value: bytes, embedded: bool) -> str:
+    """Category of an entry on plain values, as ``classify`` has it."""
+    if kind == "gps" or tag == 34853:
+        return "gps"
+    if tag in OWN:
+        return OWN[tag]
+    if form in (1, 7) and plain.manifest_like(value):
+        return "c2pa"
+    if tag in COMMENTS:
+        return "ai" if plain.signed(entry_text_of(tag, value)) else "comment"
+    if not embedded and (tag in _STRUCTURAL or tag in (288, 289)):
+        return "structural" if tag in _STRUCTURAL else "other"
+    if tag in IDENTITY or kind in ("exif", "interop") or tag == 34665:
+        return "exif"
+    return "structural" if tag == 330 else "exif" if embedded and tag in _STRUCTURAL else "other"
+
+
+CAMERA = "struct<" + ",".join([*(f"{n}:binary" for n in (*CAMERA_TEXTS, *CAMERA_BYTES)), *(f"{n}:double" for n in CAMERA_NUMBERS), "_maker:int,_thumb:double,_little:boolean,tag_count:long"]) + ">"
+PLACE = "struct<" + ",".join([*(f"_v{t}:binary" for t in PLACE_BYTES), *(f"_n{t}:array<double>" for t in PLACE_NUMBERS), "tag_count:long"]) + ">"
+
+
+def camera_of(rows: list[tuple]) -> tuple[dict | None, dict | None]:
+    """(CAMERA, PLACE) of a payload's entries, each value by the first entry of its kind; null without entries or without a position."""
+    first: dict[tuple[str, int], tuple] = {}
+    for r in rows:
+        first.setdefault((r[2], r[3]), r)
+    value = lambda at: first[at][6] if at in first else None
+    numbers = lambda r: numbers_of(r[6], r[4], r[9]) if r else None
+    one = lambda r: next(iter(numbers(r) or ()), None)
+    camera = {n: value(at) for n, at in (CAMERA_TEXTS | CAMERA_BYTES).items()} | {n: one(first.get(at)) for n, at in CAMERA_NUMBERS.items()}
+    thumb = next((r for r in rows if r[0] == "1" and r[3] == 514), None)
+    maker = value(("exif", 37500))
+    camera |= {"_maker": maker and len(maker), "_thumb": one(thumb), "_little": rows[0][9] if rows else None, "tag_count": len(rows)}
+    count = sum(r[2] == "gps" for r in rows)
+    place = {f"_v{t}": value(("gps", t)) for t in PLACE_BYTES} | {f"_n{t}": numbers(first.get(("gps", t))) for t in PLACE_NUMBERS} | {"tag_count": count}
+    return camera if rows else None, place if count else None
+
+
+class Tree:
+    """The entries of one payload with their directories, to be filtered and written again."""
+
+    def __init__(self, payload: bytes):
+        self.rows = [dict(zip(_NAMES, row, strict=True), ord=i) for i, row in enumerate(entries_of(payload))]
+        self.tables: dict[str, list[dict]] = {}
+        for row in self.rows:
+            self.tables.setdefault(row["path"], []).append(row)
+        self.kids: dict[str, list[str]] = {}
+        for path in sorted((p for p in self.tables if "/" in p), key=lambda p: int(p.rpartition(".")[2])):
+            self.kids.setdefault(path.rpartition(".")[0], []).append(path)
+
+    def below(self, row: dict) -> list[str]:
+        """Paths of the directories that an entry points at."""
+        return self.kids.get(f"{row['path']}/{row['tag']}", []) if row["children"] else []
+
+    def size(self, row: dict) -> int:
+        """Bytes of an entry with its value, blocks and directories."""
+        own = 12 + (0 if row["inline"] else len(row["value"])) + sum(map(len, row["blocks"] or ()))
+        return own + sum(6 + sum(map(self.size, self.tables[p])) for p in self.below(row))
+
+    def without(self, removed: frozenset[str], embedded: bool) -> tuple[list[dict] | None, dict[str, list[int]]]:
+        """(entries that stay, {category: [bytes, n]} of those that went); None if nothing worth keeping is left."""
+        lost: dict[str, list[int]] = {}
+
+        def record(category: str, row: dict) -> None:
+            tally = lost.setdefault(category, [0, 0])
+            tally[0] += self.size(row)
+            tally[1] += 1
+
+        def left(path: str) -> list[dict]:
+            out = []
+            for row in self.tables[path]:
+                category = class_of(row["kind"], row["tag"], row["type"], row["value"], embedded)
+                if category in removed:
+                    record(category, row)
+                    continue
+                kept = [x for x in map(left, self.below(row)) if x]
+                if row["children"] and not kept:
+                    record("other" if category == "structural" else category, row)
+                    continue
+                out += [row, *(one for x in kept for one in x)]
+            return out
+
+        pages = [left(p) for p in sorted((p for p in self.tables if "/" not in p), key=int)]
+        stay = [row for page in pages for row in page]
+        return stay or None, lost
+
+
 def write(rows: list[dict]) -> bytes:
     """One payload from its entries: tables by tag, values and blocks behind, even offsets."""
     little = rows[0]["little"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,13 +13,15 @@ from pyspark.sql.types import StructType
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 10_000
 
 
-def rows_of(files: DataFrame, walk: Callable[[bytes], Iterable[tuple]], columns: str, keys: str = "file_id string") -> DataFrame:
+def rows_of(files: DataFrame, walk: Callable[..., Iterable[tuple]], columns: str, keys: str = "file_id string", given: Sequence[str] = ()) -> DataFrame:
     """``keys``, ``ord`` and ``columns`` for every tuple that ``walk`` yields for a row's ``content``.
 
-    A null or unreadable content gives no rows. Rows of many files leave in one
-    batch, which ends after the file that fills it.
+    The keys named in ``given`` go to ``walk`` as well. A null or unreadable content
+    gives no rows. Rows of many files leave in one batch, which ends after the file
+    that fills it.
     """
     names = [part.split()[0] for part in keys.split(",")]
+    passed = [names.index(n) for n in given]
     ddl = f"{keys}, ord int, {columns}"
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
@@ -33,7 +35,7 @@ def rows_of(files: DataFrame, walk: Callable[[bytes], Iterable[tuple]], columns:
         for batch in batches:
             for *key, content in zip(*(batch[n].to_pylist() for n in names), batch["content"], strict=True):
                 found = content.as_py() or b""
-                rows += [(*key, at, *one) for at, one in enumerate(walk(found))]
+                rows += [(*key, at, *one) for at, one in enumerate(walk(found, *(key[i] for i in passed)))]
                 size += len(found)
                 if size >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
                     if rows:
@@ -44,11 +46,3 @@ def rows_of(files: DataFrame, walk: Callable[[bytes], Iterable[tuple]], columns:
 
     return files.select(*names, "content").mapInArrow(run, ddl)
 
-
-def settled(rows: DataFrame) -> DataFrame:
-    """The same rows, with their columns computed once.
-
-    The optimiser copies a long expression into every filter and field that uses it;
-    behind this step it plans with plain columns.
-    """
-    return rows.mapInArrow(lambda batches: batches, rows.schema)

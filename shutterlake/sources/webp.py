@@ -8,7 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.functions import binary, text, xmp
+from shutterlake import dims
+from shutterlake.functions import binary
 from shutterlake.sources import walk
 
 #: Chunks with a switch, and those that make up the picture.
@@ -23,8 +24,8 @@ LABELS = {"VP8 ": "VP8 image data", "VP8L": "VP8L image data", "VP8X": "Extended
 
 def chunks_of(content: bytes) -> list[tuple[str, int, int, bytes]]:
     """(FourCC, offset, padded size with header, payload); a cut chunk ends the walk."""
-    out, at = [], 12
-    while content[:4] == b"RIFF" and content[8:12] == b"WEBP" and at + 8 <= len(content):
+    out, at, end = [], 12, min(len(content), int.from_bytes(content[4:8], "little") + 8)
+    while content[:4] == b"RIFF" and content[8:12] == b"WEBP" and at + 8 <= end:
         (size,) = struct.unpack_from("<I", content, at + 4)
         if at + 8 + size > len(content):
             break
@@ -38,6 +39,25 @@ def rows_of_file(content: bytes) -> Iterator[tuple]:
         yield kind, "structural" if kind in PICTURE else SWITCHES.get(kind, "other"), at, size, data
 
 
+def shape_of(chunks: list[tuple[str, int, int, bytes]]) -> dict:
+    """Canvas, alpha, animation and coding on plain values, as ``geometry`` has them."""
+    first = lambda kind: next((d for k, _, _, d in chunks if k == kind), None)
+    x, packed, lossy = first("VP8X") or b"", first("VP8L"), first("VP8 ")
+    wide, films = len(x) >= 10, sum(k == "ANMF" for k, *_ in chunks)
+    width = height = None
+    alpha, animated = wide and bool(x[0] & 0x10), wide and bool(x[0] & 0x02)
+    if wide:
+        width, height = (int.from_bytes(x[i : i + 3], "little") + 1 for i in (4, 7))
+    elif packed is not None and len(packed) >= 5 and packed[0] == 0x2F:
+        bits = int.from_bytes(packed[1:5], "little")
+        width, height, alpha = (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1, bool(bits >> 28 & 1)
+    elif packed is None and lossy is not None and len(lossy) >= 10 and lossy[3:6] == b"\x9d\x01\x2a":
+        width, height = (int.from_bytes(lossy[i : i + 2], "little") & 0x3FFF for i in (6, 8))
+    alpha = alpha or (packed is None and lossy is not None and first("ALPH") is not None)
+    encoding = "VP8L (lossless)" if packed is not None else "VP8 (lossy)" if lossy is not None else f"Animated, {films} frame(s)" if animated else "Unknown"
+    return {"width": width, "height": height, "color_space": "YCbCr", "channels": 4 if alpha else 3, "has_alpha": alpha, "animated": animated, "progressive": False, "encoding": encoding}
+
+
 def label(kind: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair)), kind), F.concat(F.trim(kind), F.lit(" chunk")))
 
@@ -92,13 +112,7 @@ def assemble(rows: DataFrame) -> DataFrame:
 
 
 def clean(files: DataFrame, policy: DataFrame) -> DataFrame:
-    """Files without the chunks whose category the policy removes; a packet that stays loses what else is removed in it."""
-    # the policy has nine rows whatever the input
-    removed = frozenset(r["category"] for r in policy.where("remove").collect())
-    rows = chunks(files)
-    rows = rows.where(~F.col("category").isin(*removed)) if removed else rows
-    if removed & {"ai", "c2pa"}:
-        found = text.utf8(xmp.packet(F.when(F.col("category") == "xmp", F.col("data"))))
-        fresh = xmp.stripped(found, removed)
-        rows = rows.withColumn("data", F.when(fresh != found, fresh.cast("binary")).otherwise(F.col("data")))
-    return assemble(rows)
+    """Files without the chunks whose category the policy removes, each by the task that read it."""
+    from shutterlake.sources import rewrite
+
+    return rewrite.contents(files, "webp", dims.switched_off(policy))

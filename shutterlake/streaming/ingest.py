@@ -5,22 +5,16 @@ The ``binaryFile`` source itself skips files of no bytes, so they give no row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shutterlake.functions.binary import detect_format
+from shutterlake.sources.container import gate
 
-#: Least and most bytes of a file.
-LEAST, MOST = 12, 256 << 20
 _SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def gate(length: Column) -> Column:
-    """Error code of a file by its size; null if it may be read."""
-    return F.when(length == 0, "empty-file").when(length < LEAST, "corrupt-container").when(length > MOST, "too-large")
-
-
 def sniffed(files: DataFrame) -> DataFrame:
     """file_id, bytes, format, error for rows of the ``binaryFile`` source, batch or stream."""
     error = gate(F.col("length"))

@@ -15,15 +15,17 @@ def test_clean_each_by_its_format(spark):
     assert bytes(got["jpg"]["content"]) == JPEG.replace(b"\xff\xfe\x00\x06note", b"")
     assert got["jpg"]["bytes_removed"] == 8 and abs(got["jpg"]["percent_reduction"] - 800 / len(JPEG)) < 1e-9
     assert got["gif"]["bytes_removed"] is None and got["gif"]["message"].startswith("GIF is not supported")
-    assert got["odd"]["message"] == "items built from other items. Try rebuild mode."
-    seen = {(r["file_id"], r["category"]): (r["n_before"], r["bytes_after"]) for r in cleaning.verified(files, out).collect()}
-    assert seen == {("jpg", "comment"): (1, 0), ("avif", "exif"): (1, 0), ("avif", "xmp"): (1, 0), ("avif", "c2pa"): (1, 0)}
-    assert cleaning.remaining(out).count() == 0
-    kept = cleaning.remaining(cleaning.clean(files, frozenset(["xmp"])))
-    assert sorted((r["file_id"], r["bytes"]) for r in kept.collect()) == [("avif", len(EXIF)), ("avif", 30), ("jpg", 8)]
+    assert got["odd"]["message"] == "Items stored inside other items (construction method 2) cannot be relocated. Try rebuild mode."
+    rows = cleaning.verified(files, removed)
+    seen = {(r["file_id"], r["category"]): (r["n_before"], r["bytes_after"]) for r in cleaning.by_category(rows).collect()}
+    icc = ("avif", "icc"), (1, 19)
+    assert seen == {("jpg", "comment"): (1, 0), ("avif", "exif"): (1, 0), ("avif", "xmp"): (1, 0), ("avif", "c2pa"): (1, 0), icc[0]: icc[1]}
+    assert [(r["file_id"], len(r["remaining"])) for r in rows.where("remaining is not null").orderBy("file_id").collect()] == [("avif", 1), ("jpg", 0)]
+    kept = cleaning.verified(files, frozenset(["xmp"])).where("remaining is not null").collect()
+    assert sorted((r["file_id"], x["bytes"]) for r in kept for x in r["remaining"]) == [("avif", 19), ("avif", 30), ("avif", len(EXIF) + 21), ("jpg", 8)]
 
 
 def test_clean_nothing(spark):
     none = spark.createDataFrame([], "file_id string, content binary")
     out = cleaning.clean(none, GONE)
-    assert out.count() == 0 and cleaning.verified(none, out).count() == 0
+    assert out.count() == 0 and cleaning.verified(none, GONE).count() == 0
