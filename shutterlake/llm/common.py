@@ -71,6 +71,17 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc_mod(col: Column, mod: int) -> Column:
     """crc32 of a column's text form, modulo ``mod``; a null id counts as empty."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod

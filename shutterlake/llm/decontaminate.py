@@ -30,7 +30,8 @@ benchmark leaves every document clean.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import group_starts, materialize, texts_of
+from shutterlake.llm.common import group_starts, materialize, spare_names, texts_of
 
 WINDOW, MIN_WORDS = 13, 5
+#: Seeds that more benchmark items share are met by whole windows instead.
+HOT_ITEMS = 32
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 #: Letters of scripts without spaces: Han, kana, Thai, Lao, Burmese, Khmer.
 _DENSE = "\u3005-\u3007\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ecd\u1000-\u103f\u1050-\u109d\u1780-\u17d3"
@@ -151,9 +154,65 @@ def _set_in(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(bitmap[values >> np.uint64(3)] >> (values & np.uint64(7)).astype(np.uint8) & 1)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a 128-bit hash of the text as _h1, _h2."""
-    return docs.withColumn("_h1", F.xxhash64("text")).withColumn("_h2", F.xxhash64(F.lit(1), "text"))
+def _keyed(docs: DataFrame, names: Sequence[str] = ("_h1", "_h2")) -> DataFrame:
+    """``docs`` with a 128-bit hash of the text in two columns of these names."""
+    return docs.withColumn(names[0], F.xxhash64("text")).withColumn(names[1], F.xxhash64(F.lit(1), "text"))
+
+
+def allowed(size: int, similarity: float) -> int:
+    """Words of a window of this size that may differ."""
+    return max((k for k in range(size) if size - k >= similarity * size), default=0)
+
+
+_POWERS = np.cumprod(np.r_[np.uint64(1), np.full(63, 0x9E3779B97F4A7C15, np.uint64)])
+
+
+def window_keys(words: np.ndarray, places: np.ndarray, size: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(key, start) of each window of ``size`` words that holds one of these places, once for each choice of words that may differ.
+
+    Two windows share a key just where the words that were not left out are equal (but
+    for a hash), so a join on keys meets no pair that isn't similar enough.
+    """
+    starts = np.unique((places[:, None] - np.arange(size)).ravel())
+    starts = starts[(starts >= 0) & (starts + size <= len(words))]
+    terms = _mix(words[starts[:, None] + np.arange(size)]) * _POWERS[:size]
+    whole, keys = terms.sum(axis=1), []
+    for n, gone in enumerate(combinations(range(size), allowed(size, similarity))):
+        keys.append(_mix(whole - terms[:, list(gone)].sum(axis=1, dtype=np.uint64) + np.uint64(1 + n + 1000 * size)))
+    return np.concatenate(keys) if keys else np.zeros(0, np.uint64), np.tile(starts, len(keys))
+
+
+def _met_by_windows(hits: DataFrame, parts: DataFrame, seeds: DataFrame, items: DataFrame, similarity: float, window: int) -> DataFrame:
+    """_h1, _h2, start, item, shift: segments and items that agree in a whole window around places of frequent seeds."""
+    own = materialize(seeds.groupBy("item").agg(F.flatten(F.collect_list("places")).alias("places")).join(items.select("item", "words"), "item"), "frequent")
+    # at most as many sizes as a window has words
+    sizes = sorted(r[0] for r in own.select(F.least(F.size("words"), F.lit(window))).distinct().collect())
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, words, places in zip(b["item"].to_pylist(), b["words"], b["places"], strict=True):
+                words = words.values.to_numpy().view(np.uint64)
+                keys, at = window_keys(words, np.unique(places.values.to_numpy()), min(window, len(words)), similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), item)), pa.array(at)], names=["seed", "item", "place"])
+
+    keyed = materialize(own.mapInArrow(of_items, "seed long, item long, place long").distinct(), "windows")
+    (high, low), bits = _bitmaps(keyed)
+    shift, below = np.uint64(64 - bits), np.uint64((1 << bits) - 1)
+
+    def of_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for h1, h2, start, words, places in zip(*(b[c].to_pylist() for c in ("_h1", "_h2", "start")), b["words"], b["at"], strict=True):
+                words, places = words.values.to_numpy().view(np.uint64), np.unique(places.values.to_numpy())
+                found = [window_keys(words, places, size, similarity) for size in sizes]
+                keys, at = np.concatenate([k for k, _ in found]), np.concatenate([a for _, a in found])
+                on = _set_in(high, keys >> shift)
+                on = on[_set_in(low, keys[on] & below)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(on), x)) for x in (h1, h2, start)), pa.array(keys[on].view(np.int64)), pa.array(at[on])], names=["_h1", "_h2", "start", "seed", "at"])
+
+    where = ["_h1", "_h2", "start"]
+    segments = hits.groupBy(*where).agg(F.flatten(F.collect_list("at")).alias("at")).join(parts.select(*where, "words"), where)
+    rows = segments.mapInArrow(of_parts, "_h1 long, _h2 long, start long, seed long, at long")
+    return rows.join(keyed, "seed").select(*where, "item", (F.col("at") - F.col("place")).alias("shift")).distinct()
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
@@ -163,6 +222,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, win
     """
     items = _items(benchmark, similarity, window, min_words)
     bench = materialize(items.select("item", F.explode("seeds").alias("s")).select("s.seed", "item", F.col("s.at").alias("places")), "seeds")
+    hot = materialize(bench.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ITEMS).select("seed"), "hot")
+    frequent = bool(hot.take(1))
     (high, low), bits = _bitmaps(bench)
     lengths = sorted(r[0] for r in items.select(F.explode("lengths")).distinct().collect())  # 1 to 12
     masks = [*MASKS, *(tuple(range(n)) for n in lengths)]
@@ -240,7 +301,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, win
     found = texts.mapInArrow(scan, "_h1 long, _h2 long, start long, words array<long>, hits array<struct<seed: long, at: array<long>>>")
     parts = materialize(found.dropDuplicates(["_h1", "_h2", "start"]), "segments")
     hits = parts.select("_h1", "_h2", "start", F.explode("hits").alias("s")).select("_h1", "_h2", "start", "s.seed", "s.at")
-    met = hits.join(bench, "seed").select("_h1", "_h2", "start", "item", "at", "places").mapInArrow(shifts, "_h1 long, _h2 long, start long, item long, shift long")
+    rare = bench.join(hot, "seed", "left_anti") if frequent else bench
+    met = hits.join(rare, "seed").select("_h1", "_h2", "start", "item", "at", "places").mapInArrow(shifts, "_h1 long, _h2 long, start long, item long, shift long")
+    if frequent:
+        met = met.unionByName(_met_by_windows(hits.join(hot, "seed"), parts, bench.join(hot, "seed"), items, similarity, window))
     met = met.groupBy("_h1", "_h2", "start", "item").agg(F.collect_set("shift").alias("shifts"))
     both = met.join(parts.select("_h1", "_h2", "start", "words"), ["_h1", "_h2", "start"]).join(items.select("item", "item_id", F.col("words").alias("own")), "item")
     spans = both.select("_h1", "_h2", "start", "item_id", "words", "own", "shifts").mapInArrow(verify, "_h1 long, _h2 long, item_id long, start_word long, end_word long, matched long")
@@ -265,4 +329,6 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     The anti-join's side is one pair of numbers per contaminated text; Spark
     broadcasts it only where it has measured it as small.
     """
-    return _keyed(docs).join(overlaps(docs, benchmark, **options).select("_h1", "_h2"), ["_h1", "_h2"], "left_anti").select(docs.columns)
+    own = spare_names(docs, "_h1", "_h2")
+    found = overlaps(docs, benchmark, **options).select(F.col("_h1").alias(own[0]), F.col("_h2").alias(own[1]))
+    return _keyed(docs, own).join(found, own, "left_anti").select(docs.columns)

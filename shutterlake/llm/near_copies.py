@@ -17,7 +17,8 @@ group of n nodes that are alike but under 0.8 costs n * n / BLOCK rows.
 
 Nulls and edge cases: null or empty texts, and those of white space only, are one
 class; null doc_ids and repeated rows belong to the class of their text and come
-last in the choice of the row that names it; an empty table gives an empty result.
+last in the choice of the row that names it; an empty table gives an empty result;
+further columns of any type and name are hashed with the row and come through.
 """
 
 from __future__ import annotations
@@ -55,14 +56,22 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(raw[k * 8 * ROWS : (k + 1) * 8 * ROWS], k) for k in range(BANDS)], np.uint64).view(np.int64)
 
 
+def _hashable(docs: DataFrame, name: str) -> Column:
+    """A column as it can be hashed: Spark hashes no maps and variants, so these go as JSON."""
+    col, kind = F.col(f"`{name}`"), docs.schema[name].dataType.simpleString()
+    return F.to_json(F.struct(col)) if "map<" in kind or "variant" in kind else col
+
+
 def row_key(docs: DataFrame) -> Column:
-    """A hash of all columns; only rows that are equal in each share it."""
-    return F.xxhash64(*(x for c in docs.columns for x in (F.col(c), F.col(c).isNull())))
+    """A 128-bit hash of all columns, in hex; only rows that are equal in each share it."""
+    values = [x for c in docs.columns for x in (_hashable(docs, c), F.col(f"`{c}`").isNull())]
+    half = lambda *more: F.lpad(F.hex(F.xxhash64(*more)), 16, "0")
+    return F.concat(half(*values), half(F.lit(1), *reversed(values)))
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
     """id (doc_id and row), node, n, fp, keys: one row per row of ``docs``."""
-    id_type = pa.struct([("doc_id", pa.int64()), ("row", pa.int64())])
+    id_type = pa.struct([("doc_id", pa.int64()), ("row", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,7 +89,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 )
 
     rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "id struct<doc_id: long, row: long>, node long, n long, fp long, keys array<long>")
+    return rows.mapInArrow(run, "id struct<doc_id: long, row: string>, node long, n long, fp long, keys array<long>")
 
 
 def _sets(docs: DataFrame, rows: DataFrame) -> DataFrame:

@@ -42,9 +42,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Fixed patterns of the candidates.
+#: Fixed patterns of the candidates; an address in words is read from its "at" in both directions.
+_AT = re.compile(r"(?i)\s?[\[(]\s?at\s?[\])]\s?")
+_AT_DOMAIN = re.compile(r"(?i)[a-z0-9-]+(?:(?:\.|\s\.\s|\s?[\[(]\s?dot\s?[\])]\s?)[a-z0-9-]+)+")
 _LOOSE = (
-    (0, re.compile(r"(?i)(?<![a-z0-9])[a-z0-9][a-z0-9._%+-]{0,63}\s?[\[(]\s?at\s?[\])]\s?[a-z0-9-]{1,63}(?:\s?(?:\.|[\[(]\s?dot\s?[\])])\s?[a-z0-9-]{1,63}){1,4}")),
     (3, re.compile(r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])")),
     (2, re.compile(r"(?<![0-9])[0-9]{4}(?:[.\x20-][0-9]{4}){3}(?![0-9])")),
 )
@@ -133,8 +134,8 @@ _FRONT = re.compile(r"([A-Za-z]+)[^A-Za-z]*\Z")
 
 
 def _features(text: str, start: int, end: int) -> tuple[int, int]:
-    """Buckets of the span's silhouette and of the word in front of it (0: none)."""
-    runs = ("d" * min(4, len(r)) if r[0].isdigit() else "w" if r[0].isalpha() else r for r in _RUNS.findall(text[start : min(end, start + 200)]))
+    """Buckets of the whole span's silhouette and of the word that ends within 24 characters in front of it (0: none)."""
+    runs = ("d" * min(4, len(r)) if r[0].isdigit() else "w" if r[0].isalpha() else r for r in _RUNS.findall(text[start:end]))
     word = _FRONT.search(text[max(0, start - 24) : start])
     return zlib.crc32("".join(runs).encode()) % SHAPES, 1 + zlib.crc32(word[1].lower().encode()) % (WORDS - 1) if word else 0
 
@@ -152,15 +153,33 @@ def _joined(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
+def spelled_addresses(text: str) -> list[tuple[int, int]]:
+    """(start, end) of addresses whose "@" is a bracketed word, of any length; linear, since no place is read twice."""
+    out, end = [], 0
+    for m in _AT.finditer(text) if "(" in text or "[" in text else ():
+        start = m.start()
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        while start < m.start() and not text[start].isalnum():
+            start += 1
+        domain = _AT_DOMAIN.match(text, m.end()) if start < m.start() else None
+        if domain and m.start() >= end:
+            out.append((start, domain.end()))
+            end = domain.end()
+        else:
+            end = max(end, m.start())
+    return out
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, pattern) of base spans and of looser matches; a pattern is votes and features in one number."""
     found = [(s, k, e, True) for s, k, e in base]
     starts, ends = _joined([(s, e) for s, _, e in base])
-    for kind, pattern in _LOOSE:
-        for m in pattern.finditer(text) if kind or "(" in text or "[" in text else ():
-            at = bisect_right(starts, m.start()) - 1
-            if not (at >= 0 and ends[at] > m.start()) and not (at + 1 < len(starts) and starts[at + 1] < m.end()):
-                found.append((m.start(), kind, m.end(), False))
+    loose = [(s, 0, e) for s, e in spelled_addresses(text)] + [(m.start(), kind, m.end()) for kind, pattern in _LOOSE for m in pattern.finditer(text)]
+    for s, kind, e in loose:
+        at = bisect_right(starts, s) - 1
+        if not (at >= 0 and ends[at] > s) and not (at + 1 < len(starts) and starts[at + 1] < e):
+            found.append((s, kind, e, False))
     out = []
     for s, k, e, strict in found:
         number = 0

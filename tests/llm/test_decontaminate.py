@@ -1,6 +1,8 @@
 import random
+import time
 from itertools import combinations
 
+from shutterlake.llm import decontaminate
 from shutterlake.llm.common import table
 from shutterlake.llm.decontaminate import _WORD, MASKS, WINDOW, contamination, keep_clean
 
@@ -113,3 +115,49 @@ def test_short_items_are_found_with_every_allowed_substitution(spark):
     for item in (items[7], items[8], items[9]):  # with no other item in the block
         found = contamination(docs, spark.createDataFrame([item], "item_id long, text string"))
         assert {r["doc_id"] for r in found.where("contaminated").collect()} == {k for k, w in enumerate(want) if w == [item[0]]}
+
+
+def test_clashing_names_come_through(spark):
+    rows = [(1, "a b c d e f g h i j k l m n", 7, 8, {"k": "v"}), (2, "quite another text", 5, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _h1 long, _H2 long, meta map<string,string>")
+    bench = spark.createDataFrame([(9, "a b c d e f g h i j k l m n")], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.keep_clean(docs, bench).collect()] == [rows[1]]
+    assert decontaminate.keep_clean(docs, bench.limit(0)).count() == 2
+
+
+def _similar(a, b):
+    """Some alignment has a window of 13 words (or all of b) with 80 % equal words."""
+    need = min(13, len(b))
+    for shift in range(-len(b) + 1, len(a)):
+        same = [0 <= i + shift < len(a) and a[i + shift] == w for i, w in enumerate(b)]
+        if any(sum(same[k : k + need]) >= 0.8 * need and 0 <= k + shift and k + need + shift <= len(a) for k in range(len(b) - need + 1)):
+            return True
+    return False
+
+
+def test_shared_opening_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "HOT_ITEMS", 3)
+    rng = random.Random(8)
+    opening = "please read the text below and answer each question".split()
+    word = lambda: f"w{rng.randint(0, 4000)}"
+    items = [opening + [word() for _ in range(rng.choice([0, 1, 2, 4, 20]))] for _ in range(40)] + [["one", "two", "three", "four", "five"][: rng.randint(2, 5)] + [word()] for _ in range(20)]
+    docs = []
+    for i in range(80):
+        own = list(rng.choice(items))
+        for _ in range(rng.randint(0, 4)):
+            own[rng.randrange(len(own))] = word()
+        docs.append([word() for _ in range(rng.randint(0, 9))] + (own if i % 2 else opening + [word() for _ in range(20)]) + [word() for _ in range(9)])
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: set(r["item_ids"]) for r in decontaminate.contamination(d, b, min_words=1).collect()}
+    assert got == {i: {k for k, item in enumerate(items) if _similar(t, item)} for i, t in enumerate(docs)}
+    assert any(got.values())
+
+
+def test_many_documents_and_items_with_one_opening(spark):
+    opening = "answer the following question with one of the choices given "
+    docs = spark.range(2000).selectExpr("id as doc_id", f"concat('{opening}', array_join(transform(sequence(1, 30), i -> concat('d', id, 'x', i)), ' ')) as text")
+    bench = spark.range(2000).selectExpr("id as item_id", f"concat('{opening}', array_join(transform(sequence(1, 30), i -> concat('b', id, 'x', i)), ' ')) as text")
+    began = time.time()
+    assert decontaminate.contamination(docs, bench, min_words=1).where("contaminated").count() == 0
+    assert time.time() - began < 60

@@ -5,6 +5,7 @@ import time
 
 import numpy as np
 
+from shutterlake.llm import pii
 from shutterlake.llm.common import table
 from shutterlake.llm.pii import KINDS, SHAPES, WORDS, SpanModel, base_spans, candidates, digest, find_spans, luhn, redact, redacted, train
 
@@ -133,3 +134,14 @@ def test_many_spans_take_linear_time():
         assert len(candidates(text, base)) == 3 * n
         took.append(time.time() - began)
     assert took[1] < 8 * took[0] + 0.5
+
+
+def test_long_addresses_are_whole():
+    name = "a" * 75
+    for text, want in ((f"write to {name} (at) example.org now", f"{name} (at) example.org"), ("a (at) b.c.d.e.f.g.h.com", "a (at) b.c.d.e.f.g.h.com"), ("x.y [at] sub [dot] host [dot] de.", "x.y [at] sub [dot] host [dot] de"), ("._- (at) b.de", None), ("see (at) noon", None)):
+        found = [text[s:e] for s, e in pii.spelled_addresses(text)]
+        assert found == ([want] if want else [])
+    began = time.time()
+    pii.spelled_addresses("a.b_" * 200_000 + " (at) " + "c." * 100_000)
+    pii.spelled_addresses("(at) " * 100_000)
+    assert time.time() - began < 5

@@ -68,3 +68,12 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_clashing_and_odd_columns_come_through(spark):
+    """Columns named like the stages' own, and maps, stay as they were; rows that differ in them alone are one class still."""
+    text = "a text of several words that is there twice in this table"
+    rows = [(1, text, 1, 7, 8, {"k": "v"}), (2, text, 2, 7, 8, {"k": "w"}), (3, "another text altogether with other words in it", 3, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row_key long, _H1 long, _h2 long, meta map<string,string>")
+    assert sorted(tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [rows[0], rows[2]]
+    assert sorted(tuple(r) for r in corpus_pipeline.drop_contaminated(spark, docs, SF).collect()) == rows
