@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.llm import decontaminate, language, near_copies, packing, pii
-from shutterlake.llm.common import crc_mod, materialize, table
+from shutterlake.llm.common import crc_mod, materialize, spare_names, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,10 +24,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies one row stays: the smallest id, null last, then the smallest hash of the row."""
-    kept = near_copies.first_of_classes(docs).select(F.col("row").alias("_row_key"))
-    keyed = docs.withColumn("_row_key", near_copies.row_key(docs))
+    (key,) = spare_names(docs, "_row_key")
+    kept = near_copies.first_of_classes(docs).select(F.col("row").alias(key))
+    keyed = docs.withColumn(key, near_copies.row_key(docs))
     # rows that share a key are equal in every column
-    return keyed.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(docs.columns)
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
