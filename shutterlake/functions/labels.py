@@ -31,6 +31,11 @@ def cleaned_file_name(name: Column, extension: Column, suffix: str = "_clean") -
     return F.concat(F.when(F.length(safe) == 0, "image").otherwise(safe), F.lit(suffix + "."), extension)
 
 
+def file_name_suffix(asked: Column) -> Column:
+    """A suffix as it may be set: without characters that file systems refuse, 24 at most."""
+    return F.substring(F.regexp_replace(asked, r'[\\/:*?"<>|]', ""), 1, 24)
+
+
 def sanitize(words: Column, most: int = 4000) -> Column:
     """Line ends as LF, no control characters but tab and LF, trimmed, cut with an ellipsis."""
     clean = sanitized(words)

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shutterlake import dims
+
 
 def tally(segments: DataFrame, policy: DataFrame, size: str = "bytes") -> DataFrame:
-    """Removed bytes and count per category, by the policy's switches."""
-    # the policy has nine rows whatever the input
-    gone = segments.join(F.broadcast(policy.where("remove")), "category")
+    """Removed bytes and count per category, by the policy's switches (``dims.switched_off`` checks that there are nine at most)."""
+    gone = segments.where(F.col("category").isin(*dims.switched_off(policy)))
     return gone.groupBy("category").agg(F.sum(size).alias("bytes"), F.count("*").alias("n"))
 
 
 def kept(segments: DataFrame, policy: DataFrame) -> DataFrame:
-    return segments.join(F.broadcast(policy.where("remove")), "category", "left_anti")
+    """The segments that stay; those without a category do."""
+    return segments.where(~F.coalesce(F.col("category").isin(*dims.switched_off(policy)), F.lit(False)))
 
 
 def largest_of(rows: DataFrame, label: list[str], size: Column, *ties: Column) -> DataFrame:
@@ -53,9 +55,9 @@ def breakdown(rows: DataFrame, by: str, category: Column, names: list[str], size
 
 
 def removal_stats(before: DataFrame, after: DataFrame, size: str = "bytes") -> DataFrame:
-    """(file_id, category, bytes, n): what each file lost, largest first within a file; categories that lost nothing are left out."""
+    """(file_id, category, bytes, n, place): what each file lost, ``place`` from 1 for the most bytes (then by name); categories that lost nothing are left out."""
     signed = before.select("file_id", "category", F.col(size).alias("bytes"), F.lit(1).alias("n")).unionByName(after.select("file_id", "category", (-F.col(size)).alias("bytes"), F.lit(-1).alias("n")))
-    return signed.groupBy("file_id", "category").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).where("bytes > 0 or n > 0")
+    return signed.groupBy("file_id", "category").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).where("bytes > 0 or n > 0").withColumn("place", F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("bytes"), "category")))
 
 
 def remaining(kept: DataFrame) -> DataFrame:

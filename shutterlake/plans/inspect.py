@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake import dims
-from shutterlake.operators import cleaning, report
+from shutterlake.functions import labels
+from shutterlake.operators import archive, cleaning, report
 from shutterlake.plans.catalog import query, read
 from shutterlake.plans.media import _big, _bytes, _files, _hex, _key
 from shutterlake.plans.report import _chunk, _little, _riff
@@ -190,3 +191,18 @@ def nested_rewrites(spark, sf_dir):
     whole = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("file_id"), "p_name")
     kept = done.join(whole, "file_id").select("file_id", F.col("bytes_removed").alias("lost"), (F.position(F.col("p_name").cast("binary"), F.col("content")) > 0).cast("long").alias("pixels"))
     return _key(back.join(kept, "file_id"), "p_partkey")
+
+
+@query("SELECT lang, name, sum(30 + strlen(name) + strlen(text)) OVER (PARTITION BY lang ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)::BIGINT AS place, 30 + strlen(name) + strlen(text) AS bytes FROM (SELECT lang, 'doc-' || doc_id || '.txt' AS name, coalesce(text, '') AS text FROM documents)")
+def archive_places(spark, sf_dir):
+    name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    files = read(spark, sf_dir, "documents").select("lang", name.alias("name"), F.col("text").cast("binary").alias("content"))
+    # local parts say their name themselves
+    found = archive.parts(files, "lang").where(F.substring("data", 1, 4) == F.lit(b"PK\3\4"))
+    length = F.conv(F.hex(F.concat(F.substring("data", 28, 1), F.substring("data", 27, 1))), 16, 10).cast("int")
+    return found.select("lang", F.substring("data", F.lit(31), length).cast("string").alias("name"), F.when(F.col("at") > 0, F.col("at")).alias("place"), F.length("data").cast("long").alias("bytes"))
+
+
+@query("SELECT page_id, substr(regexp_replace(url, '[\\\\/:*?\"<>|]', '', 'g'), 1, 24) AS suffix FROM pages")
+def file_name_suffixes(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", labels.file_name_suffix(F.col("url")).alias("suffix"))

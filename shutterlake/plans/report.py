@@ -101,7 +101,7 @@ def avif_cleaned(spark, sf_dir):
     return _key(rows.select("file_id", "original_size", F.length("content").alias("cleaned_size"), F.col("lost")[0]["category"].alias("lost"), F.col("lost")[0]["bytes"].alias("lost_bytes"), seen.alias("picture"), "items"), "p_partkey")
 
 
-_LOST = "SELECT user_id AS file_id, event_type AS category, CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS bytes, count(*) AS n FROM events WHERE value > 50 GROUP BY 1, 2 HAVING n > 0"
+_LOST = "SELECT user_id AS file_id, event_type AS category, CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS bytes, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) DESC, event_type) AS place FROM events WHERE value > 50 GROUP BY user_id, event_type HAVING n > 0"
 
 
 def _losses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,5 @@
-import io
 import struct
-import zipfile
 
-from shutterlake.operators import archive
 from shutterlake.sources import heif, manifest
 
 
@@ -48,10 +45,3 @@ def test_items_and_segments(spark):
     tops = heif.boxes(files).where("file_id = 'a' and depth = 0")
     assert tops.selectExpr("sum(bytes)").first()[0] == len(build())
 
-
-def test_archives(spark):
-    rows = [(1, "a.png", b"x", 1), (1, "a.png", b"y", 2), (1, "b", b"z", 3), (1, "b", b"w", 4), (2, "a.png", b"v", 5)]
-    df = spark.createDataFrame([(g, n, bytearray(c), o) for g, n, c, o in rows], "g long, name string, content binary, ord int")
-    out = {r["g"]: zipfile.ZipFile(io.BytesIO(r["content"])) for r in archive.zipped(archive.unique_names(df, "g", "name", "ord"), "g").collect()}
-    assert {n: out[1].read(n) for n in out[1].namelist()} == {"a.png": b"x", "a (2).png": b"y", "b": b"z", "b (2)": b"w"}
-    assert out[2].namelist() == ["a.png"]
