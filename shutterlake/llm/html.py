@@ -5,10 +5,12 @@ lines (one per block element). Each line's ratio of text (outside links) to tags
 is smoothed with a Gaussian along the page, and two-means clustering sets the
 threshold over which lines are content. The content lines' mass, added up the
 element tree, selects the region: the ``article`` or ``main`` element with the
-most of it, or else the deepest container that still holds most of it. In a
-region found without these two elements, containers that are mostly links and
-have no content line go as well: menus that no name marks. All other blocks of
-the region are the text, so short paragraphs beside long ones stay.
+most of it (an article with its sibling articles, since a page can be a row of
+them), or else the deepest container that still holds most of it. In the region,
+containers that are mostly links and whose content lines hold under half of them go: menus that no name
+marks. An article inside an article is what a reader wrote about it, by the HTML
+standard, and goes unless it holds most of the outer one. All other blocks of the
+region are the text, so short paragraphs beside long ones stay.
 
 Blocks in elements for navigation, footers, asides, dialogs, scripts and the like
 never count, nor do those with a class, id or role token that says so (a token
@@ -40,7 +42,7 @@ LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt pre blockquote figcaption tr td
 CLOSES_P = BLOCKS - {"body", "html"}
 NEVER = frozenset("script style head title noscript template iframe canvas select button textarea nav footer aside dialog menu".split())
 INLINE = frozenset("p b i em strong span a u font".split())
-UNWANTED = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices comment comments respond disqus sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer share sharing related newsletter subscribe popup modal login signup widget widgets social contentinfo complementary search toolbar masthead".split())
+UNWANTED = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices comment comments respond disqus sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer share sharing related reply replies feedback thread threads discussion responses newsletter subscribe popup modal login signup widget widgets social contentinfo complementary search toolbar masthead".split())
 #: Parts that may stand beside an unwanted word in one token.
 NEUTRAL = frozenset("left right top bottom main site page list box area bar block container wrapper wrap section inner outer item items links link global primary secondary header head body content the post entry article form thread reply unit slot zone col column row btn buttons icons media".split())
 _PARTS, _SPACE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+"), re.compile(r"\s+")
@@ -202,6 +204,7 @@ def main_text(html: str) -> str:
     if named:
         most = max(mass[e] for e in named)
         region = max(e for e in named if mass[e] >= most)
+        roots = [e for e, t in enumerate(p.tags) if t == "article" and not p.bad[e] and p.parents[e] == p.parents[region]] if p.tags[region] == "article" else [region]
     else:
         region, best = 0, {}
         for e in range(1, n):
@@ -209,10 +212,19 @@ def main_text(html: str) -> str:
                 best[p.parents[e]] = e
         while region in best and mass[best[region]] >= 0.8 * mass[region] > 0 and p.tags[best[region]] in BLOCKS - LEAVES:
             region = best[region]
-        text, links = (_summed(np.bincount(owner, x, n), p.parents) for x in (size, linked))
-        menus = [e for e, t in enumerate(p.tags) if e != region and t in BLOCKS and mass[e] == 0 and 2 * links[e] > text[e] > 0]
-        out |= _within(p, menus) if menus else False
-    keep = _within(p, [region]) & ~out
+        roots = [region]
+    text, links = (_summed(np.bincount(owner, x, n), p.parents) for x in (size, linked))
+    inside = _within(p, roots)
+    menus = [e for e, t in enumerate(p.tags) if inside[e] and e not in roots and t in BLOCKS and 2 * mass[e] < text[e] and 2 * links[e] > text[e]]
+    out |= _within(p, menus) if menus else False
+    # the nearest article around each element
+    around = [0] * n
+    for e in range(1, n):
+        above = p.parents[e]
+        around[e] = above if p.tags[above] == "article" else around[above]
+    inner = [e for e in range(1, n) if p.tags[e] == "article" and around[e] and e not in roots and 2 * mass[e] < mass[around[e]]]
+    out |= _within(p, inner) if inner else False
+    keep = inside & ~out
     return "\n".join(x[1] for x in p.lines if keep[x[0]])
 
 

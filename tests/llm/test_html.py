@@ -92,3 +92,30 @@ def test_deep_and_crossed_elements_take_linear_time():
         main_text("<div><p>x" * n)
         took.append(time.time() - began)
     assert took[1] < 10 * took[0] + 1
+
+
+LONG = "A sentence of the text that is long enough to be told from a menu by its ratio of words to tags. " * 3
+MENU = "<ul>" + "".join(f'<li><a href="/{i}">link {i}</a></li>' for i in range(8)) + "</ul>"
+LAYOUTS = {
+    "sibling articles are all kept": (f"<body><article><p>one short</p></article><article><p>{LONG}</p></article><article><p>{LONG}</p></article></body>", ["one short", LONG, LONG]),
+    "an article inside one is a reader's": (f"<article><p>{LONG}</p><p>more</p><article><p>nice read</p></article><article><p>I agree</p></article></article>", [LONG, "more"]),
+    "an inner article with most of the text is the text": (f"<article><p>lead</p><article><p>{LONG}</p></article></article>", [LONG]),
+    "reply blocks by their names": (f'<article><p>{LONG}</p><div class="replies"><p>{LONG}</p></div><div class="feedback-thread"><p>no</p></div></article>', [LONG]),
+    "a list of links inside": (f"<main><p>{LONG}</p>{MENU}<p>end</p></main>", [LONG, "end"]),
+    "a list with words stays": (f"<main><p>{LONG}</p><ul><li>first of the list</li><li>second of the list</li></ul></main>", [LONG, "first of the list", "second of the list"]),
+    "main around articles": (f"<main><article><p>{LONG}</p></article><article><p>short</p></article></main>", [LONG, "short"]),
+    "links inside sentences stay": (f'<article><p>{LONG}<a href="/x">more of it</a></p><p>see <a href="/y">this</a> for what follows there</p></article>', [f"{LONG.strip()} more of it", "see this for what follows there"]),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_page_shapes(name):
+    page, want = LAYOUTS[name]
+    assert main_text(page).replace(LONG.strip() + "more", LONG.strip() + " more") == "\n".join(w.strip() for w in want)
+
+
+def test_ratio_decides_what_no_name_marks(monkeypatch):
+    page, want = LAYOUTS["a list of links inside"]
+    assert main_text(page) == "\n".join(w.strip() for w in want)
+    monkeypatch.setattr(module, "content_lines", lambda lines: module.np.ones(len(lines), bool))
+    assert "link 3" in main_text(page)
