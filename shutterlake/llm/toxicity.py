@@ -6,16 +6,18 @@ several, its pieces, which overlap so that each of its n-grams is in one. The
 mean of the words' mean vectors goes into a linear softmax, and embeddings and
 softmax are trained jointly in numpy, so an unseen misspelling shares the vectors
 of the n-grams it kept. The mean is taken over windows of WINDOW words, as a few
-toxic words would vanish in the mean of a long text; a text has the score of its
-worst window. N-grams in fewer than ``least`` texts are left out. Training goes in rounds: each takes of every text the window that
+toxic words would vanish in the mean of a long text. N-grams in fewer than ``least`` texts are left out. Training goes in rounds: each takes of every text the window that
 the model of the round before scores highest (the first one goes by the words'
 log-odds between the classes), and of clean texts a random one too. A softmax of
 a mean of linear vectors is a mean of word scores, which is how whole texts are
 scored: in one pass, with a bounded cache of words.
 
-Slope and bias of the final score are learned too, by logistic regression on every
-sixth labelled row, which the embeddings never saw, with the classes as frequent
-as they are in all labels.
+The final score pools a text's word scores: its highest window, the means of its
+highest one, three and eight words, and the logarithm of its length, as long texts
+have higher maxima by chance. The weights of these are learned by logistic
+regression on every sixth labelled row, which the embeddings never saw, with the
+classes as frequent as they are in all labels, and a missed toxic text counted as
+``MISS_COST`` false alarms.
 
 The model is fitted on at most ``per_class`` labelled rows of each class, chosen
 by a hash of the id, and of each on at most ``max_chars`` characters (a window at
@@ -81,19 +83,31 @@ def windows(scores: np.ndarray, width: int = WINDOW) -> np.ndarray:
     return (sums[width:] - sums[:-width]) / width
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 100) -> tuple[float, float]:
-    """Slope (not negative) and bias of a weighted, lightly penalised logistic regression, by Newton's method."""
-    mid, wide = float(np.average(x, weights=weight)), float(x.std()) or 1.0
-    z = np.stack([(x - mid) / wide, np.ones(len(x))], axis=1)
-    w = np.zeros(2)
+#: Words whose mean scores are pooled besides the windows': the highest one, three and eight.
+TOPS = (1, 3, 8)
+#: How many false alarms a missed toxic text counts for where the final weights are learned.
+MISS_COST = 3
+
+
+def pooled(scores: np.ndarray) -> np.ndarray:
+    """A text's words as a few numbers: its highest window, the means of its highest words, and its length."""
+    top = np.sort(np.partition(scores, -TOPS[-1])[-TOPS[-1] :] if len(scores) > TOPS[-1] else scores)[::-1]
+    return np.array([windows(scores).max(), *(top[:k].mean() for k in TOPS), np.log(len(scores))])
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float]:
+    """Weights and bias of a weighted, lightly penalised logistic regression, by Newton's method."""
+    mid, wide = np.average(x, axis=0, weights=weight), x.std(axis=0)
+    wide = np.where(wide > 0, wide, 1.0)
+    z = np.c_[(x - mid) / wide, np.ones(len(x))]
+    w, few = np.zeros(z.shape[1]), np.r_[np.full(x.shape[1], 0.1), 1e-6]
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (weight * (p - y)) + [0.1 * w[0], 0.0]
-        hess = (z * (weight * (p * (1 - p) + 1e-6))[:, None]).T @ z + np.diag([0.1, 1e-6])
-        step = np.linalg.solve(hess, grad)
-        w -= np.clip(step, -2, 2)
-    slope = max(0.0, w[0]) / wide
-    return slope, float(w[1] - slope * mid)
+        grad = z.T @ (weight * (p - y)) + np.r_[few[:-1] * w[:-1], 0.0]
+        hess = (z * (weight * (p * (1 - p) + 1e-6))[:, None]).T @ z + np.diag(few)
+        w -= np.clip(np.linalg.solve(hess, grad), -2, 2)
+    slopes = w[:-1] / wide
+    return slopes, float(w[-1] - slopes @ mid)
 
 
 class SubwordModel:
@@ -174,8 +188,8 @@ class WordScores(dict):
         return s
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "toxic", per_class: int = 1500, buckets: int = 1 << 18, max_chars: int = 20_000) -> tuple[np.ndarray, float, float, float]:
-    """Bucket scores, slope, bias and the share of label 1. ``usable`` marks the label rows to learn from."""
+def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "toxic", per_class: int = 1500, buckets: int = 1 << 18, max_chars: int = 20_000) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Bucket scores, weights, bias and the share of label 1. ``usable`` marks the label rows to learn from."""
     known = labels.where(usable & F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
@@ -188,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
     chosen = texts_of(docs).join(F.broadcast(picked), "doc_id").select("label", F.xxhash64("doc_id", "text").alias("h"), text.alias("text")).dropDuplicates(["label", "h"])
     order = "h", "text"
     got = chosen.where(some[0]).orderBy(*order).limit(per_class).unionByName(chosen.where(some[1]).orderBy(*order).limit(per_class)).toArrow()
-    nothing = np.zeros(buckets, np.float32), 0.0, float(np.log(share / (1 - share))), share
+    nothing = np.zeros(buckets, np.float32), np.zeros(2 + len(TOPS)), float(np.log(share / (1 - share))), share
     if not n0 or not n1:
         return nothing
     numbers: dict[str | bytes, int] = {}
@@ -203,14 +217,14 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
     if not held.any():
         held[:] = True
     scores = model.word_scores(grams)
-    top = np.array([windows(scores[r[1]]).max() for r, h in zip(rows, held, strict=True) if h])
+    top = np.array([pooled(scores[r[1]]) for r, h in zip(rows, held, strict=True) if h])
     if len(np.unique(y[held])) < 2:
         return nothing
-    weight = np.where(y[held] == 1, n1 / (y[held] == 1).sum(), n0 / (y[held] == 0).sum()) * held.sum() / (n0 + n1)
+    weight = np.where(y[held] == 1, MISS_COST * n1 / (y[held] == 1).sum(), n0 / (y[held] == 0).sum()) * held.sum() / (n0 + n1)
     return model.bucket_scores(), *logistic(top, y[held], weight), share
 
 
-def score(docs: DataFrame, scores: np.ndarray, slope: float, bias: float, share: float) -> DataFrame:
+def score(docs: DataFrame, scores: np.ndarray, weights: np.ndarray, bias: float, share: float) -> DataFrame:
     """doc_id, score: whole texts, one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +234,7 @@ def score(docs: DataFrame, scores: np.ndarray, slope: float, bias: float, share:
             for t in texts:
                 words = words_of(t)
                 if words:
-                    x = slope * windows(np.fromiter(map(cache.__getitem__, words), np.float64, len(words))).max() + bias
+                    x = float(pooled(np.fromiter(map(cache.__getitem__, words), np.float64, len(words))) @ weights) + bias
                     out.append(1 / (1 + np.exp(-min(50.0, max(-50.0, x)))))
                 else:
                     out.append(share)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from shutterlake.llm.common import crc_mod, table
 from shutterlake.llm.language import ORDER, codes_of, fit, gram_hashes, keep_identified, language_id, train
 from shutterlake.llm import queries
-from shutterlake.llm.toxicity import buckets_of, logistic, score, toxicity, windows, words_of
+from shutterlake.llm.toxicity import buckets_of, logistic, pooled, score, toxicity, windows, words_of
 
 from .fixtures import awkward, documents, empty
 
@@ -73,8 +73,12 @@ def test_misspelling_shares_buckets():
 def test_windows_and_logistic():
     assert windows(np.array([1.0, 3, 5]), 2).tolist() == [2, 4] and windows(np.array([1.0]), 2).tolist() == [1]
     x = np.linspace(-3, 5, 400)
-    slope, bias = logistic(x, (x > 1).astype(float), np.ones(400))
-    assert slope > 2 and abs(bias / slope + 1) < 0.2
+    weights, bias = logistic(np.c_[x, np.full(400, 7.0)], (x > 1).astype(float), np.ones(400))
+    assert weights[0] > 2 and abs((bias + 7 * weights[1]) / weights[0] + 1) < 0.2
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 8, 9, 50):
+        s = rng.normal(size=n)
+        assert np.allclose(pooled(s), [windows(s).max(), *(np.sort(s)[::-1][:k].mean() for k in (1, 3, 8)), np.log(n)])
 
 
 def test_long_tokens_are_read_to_their_end(spark):
@@ -87,7 +91,7 @@ def test_long_tokens_are_read_to_their_end(spark):
     scores = np.zeros(1 << 16, np.float32)
     scores[buckets_of("disgusting", 1 << 16)] = 50
     texts = ["文" * 300, "文" * 300 + "disgusting", "one-" * 40 + "disgusting"]
-    found = {r["doc_id"]: r["score"] for r in score(documents(spark, texts), scores, 1.0, -1.0, 0.1).collect()}
+    found = {r["doc_id"]: r["score"] for r in score(documents(spark, texts), scores, np.array([1.0, 0, 0, 0, 0]), -1.0, 0.1).collect()}
     assert found[0] < found[1] and found[0] < found[2]
 
 
@@ -96,8 +100,9 @@ def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     found = queries.op10_toxicity(spark, sf).join(table(spark, sf, "labels"), "doc_id").where("held_out").select("toxic", "predicted").collect()
     count = {(t, p): sum(r["toxic"] == t and r["predicted"] == p for r in found) for t in (0, 1) for p in (0, 1)}
-    assert count[1, 1] >= 0.75 * (count[1, 0] + count[1, 1])
-    assert count[0, 1] <= 0.02 * (count[0, 0] + count[0, 1])
+    print(count)
+    assert count[1, 1] >= 0.88 * (count[1, 0] + count[1, 1])
+    assert count[0, 1] <= 0.01 * (count[0, 0] + count[0, 1])
 
 
 def test_toxicity_awkward(spark):
