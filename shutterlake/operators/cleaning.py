@@ -91,7 +91,7 @@ def verified(files: DataFrame, removed: frozenset[str]) -> DataFrame:
         "format",
         "original_size",
         "cleaned_size",
-        F.greatest(F.col("original_size") - F.col("cleaned_size"), F.lit(0)).alias("bytes_removed"),
+        F.when(F.col("cleaned_size").isNotNull(), F.greatest(F.col("original_size") - F.col("cleaned_size"), F.lit(0))).alias("bytes_removed"),
         largest_first(F.col("removed")).alias("removed"),
         "before",
         "after",

@@ -11,7 +11,7 @@ from shutterlake.operators import archive, cleaning, report
 from shutterlake.plans.catalog import query, read
 from shutterlake.plans.media import _big, _bytes, _files, _hex, _key
 from shutterlake.plans.report import _chunk, _little, _riff
-from shutterlake.sources import jpeg, png, resources, rewrite
+from shutterlake.sources import jpeg, png, resources
 
 _HEAD = "FFD8FFE000104A46494600010100000100010000"
 _TAIL = "FFC0000B080040003001011100FFDA00021234FF005678FFD9"
@@ -173,9 +173,8 @@ def merged_findings(spark, sf_dir):
 
 
 def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per part, by its key: a PNG with EXIF and a compressed packet, or a WebP with EXIF and a packet; pixels are its name."""
+    """Per part, by its key: a PNG with EXIF and a packet, or a WebP with EXIF and a packet; pixels are its name."""
     key, name = F.col("p_partkey"), F.col("p_name")
-    # a stored block, so that SQL can say its length: header, final block of this length, Adler-32 of no interest to the length
     packet = _packet(name, F.col("p_type"))
     pic = _bytes(png.SIGNATURE, _chunk(b"IHDR", _bytes(_big(2), _big(2), b"\x08\x06\0\0\0")), _chunk(b"eXIf", _camera(key)), _chunk(b"iTXt", _bytes(png.XMP_KEY, b"\0\0\0\0\0", packet)), _chunk(b"IDAT", name.cast("binary")), _chunk(b"IEND", F.lit("").cast("binary")))
     body = _bytes(b"WEBP", _riff(b"VP8X", _bytes(b"\x0c\0\0\0", bytes(6))), _riff(b"VP8L", name.cast("binary")), _riff(b"EXIF", _camera(key)), _riff(b"XMP ", packet))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame

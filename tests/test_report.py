@@ -116,8 +116,10 @@ def test_verified_in_one_row(spark, monkeypatch):
     assert "Exchange" not in plan and plan.count("MapInArrow") == 1
 
 
-def test_unreadable_output_is_a_warning(spark):
-    # what is left of this file has no readable directory any more
-    files = files_of(spark, tif=tiff.write(rows(ascii_(271, "Maker"))))
-    row = cleaning.verified(files, dims.removed()).first()
-    assert row["error"] is None and (row["after"] == [] or row["after"][0]["label"] == "Make")
+def test_what_cannot_be_cleaned_or_read_again(spark):
+    # a file of which nothing would be left stays as it was
+    files = files_of(spark, tif=tiff.write(rows(ascii_(271, "Maker"))), gif=b"GIF89a" + bytes(12))
+    got = {r["file_id"]: r for r in cleaning.verified(files, dims.removed()).collect()}
+    assert got["tif"]["error"] is None and [s["label"] for s in got["tif"]["after"]] == ["Make"] and got["tif"]["bytes_removed"] == 0
+    assert got["gif"]["bytes_removed"] is None and got["gif"]["after"] == []
+    assert bundle.as_struct(b"MM\0*" + bytes(20), "tiff") == (None, "no readable directory")
