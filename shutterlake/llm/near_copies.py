@@ -13,7 +13,11 @@ In each band group nodes of other classes are first compared with its smallest
 and its largest node. What is then still in more than one class is compared
 inside tasks, in blocks of BLOCK nodes, every block with every other, by counting
 common shingles; a task returns a forest of verified links, never its pairs. A
-group of n nodes that are alike but under 0.8 costs n * n / BLOCK rows.
+group of more than one block is first split by a prefix filter: shingles are
+ordered by how many nodes have them, rarest first, and two sets that are similar
+enough must share one of the first n - ceil(0.8 * n) + 1 of each. Texts made from
+one template share its frequent shingles only, so they no longer meet. The split
+loses no pair; it is taken for the groups where it leaves fewer comparisons.
 
 Nulls and edge cases: null or empty texts, and those of white space only, are one
 class; null doc_ids and repeated rows belong to the class of their text and come
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterlake.llm.common import group_starts, materialize, shuffle_parts, text_batches
@@ -182,6 +186,32 @@ def _links_in_groups(left: DataFrame, sets: DataFrame, similarity: float, block:
     return rows.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long")
 
 
+def _split_groups(left: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """``left`` (key, node, root, size) with groups over one block split by the shingles that their nodes' prefixes share.
+
+    ``key`` becomes a struct of the band key and the shared shingle (null where the group stays whole).
+    """
+    whole = lambda rows: rows.select(F.struct("key", F.lit(None).cast("long").alias("shingle")).alias("key"), "node", "root", "size")
+    large = left.where(F.col("size") > block)
+    if large.isEmpty():
+        return whole(left)
+    each = large.select("node").distinct().join(sets, "node").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.count("*").alias("nodes")).where("nodes > 1")
+    rarest = Window.partitionBy("node").orderBy(F.coalesce("nodes", F.lit(1)), "shingle")
+    needed = F.col("n") - F.ceil(F.col("n") * similarity - 1e-6) + 1
+    prefixes = each.join(common, "shingle", "left").withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= needed)
+    prefixes = materialize(prefixes.where("nodes is not null").select("node", "shingle"), "prefixes")
+    places = large.select("key", "node", "root", "size").join(prefixes, "node")
+    shared = places.groupBy("key", "shingle").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
+    shared = materialize(shared.select("key", "shingle", "n"), "shared")
+    dear = shared.groupBy("key").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("cost"))
+    dear = large.select("key", "size").distinct().join(dear, "key").where(F.col("cost") >= F.col("size").cast("double") * F.col("size")).select("key")
+    split = places.drop("size").join(shared.join(dear, "key", "left_anti"), ["key", "shingle"])
+    split = split.select(F.struct("key", "shingle").alias("key"), "node", "root", F.col("n").alias("size"))
+    rest = left.where(F.col("size") <= block).unionByName(large.join(dear, "key", "left_semi"))
+    return whole(rest.select("key", "node", "root", "size")).unionByName(split)
+
+
 def first_of_classes(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """doc_id, row: of each class the row with the smallest doc_id (null last), then the smallest row_key."""
     first = F.struct(F.col("id.doc_id").isNull().alias("without"), "id.doc_id", "id.row")
@@ -214,6 +244,6 @@ def first_of_classes(docs: DataFrame, similarity: float = SIMILARITY, block: int
     left = rooted(shared, "node", "root").select("key", "node", "root", "size", ((F.col("node") == F.col("low.node")) | (F.col("node") == F.col("high.node"))).alias("end"))
     still = left.where("size > 3 and not end").groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
     left = materialize(left.where("not end").join(still, "key", "left_semi"), "left")
-    roots = components(links.unionByName(_links_in_groups(left, sets, similarity, block)))
+    roots = components(links.unionByName(_links_in_groups(_split_groups(left, sets, similarity, block), sets, similarity, block)))
     named = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     return named.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.row")

@@ -91,3 +91,42 @@ def test_blocks_equal_brute_force(spark):
     for block in (7, 400):
         assert sorted(r["doc_id"] for r in near_copies.first_of_classes(docs, block=block).collect()) == want
     assert 1 < len(want) < 200
+
+
+def template_texts(rng, n):
+    """One letter with a body of its own each; every fifth is a near copy of the one before it."""
+    letter = [f"w{rng.randrange(10_000)}" for _ in range(80)]
+    texts = []
+    for i in range(n):
+        if i % 5:
+            words = [*letter, *(f"x{rng.randrange(1_000_000)}" for _ in range(20))]
+        else:
+            words = [*words[:-1], "changed"] if texts else list(letter)
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_template_groups_equal_brute_force(spark):
+    texts = template_texts(random.Random(4), 250)
+    want = sorted(brute(list(enumerate(texts))))
+    assert 190 < len(want) < 230
+    assert sorted(r["doc_id"] for r in near_copies.first_of_classes(documents(spark, texts), block=20).collect()) == want
+
+
+def test_template_groups_are_split(spark):
+    """Letters of one template meet their near copies alone, whatever the size of the group; copies of one text stay whole."""
+    for n in (500, 2_000):
+        texts = template_texts(random.Random(4), n)
+        sets = [near_copies.shingle_set(t).view("int64").tolist() for t in texts]
+        left = spark.createDataFrame([(1, i, i, n) for i in range(n)], "key long, node long, root long, size long")
+        split = near_copies._split_groups(left, spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<long>"), 0.8, 50).collect()
+        assert max(r["size"] for r in split) <= 3 and all(r["key"]["shingle"] is not None for r in split)
+        together = {}
+        for r in split:
+            together.setdefault(r["key"]["shingle"], set()).add(r["node"])
+        met = {frozenset(x) for x in together.values()}
+        assert all(any({i - 1, i} <= x for x in met) for i in range(5, n, 5))
+    same = spark.createDataFrame([(i, [*range(50), 1_000 + i]) for i in range(200)], "node long, shingles array<long>")
+    left = spark.createDataFrame([(1, i, i, 200) for i in range(200)] + [(2, i, i, 30) for i in range(30)], "key long, node long, root long, size long")
+    split = near_copies._split_groups(left, same, 0.8, 50).collect()
+    assert len(split) == 230 and all(r["key"]["shingle"] is None for r in split)
