@@ -1,9 +1,9 @@
 """Repeated strings: remove bytes covered by a LENGTH-byte string that starts earlier.
 
-Blockwise suffix sorting with a cover sample. A cover sample has the property
-that two equal strings contain a sampled suffix at the same offset; its ranks
-resolve ties that a bucket's short sort keys leave open, so only one bucket of
-suffixes is held at a time.
+Buckets of suffixes, one sorted at a time, with a cover sample. A cover sample has
+the property that two equal strings contain a sampled suffix at the same offset;
+its ranks (hashes, no suffix order) resolve ties that a bucket's short sort keys
+leave open. The buckets of a task arrive sorted, so one of them is held at a time.
 
 1. Cover sample: of each LENGTH-byte string, the leftmost smallest of its K-byte
    substrings (by hash). Equal strings choose the same offset. About 2 of 52
@@ -160,6 +160,20 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([], [], []), _ARROW.types, strict=True)], schema=_ARROW)
 
 
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """(target, blobs) of rows sorted by target: one bucket of a task is held at a time, and what goes on to the parts not at all."""
+    now, held = None, []
+    for b in batches:
+        for target, blob in zip(b["target"].to_pylist(), b["blob"], strict=True):
+            if held and (target != now or target < 0):
+                yield now, held
+                held = []
+            now = target
+            held.append(blob.as_py())
+    if held:
+        yield now, held
+
+
 def _bytes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = [t.encode("utf-8", "replace") for t in texts]
     return np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], np.int64)
@@ -207,15 +221,11 @@ def remove_repeats(docs: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
             yield _batch(out)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for b in batches:
-            for target, _, blob in zip(*(b[c].to_pylist() for c in ("target", "kind", "blob")), strict=True):
-                if target < 0:
-                    yield _batch([(-1 - target, REPEAT, blob)])
-                else:
-                    held.setdefault(target, []).append(blob)
-        for target in sorted(held):  # one bucket at a time
-            x = _unpack(held.pop(target))
+        for target, blobs in _buckets(batches):
+            if target < 0:
+                yield _batch([(-1 - target, REPEAT, blob) for blob in blobs])
+                continue
+            x = _unpack(blobs)
             order, first = _firsts((x["kh"], x["fh"]), x["doc"], x["pos"])
             kh, fh, d, pos, span = (x[c][order] for c in ("kh", "fh", "doc", "pos", "span"))
             again = ~first
@@ -270,15 +280,11 @@ def remove_repeats(docs: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
         return pa.Table.from_batches([_batch(out)])
 
     def equal_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for b in batches:
-            for target, blob in zip(b["target"].to_pylist(), b["blob"].to_pylist(), strict=True):
-                if target < 0:
-                    yield _batch([(-1 - target, REPEAT, blob)])
-                else:
-                    held.setdefault(target, []).append(blob)
-        for target in sorted(held):
-            x = _unpack(held.pop(target))
+        for target, blobs in _buckets(batches):
+            if target < 0:
+                yield _batch([(-1 - target, REPEAT, blob) for blob in blobs])
+                continue
+            x = _unpack(blobs)
             order, first = _firsts((x["h"],), x["doc"], x["pos"])
             again = order[~first]
             at = np.lexsort((x["pos"][again], x["doc"][again]))
@@ -308,9 +314,9 @@ def remove_repeats(docs: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
 
     kept_arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
     texts = rows.mapInArrow(texts_by_part, _BLOB).select("target", "blob")
-    found = materialize(rows.mapInArrow(cover, _BLOB).repartition(buckets, "target").mapInArrow(runs, _BLOB), "runs")
+    found = materialize(rows.mapInArrow(cover, _BLOB).repartition(buckets, "target").sortWithinPartitions("target").mapInArrow(runs, _BLOB), "runs")
     tied = found.where(F.col("kind") == RUN).select("target", "blob")
     single = materialize(texts.groupBy("target").cogroup(tied.groupBy("target")).applyInArrow(strings, _BLOB), "strings")
-    more = single.repartition(buckets, "target").mapInArrow(equal_strings, _BLOB)
+    more = single.repartition(buckets, "target").sortWithinPartitions("target").mapInArrow(equal_strings, _BLOB)
     repeats = found.where(F.col("kind") == REPEAT).unionByName(more).select("target", "blob")
     return texts.groupBy("target").cogroup(repeats.groupBy("target")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
