@@ -1,8 +1,8 @@
 """Stored ZIP archives of cleaned files as parts with places, so that no archive is one task's group.
 
 A file's local part can be made where the file is, once its place is known; places
-are running sums of sizes, taken in two steps: within buckets of an archive, and
-over the buckets' totals. The directory at the end is made of one small row for
+are running sums of sizes in the order of names, taken in two steps: within buckets
+of an archive (ranges of names), and over the buckets' totals. The directory at the end is made of one small row for
 each file in the same way. ``save`` streams parts into files.
 """
 
@@ -10,16 +10,19 @@ from __future__ import annotations
 
 import os
 import struct
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, LongType
 
 #: Files of an archive whose places are summed by one task.
 BUCKET_FILES = 100_000
+#: Names that are looked at for each bucket's bounds.
+_LOOKED = 32
 _WIDE = 0xFFFFFFFF
 #: Bytes of a local header, a directory entry and the end record without names; a day that all entries have.
 _LOCAL, _ENTRY, _END, _DAY = 30, 46, 22, (1980 - 1980) << 9 | 1 << 5 | 1
@@ -48,6 +51,28 @@ def running(rows: DataFrame, group: str, size: str, out: str, *order: str) -> Da
     return rows.withColumn("_own", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(starts, [group, "_bucket"]).withColumn(out, F.col("_own") + F.col("_base")).drop("_own", "_base")
 
 
+def _bounds(files: DataFrame, group: str, name: str, bucket_files: int) -> dict[str | None, list[str]]:
+    """Names that cut the larger groups into buckets of about so many files; a name for each bucket comes to the driver.
+
+    They are ranks in a sample by the names' hashes, so they are the same at each call.
+    """
+    step = max(1, bucket_files // _LOOKED)
+    seen = files.where(F.pmod(F.xxhash64(name), F.lit(step)) == 0).groupBy(F.col(group).cast("string").alias("g")).agg(F.sort_array(F.collect_list(name)).alias("names"))
+    each = max(1, bucket_files // step)
+    cut = seen.where(F.size("names") > each).select("g", F.transform(F.sequence(F.lit(each), F.size("names") - 1, F.lit(each)), lambda i: F.get(F.col("names"), i)).alias("names"))
+    return {r["g"]: r["names"] for r in cut.collect()}
+
+
+def _bucket(bounds: dict[str | None, list[str]]):
+    """The number of bounds up to a name; names are held by code points, which is the order of their bytes."""
+
+    @F.pandas_udf(LongType())
+    def found(group: pd.Series, name: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(bounds.get(g, ()), n or "") for g, n in zip(group, name, strict=True)], index=name.index, dtype="int64")
+
+    return found
+
+
 @F.pandas_udf(BinaryType())
 def _local_part(name: pd.Series, content: pd.Series, crc: pd.Series) -> pd.Series:
     def one(n: str, c: bytes, k: int) -> bytes:
@@ -82,13 +107,16 @@ def parts(files: DataFrame, group: str, name: str = "name", bucket_files: int =
     """(group, at, data): joined by ``at``, the rows of a group are its archive, without compression since pictures do not shrink.
 
     Names are taken to differ within a group (``unique_names``), files to be under 4 GiB;
-    a null content is an empty file. Within an archive files stand by bucket, then by name.
+    a null content is an empty file. Within an archive files stand by name, however many
+buckets it takes.
     """
     most = files.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    buckets = -(-most // bucket_files) or 1
     content = F.coalesce(F.col("content"), F.lit(b""))
-    own = files.select(group, F.col(name).alias("_name"), content.alias("_content")).withColumn("_bucket", F.pmod(F.xxhash64("_name"), F.lit(buckets)))
-    sizes = own.select(group, "_name", "_bucket", F.length("_content").cast("long").alias("_size"), F.crc32("_content").alias("_crc"))
+    own = files.select(group, F.col(name).alias("_name"), content.alias("_content"))
+    # a group of no more files than a bucket takes has one, and nothing is looked at
+    bounds = _bounds(own, group, "_name", bucket_files) if most > bucket_files else {}
+    number = _bucket(bounds)(F.col(group).cast("string"), F.col("_name")) if bounds else F.lit(0).cast("long")
+    sizes = own.select(group, "_name", number.alias("_bucket"), F.length("_content").cast("long").alias("_size"), F.crc32("_content").alias("_crc"))
     sizes = sizes.withColumn("_part", F.col("_size") + _LOCAL + F.octet_length("_name"))
     placed = running(sizes, group, "_part", "_at", "_name")
     placed = placed.withColumn("_entry", F.octet_length("_name") + F.when(F.col("_at") >= _WIDE, _ENTRY + 12).otherwise(_ENTRY).cast("long"))
