@@ -38,15 +38,16 @@ def _tag_text(tag: Column) -> Column:
     plain = F.when((_word(tag, 8) > 0) & (_word(tag, 8) + 12 <= size), text.latin1(_cut(tag, 12, _word(tag, 8))))
     wide = F.when((_word(tag, 8) > 0) & (length > 0) & (at + length <= size), text.utf16(_cut(tag, at, length), False))
     found = F.when(kind == F.lit(b"desc"), plain).when(kind == F.lit(b"mluc"), wide).when(kind == F.lit(b"text"), text.latin1(_cut(tag, 8, size)))
-    return F.nullif(text.strip(found), F.lit(""))
+    return text.once(text.strip(found), lambda words: F.nullif(words, F.lit("")))
 
 
 def description(data: Column) -> Column:
     count = _word(data, 128)
     table = F.transform(F.sequence(F.lit(0), count.cast("int") - 1), lambda i: F.struct(_cut(data, i * 12 + 132, 4).alias("name"), _word(data, i * 12 + 136).alias("at"), _word(data, i * 12 + 140).alias("size")))
     hit = F.get(F.filter(table, lambda t: t["name"] == F.lit(b"desc")), F.lit(0))
-    fits = (hit["at"] + hit["size"] <= F.length(data)) & (hit["size"] >= 12)
-    return F.when(count.between(1, _TAGS), F.when(fits, _tag_text(_cut(data, hit["at"], hit["size"]))))
+    fits = lambda h: (h["at"] + h["size"] <= F.length(data)) & (h["size"] >= 12)
+    told = text.once(hit, lambda h: F.when(fits(h), text.once(_cut(data, h["at"], h["size"]), _tag_text)))
+    return F.when(count.between(1, _TAGS), told)
 
 
 def summary(data: Column) -> Column:

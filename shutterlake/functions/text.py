@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,15 @@ C1 = {0x80: "€", 0x82: "‚", 0x83: "ƒ", 0x84: "„", 0x85: "…", 0x86: "†
 _EDGE = r"[\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 
 
+def once(value: Column, used: Callable[[Column], Column]) -> Column:
+    """``used(value)``, the value computed once however often it is read; no Python function may be inside.
+
+    A column expression that is read several times is copied into each place, and one
+    that is read inside a lambda is computed for each element.
+    """
+    return F.get(F.transform(F.array(value), used), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """No NULs, then no white space, at both ends."""
     bare = F.regexp_replace(F.regexp_replace(text, r"^\x00+|\x00+\z", ""), rf"^{_EDGE}", "")

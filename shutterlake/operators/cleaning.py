@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shutterlake.functions import text
 from shutterlake.operators import report
 from shutterlake.sources import bundle, rewrite, walk
 
@@ -60,9 +61,12 @@ def remaining_of(preserved: Column, segments: Column) -> Column:
     """(label, bytes, reason) of what is still there, the largest of a label; of equal ones what had to stay comes first."""
     kept = F.transform(F.filter(segments, lambda s: s["category"] != "structural"), lambda s: F.struct(s["label"].alias("label"), s["bytes"].alias("bytes"), F.coalesce(s["reason"], F.lit(KEPT)).alias("reason")))
     every = F.transform(F.concat(preserved, kept), lambda x, i: F.struct((-x["bytes"]).alias("b"), i.alias("i"), x.alias("x")))
-    best = lambda label: F.array_min(F.filter(every, lambda e: e["x"]["label"] == label))["x"]
-    labels = F.array_distinct(F.transform(every, lambda e: e["x"]["label"]))
-    return F.transform(labels, best)
+
+    def best(all_: Column) -> Column:
+        labels = F.array_distinct(F.transform(all_, lambda e: e["x"]["label"]))
+        return F.transform(labels, lambda label: F.array_min(F.filter(all_, lambda e: e["x"]["label"] == label))["x"])
+
+    return text.once(every, best)
 
 
 def verified(files: DataFrame, removed: frozenset[str]) -> DataFrame:

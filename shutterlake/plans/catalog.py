@@ -30,6 +30,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Files made of a row are many times its size: so many rows to a task, and more only where tasks get this many.
+ROWS_OF_FILES, MOST_TASKS = 2_000, 1_000
+
+
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """``read``, its rows dealt over tasks by a key, as a scan cuts a table by its bytes and not by the work of its rows.
+
+    The number of tasks follows the number of rows, which the footers tell.
+    """
+    rows = read(spark, sf_dir, name)
+    n = rows.count()
+    return rows.repartition(max(1, min(-(-n // ROWS_OF_FILES), max(MOST_TASKS, -(-n // (10 * ROWS_OF_FILES))))), key)
+
+
 def _event_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     category = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in _AS_CATEGORY.items()))
     return read(spark, sf_dir, "events").select("event_id", category.alias("category"), F.floor(F.col("value") * 100).cast("long").alias("bytes"))

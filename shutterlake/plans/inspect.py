@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shutterlake import dims
 from shutterlake.functions import labels
 from shutterlake.operators import archive, cleaning, report
-from shutterlake.plans.catalog import query, read
+from shutterlake.plans.catalog import dealt, query, read
 from shutterlake.plans.media import _big, _bytes, _files, _hex, _key
 from shutterlake.plans.report import _chunk, _little, _riff
 from shutterlake.sources import jpeg, png, resources
@@ -64,7 +64,7 @@ def _photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda n, at, size: _app(0xE2, b"ICC_PROFILE\0" + bytes([n, 3]), F.substring(profile, F.lit(at + 1), size))
     captions = _bytes(_record(80, name), _record(25, kind))
     return _files(
-        read(spark, sf_dir, "customer"),
+        dealt(spark, sf_dir, "customer", "c_custkey"),
         "c_custkey",
         _bytes(
             _hex(_HEAD),
@@ -130,7 +130,7 @@ def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         table.append(_entry(tag, form, F.octet_length(value), _big(at)))
         behind.append(value.cast("binary"))
         at = at + F.octet_length(value)
-    return _files(read(spark, sf_dir, "supplier"), "s_suppkey", _bytes(b"MM\0*", _big(8), _big(len(values) + 1, 2), *table, _big(0), *behind))
+    return _files(dealt(spark, sf_dir, "supplier", "s_suppkey"), "s_suppkey", _bytes(b"MM\0*", _big(8), _big(len(values) + 1, 2), *table, _big(0), *behind))
 
 
 @query("SELECT s_suppkey, s_name AS software, s_name AS creator, s_name AS byline, s_name AS profile, s_name AS claim_generator, 'c2pa.claim,c2pa' AS assertions, 7 AS tag_count, s_suppkey % 1000 + 1 AS width, 'TIFF private tag (JUMBF)' AS location FROM supplier")
@@ -162,7 +162,7 @@ def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
     signer = F.when(key % 3 == 0, "ComfyUI 1").when(key % 3 == 1, "DALL-E 3").otherwise("a camera")
     graph = _bytes(b'prompt\0{"1": {"class_type": "KSampler", "inputs": {"seed": ', key.cast("string"), b', "positive": ["2", 0]}}, "2": {"class_type": "CLIPTextEncode", "inputs": {"text": "', name, b'"}}}')
     content = _bytes(png.SIGNATURE, _chunk(b"IHDR", _bytes(_big(2), _big(2), b"\x08\x06\0\0\0")), _chunk(b"tEXt", graph), _chunk(b"caBX", _manifest(F.lit("c2pa.claim"), signer)), _chunk(b"IEND", F.lit("").cast("binary")))
-    return _files(read(spark, sf_dir, "part"), "p_partkey", content)
+    return _files(dealt(spark, sf_dir, "part", "p_partkey"), "p_partkey", content)
 
 
 @query("""SELECT p_partkey, unnest(CASE WHEN p_partkey % 3 = 1 THEN ['comfyui', 'openai'] ELSE ['comfyui'] END) AS generator, unnest(CASE WHEN p_partkey % 3 = 1 THEN ['confirmed', 'likely'] ELSE ['confirmed'] END) AS confidence,
@@ -178,7 +178,7 @@ def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     packet = _packet(name, F.col("p_type"))
     pic = _bytes(png.SIGNATURE, _chunk(b"IHDR", _bytes(_big(2), _big(2), b"\x08\x06\0\0\0")), _chunk(b"eXIf", _camera(key)), _chunk(b"iTXt", _bytes(png.XMP_KEY, b"\0\0\0\0\0", packet)), _chunk(b"IDAT", name.cast("binary")), _chunk(b"IEND", F.lit("").cast("binary")))
     body = _bytes(b"WEBP", _riff(b"VP8X", _bytes(b"\x0c\0\0\0", bytes(6))), _riff(b"VP8L", name.cast("binary")), _riff(b"EXIF", _camera(key)), _riff(b"XMP ", packet))
-    return _files(read(spark, sf_dir, "part"), "p_partkey", F.when(key % 2 == 0, pic).otherwise(_bytes(b"RIFF", _little(F.octet_length(body)), body)))
+    return _files(dealt(spark, sf_dir, "part", "p_partkey"), "p_partkey", F.when(key % 2 == 0, pic).otherwise(_bytes(b"RIFF", _little(F.octet_length(body)), body)))
 
 
 @query("""SELECT p_partkey, 'Abc' AS make, (p_partkey % 6400)::VARCHAR AS iso, NULL::DOUBLE AS latitude, p_name AS creator, false AS has_provenance, 66 + strlen('<dcterms:provenance>urn:x</dcterms:provenance>') + CASE WHEN p_partkey % 2 = 1 THEN (strlen(p_name) + strlen(p_type) + 105) % 2 - (strlen(p_name) + strlen(p_type) + 151) % 2 ELSE 0 END AS lost, position(p_name in p_name) AS pixels FROM part""")

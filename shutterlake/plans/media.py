@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shutterlake import dims
 from shutterlake.functions import icc, signals, xmp
 from shutterlake.operators import exif, generators
-from shutterlake.plans.catalog import query, read
+from shutterlake.plans.catalog import dealt, query
 from shutterlake.sources import jpeg, manifest, png, resources, tiff, webp
 
 
@@ -38,7 +38,7 @@ _TURN = "conv_id * 1000 + turn"
 
 def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JPEG per turn, whose comment is the turn's text."""
-    turns = read(spark, sf_dir, "conversations").withColumn("id", F.expr(_TURN))
+    turns = dealt(spark, sf_dir, "conversations", "conv_id").withColumn("id", F.expr(_TURN))
     comment = jpeg.segment(F.lit(jpeg.COM), F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     return _files(turns, "id", _bytes(_hex("FFD8FFE000104A46494600010100000100010000"), comment, _hex("FFC0000B080040003001011100FFDA00021234FF005678FFD9")))
 
@@ -68,7 +68,7 @@ def _cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
     main = _bytes(_big(4, 2), entry(271, 2, 2, _bytes(F.col("o_orderstatus"), b"\0\0\0")), entry(274, 3, 1, _bytes(_big(key % 8 + 1, 2), b"\0\0")), entry(34665, 4, 1, _big(62)), entry(34853, 4, 1, _big(100)), _big(0))
     inner = _bytes(_big(2, 2), entry(33434, 5, 1, _big(92)), entry(34855, 3, 1, _bytes(_big(key % 6400, 2), b"\0\0")), _big(0), _big(1), _big(customer % 500 + 2))
     place = _bytes(_big(2, 2), entry(1, 2, 2, _bytes(F.when(key % 2 == 0, "S").otherwise("N"), b"\0\0\0")), entry(2, 5, 3, _big(130)), _big(0), _big(key % 90), _big(1), _big(customer % 60), _big(1), _big((key + customer) % 60), _big(1))
-    return _files(read(spark, sf_dir, "orders"), "o_orderkey", _bytes(b"MM\0*", _big(8), main, inner, place))
+    return _files(dealt(spark, sf_dir, "orders", "o_orderkey"), "o_orderkey", _bytes(b"MM\0*", _big(8), main, inner, place))
 
 
 _TURNS = "['" + "', '".join(exif.ORIENTATIONS) + "']"
@@ -94,7 +94,7 @@ def exif_without_position(spark, sf_dir):
 
 
 def _texts(spark: SparkSession, sf_dir: str, text: Column, key: str = "parameters") -> DataFrame:
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("file_id"), F.lit(0).alias("ord"), F.lit(key).alias("key"), text.alias("text"), F.length(text).cast("long").alias("bytes"))
+    return dealt(spark, sf_dir, "part", "p_partkey").select(F.col("p_partkey").cast("string").alias("file_id"), F.lit(0).alias("ord"), F.lit(key).alias("key"), text.alias("text"), F.length(text).cast("long").alias("bytes"))
 
 
 def _found(rows: DataFrame, *names: str) -> DataFrame:
@@ -132,9 +132,10 @@ def node_graphs(spark, sf_dir):
 @query("""SELECT c_custkey, c_name AS creator, c_mktsegment || ' & co' AS title, true AS has_provenance, 'k' || CAST(c_nationkey AS VARCHAR) AS toolkit, strlen('<x:xmpmeta x:xmptk="k' || CAST(c_nationkey AS VARCHAR) || '"><rdf:RDF><dc:creator><rdf:Seq><rdf:li>' || c_name || '</rdf:li></rdf:Seq></dc:creator><dc:title>' || c_mktsegment || ' &amp; co</dc:title></rdf:RDF></x:xmpmeta>') AS left_bytes FROM customer""")
 def xmp_packets(spark, sf_dir):
     body = _bytes(b'junk<x:xmpmeta x:xmptk="k', F.col("c_nationkey").cast("string"), b'"><rdf:RDF><dc:creator><rdf:Seq><rdf:li>', F.col("c_name"), b"</rdf:li></rdf:Seq></dc:creator><dc:title>", F.col("c_mktsegment"), b" &amp; co</dc:title><c2pa:manifest>urn:x</c2pa:manifest></rdf:RDF></x:xmpmeta>tail")
-    text = xmp.packet(body).cast("string")
+    # the packet is a column of its own, since every field reads it
+    packets, text = dealt(spark, sf_dir, "customer", "c_custkey").select("c_custkey", body.alias("body")).select("c_custkey", xmp.packet(F.col("body")).cast("string").alias("text")), F.col("text")
     s = xmp.summary(text)
-    return read(spark, sf_dir, "customer").select("c_custkey", s["creator"].alias("creator"), s["title"].alias("title"), s["has_provenance"].alias("has_provenance"), s["toolkit"].alias("toolkit"), F.octet_length(xmp.without_provenance(text)).cast("long").alias("left_bytes"))
+    return packets.select("c_custkey", s["creator"].alias("creator"), s["title"].alias("title"), s["has_provenance"].alias("has_provenance"), s["toolkit"].alias("toolkit"), F.octet_length(xmp.without_provenance(text)).cast("long").alias("left_bytes"))
 
 
 _CLASSES, _SPACES = list(icc.CLASSES.items()), list(icc.SPACES.items())
@@ -146,8 +147,8 @@ def color_profiles(spark, sf_dir):
     code = lambda col, pairs: F.get(F.array(*(F.lit(k) for k, _ in pairs)), (F.col(col) % 7).cast("int"))
     name = F.col("c_name")
     data = _bytes(bytes(4), b"ADBE", b"\x04\x20\0\0", code("c_custkey", _CLASSES), code("c_nationkey", _SPACES), bytes(16), b"acsp", bytes(88), _big(1), b"desc", _big(144), _big(F.octet_length(name) + 12), b"desc", bytes(4), _big(F.octet_length(name)), name)
-    s = icc.summary(data)
-    return read(spark, sf_dir, "customer").select("c_custkey", *(s[n].alias(n) for n in ("device_class", "color_space", "description", "version")))
+    s = icc.summary(F.col("data"))
+    return dealt(spark, sf_dir, "customer", "c_custkey").select("c_custkey", data.alias("data")).select("c_custkey", *(s[n].alias(n) for n in ("device_class", "color_space", "description", "version")))
 
 
 @query("SELECT c_custkey, c_name AS byline, c_mktsegment || ';' || CAST(c_nationkey AS VARCHAR) AS keywords, 3 AS field_count FROM customer")
@@ -155,7 +156,7 @@ def caption_records(spark, sf_dir):
     record = lambda n, v: _bytes(b"\x1c\x02" + bytes([n]), _big(F.octet_length(v), 2), v)
     iim = _bytes(record(25, F.col("c_mktsegment")), record(25, F.col("c_nationkey").cast("string")), record(80, F.col("c_name")))
     payload = _bytes(resources.LEADS[0], b"8BIM\x04\x04\0\0", _big(F.octet_length(iim)), iim)
-    found = resources.resources(_files(read(spark, sf_dir, "customer"), "c_custkey", payload)).where("id = 1028")
+    found = resources.resources(_files(dealt(spark, sf_dir, "customer", "c_custkey"), "c_custkey", payload)).where("id = 1028")
     s = resources.caption_summary(resources.records(found.select("file_id", F.col("data").alias("content"))))
     return _key(s.select("file_id", "byline", F.array_join("keywords", ";").alias("keywords"), "field_count"), "c_custkey")
 
@@ -167,7 +168,7 @@ def signed_manifests(spark, sf_dir):
     name = F.col("s_name")
     claim = box(b"cbor", b"claim_generator", b"\x78", _big(F.octet_length(name), 1), name)
     payload = box(b"jumb", about(F.lit("c2pa")), box(b"jumb", about(name), claim))
-    s = manifest.summary(_files(read(spark, sf_dir, "supplier"), "s_suppkey", payload))
+    s = manifest.summary(_files(dealt(spark, sf_dir, "supplier", "s_suppkey"), "s_suppkey", payload))
     return _key(s.select("file_id", F.array_join("labels", ",").alias("labels"), "valid", "bytes", "claim_generator"), "s_suppkey")
 
 
@@ -176,13 +177,13 @@ def signers(spark, sf_dir):
     kind = F.col("p_size") % 4
     signer = F.when(kind == 0, F.concat(F.lit("DALL-E "), "p_brand")).when(kind == 1, F.concat(F.lit("Adobe Firefly "), "p_brand")).otherwise(F.col("p_brand"))
     found = signals.by_provenance(F.when(kind.between(1, 2), "http://x/trainedAlgorithmicMedia"), signer)
-    return read(spark, sf_dir, "part").select("p_partkey", found.alias("f")).where("f is not null").select("p_partkey", "f.*")
+    return dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", found.alias("f")).where("f is not null").select("p_partkey", "f.*")
 
 
 @query("SELECT p_partkey, 8 + 12 + strlen(p_name) + 2 + 12 AS n, 1 AS dropped FROM part")
 def png_clean_sizes(spark, sf_dir):
     chunk = lambda kind, data: _bytes(_big(F.octet_length(data)), kind, data, _big(F.crc32(_bytes(kind, data))))
-    files = _files(read(spark, sf_dir, "part"), "p_partkey", _bytes(png.SIGNATURE, chunk(b"iCCP", _bytes(F.col("p_name"), b"\0\0")), chunk(b"eXIf", F.col("p_type")), chunk(b"IEND", F.lit(""))))
+    files = _files(dealt(spark, sf_dir, "part", "p_partkey"), "p_partkey", _bytes(png.SIGNATURE, chunk(b"iCCP", _bytes(F.col("p_name"), b"\0\0")), chunk(b"eXIf", F.col("p_type")), chunk(b"IEND", F.lit(""))))
     before = png.chunks(files).groupBy("file_id").agg(F.count("*").alias("n0"))
     out = png.clean(files, dims.policy(spark))
     after = png.chunks(out).groupBy("file_id").agg(F.count("*").alias("n1"))
@@ -195,5 +196,5 @@ def webp_clean_sizes(spark, sf_dir):
     pad = lambda c: F.when(F.octet_length(c) % 2 == 1, F.lit(b"\0")).otherwise(F.lit(b""))
     chunk = lambda kind, c: _bytes(kind, size(c), c, pad(c))
     body = _bytes(b"WEBP", chunk(b"VP8L", F.col("p_name")), chunk(b"EXIF", F.col("p_type")))
-    out = webp.clean(_files(read(spark, sf_dir, "part"), "p_partkey", _bytes(b"RIFF", size(body), body)), dims.policy(spark))
+    out = webp.clean(_files(dealt(spark, sf_dir, "part", "p_partkey"), "p_partkey", _bytes(b"RIFF", size(body), body)), dims.policy(spark))
     return _key(out.select("file_id", F.length("content").cast("long").alias("n")), "p_partkey")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shutterlake import dims
 from shutterlake.operators import cleaning, report, segments
-from shutterlake.plans.catalog import query, read
+from shutterlake.plans.catalog import dealt, query, read
 from shutterlake.plans.media import _big, _bytes, _files, _hex, _key
 from shutterlake.sources import container, heif, heif_write, jpeg, png, png_encode
 
@@ -29,7 +29,7 @@ def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, kind, size = F.col("p_name"), F.col("p_type"), F.col("p_size")
     jpg = _bytes(_hex("FFD8FFE000104A46494600010100000100010000"), jpeg.segment(F.lit(jpeg.COM), name.cast("binary")), _hex("FFC0000B080040003001011100FFDA00021234FF005678FFD9"))
     # bodies are columns of their own, since lengths and checksums read them again
-    rows = read(spark, sf_dir, "part").select("*", _bytes(_big(size), _big(size + 1), b"\x08\x06\0\0\0").alias("_ihdr"), _bytes(b"parameters\0", name).alias("_words"), _bytes(b"Title\0", kind).alias("_title"), F.substring(_little(size), 1, 3).alias("_w"), F.substring(_little(size + 1), 1, 3).alias("_h"))
+    rows = dealt(spark, sf_dir, "part", "p_partkey").select("*", _bytes(_big(size), _big(size + 1), b"\x08\x06\0\0\0").alias("_ihdr"), _bytes(b"parameters\0", name).alias("_words"), _bytes(b"Title\0", kind).alias("_title"), F.substring(_little(size), 1, 3).alias("_w"), F.substring(_little(size + 1), 1, 3).alias("_h"))
     rows = rows.select("*", _chunk(b"IHDR", F.col("_ihdr")).alias("_c1"), _chunk(b"tEXt", F.col("_words")).alias("_c2"), _chunk(b"tEXt", F.col("_title")).alias("_c3"), _chunk(b"IEND", F.lit("").cast("binary")).alias("_c4"), _riff(b"VP8X", _bytes(b"\x08\0\0\0", F.col("_w"), F.col("_h"))).alias("_r1"), _riff(b"VP8L", name.cast("binary")).alias("_r2"), _riff(b"EXIF", kind.cast("binary")).alias("_r3"))
     rows = rows.withColumn("_body", _bytes(b"WEBP", F.col("_r1"), F.col("_r2"), F.col("_r3")))
     pic, web = _bytes(png.SIGNATURE, *(F.col(f"_c{i}") for i in range(1, 5))), _bytes(b"RIFF", _little(F.octet_length("_body")), F.col("_body"))
@@ -86,7 +86,7 @@ def _avif(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = lambda item, kind: _box(b"infe", b"\2\0\0\0", _big(item, 2), bytes(2), kind, bytes(1))
     meta = _box(b"meta", bytes(4), _box(b"pitm", bytes(4), _big(1, 2)), iloc, _box(b"iinf", bytes(4), _big(2, 2), entry(1, b"av01"), entry(2, b"Exif")))
     content = _bytes(_box(b"ftyp", b"avif", bytes(4), b"avifmif1"), meta, _box(b"mdat", tags, name))
-    return _files(read(spark, sf_dir, "part"), "p_partkey", content)
+    return _files(dealt(spark, sf_dir, "part", "p_partkey"), "p_partkey", content)
 
 
 @query("SELECT p_partkey, 162 + strlen(p_name) + 4 + strlen(p_type) AS original_size, 125 + strlen(p_name) AS cleaned_size, 'exif' AS lost, 4 + strlen(p_type) + 21 AS lost_bytes, p_name AS picture, 1 AS items FROM part")
@@ -147,7 +147,7 @@ _PIXELS = "substr(repeat(p_name || '    ', p_size * 2), 1, p_size * 8)"
 def png_encoded(spark, sf_dir):
     # pixels repeat the part's name; the written file is walked again and its pixels are read back
     pixels = F.substring(F.repeat(F.concat("p_name", F.lit("    ")), F.col("p_size") * 2), F.lit(1), F.col("p_size") * 8).cast("binary")
-    pictures = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("file_id"), pixels.alias("pixels"), F.col("p_size").alias("width"), F.lit(2).alias("height"), (F.col("p_partkey") % 2 == 0).alias("alpha"))
+    pictures = dealt(spark, sf_dir, "part", "p_partkey").select(F.col("p_partkey").cast("string").alias("file_id"), pixels.alias("pixels"), F.col("p_size").alias("width"), F.lit(2).alias("height"), (F.col("p_partkey") % 2 == 0).alias("alpha"))
     written = png_encode.encode(pictures)
     heads = png.headers(png.chunks(written)).select("file_id", "width", "height", "has_alpha")
     return _key(heads.join(png_encode.decode(written).select("file_id", F.md5("pixels").alias("pixels_md5")), "file_id"), "p_partkey")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shutterlake.functions import text
 from shutterlake.sources import walk
 
 #: Fixed value: the identifier of a manifest box in image containers.
@@ -49,19 +50,19 @@ def _string_after(near: Column) -> Column:
     """The first CBOR text string of 2 to 200 printable bytes that starts in the first 24 of these bytes (in hex)."""
     byte = lambda i: F.conv(F.substring(near, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
-    def text(i: Column) -> Column:
-        head = byte(i)
+    def told(i: Column, head: Column) -> Column:
         size = F.when(head.between(0x60, 0x77), head - 0x60).when(head == 0x78, byte(i + 1))
         body = F.unhex(F.substring(near, (i + F.when(head == 0x78, 2).otherwise(1)) * 2 + 1, size * 2)).cast("string")
-        return F.when(size.between(2, 200) & (F.length(body) == size) & body.rlike(r"^[\x20-\x7E]+$"), F.trim(body))
+        # the head decides, so that a byte that starts no string costs no more
+        return F.when(head.between(0x62, 0x78), F.when(size.between(2, 200), text.once(body, lambda b: F.when((F.length(b) == size) & b.rlike(r"^[\x20-\x7E]+$"), F.trim(b)))))
 
-    return F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(23)), text), lambda t: t.isNotNull() & (F.length(t) > 1)), F.lit(0))
+    return F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: text.once(byte(i), lambda head: told(i, head))), lambda t: t.isNotNull() & (F.length(t) > 1)), F.lit(0))
 
 
 def claim_generator(content: Column) -> Column:
     """What a claim names as its generator; null where no key is followed by a string."""
     near = lambda key: F.regexp_extract(F.hex(content), rf"^(?:..)*?{key.encode().hex().upper()}((?:..){{0,224}})", 1)
-    return F.coalesce(*(_string_after(near(k)) for k in ("claim_generator_info", "claim_generator")))
+    return F.coalesce(*(text.once(near(k), lambda found: F.when(found != "", _string_after(found))) for k in ("claim_generator_info", "claim_generator")))
 
 
 def summary(payloads: DataFrame) -> DataFrame:
