@@ -88,8 +88,10 @@ def exif_position(spark, sf_dir):
 
 @query("SELECT o_orderstatus AS make, 5 AS entries, 0 AS gps, count(*) AS n FROM orders GROUP BY 1")
 def exif_without_position(spark, sf_dir):
-    out = tiff.entries(tiff.clean(_cameras(spark, sf_dir), frozenset(["gps"]), embedded=True))
-    per = out.groupBy("file_id").agg(F.count("*").alias("entries"), F.count(F.when((F.col("kind") == "gps") | (F.col("tag") == 34853), 1)).alias("gps"), F.max(F.when(F.col("tag") == 271, F.substring("value", 1, 1).cast("string"))).alias("make"))
+    out = tiff.rewritten(_cameras(spark, sf_dir), frozenset(["gps"]), embedded=True)
+    placed = F.size(F.filter("kinds", lambda k: k == "gps")) + F.size(F.filter("tags", lambda t: t == 34853))
+    maker = F.substring(F.get("values", F.nullif(F.array_position("tags", F.lit(271)), F.lit(0)) - 1), 1, 1).cast("string")
+    per = out.select(F.size("tags").cast("long").alias("entries"), placed.cast("long").alias("gps"), maker.alias("make"))
     return per.groupBy("make", "entries", "gps").agg(F.count("*").alias("n"))
 
 
