@@ -38,7 +38,7 @@ def _tag_text(tag: Column) -> Column:
     plain = F.when((_word(tag, 8) > 0) & (_word(tag, 8) + 12 <= size), text.latin1(_cut(tag, 12, _word(tag, 8))))
     wide = F.when((_word(tag, 8) > 0) & (length > 0) & (at + length <= size), text.utf16(_cut(tag, at, length), False))
     found = F.when(kind == F.lit(b"desc"), plain).when(kind == F.lit(b"mluc"), wide).when(kind == F.lit(b"text"), text.latin1(_cut(tag, 8, size)))
-    return text.once(text.strip(found), lambda words: F.nullif(words, F.lit("")))
+    return text.some(text.strip(found))
 
 
 def description(data: Column) -> Column:

@@ -21,6 +21,11 @@ def once(value: Column, used: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), used), F.lit(0))
 
 
+def some(words: Column) -> Column:
+    """Null for an empty text, which is computed once."""
+    return once(words, lambda w: F.nullif(w, F.lit("")))
+
+
 def strip(text: Column) -> Column:
     """No NULs, then no white space, at both ends."""
     bare = F.regexp_replace(F.regexp_replace(text, r"^\x00+|\x00+\z", ""), rf"^{_EDGE}", "")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from shutterlake.functions import labels, signals
+from shutterlake.functions import text as texts
 
 #: What links a packet to a signed manifest.
 LINKS = ["c2pa", "contentauth", "dcterms:provenance", "xmpmm:manifest", "cai:"]
@@ -56,15 +57,15 @@ def _element(name: str) -> str:
 
 
 def _plain(text: Column) -> Column:
-    return F.nullif(F.regexp_replace(F.regexp_replace(unescape(F.regexp_replace(text, "<[^>]*>", "")), r"^\s+", ""), r"\s+\z", ""), F.lit(""))
+    return texts.some(F.regexp_replace(F.regexp_replace(unescape(F.regexp_replace(text, "<[^>]*>", "")), r"^\s+", ""), r"\s+\z", ""))
 
 
 def read(xmp: Column, name: str) -> Column:
     """A property as attribute or element; of a list its first item. Null where absent or empty."""
-    quoted = lambda q: F.nullif(F.regexp_extract(xmp, rf"(?i){re.escape(name)}\s*=\s*{q}([^{q}]*){q}", 1), F.lit(""))
-    inner = F.nullif(F.regexp_extract(xmp, _element(name), 1), F.lit(""))
-    item = F.nullif(F.regexp_extract(inner, r"(?is)<rdf:li[^>]*>(.*?)</rdf:li>", 1), F.lit(""))
-    return _plain(F.coalesce(quoted('"'), quoted("'"), item, inner))
+    quoted = lambda q: texts.some(F.regexp_extract(xmp, rf"(?i){re.escape(name)}\s*=\s*{q}([^{q}]*){q}", 1))
+    item = lambda inner: texts.some(F.regexp_extract(inner, r"(?is)<rdf:li[^>]*>(.*?)</rdf:li>", 1))
+    inner = texts.once(F.regexp_extract(xmp, _element(name), 1), lambda x: F.coalesce(item(x), F.nullif(x, F.lit(""))))
+    return _plain(F.coalesce(quoted('"'), quoted("'"), inner))
 
 
 def read_list(xmp: Column, name: str) -> Column:

@@ -28,7 +28,7 @@ def _of_rows(kind: str, tag: int, field: str) -> Column:
 
 
 def _text(data: Column) -> Column:
-    return F.nullif(text.strip(text.latin1(data)), F.lit(""))
+    return text.some(text.strip(text.latin1(data)))
 
 
 def _with_numbers(rows: DataFrame, tags: Sequence[int]) -> DataFrame:

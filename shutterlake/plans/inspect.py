@@ -10,7 +10,7 @@ from shutterlake.functions import labels
 from shutterlake.operators import archive, cleaning, report
 from shutterlake.plans.catalog import dealt, query, read
 from shutterlake.plans.media import _big, _bytes, _files, _hex, _key
-from shutterlake.plans.report import _chunk, _little, _riff
+from shutterlake.plans.report import _box, _chunk, _little, _riff
 from shutterlake.sources import jpeg, png, resources
 
 _HEAD = "FFD8FFE000104A46494600010100000100010000"
@@ -31,10 +31,6 @@ def _packet(creator: Column, title: Column) -> Column:
     return _bytes(b'<x:xmpmeta x:xmptk="k"><rdf:RDF><dc:creator>', creator, b"</dc:creator><dc:title>", title, b"</dc:title><dcterms:provenance>urn:x</dcterms:provenance></rdf:RDF></x:xmpmeta>")
 
 
-def _box(kind: bytes, *parts: Column | bytes) -> Column:
-    return _bytes(_big(F.octet_length(_bytes(*parts)) + 8), kind, *parts)
-
-
 def _manifest(label: Column, signer: Column) -> Column:
     about = lambda name: _box(b"jumd", bytes(16), b"\x03", name, b"\0")
     return _box(b"jumb", about(F.lit("c2pa")), _box(b"jumb", about(label), _box(b"cbor", b"claim_generator", b"\x78", _big(F.octet_length(signer), 1), signer)))
@@ -125,12 +121,14 @@ def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per supplier a TIFF with a packet, captions, a profile and a manifest in tags of their own, and a tag that no table knows."""
     key, name = F.col("s_suppkey"), F.col("s_name")
     values = [(305, 2, F.concat(name, F.lit("\0\0\0\0"))), (700, 1, _packet(name, F.lit("t"))), (33723, 7, _record(80, name)), (34675, 7, _profile(name)), (50000, 2, F.concat(name, F.lit("\0\0\0\0"))), (52545, 7, _manifest(F.lit("c2pa.claim"), name))]
+    # values are columns of their own, since lengths and places read them again
+    rows = dealt(spark, sf_dir, "supplier", "s_suppkey").select("*", *(value.cast("binary").alias(f"_v{tag}") for tag, _, value in values))
     at, table, behind = F.lit(8 + 2 + 12 * (len(values) + 1) + 4), [_entry(256, 3, 1, _bytes(_big(key % 1000 + 1, 2), b"\0\0"))], []
-    for tag, form, value in values:
+    for tag, form, value in ((tag, form, F.col(f"_v{tag}")) for tag, form, _ in values):
         table.append(_entry(tag, form, F.octet_length(value), _big(at)))
-        behind.append(value.cast("binary"))
+        behind.append(value)
         at = at + F.octet_length(value)
-    return _files(dealt(spark, sf_dir, "supplier", "s_suppkey"), "s_suppkey", _bytes(b"MM\0*", _big(8), _big(len(values) + 1, 2), *table, _big(0), *behind))
+    return _files(rows, "s_suppkey", _bytes(b"MM\0*", _big(8), _big(len(values) + 1, 2), *table, _big(0), *behind))
 
 
 @query("SELECT s_suppkey, s_name AS software, s_name AS creator, s_name AS byline, s_name AS profile, s_name AS claim_generator, 'c2pa.claim,c2pa' AS assertions, 7 AS tag_count, s_suppkey % 1000 + 1 AS width, 'TIFF private tag (JUMBF)' AS location FROM supplier")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake import dims
+from shutterlake.functions import text
 from shutterlake.operators import cleaning, report, segments
 from shutterlake.plans.catalog import dealt, query, read
 from shutterlake.plans.media import _big, _bytes, _files, _hex, _key
@@ -13,7 +14,7 @@ from shutterlake.sources import container, heif, heif_write, jpeg, png, png_enco
 
 
 def _chunk(kind: bytes, data: Column) -> Column:
-    return _bytes(_big(F.octet_length(data)), kind, data, _big(F.crc32(_bytes(kind, data))))
+    return text.once(data.cast("binary"), lambda d: _bytes(_big(F.octet_length(d)), kind, d, _big(F.crc32(_bytes(kind, d)))))
 
 
 def _little(n: Column) -> Column:
@@ -21,7 +22,7 @@ def _little(n: Column) -> Column:
 
 
 def _riff(kind: bytes, data: Column) -> Column:
-    return _bytes(kind, _little(F.octet_length(data)), data, F.when(F.octet_length(data) % 2 == 1, F.lit(b"\0")).otherwise(F.lit(b"")))
+    return text.once(data.cast("binary"), lambda d: _bytes(kind, _little(F.octet_length(d)), d, F.when(F.octet_length(d) % 2 == 1, F.lit(b"\0")).otherwise(F.lit(b""))))
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +74,7 @@ def verified_files(spark, sf_dir):
 
 
 def _box(kind: bytes, *parts: Column | bytes) -> Column:
-    body = _bytes(*parts)
-    return _bytes(_big(F.octet_length(body) + 8), kind, body)
+    return text.once(_bytes(*parts), lambda body: _bytes(_big(F.octet_length(body) + 8), kind, body))
 
 
 def _avif(spark: SparkSession, sf_dir: str) -> DataFrame:

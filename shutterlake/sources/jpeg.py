@@ -150,7 +150,7 @@ def _is_adobe(marker: Column, payload: Column) -> Column:
 
 def segment(marker: Column, payload: Column) -> Column:
     """Marker, length and payload as bytes."""
-    return F.concat(F.unhex(F.concat(F.lit("FF"), F.lpad(F.hex(marker), 2, "0"), F.lpad(F.hex(F.length(payload) + 2), 4, "0"))), payload)
+    return text.once(payload, lambda p: F.concat(F.unhex(F.concat(F.lit("FF"), F.lpad(F.hex(marker), 2, "0"), F.lpad(F.hex(F.length(p) + 2), 4, "0"))), p))
 
 
 def decide(rows: DataFrame, removed: frozenset[str]) -> DataFrame:
