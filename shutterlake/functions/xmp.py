@@ -34,15 +34,26 @@ def packet(content: Column) -> Column:
     return F.when(wrapped != "", F.unhex(wrapped)).when(meta != "", F.unhex(meta)).otherwise(bare)
 
 
-@F.pandas_udf(StringType())
-def _numeric_entities(texts: pd.Series) -> pd.Series:
-    pattern = re.compile(r"&#(?:x([0-9a-fA-F]+)|(\d+));", re.I)
+def _character(entity: Column) -> Column:
+    """The character of a numeric entity; U+FFFD where there is none of that number."""
+    hexed = F.lower(F.substring(entity, 3, 1)) == "x"
+    digits = F.regexp_replace(entity, r"^&#[xX]?0*|;\z", "")
+    number = F.coalesce(F.nullif(digits, F.lit("")), F.lit("0"))
+    known = F.when(F.length(digits) <= 7, F.when(hexed, F.conv(number, 16, 10)).otherwise(number).cast("long"))
+    valid = lambda n: (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+    pair = lambda n: F.concat(F.hex(F.shiftright(n - 0x10000, 10) + 0xD800), F.hex((n - 0x10000).bitwiseAND(1023) + 0xDC00))
+    units = lambda n: F.when(n < 0x10000, F.lpad(F.hex(n), 4, "0")).otherwise(pair(n))
+    return texts.once(known, lambda n: F.when(valid(n), F.decode(F.unhex(units(n)), "UTF-16BE")).otherwise(F.lit("\ufffd")))
+
+
+_ENTITY = "&#(?:[xX][0-9a-fA-F]+|[0-9]+);"
 
-    def one(m: re.Match) -> str:
-        code = int(m[1], 16) if m[1] else int(m[2])
-        return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�"
 
-    return texts.map(lambda t: t if t is None else pattern.sub(one, t))
+def _numeric_entities(text: Column) -> Column:
+    between = lambda t: F.split(t, _ENTITY, -1)
+    met = lambda t: F.transform(F.regexp_extract_all(t, F.lit(_ENTITY), 0), _character)
+    joined = lambda t: F.array_join(F.zip_with(between(t), met(t), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return texts.once(text, lambda t: F.when(t.contains("&#"), joined(t)).otherwise(t))
 
 
 def unescape(text: Column) -> Column:
@@ -65,7 +76,8 @@ def read(xmp: Column, name: str) -> Column:
     quoted = lambda q: texts.some(F.regexp_extract(xmp, rf"(?i){re.escape(name)}\s*=\s*{q}([^{q}]*){q}", 1))
     item = lambda inner: texts.some(F.regexp_extract(inner, r"(?is)<rdf:li[^>]*>(.*?)</rdf:li>", 1))
     inner = texts.once(F.regexp_extract(xmp, _element(name), 1), lambda x: F.coalesce(item(x), F.nullif(x, F.lit(""))))
-    return _plain(F.coalesce(quoted('"'), quoted("'"), inner))
+    # most properties are absent, which costs less to see than four patterns
+    return F.when(F.lower(xmp).contains(name.lower()), _plain(F.coalesce(quoted('"'), quoted("'"), inner)))
 
 
 def read_list(xmp: Column, name: str) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake import dims
-from shutterlake.functions import icc, labels, xmp
+from shutterlake.functions import icc, labels, text, xmp
 from shutterlake.operators import exif, generators
 from shutterlake.sources import bundle, manifest, resources
 
@@ -31,12 +31,16 @@ def breakdown(parts: DataFrame) -> DataFrame:
 def breakdown_of(segments: Column) -> Column:
     """{category: (bytes, n)} of a file's own array of segments; switches that find nothing are left out."""
 
-    def tally(name: Column) -> Column:
-        mine = F.filter(segments, lambda s: switch(s["category"]) == name)
+    def tally(mine: Column) -> Column:
         return F.struct(F.aggregate(mine, F.lit(0).cast("long"), lambda a, s: a + s["bytes"]).alias("bytes"), F.size(mine).cast("long").alias("n"))
 
-    names = F.array(*map(F.lit, SWITCHES))
-    return F.map_filter(F.map_from_arrays(names, F.transform(names, tally)), lambda k, v: v["n"] > 0)
+    def tallies(own: Column) -> Column:
+        there = F.array_distinct(F.transform(own, lambda s: s["switch"]))
+        names = F.filter(F.array(*map(F.lit, SWITCHES)), lambda n: F.array_contains(there, n))
+        return F.map_from_entries(F.transform(names, lambda n: F.struct(n, tally(F.filter(own, lambda s: s["switch"] == n)))))
+
+    # each segment's switch is looked up once, and only switches that are there are tallied
+    return text.once(F.transform(segments, lambda s: F.struct(switch(s["category"]).alias("switch"), s["bytes"].alias("bytes"))), tallies)
 
 
 def _c2pa(b: Column) -> Column:
@@ -47,14 +51,15 @@ def _c2pa(b: Column) -> Column:
     return F.when(F.size(payloads) > 0, F.struct(F.coalesce(b["c2pa_location"], F.lit("Embedded manifest")).alias("location"), size.alias("bytes"), F.get(claims, F.lit(0)).alias("claim_generator"), names.alias("assertions"), signed.alias("has_signature")))
 
 
-def _once(rows: DataFrame) -> DataFrame:
-    """The same rows, their columns computed once.
+def _once(rows: DataFrame, **values: Column) -> DataFrame:
+    """``rows`` with these values as columns, each computed once.
 
     The optimiser copies an expression into every field that is read of it, until plans
-    no longer fit the driver; behind this step it has plain columns. These rows hold
-    summaries and small payloads, not the files.
+    no longer fit the driver; what a generator gives out is not copied, and needs no
+    passage through Python.
     """
-    return rows.mapInArrow(lambda batches: batches, rows.schema)
+    one = F.struct(*(v.alias(n) for n, v in values.items()))
+    return rows.select("*", F.explode(F.array(one)).alias("_one")).select(*rows.columns, "_one.*")
 
 
 def inspect(files: DataFrame) -> DataFrame:
@@ -68,27 +73,25 @@ def inspect(files: DataFrame) -> DataFrame:
     """
     rows, b = bundle.bundles(files).withColumnRenamed("original_size", "file_size"), F.col("bundle")
     words = F.when(F.size(b["packets"]) > 0, F.array_join(b["packets"], "\n"))
-    rows = rows.withColumn("_words", words)
-    rows = _once(rows.select(
-        "*",
-        exif.summary_of(b["camera"]).alias("exif"),
-        exif.position_of(b["place"]).alias("gps"),
-        resources.caption_of(b["records"]).alias("iptc"),
-        F.when(b["icc"].isNotNull(), icc.summary(b["icc"])).alias("icc"),
-        _c2pa(b).alias("c2pa"),
-        xmp.summary(F.col("_words")).alias("_xmp"),
-        xmp.read(F.col("_words"), "xmp:CreatorTool").alias("_tool"),
-        xmp.read(F.col("_words"), "Iptc4xmpExt:DigitalSourceType").alias("_kind"),
-        generators.with_values(b["ai"]).alias("_found"),
-        breakdown_of(b["segments"]).alias("categories"),
-    ))
+    rows = _once(
+        _once(rows, _words=words),
+        exif=exif.summary_of(b["camera"]),
+        gps=exif.position_of(b["place"]),
+        iptc=resources.caption_of(b["records"]),
+        icc=F.when(b["icc"].isNotNull(), icc.summary(b["icc"])),
+        c2pa=_c2pa(b),
+        _xmp=xmp.summary(F.col("_words")),
+        _tool=xmp.read(F.col("_words"), "xmp:CreatorTool"),
+        _kind=xmp.read(F.col("_words"), "Iptc4xmpExt:DigitalSourceType"),
+        _found=generators.with_values(b["ai"]),
+        categories=breakdown_of(b["segments"]),
+    )
     c2pa = F.col("c2pa")
     origin = F.when(c2pa.isNotNull(), c2pa["location"]).otherwise("XMP / software fields")
     signer = generators.by_provenance(origin, F.coalesce(c2pa["bytes"], F.lit(0)), c2pa["claim_generator"], F.col("_tool"), F.coalesce(F.col("exif")["software"], b["hint"]), F.col("_kind"), F.coalesce(c2pa["assertions"], F.array().cast("array<string>")))
-    told = rows.withColumn("_signer", signer)
     total = F.aggregate(F.map_values("categories"), F.lit(0).cast("long"), lambda a, v: a + v["bytes"])
     summary = F.struct(F.size(b["packets"]).cast("long").alias("packets"), b["xmp_bytes"].alias("bytes"), *(F.col("_xmp")[n].alias(n) for n in ("toolkit", "creator", "rights", "title", "description", "created", "document_id", "has_provenance")), F.length(b["extended_xmp"]).cast("long").alias("extended_bytes"))
-    return _once(told.select(
+    return rows.select(
         "file_id",
         "format",
         "file_size",
@@ -104,13 +107,13 @@ def inspect(files: DataFrame) -> DataFrame:
         "iptc",
         F.when(F.col("_words").isNotNull(), summary).alias("xmp"),
         "c2pa",
-        generators.merged(F.col("_found"), F.col("_signer")).alias("ai"),
+        text.once(signer, lambda s: generators.merged(F.col("_found"), s)).alias("ai"),
         b["warnings"].alias("warnings"),
         F.when(b.isNotNull(), b["blocked"].isNull()).alias("lossless_supported"),
         b["blocked"].alias("lossless_blocked"),
         F.coalesce("error", F.when(F.col("why").isNotNull(), "corrupt-container")).alias("error"),
         F.coalesce("message", F.concat(F.lit("The image structure could not be read: "), F.col("why"))).alias("message"),
-    ))
+    )
 
 
 def detections(reports: DataFrame) -> DataFrame:
