@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from shutterlake.functions import detect as detector
@@ -14,12 +17,6 @@ SHAPE, FIELDS = detector.SHAPE, detector.FIELDS
 FINDING = StructType([StructField(n, StringType()) for n in SHAPE[:-2]] + [StructField(n, ArrayType(StringType())) for n in SHAPE[-2:]])
 
 
-@F.pandas_udf(FINDING)
-def _finding(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
-    found = [detector.detect(t, k) or {} for t, k in zip(texts, keys, strict=True)]
-    return pd.DataFrame({n: [f.get(n) for f in found] for n in SHAPE}, index=texts.index, dtype=object)
-
-
 def said(v: Column, *paths: str) -> Column:
     """The first scalar at these paths of a variant as text; objects, arrays and blanks do not count."""
     value = lambda p: F.try_variant_get(v, "$." + p, "variant")
@@ -28,13 +25,27 @@ def said(v: Column, *paths: str) -> Column:
 
 
 def detect(sources: DataFrame) -> DataFrame:
-    """(file_id, ord, bytes, finding) for the (file_id, ord, key, text, bytes) that some reader knows."""
-    return sources.select("file_id", "ord", "bytes", _finding("text", "key").alias("finding")).where("finding.generator is not null")
+    """(file_id, ord, bytes, finding) for the (file_id, ord, key, text, bytes) that some reader knows.
+
+    Each text is read once: a filter on what a function found would call it again.
+    """
+    rows = sources.select("file_id", "ord", "bytes", "key", "text")
+    shape = StructType([*rows.schema.fields[:3], StructField("finding", FINDING)])
+    form = to_arrow_type(FINDING)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [detector.detect(t, k) for t, k in zip(batch.column("text").to_pylist(), batch.column("key").to_pylist(), strict=True)]
+            known = batch.select(["file_id", "ord", "bytes"]).filter(pa.array([f is not None for f in found], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*known.columns, pa.array([f for f in found if f is not None], form)], names=["file_id", "ord", "bytes", "finding"])
+
+    return rows.mapInArrow(run, shape)
 
 
 def findings(sources: DataFrame) -> DataFrame:
     """One row per (file, generator, prompt, seed) with its bytes; named generators suppress the unnamed one."""
-    rows = detect(sources).select("file_id", "ord", "bytes", "finding", "finding.generator", "finding.prompt", "finding.seed")
+    # a file's findings meet in one shuffle, for the grouping and for the window
+    rows = detect(sources).select("file_id", "ord", "bytes", "finding", "finding.generator", "finding.prompt", "finding.seed").repartition("file_id")
     once = rows.groupBy("file_id", "generator", "prompt", "seed").agg(F.min_by("finding", "ord").alias("finding"), F.sum("bytes").alias("bytes"), F.min("ord").alias("ord"))
     named = F.max(F.col("generator") != "generic").over(Window.partitionBy("file_id"))
     return once.withColumn("_named", named).where("generator <> 'generic' or not _named").select("file_id", "ord", "bytes", "finding.*")
