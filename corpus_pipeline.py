@@ -14,16 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.llm import decontaminate, language, near_copies, packing, pii
-from shutterlake.llm.common import crc_mod, materialize, spare_names, table
+from shutterlake.llm.common import bound_batches, crc_mod, materialize, spare_names, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language ID rejects go."""
+    bound_batches(spark)
     return language.keep_identified(docs, language.train(docs, crc_mod(F.col("doc_id"), 4) != 2))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies one row stays: the smallest id, null last, then the smallest hash of the row."""
+    bound_batches(spark)
     (key,) = spare_names(docs, "_row_key")
     kept = near_copies.first_of_classes(docs).select(F.col("row").alias(key))
     keyed = docs.withColumn(key, near_copies.row_key(docs))
@@ -33,11 +35,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a verified overlap with the benchmark go."""
+    bound_batches(spark)
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"), min_words=1)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data are replaced by their kind."""
+    bound_batches(spark)
     return pii.redacted(docs)
 
 

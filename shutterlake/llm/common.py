@@ -8,9 +8,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 4 << 20
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 _own_dirs: dict[str, str] = {}
 
 
@@ -82,6 +85,15 @@ def spare_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session end at BATCH_BYTES, unless the session has a limit of its own.
+
+    By Spark's default (10,000 rows or 64 MB) a task has tens of MB of texts several times over,
+    in buffers of its JVM and in its Python worker. A text that is longer is a batch of its own.
+    """
+    spark.conf.set(BATCH_LIMIT, spark.conf.get(BATCH_LIMIT, f"{BATCH_BYTES}b"))
+
+
 def crc_mod(col: Column, mod: int) -> Column:
     """crc32 of a column's text form, modulo ``mod``; a null id counts as empty."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod
@@ -90,17 +102,17 @@ def crc_mod(col: Column, mod: int) -> Column:
 def text_batches(
     batches: Iterable[pa.RecordBatch], max_bytes: int = 4 << 20
 ) -> Iterator[tuple[list, list]]:
-    """(ids, texts) in slices of about ``max_bytes`` characters, whole texts each."""
+    """(ids, texts) in slices of about ``max_bytes``, whole texts each; one slice at a time becomes Python objects."""
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        ids, texts = batch.column(0), batch.column(1)
         lo = size = 0
-        for i, t in enumerate(texts):
-            size += len(t)
+        for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+            size += n
             if size >= max_bytes:
-                yield ids[lo : i + 1], texts[lo : i + 1]
+                yield ids[lo : i + 1].to_pylist(), texts[lo : i + 1].to_pylist()
                 lo, size = i + 1, 0
         if lo < len(texts):
-            yield ids[lo:], texts[lo:]
+            yield ids[lo:].to_pylist(), texts[lo:].to_pylist()
 
 
 def group_starts(sizes: np.ndarray) -> np.ndarray:

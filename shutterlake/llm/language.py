@@ -33,12 +33,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterlake.llm.common import crc_mod, group_starts, text_batches, texts_of
 
 ORDER, UNKNOWN = 5, "und"
+SLICE = 1 << 19  # bytes of text that are scored at once; their n-grams take over a hundred bytes each
 BROADCAST_LANGUAGES = 10_000
 _OTHER = re.compile(r"[\W\d_]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -260,7 +262,7 @@ def identify(docs: DataFrame, models: CharModels) -> DataFrame:
     """doc_id, lang_pred, score, rejected: one row per row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in text_batches(batches, 1 << 20):
+        for ids, texts in text_batches(batches, SLICE):
             rows = models.predict(texts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], names=["doc_id", "lang_pred", "score", "rejected"])
 
@@ -272,14 +274,8 @@ def keep_identified(docs: DataFrame, models: CharModels) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            keep: list[bool] = []
-            lo = size = 0
-            for i, t in enumerate([*texts, ""]):
-                size += len(t)
-                if i == len(texts) or size >= 1 << 20:
-                    keep += [not r[2] for r in models.predict(texts[lo : i + 1])]
-                    lo, size = i + 1, 0
+            texts = pa.RecordBatch.from_arrays([pa.nulls(len(batch)), pc.fill_null(batch.column("text"), "")], names=["id", "text"])
+            keep = [not r[2] for _, some in text_batches([texts], SLICE) for r in models.predict(some)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

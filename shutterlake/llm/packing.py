@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import materialize, text_batches, texts_of
+from shutterlake.llm.common import bound_batches, materialize, text_batches, texts_of
 from shutterlake.llm.encoding import encoder
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local long"
@@ -167,6 +167,7 @@ def _placed(pieces: DataFrame, plan: list[tuple[int, ...]]) -> DataFrame:
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """One row per piece: where it stands in which sequence."""
     spark = docs.sparkSession
+    bound_batches(spark)
     pieces = materialize(pieces_of(docs, tokenizer_path, capacity, end_id), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     ranked = _ranked(pieces, "length")
