@@ -9,15 +9,30 @@ apart get candidates from min-hash bands: 25 bands of four values; two nodes wit
 similarity 0.8 share one with a chance of 1 - (1 - 0.8**4)**25, all but two in a
 million.
 
-In each band group nodes of other classes are first compared with its smallest
-and its largest node. What is then still in more than one class is compared
-inside tasks, in blocks of BLOCK nodes, every block with every other, by counting
-common shingles; a task returns a forest of verified links, never its pairs. A
-group of more than one block is first split by a prefix filter: shingles are
-ordered by how many nodes have them, rarest first, and two sets that are similar
-enough must share one of the first n - ceil(0.8 * n) + 1 of each. Texts made from
-one template share its frequent shingles only, so they no longer meet. The split
-loses no pair; it is taken for the groups where it leaves fewer comparisons.
+In each band group of up to BLOCK nodes, nodes of other classes are first compared
+with its smallest and its largest node. What is then still in more than one class
+is compared inside tasks by counting common shingles; a task returns a forest of
+verified links, never its pairs.
+
+Larger groups, which are near copies or texts of one template, are first taken
+apart by what their nodes do not have in common. A centre has the shingles of over
+half of the nodes; D is where a set differs from it (beyond it or lacking). Two
+sets are similar enough if |Dx| + |Dy| - 2 * both <= w * (|x| + |y|), with both =
+|Dx & Dy| and w = (1 - 0.8) / (1 + 0.8), so with excess e = |D| - w * n if
+2 * both >= ex + ey. Every node is compared with the middle, the node of least
+excess. A node that is not similar to the middle has ex + ey > 0 for every other y
+(else ex + e of the middle <= 0), so it shares a difference with each node similar
+to it, and nodes similar to the middle are one class. So only nodes that share
+differences meet, in the groups of these; from them go nodes whose shared
+differences can't reach any partner's excess there, again and again while that
+helps, and of the rest the differences past a prefix, the rarest first. No pair
+that is similar enough is lost.
+
+What is then still over one block is split by a prefix filter over whole sets:
+shingles are ordered by how many nodes have them, rarest first, and two sets that
+are similar enough must share one of the first n - ceil(0.8 * n) + 1 of each. It is
+taken for the groups where it leaves fewer comparisons; the others are compared in
+blocks of BLOCK nodes, every block with every other.
 
 Nulls and edge cases: null or empty texts, and those of white space only, are one
 class; null doc_ids and repeated rows belong to the class of their text and come
@@ -27,7 +42,7 @@ further columns of any type and name are hashed with the row and come through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +50,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import group_starts, materialize, shuffle_parts, text_batches
+from shutterlake.llm.common import discard, group_starts, materialize, shuffle_parts, text_batches
 from shutterlake.llm.components import components
 from shutterlake.llm.simhash import Forest, majority, near_links, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 4
 BLOCK = 400
+PRUNINGS = 8  # rounds over the groups of differences, at most
 _RNG = np.random.default_rng(41)
 _FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -186,6 +202,77 @@ def _links_in_groups(left: DataFrame, sets: DataFrame, similarity: float, block:
     return rows.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long")
 
 
+def _differences(large: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """leader, node, n, excess, diff: how each node of the groups ``large`` (key, node, size) differs from a common centre.
+
+    The leader of a group is its node with the most neighbours; groups with one leader are one. The centre has the
+    shingles that over half of the leader's nodes have.
+    """
+    score = large.groupBy("node").agg(F.sum("size").alias("score"))
+    leaders = large.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node"))["node"].alias("leader"))
+    members = large.join(leaders, "key").select("leader", "node").distinct()
+    diff = lambda a, b: F.concat(F.array_except(a, b), F.array_except(b, a))
+    of_leader = sets.select(F.col("node").alias("leader"), F.col("shingles").alias("of_leader"))
+    first = members.join(sets, "node").join(of_leader, "leader").select("leader", "node", F.size("shingles").alias("n"), diff("shingles", "of_leader").alias("diff"))
+    first = materialize(first, "first")
+    counts = first.select("leader", F.explode("diff").alias("shingle")).groupBy("leader", "shingle").agg(F.count("*").alias("nodes")).where("nodes > 1")
+    usual = counts.join(first.groupBy("leader").agg(F.count("*").alias("all")), "leader").where("2 * nodes > all").groupBy("leader").agg(F.collect_list("shingle").alias("usual"))
+    usual = first.join(usual, "leader", "left").select("leader", "node", "n", diff("diff", F.coalesce("usual", F.array().cast("array<long>"))).alias("diff"))
+    excess = F.size("diff") - F.lit((1 - similarity) / (1 + similarity)) * F.col("n")
+    return materialize(usual.select("leader", "node", "n", excess.alias("excess"), "diff"), "differences")
+
+
+def _middles(diffs: DataFrame) -> DataFrame:
+    """leader, middle, n_middle, of_middle: the node of least excess of each leader."""
+    least = F.min_by(F.struct("node", "n", "diff"), F.struct("excess", "node")).alias("least")
+    return diffs.groupBy("leader").agg(least).select("leader", F.col("least.node").alias("middle"), F.col("least.n").alias("n_middle"), F.col("least.diff").alias("of_middle"))
+
+
+def _middle_links(diffs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each middle with the nodes that are similar enough to it."""
+    apart = F.size("diff") + F.size("of_middle") - 2 * F.size(F.array_intersect("diff", "of_middle"))
+    total = F.col("n") + F.col("n_middle")
+    both = (total - apart) / 2
+    return diffs.join(_middles(diffs), "leader").where((F.col("node") != F.col("middle")) & (both >= similarity * (total - both))).select(F.col("middle").alias("a"), F.col("node").alias("b"))
+
+
+def _groups_of_differences(diffs: DataFrame, rooted: Callable[[DataFrame, str, str], DataFrame]) -> DataFrame:
+    """leader, shingle, node, root, size: the nodes that have still to be compared, by a difference that they share.
+
+    ``shingle`` is null for the leaders whose nodes are cheaper to compare as one group.
+    """
+    middles = rooted(_middles(diffs).select("leader", "middle"), "middle", "home").select("leader", "home")
+    rows = rooted(diffs, "node", "root").join(middles, "leader").select("leader", "node", "root", (F.col("root") == F.col("home")).alias("at_home"), "excess", F.explode("diff").alias("shingle"))
+    rows, before = materialize(rows, "differing"), 0
+    for _ in range(PRUNINGS):
+        # a partner's excess is at most ``reach``: both <= the differences that are left
+        each = rows.select("leader", "node", "root", "at_home", "excess", "shingle").withColumn("reach", 2 * F.count("*").over(Window.partitionBy("leader", "node")) - F.col("excess") + 1e-6)
+        far = lambda c: F.when(~F.col("at_home"), F.col(c))  # noqa: E731  nodes at home have one class already
+        met = each.groupBy("leader", "shingle").agg(
+            F.count("*").alias("nodes"), F.min("root").alias("r0"), F.max("root").alias("r1"),
+            F.min("excess").alias("low"), F.max("reach").alias("high"), F.min(far("excess")).alias("low_far"), F.max(far("reach")).alias("high_far"),
+        )
+        met = each.join(met.where("r0 < r1"), ["leader", "shingle"]).withColumn("low", F.when(F.col("at_home"), F.col("low_far")).otherwise(F.col("low")))
+        met = met.where((F.col("low") <= F.col("reach")) & (F.col("excess") <= F.when(F.col("at_home"), F.col("high_far")).otherwise(F.col("high"))))
+        last, rows = rows, materialize(met.select("leader", "node", "root", "at_home", "excess", "shingle", "nodes", "low"), "differing")
+        discard(last)
+        now = rows.count()
+        if not now or before and now > 0.8 * before:
+            break
+        before = now
+    own = Window.partitionBy("leader", "node")
+    least = F.greatest(F.lit(1), F.ceil((F.col("excess") + F.min("low").over(own)) / 2 - 1e-6))
+    places = rows.withColumn("needed", F.count("*").over(own) - least + 1).withColumn("place", F.row_number().over(own.orderBy("nodes", "shingle")))
+    places = materialize(places.where("place <= needed").select("leader", "shingle", "node", "root"), "places")
+    split = places.groupBy("leader", "shingle").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("leader", "shingle", "size")
+    whole = places.select("leader", "node", "root").distinct()
+    wholes = whole.groupBy("leader").agg(F.count("*").alias("size"))
+    dear = split.groupBy("leader").agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("cost")).join(wholes, "leader").where(F.col("cost") >= F.col("size").cast("double") * F.col("size")).select("leader", "size")
+    dear = materialize(dear, "dear")
+    rest = whole.join(dear, "leader").select("leader", F.lit(None).cast("long").alias("shingle"), "node", "root", "size")
+    return places.join(split.join(dear, "leader", "left_anti"), ["leader", "shingle"]).select("leader", "shingle", "node", "root", "size").unionByName(rest)
+
+
 def _split_groups(left: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
     """``left`` (key, node, root, size) with groups over one block split by the shingles that their nodes' prefixes share.
 
@@ -235,15 +322,23 @@ def first_of_classes(docs: DataFrame, similarity: float = SIMILARITY, block: int
     def rooted(rows: DataFrame, node: str, root: str) -> DataFrame:
         return rows.join(roots.select(F.col("node").alias(node), F.col("root").alias(root)), node, "left").withColumn(root, F.coalesce(root, node))
 
-    ends = shared.select("node", "n", F.explode(F.array("low", "high")).alias("end")).where("node != end.node")
+    small, large = shared.where(F.col("size") <= block), shared.where(F.col("size") > block)
+    diffs = None if large.isEmpty() else _differences(large.select("key", "node", "size"), sets, similarity)
+    ends = small.select("node", "n", F.explode(F.array("low", "high")).alias("end")).where("node != end.node")
     ends = ends.select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b"), F.col("n").alias("n_a"), F.col("end.n").alias("n_b"))
     ends = rooted(rooted(ends.where(_alike(similarity)).select("a", "b").distinct(), "a", "root_a"), "b", "root_b").where("root_a != root_b").select("a", "b")
-    links = materialize(links.unionByName(_verified(ends, sets, similarity)), "links")
+    more = _verified(ends, sets, similarity)
+    links = materialize(links.unionByName(more if diffs is None else more.unionByName(_middle_links(diffs, similarity))), "links")
     roots = materialize(components(links), "roots")
 
-    left = rooted(shared, "node", "root").select("key", "node", "root", "size", ((F.col("node") == F.col("low.node")) | (F.col("node") == F.col("high.node"))).alias("end"))
+    left = rooted(small, "node", "root").select("key", "node", "root", "size", ((F.col("node") == F.col("low.node")) | (F.col("node") == F.col("high.node"))).alias("end"))
     still = left.where("size > 3 and not end").groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
-    left = materialize(left.where("not end").join(still, "key", "left_semi"), "left")
+    none = F.lit(None).cast("long")
+    left = left.where("not end").join(still, "key", "left_semi").select(F.struct("key", none.alias("leader"), none.alias("difference")).alias("key"), "node", "root", "size")
+    if diffs is not None:
+        met = _groups_of_differences(diffs, rooted)
+        left = left.unionByName(met.select(F.struct(none.alias("key"), "leader", F.col("shingle").alias("difference")).alias("key"), "node", "root", "size"))
+    left = materialize(left, "left")
     roots = components(links.unionByName(_links_in_groups(_split_groups(left, sets, similarity, block), sets, similarity, block)))
     named = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     return named.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.row")

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from shutterlake.llm import near_copies
 from shutterlake.llm.common import table
@@ -130,3 +132,35 @@ def test_template_groups_are_split(spark):
     left = spark.createDataFrame([(1, i, i, 200) for i in range(200)] + [(2, i, i, 30) for i in range(30)], "key long, node long, root long, size long")
     split = near_copies._split_groups(left, same, 0.8, 50).collect()
     assert len(split) == 230 and all(r["key"]["shingle"] is None for r in split)
+
+
+def edited_texts(rng, n):
+    """Copies of one lost text, each with words replaced, up to a fifth of them; one in ten is edited once more."""
+    base, texts = [f"w{rng.randrange(10_000)}" for _ in range(120)], []
+    for _ in range(n):
+        words = list(base)
+        for at in rng.sample(range(120), min(24, 1 + int(rng.expovariate(0.25)))):
+            words[at] = f"x{rng.randrange(10_000)}"
+        texts.append(" ".join(words))
+        if rng.random() < 0.1:
+            words[rng.randrange(120)] = "again"
+            texts.append(" ".join(words))
+    return texts
+
+
+def test_large_groups_grow_with_their_size(spark, monkeypatch):
+    """Rows that meet in groups grow with the copies, not with their square, and no link is lost."""
+    met, dealt = [], near_copies._links_in_groups
+
+    def counted(left, sets, similarity, block):
+        met[-1] += left.agg(F.sum(F.ceil(F.col("size") / block))).first()[0] or 0
+        return dealt(left, sets, similarity, block)
+
+    monkeypatch.setattr(near_copies, "_links_in_groups", counted)
+    for n in (200, 800):
+        texts = edited_texts(random.Random(6), n)
+        met.append(0)
+        want = sorted(brute(list(enumerate(texts))))
+        assert 0.1 * n < len(want) < 0.9 * n
+        assert sorted(r["doc_id"] for r in near_copies.first_of_classes(documents(spark, texts), block=40).collect()) == want
+    assert met[1] <= 6 * max(met[0], 200), met
