@@ -106,6 +106,23 @@ def verified(files: DataFrame, removed: frozenset[str]) -> DataFrame:
     )
 
 
+def read_again(files: DataFrame, removed: frozenset[str], keys: str = "file_id string") -> DataFrame:
+    """``keys``, content and bytes_removed as of ``clean``, and of that content a row of ``bundle.bundles``, for ``report.of_bundles``.
+
+    A file is read again by the task that cleaned it, so its report need not be joined to
+    it. Spark takes rows of files to be as small as the table's that they were made of:
+    a join would send large ones to the driver.
+    """
+
+    def run(content: bytes) -> Iterator[tuple]:
+        form, size, error, _ = bundle.gated(content)
+        done, _ = (None, None) if error else rewrite.rewritten(content, form, removed)
+        fresh = done and done.content
+        yield fresh, None if fresh is None else max(size - len(fresh), 0), *bundle.as_row(fresh or b"")
+
+    return walk.rows_of(files, run, f"fresh binary, bytes_removed long, {bundle.ROW}", keys).drop("ord").withColumnRenamed("fresh", "content")
+
+
 def by_category(rows: DataFrame) -> DataFrame:
     """file_id, category, bytes and n before and after, of rows of ``verified``; a switch that finds nothing has no row."""
     seen = lambda c: report.breakdown_of(F.col(c))

@@ -71,7 +71,12 @@ def inspect(files: DataFrame) -> DataFrame:
     provenance, merged), warnings, lossless_supported and why not, error, message.
     A null, empty or unreadable file has an error and no report; ``file_id`` may repeat.
     """
-    rows, b = bundle.bundles(files).withColumnRenamed("original_size", "file_size"), F.col("bundle")
+    return of_bundles(bundle.bundles(files))
+
+
+def of_bundles(rows: DataFrame, *also: str) -> DataFrame:
+    """The reports of rows of ``bundle.bundles``; the columns ``also`` go along."""
+    rows, b = rows.withColumnRenamed("original_size", "file_size"), F.col("bundle")
     words = F.when(F.size(b["packets"]) > 0, F.array_join(b["packets"], "\n"))
     rows = _once(
         _once(rows, _words=words),
@@ -93,6 +98,7 @@ def inspect(files: DataFrame) -> DataFrame:
     summary = F.struct(F.size(b["packets"]).cast("long").alias("packets"), b["xmp_bytes"].alias("bytes"), *(F.col("_xmp")[n].alias(n) for n in ("toolkit", "creator", "rights", "title", "description", "created", "document_id", "has_provenance")), F.length(b["extended_xmp"]).cast("long").alias("extended_bytes"))
     return rows.select(
         "file_id",
+        *also,
         "format",
         "file_size",
         b["container"].alias("container"),

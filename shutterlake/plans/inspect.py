@@ -176,18 +176,16 @@ def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     packet = _packet(name, F.col("p_type"))
     pic = _bytes(png.SIGNATURE, _chunk(b"IHDR", _bytes(_big(2), _big(2), b"\x08\x06\0\0\0")), _chunk(b"eXIf", _camera(key)), _chunk(b"iTXt", _bytes(png.XMP_KEY, b"\0\0\0\0\0", packet)), _chunk(b"IDAT", name.cast("binary")), _chunk(b"IEND", F.lit("").cast("binary")))
     body = _bytes(b"WEBP", _riff(b"VP8X", _bytes(b"\x0c\0\0\0", bytes(6))), _riff(b"VP8L", name.cast("binary")), _riff(b"EXIF", _camera(key)), _riff(b"XMP ", packet))
-    return _files(dealt(spark, sf_dir, "part", "p_partkey"), "p_partkey", F.when(key % 2 == 0, pic).otherwise(_bytes(b"RIFF", _little(F.octet_length(body)), body)))
+    return _files(dealt(spark, sf_dir, "part", "p_partkey"), "p_partkey", F.when(key % 2 == 0, pic).otherwise(_bytes(b"RIFF", _little(F.octet_length(body)), body)), "p_name")
 
 
 @query("""SELECT p_partkey, 'Abc' AS make, (p_partkey % 6400)::VARCHAR AS iso, NULL::DOUBLE AS latitude, p_name AS creator, false AS has_provenance, 66 + strlen('<dcterms:provenance>urn:x</dcterms:provenance>') + CASE WHEN p_partkey % 2 = 1 THEN (strlen(p_name) + strlen(p_type) + 105) % 2 - (strlen(p_name) + strlen(p_type) + 151) % 2 ELSE 0 END AS lost, position(p_name in p_name) AS pixels FROM part""")
 def nested_rewrites(spark, sf_dir):
     # the position and the link to a manifest go, the rest of EXIF and of the packet stays
-    files = _nested(spark, sf_dir)
-    done = cleaning.clean(files, frozenset(["gps", "c2pa"]))
-    back = report.inspect(done.select("file_id", "content")).select("file_id", "exif.make", "exif.iso", "gps.latitude", "xmp.creator", "xmp.has_provenance")
-    whole = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("file_id"), "p_name")
-    kept = done.join(whole, "file_id").select("file_id", F.col("bytes_removed").alias("lost"), (F.position(F.col("p_name").cast("binary"), F.col("content")) > 0).cast("long").alias("pixels"))
-    return _key(back.join(kept, "file_id"), "p_partkey")
+    done = cleaning.read_again(_nested(spark, sf_dir), frozenset(["gps", "c2pa"]), "file_id string, p_name string")
+    kept = (F.position(F.col("p_name").cast("binary"), F.col("content")) > 0).cast("long")
+    back = report.of_bundles(done.withColumns({"lost": F.col("bytes_removed"), "pixels": kept}).drop("content", "p_name"), "lost", "pixels")
+    return _key(back.select("file_id", "exif.make", "exif.iso", "gps.latitude", "xmp.creator", "xmp.has_provenance", "lost", "pixels"), "p_partkey")
 
 
 @query("SELECT lang, name, sum(30 + strlen(name) + strlen(text)) OVER (PARTITION BY lang ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)::BIGINT AS place, 30 + strlen(name) + strlen(text) AS bytes FROM (SELECT lang, 'doc-' || doc_id || '.txt' AS name, coalesce(text, '') AS text FROM documents)")

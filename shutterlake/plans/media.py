@@ -24,8 +24,8 @@ def _bytes(*parts: Column | bytes) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, bytes) else p.cast("binary") for p in parts))
 
 
-def _files(rows: DataFrame, key: str, content: Column) -> DataFrame:
-    return rows.select(F.col(key).cast("string").alias("file_id"), content.alias("content"))
+def _files(rows: DataFrame, key: str, content: Column, *also: str) -> DataFrame:
+    return rows.select(F.col(key).cast("string").alias("file_id"), *also, content.alias("content"))
 
 
 def _key(rows: DataFrame, name: str) -> DataFrame:
